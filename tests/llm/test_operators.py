@@ -313,13 +313,15 @@ def test_repeats_of_shared_passages(spark, monkeypatch, block):
         assert got[d]["kept"] == bytes(b for b, g in zip(t.encode(), gone) if not g), d
 
 
-@given(st.lists(st.text(alphabet="ab", min_size=4, max_size=30), min_size=1, max_size=8))
-@settings(max_examples=150, deadline=None)
-def test_transform_finds_repeated_suffixes(items):
-    got = suffix_dedup.repeated_suffixes([x.encode() for x in items], 4)
-    seen = [x[i : i + 4] for x in items for i in range(len(x) - 3)]
-    for x, mask in zip(items, got):
-        assert mask.tolist() == [seen.count(x[i : i + 4]) > 1 for i in range(len(x) - 3)]
+@given(st.lists(st.lists(st.tuples(st.text(alphabet="ab", max_size=9), st.text(alphabet="ab", max_size=9)), min_size=1, max_size=7), min_size=1, max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_columns_find_repeated_windows(groups):
+    """Items are left + 'x' + right around an anchor 'x'; windows of 4 that start at equal places are compared."""
+    items = [(g, a, b) for g, group in enumerate(groups) for a, b in group]
+    got = suffix_dedup.repeated_windows([f"{a}x{b}".encode() for _, a, b in items], [len(a) for _, a, _ in items], [g for g, _, _ in items], 4)
+    windows = [[(g, i - len(a), f"{a}x{b}"[i : i + 4]) for i in range(len(a) + len(b) + 1 - 3)] for g, a, b in items]
+    seen = [w for x in windows for w in x]
+    assert [m.tolist() for m in got] == [[seen.count(w) > 1 for w in x] for x in windows]
 
 
 def test_repeats_odd_rows(odd, none):

@@ -32,11 +32,16 @@ def shingles(words: np.ndarray, width: int) -> Counter:
     """Word shingles with counts; a shorter sequence is one shingle."""
     if len(words) < width:
         return Counter({(len(words), *words.tolist()): 1}) if len(words) else Counter()
+    return Counter(position_shingles(words, width).tolist())
+
+
+def position_shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` words from each place."""
     m = len(words) - width + 1
     h = np.zeros(m, np.uint64)
     for k in range(width):
         h += words[k : k + m] * _mixers[k]
-    return Counter(mix(h).tolist())
+    return mix(h)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -125,6 +130,12 @@ class Benchmark:
                 self.ids.append(item_id)
                 self.words.append(words)
                 self.shingles.append(shingles(words, width))
+        # a shingle of any item sets its place in this table: what a window can share with an item is bounded by its set places
+        self.known = np.zeros(1 << 20, bool)
+        for s in self.shingles:
+            for x in s:
+                if isinstance(x, int):
+                    self.known[x & (1 << 20) - 1] = True
         order = sorted(range(len(self.ids)), key=lambda i: len(self.words[i]))
         self.classes: list[ItemClass] = []
         while order:
@@ -140,12 +151,25 @@ class Benchmark:
         best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(rows)]
         row_of = np.repeat(np.arange(rows), np.diff(firsts))
         sums = {wide: running_bits(words, wide) for wide in {c.window > 120 for c in self.classes if c.window <= len(words)}}
+        m = len(words) - self.width + 1
+        known = np.zeros(len(words) + 1, np.int32)
+        if m > 0:
+            np.cumsum(self.known[position_shingles(words, self.width) & np.uint64((1 << 20) - 1)], out=known[1 : m + 1])
+            known[m + 1 :] = known[m]
+        sizes = np.array([len(w) for w in self.words], np.int64)
         for c in self.classes:
             if len(words) < c.window:
                 continue
             where, which = c.candidates(window_prints(sums[c.window > 120], c.window), self.radius)
             inside = row_of[where] == row_of[where + c.window - 1]
-            for p, k in zip(where[inside].tolist(), which[inside].tolist()):
+            where, which = where[inside], which[inside]
+            n = sizes[c.item[which]]
+            start = np.where(c.tail[which], where + c.window - n, where)
+            # starts and ends may move by one word
+            first, last = np.clip(start - 1, 0, len(words)), np.clip(start + n + 1 - self.width + 1, 0, len(words))
+            possible = known[np.maximum(first, last)] - known[first] >= threshold * (n - self.width + 1)
+            possible |= n < self.width
+            for p, k in zip(where[possible].tolist(), which[possible].tolist()):
                 i, row = int(c.item[k]), int(row_of[p])
                 lo, hi, n = int(firsts[row]), int(firsts[row + 1]), len(self.words[i])
                 if best[row].get(i, (0,))[0] == 1.0:

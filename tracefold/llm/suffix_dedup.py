@@ -2,9 +2,10 @@
 
 Every ``length``-byte window of a text belongs to the smallest hash of its ``GRAM``-byte pieces, its anchor; equal windows have
 equal anchors at equal places. Windows with a common anchor form one item, so items cover every window once and equal windows meet under the anchor's
-hash. Equal items are counted as one. Items that share an anchor but differ are put in blocks, and each block's collection
-Burrows-Wheeler transform with its common prefixes is built column by column: each round inserts one symbol per item.
-Suffixes whose common prefix with a neighbour reaches ``length`` are repeated windows.
+hash. Equal items are counted as one. Items that share an anchor but differ are aligned at it and put in blocks, and each block's collection
+Burrows-Wheeler order with its common prefixes is built column by column: each round inserts one symbol per item.
+Windows whose common prefix with a neighbour reaches ``length`` are repeated. As equal windows stand in the same column, only
+the current column's rows are kept (the positional form of the transform), in memory instead of in files.
 
 A block is bounded: an anchor with more than ``BLOCK`` different items is split by halves of the windows' places under the
 hash of the bytes that those windows have in common, until each part fits or is a single window.
@@ -12,7 +13,6 @@ hash of the bytes that those windows have in common, until each part fits or is
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from .wordhash import _BASE, _INVERSE, mix, slices, utf8
 GRAM = 48
 BLOCK = 256
 #: Items put in one collection, when several anchors share it.
-COLLECTION = 256
+COLLECTION = 2048
 
 _bytes = np.random.default_rng(20240401).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _pow: dict[str, np.ndarray] = {}
@@ -79,75 +79,56 @@ def item_table(raw: np.ndarray, bounds: np.ndarray, length: int) -> dict[str, np
     return {"row": row[first], "lo": first - at[row[first]], "size": ends - first, "place": where - first, "h": mix(grams[where] + np.uint64(1)).view(np.int64), "c": c.view(np.int64)}
 
 
-def repeated_suffixes(items: list[bytes], length: int) -> list[np.ndarray]:
-    """For each item, which of its ``length``-byte windows also start elsewhere in the collection.
+def item_print(piece: np.ndarray, place: int) -> int:
+    """``c`` of one item, from its bytes."""
+    up, _ = _powers(len(piece))
+    total = (_bytes[piece] * up[: len(piece)]).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total + np.array([len(piece)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([place], np.uint64)).view(np.int64)[0])
 
-    The transform ``bwt``, the common prefixes ``lcp`` (of each row with the row above) and the suffixes ``sa`` grow by one symbol
-    per item and round, from the items' last symbols to their first.
+
+def repeated_windows(items: list[bytes], places: list[int], groups: list, length: int) -> list[np.ndarray]:
+    """For each item, which of its ``length``-byte windows also start in another item of its group.
+
+    Items of a group are aligned at their anchors and stand together. Each round adds the column to the left: ``order`` is the
+    collection's suffix order (one row per item, as its Burrows-Wheeler transform has them), kept by a stable sort on the
+    new symbols, and ``lcp`` the common prefix of each row with the row above, one more than the least of the rows passed over.
     """
     m = len(items)
-    sizes = np.array([len(x) for x in items], np.int64)
-    longest = int(sizes.max())
-    text = np.zeros((m, longest + 1), np.uint8)  # right-aligned, 0 before the first symbol
-    for j, x in enumerate(items):
-        text[j, longest + 1 - len(x) :] = np.frombuffer(x, np.uint8) + np.uint8(1)
-    bwt = text[:, longest].copy()
-    lcp = np.zeros(m, np.uint16)
-    sa = np.arange(m, dtype=np.int32) * (longest + 1)  # item * (longest + 1) + suffix length
-    row = np.arange(m)
-    live = np.arange(m)
-    for r in range(1, longest + 1):
-        active = sizes[live] >= r
-        live, row = live[active], row[active]
-        n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int32)
-        rank[order] = np.arange(n, dtype=np.int32)
-        ended = n - int(np.count_nonzero(bwt))
-        k = rank[row]
-        after = np.minimum(k + 1, n - 1)
-        follows = (k + 1 < n) & (bwt[order[after]] == bwt[row])
-        touched = np.unique(np.concatenate([k, after[follows]]))
-        here = order[touched]
-        before = order[np.maximum(touched - 1, 0)]
-        has = (touched > 0) & (bwt[before] == bwt[here])
-        value = np.zeros(len(touched), np.uint16)
-        lo, hi = before[has] + 1, here[has] + 1
-        if len(lo):
-            by = np.argsort(-lo, kind="stable")
-            flat = np.empty(2 * len(lo), np.int64)
-            flat[::2], flat[1::2] = lo[by], hi[by]
-            least = np.minimum.reduceat(np.append(lcp, np.uint16(0)), flat)[::2]
-            got = np.empty(len(lo), np.uint16)
-            got[by] = least + np.uint16(1)
-            value[has] = got
-        new = k - ended + m
-        fresh = np.zeros(n + len(live), bool)
-        fresh[new] = True
-        old = ~fresh
-        grown = np.empty(n + len(live), np.uint8)
-        grown[old] = bwt
-        grown[new] = text[live, longest - r]
-        bwt = grown
-        lcp2 = np.empty(n + len(live), np.uint16)
-        lcp2[old] = lcp
-        lcp2[touched - ended + m] = value
-        lcp = lcp2
-        sa2 = np.empty(n + len(live), np.int32)
-        sa2[old] = sa
-        sa2[new] = live * (longest + 1) + r
-        sa = sa2
-        row = new
-    same = lcp >= length
-    hit = same.copy()
-    hit[:-1] |= same[1:]
-    found = sa[hit]
-    who, suffix = found // (longest + 1), found % (longest + 1)
-    out = [np.zeros(max(0, len(x) - length + 1), bool) for x in items]
-    start = sizes[who] - suffix
-    for j, s in zip(who.tolist(), start.tolist()):
-        out[j][s] = True
-    return out
+    left = max(places)
+    columns = left + max(len(x) - p for x, p in zip(items, places))
+    text = np.zeros((m, columns), np.uint8)  # 0: no symbol here
+    shift = [left - p for p in places]
+    for j, (x, at) in enumerate(zip(items, shift)):
+        text[j, at : at + len(x)] = np.frombuffer(x, np.uint8) + np.uint8(1)
+    text = np.ascontiguousarray(text.T)
+    group = np.cumsum([0] + [a != b for a, b in zip(groups, groups[1:])]).astype(np.int64) << 8
+    order, lcp = np.arange(m), np.zeros(m, np.int32)
+    marks = np.zeros((columns, m), bool)
+    for column in range(columns - 1, -1, -1):
+        key = group[order] | text[column][order]
+        if m > 1 and (key[1:] < key[:-1]).any():
+            to = np.argsort(key, kind="stable")
+            key = key[to]
+            same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] & 255 > 0))
+            before, here = to[same], to[same + 1]
+            least = lcp[here]
+            if len(far := np.flatnonzero(here > before + 1)):
+                by = far[np.argsort(-before[far], kind="stable")]
+                flat = np.empty(2 * len(by), np.int64)
+                flat[::2], flat[1::2] = before[by] + 1, here[by] + 1
+                least[by] = np.minimum.reduceat(np.append(lcp, 0), flat)[::2]
+            lcp = np.zeros(m, np.int32)
+            lcp[same + 1] = least + 1
+            order = order[to]
+        else:
+            same = np.zeros(m, bool)
+            same[1:] = (key[1:] == key[:-1]) & (key[1:] & 255 > 0)
+            lcp = np.where(same, lcp + 1, 0).astype(np.int32)
+        hit = lcp >= length
+        if hit.any():
+            hit[:-1] |= hit[1:]
+            marks[column, order[hit]] = True
+    return [marks[at : at + max(0, len(x) - length + 1), j] for j, (x, at) in enumerate(zip(items, shift))]
 
 
 def _runs(mask: np.ndarray) -> list[int]:
@@ -197,12 +178,12 @@ def _collections(rows: DataFrame, length: int) -> DataFrame:
         held: list[tuple] = []
 
         def result(items: list[tuple]) -> pa.RecordBatch:
-            masks = repeated_suffixes([x[4] for x in items], length)
-            got = [(h, c, [x + skip for x in _runs(mask)]) for (_, h, c, skip, _), mask in zip(items, masks) if mask.any()]
+            masks = repeated_windows([x[5] for x in items], [x[4] for x in items], [x[0] for x in items], length)
+            got = [(h, c, [x + skip for x in _runs(mask)]) for (_, h, c, skip, _, _), mask in zip(items, masks) if mask.any()]
             return pa.RecordBatch.from_pydict({k: [g[i] for g in got] for i, k in enumerate(("h", "c", "runs"))}, schema=pa.schema([("h", pa.int64()), ("c", pa.int64()), ("runs", pa.list_(pa.int32()))]))
 
         for batch in batches:
-            for item in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for item in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if len(held) >= COLLECTION and held[-1][0] != item[0]:
                     yield result(held)
                     held = []
@@ -210,7 +191,7 @@ def _collections(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield result(held)
 
-    x = rows.select("part", "h", "c", "skip", "bytes").repartition("part").sortWithinPartitions("part")
+    x = rows.select("part", "h", "c", "skip", "place", "bytes").repartition("part").sortWithinPartitions("part")
     return x.mapInArrow(build, "h long, c long, runs array<int>")
 
 
@@ -242,8 +223,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200) -> Da
                 for w in wants:
                     a = int(bounds[i]) + w["lo"]
                     piece = raw[a : min(a + w["size"], int(bounds[i + 1]))]
-                    x = item_table(piece, np.array([0, len(piece)]), length)
-                    if len(piece) == w["size"] and w["c"] in x["c"]:  # not another text of the same hash
+                    if len(piece) == w["size"] and item_print(piece, w["place"]) == w["c"]:  # not another text of the same hash
                         found.append((w["h"], w["c"], w["place"], piece.tobytes()))
             yield pa.RecordBatch.from_pydict({k: [f[j] for f in found] for j, k in enumerate(("h", "c", "place", "bytes"))}, schema=pa.schema([("h", pa.int64()), ("c", pa.int64()), ("place", pa.int32()), ("bytes", pa.binary())]))
 
@@ -297,6 +277,3 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     kept_fields = kept.schema.fields
     return joined.mapInArrow(remove, schema)
 
-
-def kept_digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()

@@ -9,9 +9,11 @@ any store Spark writes to and lost tasks are simply run again.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -133,9 +135,10 @@ class Encoder:
     texts with two spaces in a row are encoded whole.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -153,15 +156,17 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for piece, e in zip(pieces, encode(pieces, add_special_tokens=False), strict=True):
-            n, at = len(self.known), self.used
-            while at + len(e.ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if n + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.flat[at : at + len(e.ids)] = e.ids
-            self.used = self.starts[n + 1] = at + len(e.ids)
-            self.known[piece] = n
+        lists = [e.ids for e in encode(pieces, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in lists]) + self.used
+        n, end = len(self.known), int(ends[-1])
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(lists) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[self.used : end] = np.fromiter(chain.from_iterable(lists), np.uint32, end - self.used)
+        self.starts[n + 1 : n + 1 + len(lists)] = ends
+        self.used = end
+        self.known.update(zip(pieces, range(n, n + len(lists)), strict=True))
 
     def __call__(self, text: str) -> np.ndarray:
         if not text or "  " in text:
