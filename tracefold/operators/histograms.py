@@ -11,8 +11,8 @@ from .metrics import steps_of
 
 def bucket_rows(points: DataFrame, *keys: str) -> DataFrame:
     """One row per bucket with its bound (infinite for the overflow bucket) and count."""
-    bounds = F.concat("explicit_bounds", F.array(F.lit(float("inf"))))
-    return points.select(*keys, F.posexplode(F.arrays_zip(bounds.alias("le"), F.col("bucket_counts").alias("n"))).alias("pos", "z")).select(*keys, "pos", F.col("z.le").alias("le"), F.col("z.n").alias("n"))
+    x = points.select(*keys, "explicit_bounds", F.posexplode("bucket_counts").alias("pos", "n"))
+    return x.select(*keys, "pos", F.coalesce(F.get("explicit_bounds", F.col("pos")), F.lit(float("inf"))).alias("le"), "n")
 
 
 def expand(points: DataFrame, *keys: str, le: float | None = None) -> DataFrame:

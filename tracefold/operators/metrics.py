@@ -79,7 +79,7 @@ def steps_of(samples: DataFrame, start: int, end: int, step: int, window: int) -
     lo = F.greatest(F.ceil((F.col("ts_us") - start) / step), F.lit(0))
     hi = F.least(F.floor((F.col("ts_us") + window - start) / step), F.lit(last))
     x = samples.where(F.col("ts_us").between(start - window, end)).withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
-    return x.withColumn("t", F.explode(F.sequence("lo", "hi")) * step + start).drop("lo", "hi")
+    return x.withColumn("t", F.explode(F.transform(F.sequence("lo", "hi"), lambda k: k * step + start))).drop("lo", "hi")
 
 
 def rates(samples: DataFrame, start: int, end: int, step: int, window: int, keys: tuple[str, ...] = ("series",)) -> DataFrame:

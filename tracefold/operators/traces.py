@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from .filters import is_root
 
-#: A trace's root: its root span, else its earliest one.
-_ROOT = F.struct((~is_root()).alias("inner"), "start_us", "span_id")
+
+def _root_order() -> Column:
+    """A trace's root: its root span, else its earliest one."""
+    return F.struct((~is_root()).alias("inner"), "start_us", "span_id")
 
 
 def search(spans: DataFrame, condition: Column, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -25,7 +27,7 @@ def summaries(spans: DataFrame, condition: Column, per_trace: int = 3) -> DataFr
     hits = spans.where(condition).withColumn("nth", F.row_number().over(W.partitionBy("trace_id").orderBy("start_us", "span_id"))).where(F.col("nth") <= per_trace)
     hits = hits.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("nth", "span_id"))).alias("s")).select("trace_id", F.col("s.span_id").alias("matched"))
     whole = spans.groupBy("trace_id").agg(
-        F.min_by("name", _ROOT).alias("root_name"), F.min_by("service", _ROOT).alias("root_service"), F.min("start_us").alias("start_us"), ((F.max("end_us") - F.min("start_us")) / 1000).alias("duration_ms"), F.count(F.lit(1)).alias("n_spans")
+        F.min_by("name", _root_order()).alias("root_name"), F.min_by("service", _root_order()).alias("root_service"), F.min("start_us").alias("start_us"), ((F.max("end_us") - F.min("start_us")) / 1000).alias("duration_ms"), F.count(F.lit(1)).alias("n_spans")
     )
     return whole.join(hits, "trace_id")
 
