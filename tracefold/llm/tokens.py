@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ class WaveletMatrix:
         row = (self.n + 7) // 8
         for _ in range(self.depth):
             (packed,) = struct.unpack_from("<I", blob, at)
-            raw = zlib.decompress(blob[at + 4 : at + 4 + packed]) if packed else b""
+            raw = zstandard.decompress(blob[at + 4 : at + 4 + packed])
             at += 4 + packed
             self.planes.append(np.frombuffer(raw, np.uint8, row))
             self.ranks.append(np.frombuffer(raw, np.uint32, self.n // BLOCK + 1, row))
@@ -57,7 +58,7 @@ class WaveletMatrix:
             whole = len(a) // BLOCK
             blocks = np.bitwise_count(packed[: whole * BLOCK // 8]).reshape(whole, BLOCK // 8).sum(axis=1, dtype=np.uint32)
             ranks = np.concatenate([np.zeros(1, np.uint32), np.cumsum(blocks, dtype=np.uint32)])
-            raw = zlib.compress(packed.tobytes() + ranks.tobytes(), 1)
+            raw = zstandard.compress(packed.tobytes() + ranks.tobytes(), 1)
             out += [struct.pack("<I", len(raw)), raw]
             a = np.concatenate([a[~bits], a[bits]])
         return b"".join(out)
@@ -128,14 +129,27 @@ class WaveletMatrix:
         return a
 
 
+class _Pieces(dict):
+    """Piece numbers; unknown pieces get the next number and are noted."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class Encoder:
     """Ids of texts. Pieces that begin at a single space are encoded once and remembered.
 
     The tokenizer's splitting never crosses a space that follows a non-space, so pieces can be encoded apart;
-    texts with two spaces in a row are encoded whole.
+    texts with two spaces in a row are encoded whole. New pieces are encoded joined together and cut apart again by the
+    number of bytes each id stands for. The first ``LIMIT`` pieces stay; later ones are forgotten after their text.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 1_300_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
@@ -143,10 +157,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # in a byte-level vocabulary every character stands for one byte
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
+        self.known = _Pieces()
+        self.count = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -154,34 +169,58 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        lists = [e.ids for e in encode(pieces, add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in lists]) + self.used
-        n, end = len(self.known), int(ends[-1])
+    def _learn(self, keys: list[str]) -> None:
+        """A key is what follows a space, or, with a space before it, the start of a text. Keys have consecutive numbers."""
+        lists: list[np.ndarray | None] = [None] * len(keys)
+        plain = [i for i, k in enumerate(keys) if k and not k[0].isspace() and not k[-1].isspace()]
+        for at in range(0, len(plain), 512):
+            part = [keys[i] for i in plain[at : at + 512]]
+            (e,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum([len(k.encode()) + 1 for k in part])
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            if len(part) == len(keys):
+                return self._add(ids, cuts)
+            for i, x in zip(plain[at : at + 512], np.split(ids, cuts[:-1]), strict=True):
+                lists[i] = x
+        if odd := [i for i, x in enumerate(lists) if x is None]:
+            texts = [keys[i][1:] if keys[i][:1] == " " else " " + keys[i] for i in odd]
+            for i, e in zip(odd, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                lists[i] = np.array(e.ids, np.uint32)
+        self._add(np.concatenate(lists), np.cumsum([len(x) for x in lists]))
+
+    def _add(self, ids: np.ndarray, cuts: np.ndarray) -> None:
+        end = self.used + len(ids)
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(lists) + 1 > len(self.starts):
+        while self.count + len(cuts) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[self.used : end] = np.fromiter(chain.from_iterable(lists), np.uint32, end - self.used)
-        self.starts[n + 1 : n + 1 + len(lists)] = ends
-        self.used = end
-        self.known.update(zip(pieces, range(n, n + len(lists)), strict=True))
+        self.flat[self.used : end] = ids
+        self.starts[self.count + 1 : self.count + 1 + len(cuts)] = cuts + self.used
+        self.used, self.count = end, self.count + len(cuts)
 
     def __call__(self, text: str) -> np.ndarray:
         if not text or "  " in text:
             return self.whole(text) if text else np.zeros(0, np.uint32)
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-        if fresh := [p for p in dict.fromkeys(pieces) if p not in self.known]:
-            if len(self.known) + len(fresh) > self.LIMIT:
-                self.clear()
-                fresh = list(dict.fromkeys(pieces))
+        keys = text.split(" ")
+        keys[0] = " " + keys[0]
+        if keys[0] == " ":
+            del keys[0]
+        used, count = self.used, self.count
+        k = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        fresh = self.known.fresh
+        if fresh:
             self._learn(fresh)
-        k = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         lengths = self.starts[k + 1] - self.starts[k]
         ends = np.cumsum(lengths)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[k] - ends + lengths, lengths)]
+        out = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[k] - ends + lengths, lengths)]
+        if fresh:
+            if count >= self.LIMIT:
+                for p in fresh:
+                    del self.known[p]
+                self.used, self.count = used, count
+            self.known.fresh = []
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
