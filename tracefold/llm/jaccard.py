@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import settle, settle_table
 from .components import connected_components
 from .wordhash import mix, shingle_rows
 
 #: Bits of the table of frequent tokens: 2 ** 22, half a MB. It decides the order of tokens, never the result.
 HOT_BITS = 22
+#: Bits of the table of ids whose texts are compared: 2 ** 22, 65,536 words.
+ID_BITS = 22
 #: A token seen this often in one task's rows is reported, and counts as frequent if reports add up to HOT_COUNT.
 HOT_IN_TASK = 4
 HOT_COUNT = 24
@@ -91,13 +93,22 @@ def profiles(docs: DataFrame, text: str, key: str, width: int, pct: int) -> Data
             yield pa.record_batch({"id": batch.column(0), "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "head": pa.array(head, pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return settle(rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, head array<bigint>"))
+    return settle_table(rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, head array<bigint>"))
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose id may be among ``ids``: a map-side filter by a bit table of fixed size, before any shuffle."""
+    bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - ID_BITS)
+    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(id), {64 - ID_BITS}) & 63 as int))")
+    words = ids.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    table = settle(words)  # at most 2 ** (ID_BITS - 6) rows of two numbers
+    return rows.withColumn("word", word).join(F.broadcast(table), "word").where(F.col("bits").bitwiseAND(mask) != 0).drop("word", "bits")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, width: int, pct: int) -> DataFrame:
     """The pairs (a, b) of document ids whose sets reach the threshold, compared exactly."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    texts = only(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), ids).join(ids, "id", "left_semi")
     sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +138,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     member = p.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct()
     several = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
     by_id = member.join(several, "id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    nodes = p.join(classes, ["n", "s1", "s2"]).where("id = rep").dropDuplicates(["rep", "s1", "s2"])
-    held = nodes.select("rep", "n", F.explode("head").alias("token"))
-    twice = held.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    held = settle(held.join(twice, "token"))
+    # copies of a class's first document are known to be linked with it; an id that is both a copy and a first stays
+    copies = member.where("id <> rep").select(F.col("id").alias("rep")).distinct().join(classes.select("rep"), "rep", "left_anti")
+    # one exchange by token serves the count and the join
+    held = p.where("n > 0 and id is not null").select(F.col("id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("head").alias("token")).repartition("token")
+    twice = held.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    held = settle_table(held.join(twice, "token").join(copies, "rep", "left_anti"))
 
     fits = lambda a, b: (100 * F.least(a, b) >= pct * F.greatest(a, b))  # noqa: E731  sizes alone allow a link
     step = float(np.log(100 / pct))
