@@ -32,9 +32,9 @@ HOT_BITS = 22
 #: Bits of the table of ids whose texts are compared: 2 ** 22, 65,536 words.
 ID_BITS = 22
 #: A token seen this often in one task's rows is reported, and counts as frequent if reports add up to HOT_COUNT.
-HOT_IN_TASK = 4
-HOT_COUNT = 24
-DEPTH = 2
+HOT_IN_TASK = 3
+HOT_COUNT = 12
+DEPTH = 12
 
 
 def need(n, pct: int):
