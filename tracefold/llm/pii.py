@@ -19,8 +19,6 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?+[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Terms are counted by broadcasting the candidates up to this many, and by a join on shuffled words beyond.
-BROADCAST_TERMS = 50_000
 NEAR_CHARS = 60
 SPAN = "array<struct<kind: string, start: int, end: int>>"
 
@@ -103,10 +101,8 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, disclosure: float, min_
     pairs = found.select(F.explode("near").alias("x")).select("x.entity", "x.term")
     joint = settle(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= min_joint))
     of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = joint.select("term").distinct()
-    few = terms.count() <= BROADCAST_TERMS
-    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
-    of_term = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # counted per task before the shuffle, so each task sends a word once
+    of_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     x = joint.join(of_entity, "entity").join(of_term, "term")
     information = F.log2(F.lit(n_docs) / F.col("n_entity"))
     mutual = F.log2(F.col("n_joint") * F.lit(n_docs) / (F.col("n_entity").cast("double") * F.col("n_term")))
