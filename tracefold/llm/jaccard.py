@@ -8,7 +8,7 @@
    token it holds, and what is linked becomes a group.
 4. The matrix holds, per token, the groups whose union has it. A document's overlap with a group's union bounds its
    overlap with every member; a group is opened only if the bound reaches what a link needs. Its
-   members that share enough tokens are compared exactly.
+   members that share enough tokens are compared exactly, if their counts of tokens per bucket allow a link.
 5. Links of both rounds give the components.
 
 No step pairs up all members of a group: within a group nothing is left to find, because its members are connected.
@@ -74,13 +74,13 @@ def hot_table(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, text: str, key: str, width: int, pct: int) -> DataFrame:
-    """(id, n, s1, s2, head): set size, two 64-bit prints of the set, first tokens in the global order."""
+    """(id, n, s1, s2, head, sketch): set size, two 64-bit prints of the set, first tokens in the global order, counts per bucket."""
     table = docs.sparkSession.sparkContext.broadcast(hot_table(docs, text, width))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = table.value
         for batch in batches:
-            n, s1, s2, head = [], [], [], []
+            n, s1, s2, head, sketches = [], [], [], [], []
             for tokens in shingle_rows(batch.column(1), width):
                 bit = tokens >> np.uint64(64 - HOT_BITS)
                 late = (hot[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -88,12 +88,44 @@ def profiles(docs: DataFrame, text: str, key: str, width: int, pct: int) -> Data
                 first = min(size, size - need(size, pct) + DEPTH)
                 head.append(np.concatenate([tokens[~late], tokens[late]])[:first].view(np.int64))
                 n.append(size)
+                sketches.append(sketch(tokens))
                 s1.append(int(mix(tokens).sum(dtype=np.uint64).view(np.int64)) if size else 0)
                 s2.append(int(np.bitwise_xor.reduce(mix(tokens * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)) if size else 0)
-            yield pa.record_batch({"id": batch.column(0), "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "head": pa.array(head, pa.list_(pa.int64()))})
+            yield pa.record_batch({"id": batch.column(0), "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "head": pa.array(head, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return settle_table(rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, head array<bigint>"))
+    return settle_table(rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, head array<bigint>, sketch binary"))
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of tokens per bucket, one byte each; two to four tokens a bucket. Empty (no bound) if a count is above 255."""
+    buckets = 1 << max(0, len(tokens).bit_length() - 2)
+    counts = np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
+    """Whether two sketches allow a link: an overlap is at most the sum of the smaller counts per bucket."""
+    if not len(a) or not len(b):
+        return True
+    buckets = min(len(a), len(b))
+    a, b = (x.reshape(-1, buckets).sum(axis=0, dtype=np.int64) for x in (a, b))
+    most = int(np.minimum(a, b).sum())
+    return 100 * most >= pct * (int(a.sum()) + int(b.sum()) - most)
+
+
+def promising(pairs: DataFrame, p: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link. Sketches are a small part of the texts, so few texts move after this."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column(2), batch.column(3))
+            keep = [may_reach(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), pct) for x, y in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = p.where("n > 0").select("id", "sketch")
+    both = pairs.join(sides.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sides.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    return settle(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(bounded, "a long, b long").distinct())
 
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -156,7 +188,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         .distinct()
     )
     star = settle(star)
-    links = settle(verified(star, docs, text, key, width, pct))
+    links = settle(verified(promising(star, p, pct), docs, text, key, width, pct))
     groups = connected_components(links.unionByName(by_id), "a", "b")
 
     placed = held.join(groups, held["rep"] == groups["node"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("grp"))
@@ -185,7 +217,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = verified(settle(pairs.distinct()), docs, text, key, width, pct)
+    more = verified(promising(pairs.distinct(), p, pct), docs, text, key, width, pct)
     links = settle(links.unionByName(more))
     final = connected_components(links.unionByName(by_id), "a", "b")
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
