@@ -35,6 +35,8 @@ ID_BITS = 22
 HOT_IN_TASK = 3
 HOT_COUNT = 12
 DEPTH = 12
+#: Texts compared with one document in one group.
+GROUP = 256
 
 
 def need(n, pct: int):
@@ -125,7 +127,7 @@ def promising(pairs: DataFrame, p: DataFrame, pct: int) -> DataFrame:
 
     sides = p.where("n > 0").select("id", "sketch")
     both = pairs.join(sides.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sides.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    return settle(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(bounded, "a long, b long").distinct())
+    return settle_table(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(bounded, "a long, b long").distinct())
 
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -141,21 +143,31 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, width: int,
     """The pairs (a, b) of document ids whose sets reach the threshold, compared exactly."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = only(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), ids).join(ids, "id", "left_semi")
-    sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    # a document of many pairs is compared in several groups, so a group has about GROUP texts, and its own text moves once per group
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("pairs") / GROUP)).alias("part")
+    dealt = pairs.join(many, "a").select("a", "b", part)
+    lead = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    other = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
+    rows = lead.unionByName(other).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sets = None, np.zeros(0, np.uint64)
+        group, sets = None, []
         for batch in batches:
             keep = []
-            texts_a = batch.column(2)
-            for i, b in enumerate(shingle_rows(batch.column(3), width)):
-                if (t := texts_a[i].as_py()) != last:
-                    last, sets = t, next(shingle_rows(pa.array([t], pa.string()), width))
-                both = len(np.intersect1d(sets, b, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= pct * (len(sets) + len(b) - both))
+            sides = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_rows(batch.column(3), width))
+            for a, part, b, found in sides:
+                if group != (a, part):
+                    group, sets = (a, part), []
+                if b is None:  # rows that share an id all lead
+                    sets.append(found)
+                    keep.append(False)
+                    continue
+                both = [(len(x), len(np.intersect1d(x, found, assume_unique=True))) for x in sets]
+                keep.append(any(k > 0 and 100 * k >= pct * (n + len(found) - k) for n, k in both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, pct: int = 80) -> DataFrame:
@@ -187,13 +199,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
         .distinct()
     )
-    star = settle(star)
+    star = settle_table(star)
     links = settle(verified(promising(star, p, pct), docs, text, key, width, pct))
     groups = connected_components(links.unionByName(by_id), "a", "b")
 
     placed = held.join(groups, held["rep"] == groups["node"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("grp"))
     mixed = placed.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    placed = settle(placed.join(mixed, "token"))
+    placed = settle_table(placed.join(mixed, "token"))
     # the matrix: token -> groups whose union holds it, with the sizes met
     matrix = placed.groupBy("token", F.col("grp").alias("g")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     enough = F.least(F.lit(DEPTH), need_column(F.col("n"), pct))
