@@ -35,6 +35,8 @@ ID_BITS = 22
 HOT_IN_TASK = 3
 HOT_COUNT = 12
 DEPTH = 12
+#: Rows of one batch of profiles.
+PROFILE_ROWS = 1000
 #: Texts compared with one document in one group.
 GROUP = 256
 
@@ -60,7 +62,7 @@ def hot_table(docs: DataFrame, text: str, width: int) -> np.ndarray:
             for tokens in shingle_rows(batch.column(0), width):
                 held.append(tokens)
                 size += len(tokens)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield counted()
                     held, size = [], 0
         if held:
@@ -81,7 +83,7 @@ def profiles(docs: DataFrame, text: str, key: str, width: int, pct: int) -> Data
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = table.value
-        for batch in batches:
+        for batch in (b.slice(at, PROFILE_ROWS) for b in batches for at in range(0, b.num_rows, PROFILE_ROWS)):
             n, s1, s2, head, sketches = [], [], [], [], []
             for tokens in shingle_rows(batch.column(1), width):
                 bit = tokens >> np.uint64(64 - HOT_BITS)

@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, with A-Z lowered. Its 64-bit hash is a
 polynomial over per-byte random values, taken from one prefix sum over the buffer, then mixed. A buffer is
-worked through in slices of a few MB, so memory does not depend on the batch; only a single text can be larger.
+worked through in slices of half a MB, so memory does not depend on the batch; only a single text can be larger.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C17 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
