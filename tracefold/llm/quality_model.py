@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import settle, settle_table
 from .wordhash import mix, slices, utf8, word_hashes
 
 DIMS = 64
@@ -163,10 +164,17 @@ def _network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 30, s
     return p[0], p[1], p[2], float(p[3][0])
 
 
+def sample_labels(labels: DataFrame, label: str = "quality", key: str = "doc_id", max_rows: int = MAX_ROWS) -> DataFrame:
+    """At most ``max_rows`` (key, label) rows, those of the smallest id hashes: chosen before any text is read, small enough to broadcast."""
+    rank = F.xxhash64(F.col(key), F.lit(1))
+    return settle(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).orderBy(rank, label).limit(max_rows))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = MAX_ROWS) -> QualityModel:
     """Fits on at most ``max_rows`` rows that have a label. Without any, every score will be 0.5."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"), F.xxhash64(F.col(key), F.lit(1)).alias("rank"))
     rows = rows.orderBy("rank", F.xxhash64("text"), "label").limit(max_rows).repartition(F.col("rank"))
+    rows = settle_table(rows)  # read twice below
     vectors = word_vectors(rows.select("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(id_remainder(F.col("doc_id"), 5) != 0)
-    model = quality_model.fit(docs.join(labels, "doc_id"))
+    model = quality_model.fit(docs.join(F.broadcast(quality_model.sample_labels(labels)), "doc_id"))
     rows = docs.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("text").alias("body"))
     return quality_model.score(rows, model, text="body").select("doc_id", "held_out", "score", "predicted")
 
