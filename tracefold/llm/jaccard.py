@@ -4,8 +4,10 @@
    often come last. Documents with equal sets are one class.
 2. If two sets reach the threshold, the first ``|x| - need(x) + depth`` tokens of both share at least ``depth`` tokens
    (need(x): the least overlap any partner of x has). Only those tokens are looked at from here on.
-3. Similar documents are partitioned into groups: every document is compared with the first document of each
-   token it holds, and what is linked becomes a group.
+   A document with fewer tokens there that another document holds has no link; tokens that no other holds bound
+   the overlaps of the rest.
+3. Similar documents are partitioned into groups: every document is compared with the leading document of each
+   token it holds, the one with the fewest tokens of its own, and what is linked becomes a group.
 4. The matrix holds, per token, the groups whose union has it. A document's overlap with a group's union bounds its
    overlap with every member; a group is opened only if the bound reaches what a link needs. Its
    members that share enough tokens are compared exactly, if their counts of tokens per bucket allow a link.
@@ -35,6 +37,8 @@ ID_BITS = 22
 HOT_IN_TASK = 3
 HOT_COUNT = 12
 DEPTH = 12
+#: The end of a head that is the whole set.
+LAST = (1 << 63) - 1
 #: Rows of one batch of profiles.
 PROFILE_ROWS = 1000
 #: Texts compared with one document in one group.
@@ -78,27 +82,30 @@ def hot_table(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, text: str, key: str, width: int, pct: int) -> DataFrame:
-    """(id, n, s1, s2, head, sketch): set size, two 64-bit prints of the set, first tokens in the global order, counts per bucket."""
+    """(id, n, s1, s2, head, stop, sketch): set size, two 64-bit prints of the set, first tokens in the global order, where in that order they end, counts per bucket."""
     table = docs.sparkSession.sparkContext.broadcast(hot_table(docs, text, width))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = table.value
         for batch in (b.slice(at, PROFILE_ROWS) for b in batches for at in range(0, b.num_rows, PROFILE_ROWS)):
-            n, s1, s2, head, sketches = [], [], [], [], []
+            n, s1, s2, head, stop, sketches = [], [], [], [], [], []
             for tokens in shingle_rows(batch.column(1), width):
                 bit = tokens >> np.uint64(64 - HOT_BITS)
                 late = (hot[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
                 size = len(tokens)
                 first = min(size, size - need(size, pct) + DEPTH)
-                head.append(np.concatenate([tokens[~late], tokens[late]])[:first].view(np.int64))
+                places = tokens >> np.uint64(2)  # the global order as one number: late tokens have bit 62
+                ordered = np.concatenate([places[~late], places[late] | np.uint64(1 << 62)])[:first].view(np.int64)
+                head.append(ordered)
+                stop.append(LAST if first == size else int(ordered[-1]))
                 n.append(size)
                 sketches.append(sketch(tokens))
                 s1.append(int(mix(tokens).sum(dtype=np.uint64).view(np.int64)) if size else 0)
                 s2.append(int(np.bitwise_xor.reduce(mix(tokens * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)) if size else 0)
-            yield pa.record_batch({"id": batch.column(0), "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "head": pa.array(head, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
+            yield pa.record_batch({"id": batch.column(0), "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "head": pa.array(head, pa.list_(pa.int64())), "stop": pa.array(stop, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return settle_table(rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, head array<bigint>, sketch binary"))
+    return settle_table(rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, head array<bigint>, stop long, sketch binary"))
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -184,20 +191,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     member = p.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct()
     several = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
     by_id = member.join(several, "id").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    # copies of a class's first document are known to be linked with it; an id that is both a copy and a first stays
-    copies = member.where("id <> rep").select(F.col("id").alias("rep")).distinct().join(classes.select("rep"), "rep", "left_anti")
+    # only a class's first document goes on: its copies are known to be linked with it
+    leads = p.where("n > 0 and id is not null").select(F.col("id").alias("rep"), F.col("n").cast("int").alias("n"), "stop", "head").join(classes.select("rep").distinct(), "rep", "left_semi")
     # one exchange by token serves the count and the join
-    held = p.where("n > 0 and id is not null").select(F.col("id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("head").alias("token")).repartition("token")
+    held = leads.select("rep", "n", "stop", F.posexplode("head").alias("pos", "token")).repartition("token")
     twice = held.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    held = settle_table(held.join(twice, "token").join(copies, "rep", "left_anti"))
+    held = settle_table(reachable(settle_table(held.join(twice, "token")), pct))
 
     fits = lambda a, b: (100 * F.least(a, b) >= pct * F.greatest(a, b))  # noqa: E731  sizes alone allow a link
     step = float(np.log(100 / pct))
     held_by_size = held.withColumn("size_class", F.floor(F.log("n") / step))
-    firsts = held_by_size.groupBy("token", "size_class").agg(F.min(F.struct("rep", "n")).alias("lead"))
+    # the document with the fewest tokens of its own leads: the one that others are variants of
+    own = F.floor(1000 * (F.col("n") - F.col("reach")) / F.col("n")).alias("own")
+    firsts = held_by_size.groupBy("token", "size_class").agg(F.min(F.struct(own, "rep", "n", "stop", "reach")).alias("lead"))
     star = (
         held_by_size.join(firsts, ["token", "size_class"])
-        .where((F.col("lead.rep") != F.col("rep")) & fits(F.col("lead.n"), F.col("n")))
+        .where((F.col("lead.rep") != F.col("rep")) & fits(F.col("lead.n"), F.col("n")) & can_meet("n", "stop", "reach", "lead.n", "lead.stop", "lead.stop", "lead.reach", pct))
         .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
         .distinct()
     )
@@ -205,33 +214,38 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     links = settle(verified(promising(star, p, pct), docs, text, key, width, pct))
     groups = connected_components(links.unionByName(by_id), "a", "b")
 
-    placed = held.join(groups, held["rep"] == groups["node"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("grp"))
-    mixed = placed.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    placed = settle_table(placed.join(mixed, "token"))
-    # the matrix: token -> groups whose union holds it, with the sizes met
-    matrix = placed.groupBy("token", F.col("grp").alias("g")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    placed = held.drop("reach").join(groups, held["rep"] == groups["node"], "left").select("token", "pos", "rep", "n", "stop", F.coalesce("component", "rep").alias("grp"))
+    # from here on only tokens that several groups hold matter, and only documents that can reach a document of another group with them
+    placed = settle_table(reachable(shared_by_groups(placed), pct))
+    placed = settle_table(reachable(shared_by_groups(placed.drop("reach")), pct))
+    # small groups ask large ones, so that a large group's members are not each held against every small group
+    sizes = placed.groupBy("grp").agg(F.countDistinct("rep").alias("docs"))
+    placed = settle_table(placed.join(sizes, "grp"))
+    # the matrix: token -> groups whose union holds it, with the sizes, reaches and least place met
+    met = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("stop").alias("stop_min"), F.max("stop").alias("stop_max"), F.max("reach").alias("g_reach"), F.max(F.col("n") - F.col("pos")).alias("g_rest")]
+    matrix = placed.groupBy("token", F.col("grp").alias("g"), F.col("docs").alias("g_docs")).agg(*met)
     enough = F.least(F.lit(DEPTH), need_column(F.col("n"), pct))
     opened = (
         placed.join(matrix, "token")
-        .where((F.col("grp") < F.col("g")) & (100 * F.col("n_max") >= pct * F.col("n")) & (100 * F.col("n") >= pct * F.col("n_min")))
+        .where(F.struct("docs", "grp") < F.struct("g_docs", "g"))
+        .where((100 * F.col("n_max") >= pct * F.col("n")) & (100 * F.col("n") >= pct * F.col("n_min")) & can_meet("n", "stop", "reach", "n_min", "stop_min", "stop_max", "g_reach", pct))
+        .where(early("n", "pos", "n_min", "g_rest", DEPTH, pct))
         .groupBy("rep", "n", "g")
         .agg(F.count(F.lit(1)).alias("overlap"))
         .where(F.col("overlap") >= enough)
         .select("rep", "g")
     )
     query = placed.join(opened, "rep")
-    member = placed.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("grp").alias("g"))
+    member = placed.select("token", (F.col("n") - F.col("pos")).alias("m_rest"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("stop").alias("m_stop"), F.col("reach").alias("m_reach"), F.col("grp").alias("g"))
     pairs = (
-        query.select("token", F.col("rep").alias("a"), "n", "g")
+        query.select("token", "pos", F.col("rep").alias("a"), "n", "stop", "reach", "g")
         .join(member, ["token", "g"])
-        .where(fits(F.col("n"), F.col("m")))
-        .groupBy("a", "b", "n", "m")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= F.least(F.lit(DEPTH), need_column(F.col("n"), pct), need_column(F.col("m"), pct)))
+        .where(fits(F.col("n"), F.col("m")) & can_meet("n", "stop", "reach", "m", "m_stop", "m_stop", "m_reach", pct) & early("n", "pos", "m", "m_rest", 1, pct))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
         .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = verified(promising(pairs.distinct(), p, pct), docs, text, key, width, pct)
+    more = verified(promising(pairs, p, pct), docs, text, key, width, pct)
     links = settle(links.unionByName(more))
     final = connected_components(links.unionByName(by_id), "a", "b")
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
@@ -242,5 +256,44 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def reachable(rows: DataFrame, pct: int) -> DataFrame:
+    """Head tokens (token, rep, n, stop, ...) of documents that may still have a link, with their reach.
+
+    Two linked documents share DEPTH head tokens (or all that a link needs), so one with fewer rows here has no link.
+    reach: the set's size less the head tokens that have no row here.
+    """
+    n = F.col("n")
+    counts = rows.groupBy("rep", "n", "stop").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    head = F.least(n, n - need_column(n, pct) + DEPTH)
+    kept = counts.where(F.col("k") >= F.least(F.lit(DEPTH), need_column(n, pct))).select("rep", "n", "stop", (n - head + F.col("k")).cast("int").alias("reach"))
+    return rows.join(kept, ["rep", "n", "stop"])
+
+
+def shared_by_groups(placed: DataFrame) -> DataFrame:
+    """The rows of tokens that more than one group holds."""
+    mixed = placed.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    return placed.join(mixed, "token")
+
+
+def can_meet(n: str, stop: str, reach: str, m: str, stop_least: str, stop_most: str, m_reach: str, pct: int):
+    """Whether reaches allow a link of sizes ``n`` and ``m``.
+
+    Of two documents, the one whose head ends first has no token in common with the other but those in both heads and
+    those after its head, so its reach bounds the overlap; if they end alike, both do. Of a group whose heads end before
+    and after, the larger reach bounds it.
+    """
+    n, stop, reach, m, stop_least, stop_most, m_reach = (F.col(c) for c in (n, stop, reach, m, stop_least, stop_most, m_reach))
+    larger = F.greatest(reach, m_reach)
+    most = F.least(F.when(stop <= stop_least, reach).otherwise(larger), F.when(stop >= stop_most, m_reach).otherwise(larger))
+    return (100 + pct) * most >= pct * (n + m)
+
+
+def early(n: str, pos: str, m: str, m_rest: str, depth: int, pct: int):
+    """Whether a shared token is among the first places of both sets that hold ``depth`` of a link's shared tokens: what
+    follows it in either set, itself included, and ``depth`` - 1 before it reach the overlap that sizes ``n`` and ``m`` need."""
+    needed = F.floor(((F.col(n) + F.col(m)) * pct + 99 + pct) / (100 + pct))
+    return F.least(F.col(n) - F.col(pos), F.col(m_rest)) + (depth - 1) >= needed
+
+
 def need_column(n, pct: int):
     return F.floor((n * pct + 99) / 100)
