@@ -10,7 +10,7 @@
    token it holds, the one with the fewest tokens of its own, and what is linked becomes a group.
 4. The matrix holds, per token, the groups whose union has it. A document's overlap with a group's union bounds its
    overlap with every member; a group is opened only if the bound reaches what a link needs. Its
-   members that share enough tokens are compared exactly, if their counts of tokens per bucket allow a link.
+   members that share one of the tokens that a link needs first are compared exactly, if their counts of tokens per bucket allow a link.
 5. Links of both rounds give the components.
 
 No step pairs up all members of a group: within a group nothing is left to find, because its members are connected.
@@ -220,7 +220,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     placed = settle_table(reachable(shared_by_groups(placed.drop("reach")), pct))
     # small groups ask large ones, so that a large group's members are not each held against every small group
     sizes = placed.groupBy("grp").agg(F.countDistinct("rep").alias("docs"))
-    placed = settle_table(placed.join(sizes, "grp"))
+    placed = settle_table(merge_alike(placed).join(sizes, "grp"))
     # the matrix: token -> groups whose union holds it, with the sizes, reaches and least place met
     met = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("stop").alias("stop_min"), F.max("stop").alias("stop_max"), F.max("reach").alias("g_reach"), F.max(F.col("n") - F.col("pos")).alias("g_rest")]
     matrix = placed.groupBy("token", F.col("grp").alias("g"), F.col("docs").alias("g_docs")).agg(*met)
@@ -231,18 +231,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         .where((100 * F.col("n_max") >= pct * F.col("n")) & (100 * F.col("n") >= pct * F.col("n_min")) & can_meet("n", "stop", "reach", "n_min", "stop_min", "stop_max", "g_reach", pct))
         .where(early("n", "pos", "n_min", "g_rest", DEPTH, pct))
         .groupBy("rep", "n", "g")
-        .agg(F.count(F.lit(1)).alias("overlap"))
+        .agg(F.sum("tokens").alias("overlap"))
         .where(F.col("overlap") >= enough)
         .select("rep", "g")
     )
-    query = placed.join(opened, "rep")
-    member = placed.select("token", (F.col("n") - F.col("pos")).alias("m_rest"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("stop").alias("m_stop"), F.col("reach").alias("m_reach"), F.col("grp").alias("g"))
     pairs = (
-        query.select("token", "pos", F.col("rep").alias("a"), "n", "stop", "reach", "g")
-        .join(member, ["token", "g"])
-        .where(fits(F.col("n"), F.col("m")) & can_meet("n", "stop", "reach", "m", "m_stop", "m_stop", "m_reach", pct) & early("n", "pos", "m", "m_rest", 1, pct))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        member_pairs(placed, opened, pct)
         .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     more = verified(promising(pairs, p, pct), docs, text, key, width, pct)
@@ -256,6 +250,30 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def merge_alike(placed: DataFrame) -> DataFrame:
+    """Tokens that the same documents hold become one, at the least place of each document, with their number.
+
+    Long near copies share thousands of tokens that say the same. Should holders with equal prints differ, their
+    tokens merge too, which only adds candidates.
+    """
+    holders = placed.groupBy("token").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    merged = placed.join(holders, "token").groupBy("x", "c", "lo", "hi", "rep", "n", "stop", "reach", "grp").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("tokens"))
+    return merged.withColumn("token", F.xxhash64("x", "c", "lo", "hi")).drop("x", "c", "lo", "hi")
+
+
+def member_pairs(placed: DataFrame, opened: DataFrame, pct: int) -> DataFrame:
+    """(a, b): documents and members of the groups opened for them that share one of the tokens of which a link of their sizes has at least one."""
+    n, m = F.col("n"), F.col("m")
+    query = placed.join(opened, "rep").select("token", "pos", F.col("rep").alias("a"), "n", "stop", "reach", "g")
+    member = placed.select("token", (n - F.col("pos")).alias("m_rest"), F.col("rep").alias("b"), n.alias("m"), F.col("stop").alias("m_stop"), F.col("reach").alias("m_reach"), F.col("grp").alias("g"))
+    return (
+        query.join(member, ["token", "g"])
+        .where((100 * F.least(n, m) >= pct * F.greatest(n, m)) & can_meet("n", "stop", "reach", "m", "m_stop", "m_stop", "m_reach", pct) & early("n", "pos", "m", "m_rest", 1, pct))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+
 def reachable(rows: DataFrame, pct: int) -> DataFrame:
     """Head tokens (token, rep, n, stop, ...) of documents that may still have a link, with their reach.
 
