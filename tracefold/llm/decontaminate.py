@@ -3,8 +3,9 @@
 Items are put in classes of similar word counts; a class's window is its smallest item. Every item gets the SimHash
 of its first and of its last window, every document the SimHash of each window of each class, from running sums of
 the words' bits. A fingerprint within ``RADIUS`` of an item's differs in at most RADIUS // 4 bits in one of its four
-16-bit blocks, so tables of all block values that near give every fingerprint within the radius. Candidates are then
-compared exactly, by weighted Jaccard similarity of their word shingles, counts being the weights.
+16-bit blocks, so tables of all block values that near give every fingerprint within the radius. Rows that share
+enough shingles with an item are candidates as well, whatever their fingerprints. Candidates are then compared exactly,
+by weighted Jaccard similarity of their word shingles, counts being the weights, over windows of every length.
 """
 
 from __future__ import annotations
@@ -44,11 +45,35 @@ def position_shingles(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard."""
-    both = sum(min(n, b[x]) for x, n in a.items() if x in b)
-    union = sum(a.values()) + sum(b.values()) - both
-    return both / union if union else 0.0
+def best_window(places: np.ndarray, kinds: np.ndarray, most: np.ndarray, size: int, threshold: float) -> tuple[float, int, int] | None:
+    """(similarity, first place, shingles) of the best of all windows, the earliest and shortest of equal ones.
+
+    ``places`` are where an item's shingles stand, ascending; ``kinds`` tells them apart, ``most`` is how often the item
+    has each and ``size`` how many it has. The best window starts and ends at such a place: cutting other ends off
+    makes the union smaller only.
+    """
+    longest = int(size / threshold + 1e-9)
+    n = len(places)
+    order = np.argsort(kinds, kind="stable")
+    at = np.arange(n)
+    back = at - most[order]
+    same = (back >= 0) & (kinds[order[back]] == kinds[order])
+    # a place counts in a window that starts after the place of its kind ``most`` places before
+    before = np.empty(n, np.int64)
+    before[order] = np.where(same, order[back], -1)
+    ends = np.searchsorted(places, places + longest)
+    best = None
+    for i in np.flatnonzero(ends - at >= threshold * size - 1e-9).tolist():
+        e = int(ends[i])
+        both = np.cumsum(before[i:e] < i)
+        length = places[i:e] - places[i] + 1
+        s = both / (size + length - both)
+        k = int(np.argmax(s))
+        if s[k] >= threshold and (best is None or s[k] > best[0]):
+            best = (float(s[k]), int(places[i]), int(length[k]))
+            if best[0] == 1.0:
+                break
+    return best
 
 
 def running_bits(words: np.ndarray, wide: bool) -> np.ndarray:
@@ -130,12 +155,14 @@ class Benchmark:
                 self.ids.append(item_id)
                 self.words.append(words)
                 self.shingles.append(shingles(words, width))
-        # a shingle of any item sets its place in this table: what a window can share with an item is bounded by its set places
+        # (shingle, item, times) in order of shingles; a shingle of any item sets its place in ``known``
+        held = sorted((x, i, n) for i, s in enumerate(self.shingles) for x, n in s.items() if isinstance(x, int))
+        self.held = np.array([x for x, _, _ in held], np.uint64)
+        self.held_item = np.array([i for _, i, _ in held], np.int64)
+        self.held_times = np.array([n for _, _, n in held], np.int64)
         self.known = np.zeros(1 << 20, bool)
-        for s in self.shingles:
-            for x in s:
-                if isinstance(x, int):
-                    self.known[x & (1 << 20) - 1] = True
+        self.known[self.held & np.uint64((1 << 20) - 1)] = True
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         order = sorted(range(len(self.ids)), key=lambda i: len(self.words[i]))
         self.classes: list[ItemClass] = []
         while order:
@@ -145,43 +172,58 @@ class Benchmark:
             self.classes.append(ItemClass.build(window, [(i, self.words[i]) for i in group], radius))
             order = order[len(group) :]
 
+    def shared(self, words: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, entry of ``held``) of every shingle that a row shares with an item."""
+        if len(words) < self.width or not len(self.held):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = position_shingles(words, self.width)
+        at = np.flatnonzero(self.known[h & np.uint64((1 << 20) - 1)])
+        at = at[row_of[at] == row_of[at + self.width - 1]]
+        first = np.searchsorted(self.held, h[at])
+        n = np.searchsorted(self.held, h[at], "right") - first
+        ends = np.cumsum(n)
+        return np.repeat(at, n), np.arange(n.sum()) + np.repeat(first - ends + n, n)
+
     def matches(self, words: np.ndarray, firsts: np.ndarray, threshold: float) -> list[list[dict]]:
-        """For each row, the best verified window per item."""
-        rows = len(firsts) - 1
+        """For each row, the best window per item, of all windows a similarity of ``threshold`` allows.
+
+        Fingerprints propose rows for items, and so do shared shingles where there are enough for the threshold: these
+        also find passages whose fingerprints are beyond the radius, and rows shorter than the class's window.
+        """
+        rows, items = len(firsts) - 1, max(1, len(self.ids))
         best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(rows)]
         row_of = np.repeat(np.arange(rows), np.diff(firsts))
         sums = {wide: running_bits(words, wide) for wide in {c.window > 120 for c in self.classes if c.window <= len(words)}}
-        m = len(words) - self.width + 1
-        known = np.zeros(len(words) + 1, np.int32)
-        if m > 0:
-            np.cumsum(self.known[position_shingles(words, self.width) & np.uint64((1 << 20) - 1)], out=known[1 : m + 1])
-            known[m + 1 :] = known[m]
-        sizes = np.array([len(w) for w in self.words], np.int64)
+        proposed: list[np.ndarray] = []
         for c in self.classes:
             if len(words) < c.window:
                 continue
             where, which = c.candidates(window_prints(sums[c.window > 120], c.window), self.radius)
             inside = row_of[where] == row_of[where + c.window - 1]
-            where, which = where[inside], which[inside]
-            n = sizes[c.item[which]]
-            start = np.where(c.tail[which], where + c.window - n, where)
-            # starts and ends may move by one word
-            first, last = np.clip(start - 1, 0, len(words)), np.clip(start + n + 1 - self.width + 1, 0, len(words))
-            possible = known[np.maximum(first, last)] - known[first] >= threshold * (n - self.width + 1)
-            possible |= n < self.width
-            for p, k in zip(where[possible].tolist(), which[possible].tolist()):
-                i, row = int(c.item[k]), int(row_of[p])
-                lo, hi, n = int(firsts[row]), int(firsts[row + 1]), len(self.words[i])
-                if best[row].get(i, (0,))[0] == 1.0:
-                    continue
-                start = p + c.window - n if c.tail[k] else p
-                for a, b in {(start + x, start + n + y) for x in (-1, 0, 1) for y in (-1, 0, 1)}:
-                    a, b = max(lo, a), min(hi, b)
-                    if a < b:
-                        s = similarity(self.shingles[i], shingles(words[a:b], self.width))
-                        if s >= threshold and (s, -(a - lo)) > best[row].get(i, (-1.0, 0))[:2]:
-                            best[row][i] = (s, -(a - lo), b - a)
-        return [[{"item_id": self.ids[i], "similarity": s, "first_word": -a, "n_words": n} for i, (s, a, n) in sorted(b.items())] for b in best]
+            where, item = where[inside], c.item[which[inside]]
+            if c.window >= self.width:
+                proposed.append(row_of[where] * items + item)
+                continue
+            # fewer words than a shingle: the class's items are as long as its window and match whole
+            for p, i in zip(where.tolist(), item.tolist()):
+                row = int(row_of[p])
+                if i not in best[row] and np.array_equal(words[p : p + c.window], self.words[i]):
+                    best[row][i] = (1.0, p, c.window)
+        place, entry = self.shared(words, row_of)
+        pair = row_of[place] * items + self.held_item[entry]
+        order = np.argsort(pair, kind="stable")
+        pair, place, entry = pair[order], place[order], entry[order]
+        pairs, start = np.unique(pair, return_index=True)
+        end = np.append(start[1:], len(pair))
+        enough = end - start >= threshold * (self.sizes[pairs % items] - self.width + 1) - 1e-9 if len(pairs) else np.zeros(0, bool)
+        if proposed:
+            enough |= np.isin(pairs, np.concatenate(proposed))
+        for k in np.flatnonzero(enough).tolist():
+            row, i, a, b = int(pairs[k]) // items, int(pairs[k]) % items, int(start[k]), int(end[k])
+            found = best_window(place[a:b], entry[a:b], self.held_times[entry[a:b]], int(self.sizes[i]) - self.width + 1, threshold)
+            if found:
+                best[row][i] = (found[0], found[1], found[2] + self.width - 1)
+        return [[{"item_id": self.ids[i], "similarity": s, "first_word": p - int(firsts[row]), "n_words": n} for i, (s, p, n) in sorted(b.items())] for row, b in enumerate(best)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
