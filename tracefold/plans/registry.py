@@ -27,6 +27,8 @@ T0, T1, TSTEP = 820_454_400_000_000, 820_454_400_000_000 + 12 * 30 * DAY, 30 * D
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+#: Queries over a range: source and ``build(rows, start, end)``, registered over whole tables below as well.
+_RANGED: dict[str, tuple[str, Callable[..., DataFrame]]] = {}
 
 
 def _add(name: str, build, sql: str, *ctes: str, recursive: bool = False) -> None:
@@ -34,24 +36,34 @@ def _add(name: str, build, sql: str, *ctes: str, recursive: bool = False) -> Non
     _SQL[name] = (f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(ctes) + " " if ctes else "") + sql
 
 
+def _ranged(name: str, source: str, build) -> None:
+    if getattr(build, "__defaults__", None) and build.__code__.co_varnames[1:3] == ("a", "b"):
+        _RANGED[name] = (source, build)
+
+
 def _s(name: str, build, sql: str, *more: str, recursive: bool = False) -> None:
     """A query over spans."""
+    _ranged(name, "s", build)
     _add(name, lambda spark, d: build(fx.spans(spark, d)), sql, fx.SPANS_SQL, *more, recursive=recursive)
 
 
 def _g(name: str, build, sql: str, *more: str) -> None:
+    _ranged(name, "g", build)
     _add(name, lambda spark, d: build(fx.gauges(spark, d)), sql, fx.GAUGES_SQL, *more)
 
 
 def _c(name: str, build, sql: str, *more: str) -> None:
+    _ranged(name, "c", build)
     _add(name, lambda spark, d: build(m.with_series(fx.counters(spark, d))), sql, fx.COUNTERS_SQL, *more)
 
 
 def _h(name: str, build, sql: str, *more: str) -> None:
+    _ranged(name, "h", build)
     _add(name, lambda spark, d: build(fx.histograms(spark, d).withColumn("event_type", F.col("labels")["event_type"])), sql, fx.HISTOGRAMS_SQL, *more)
 
 
 def _l(name: str, build, sql: str, *more: str) -> None:
+    _ranged(name, "l", build)
     _add(name, lambda spark, d: build(fx.logs(spark, d)), sql, fx.LOGS_SQL, *more)
 
 
@@ -125,9 +137,9 @@ _s("t15_nested_sets", lambda s: st.nested_sets(s, st.closure(s)), "SELECT n.trac
 _s("t16_select", lambda s: tr.select_fields(s.where(F.col("kind") == "Client"), db=f.attribute("span.db.name"), svc=f.attribute("resource.service.name"), ev=f.attribute("event.db.name"), dur=F.col("dur_us")), "SELECT trace_id, span_id, db_name AS db, service AS svc, db_name AS ev, dur_us AS dur FROM spans WHERE kind = 'Client'")
 _s("t17_count_by", lambda s: tr.count_by(s, _client(), F.col("service")), "SELECT trace_id, service, count(*) AS n FROM spans WHERE kind = 'Client' GROUP BY 1, 2")
 _TG = f"g AS (SELECT unnest(range({T0}, {T1}, {TSTEP})) AS t)"
-_s("t18_rate", lambda s: tr.rate_over_time(s, _error(), T0, T1, TSTEP, "service"), f"SELECT l.service, g.t, count(x.span_id) / {TSTEP / 1e6} AS value FROM g CROSS JOIN (SELECT DISTINCT service FROM spans WHERE status_code = 'Error' AND start_us >= {T0} AND start_us < {T1}) l LEFT JOIN spans x ON x.service = l.service AND x.status_code = 'Error' AND x.start_us >= g.t AND x.start_us < g.t + {TSTEP} GROUP BY 1, 2", _TG)
-_s("t19_quantiles", lambda s: tr.quantiles_over_time(s, _server(), T0, T1, TSTEP).select("t", "p", F.round("value", 9).alias("value")), f"SELECT t, p, round(v / 1e6, 9) AS value FROM (SELECT (start_us - {T0}) // {TSTEP} * {TSTEP} + {T0} AS t, unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS p, unnest(quantile_cont(dur_us, [0.5, 0.95, 0.99])) AS v FROM spans WHERE kind = 'Server' AND start_us >= {T0} AND start_us < {T1} GROUP BY 1)")
-_s("t20_histogram", lambda s: tr.histogram_over_time(s, _server(), T0, T1, TSTEP), f"SELECT (start_us - {T0}) // {TSTEP} * {TSTEP} + {T0} AS t, pow(2, ceil(log2(dur_us))) / 1e6 AS bucket, count(*) AS n FROM spans WHERE kind = 'Server' AND dur_us > 0 AND start_us >= {T0} AND start_us < {T1} GROUP BY 1, 2")
+_s("t18_rate", lambda s, a=T0, b=T1: tr.rate_over_time(s, _error(), a, b, TSTEP, "service"), f"SELECT l.service, g.t, count(x.span_id) / {TSTEP / 1e6} AS value FROM g CROSS JOIN (SELECT DISTINCT service FROM spans WHERE status_code = 'Error' AND start_us >= {T0} AND start_us < {T1}) l LEFT JOIN spans x ON x.service = l.service AND x.status_code = 'Error' AND x.start_us >= g.t AND x.start_us < g.t + {TSTEP} GROUP BY 1, 2", _TG)
+_s("t19_quantiles", lambda s, a=T0, b=T1: tr.quantiles_over_time(s, _server(), a, b, TSTEP).select("t", "p", F.round("value", 9).alias("value")), f"SELECT t, p, round(v / 1e6, 9) AS value FROM (SELECT (start_us - {T0}) // {TSTEP} * {TSTEP} + {T0} AS t, unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS p, unnest(quantile_cont(dur_us, [0.5, 0.95, 0.99])) AS v FROM spans WHERE kind = 'Server' AND start_us >= {T0} AND start_us < {T1} GROUP BY 1)")
+_s("t20_histogram", lambda s, a=T0, b=T1: tr.histogram_over_time(s, _server(), a, b, TSTEP), f"SELECT (start_us - {T0}) // {TSTEP} * {TSTEP} + {T0} AS t, pow(2, ceil(log2(dur_us))) / 1e6 AS bucket, count(*) AS n FROM spans WHERE kind = 'Server' AND dur_us > 0 AND start_us >= {T0} AND start_us < {T1} GROUP BY 1, 2")
 _s("t21_tag_keys", tr.tag_keys, "SELECT DISTINCT 'span' AS scope, unnest(list_filter([CASE WHEN http_method IS NOT NULL THEN 'http.method' END, CASE WHEN db_system IS NOT NULL THEN 'db.system' END, CASE WHEN db_name IS NOT NULL THEN 'db.name' END, CASE WHEN msg_system IS NOT NULL THEN 'messaging.system' END, CASE WHEN msg_system IS NOT NULL THEN 'messaging.destination_name' END, CASE WHEN msg_size IS NOT NULL THEN 'messaging.message_body_size' END], lambda x: x IS NOT NULL)) AS tag FROM spans UNION SELECT 'resource', unnest(['service.name', 'app_id']) UNION SELECT 'event', 'db.name'")
 _s("t22_tag_values", lambda s: tr.tag_values(s, f.attribute(".db.name"), F.col("service") == "supplier-2"), "SELECT DISTINCT db_name AS value FROM spans WHERE service = 'supplier-2' AND db_name IS NOT NULL")
 _s("t23_roots", tr.roots, "SELECT DISTINCT name, service FROM spans WHERE parent_span_id = ''")
@@ -147,15 +159,15 @@ _c("m01_instant", lambda c: m.instant(c, END), f"SELECT 'app.events' AS name, {_
 _B = f"(ts_us - {START}) // {STEP} * {STEP} + {START} AS t"
 _IN = f"ts_us >= {START} AND ts_us < {END}"
 _r9 = lambda *cs: [F.round(c, 9).alias(c) for c in cs]
-_g("m02_range_aggregate", lambda g: m.range_aggregate(g, START, END, STEP, "avg", "sum", "max", "min", "count", "stddev", "stdvar", "last", "first", "p50", "p90", "p95", "p99", by=("event_type",)).select("event_type", "t", *_r9("avg", "sum", "max", "min", "count", "stddev", "stdvar", "last", "first", "p50", "p90", "p95", "p99")),
+_g("m02_range_aggregate", lambda g, a=START, b=END: m.range_aggregate(g, a, b, STEP, "avg", "sum", "max", "min", "count", "stddev", "stdvar", "last", "first", "p50", "p90", "p95", "p99", by=("event_type",)).select("event_type", "t", *_r9("avg", "sum", "max", "min", "count", "stddev", "stdvar", "last", "first", "p50", "p90", "p95", "p99")),
    f"SELECT event_type, {_B}, round(avg(value), 9) AS avg, round(sum(value), 9) AS sum, max(value) AS max, min(value) AS min, count(*)::DOUBLE AS count, round(stddev_pop(value), 9) AS stddev, round(var_pop(value), 9) AS stdvar, arg_max(value, ts_us) AS last, arg_min(value, ts_us) AS first, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.9), 9) AS p90, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99 FROM gauges WHERE {_IN} GROUP BY 1, 2")
-_g("m03_missing_labels", lambda g: m.range_aggregate(g.withColumn("labels", F.when(F.col("labels")["shard"] == "1", F.map_filter("labels", lambda k, v: k != "shard")).otherwise(F.col("labels"))), START, END, STEP, "count", by=("shard",), keep_missing=True), f"SELECT nullif(shard, '1') AS shard, {_B}, count(*)::DOUBLE AS count FROM gauges WHERE {_IN} GROUP BY 1, 2")
+_g("m03_missing_labels", lambda g, a=START, b=END: m.range_aggregate(g.withColumn("labels", F.when(F.col("labels")["shard"] == "1", F.map_filter("labels", lambda k, v: k != "shard")).otherwise(F.col("labels"))), a, b, STEP, "count", by=("shard",), keep_missing=True), f"SELECT nullif(shard, '1') AS shard, {_B}, count(*)::DOUBLE AS count FROM gauges WHERE {_IN} GROUP BY 1, 2")
 _FG = f"p AS (SELECT event_type, (ts_us - {START}) // {HOUR} * {HOUR} + {START} AS t, max(value) AS v FROM gauges WHERE {_IN} AND shard = '1' GROUP BY 1, 2), gr AS (SELECT event_type, unnest(range({START}, {END}, {HOUR})) AS t FROM (SELECT DISTINCT event_type FROM p)), fl AS (SELECT gr.event_type, gr.t, v, CASE WHEN v IS NOT NULL THEN gr.t END AS held FROM gr LEFT JOIN p ON p.event_type = gr.event_type AND p.t = gr.t)"
 _hourly = lambda g: m.range_aggregate(g.where(F.col("labels")["shard"] == "1"), START, END, HOUR, "max", by=("event_type",)).withColumnRenamed("max", "value")
 _g("m04_fill_zero", lambda g: m.fill(_hourly(g), ["event_type"], START, END, HOUR, "0"), "SELECT event_type, t, coalesce(v, 0) AS value FROM fl", _FG)
 _g("m04_fill_previous", lambda g: m.fill(_hourly(g), ["event_type"], START, END, HOUR, "previous"), "SELECT event_type, t, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY t) AS value FROM fl", _FG)
 _g("m04_fill_linear", lambda g: m.fill(_hourly(g), ["event_type"], START, END, HOUR, "linear").withColumn("value", F.round("value", 9)), "SELECT event_type, t, round(coalesce(v, v0 + (v1 - v0) * (t - t0) / (t1 - t0)), 9) AS value FROM (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(held IGNORE NULLS) OVER b AS t0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(held IGNORE NULLS) OVER a AS t1 FROM fl WINDOW b AS (PARTITION BY event_type ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))", _FG)
-_c("m06_raw", lambda c: m.raw(c, START, START + DAY), f"SELECT 'app.events' AS name, {_SERIES} AS series, ts_us, value FROM counters WHERE ts_us BETWEEN {START} AND {START + DAY}")
+_c("m06_raw", lambda c, a=START, b=START + DAY: m.raw(c, a, b), f"SELECT 'app.events' AS name, {_SERIES} AS series, ts_us, value FROM counters WHERE ts_us BETWEEN {START} AND {START + DAY}")
 _g("m07_density", lambda g: m.density(g, HOUR), f"SELECT ts_us // {HOUR} * {HOUR} AS t, count(*) AS n FROM gauges GROUP BY 1")
 _RT = f"""w AS (SELECT {_SERIES} AS series, ts_us, value, lag(ts_us) OVER k AS pt, lag(value) OVER k AS pv, lead(ts_us) OVER k AS nt, lead(value) OVER k AS nv FROM counters WINDOW k AS (PARTITION BY event_type, shard ORDER BY ts_us)),
 st AS (SELECT unnest(range({START}, {END} + 1, {STEP})) AS t),
@@ -163,23 +175,23 @@ x AS (SELECT *, CASE WHEN value < pv THEN pv ELSE 0 END AS reset, row_number() O
 g AS (SELECT series, t, count(*) AS n, arg_min(value, ts_us) AS v0, arg_max(value, ts_us) AS v1, min(ts_us) AS t0, max(ts_us) AS t1, sum(CASE WHEN i > 1 THEN reset ELSE 0 END) AS resets, arg_min(coalesce(pt, -1), ts_us) AS p0t, arg_min(coalesce(pv, -1), ts_us) AS p0v, arg_min(coalesce(nt, -1), ts_us) AS n0t, arg_min(coalesce(nv, -1), ts_us) AS n0v, arg_max(coalesce(pt, -1), ts_us) AS p1t, arg_max(coalesce(pv, -1), ts_us) AS p1v, regr_slope(value, (ts_us - {START}) / 1e6) AS slope, avg(value) AS av, min(value) AS mi, max(value) AS ma, sum(value) AS su FROM x GROUP BY 1, 2),
 r AS (SELECT *, CASE WHEN n > 1 THEN greatest(v1 - v0 + resets, 0) WHEN p0t >= 0 THEN v0 - p0v + CASE WHEN v0 < p0v THEN p0v ELSE 0 END WHEN n0t >= 0 THEN n0v - v0 + CASE WHEN n0v < v0 THEN v0 ELSE 0 END END AS inc, CASE WHEN n > 1 THEN t1 - t0 WHEN p0t >= 0 THEN t0 - p0t ELSE n0t - t0 END / 1e6 AS span FROM g),
 q AS (SELECT *, CASE WHEN span > 0 THEN inc / span * greatest({RANGE / 1e6} / span, 1) END AS rate FROM r)"""
-_rates = lambda c: m.rates(c, START, END, STEP, RANGE)
-_c("m08_rate", lambda c: _rates(c).select("series", "t", "n", *_r9("rate")), "SELECT series, t, n, round(rate, 9) AS rate FROM q", _RT)
-_c("m09_increase", lambda c: _rates(c).select("series", "t", "increase"), "SELECT series, t, inc AS increase FROM q", _RT)
-_c("m10_irate", lambda c: _rates(c).select("series", "t", *_r9("irate")), "SELECT series, t, round(CASE WHEN n > 1 THEN (v1 - p1v) / ((t1 - p1t) / 1e6) END, 9) AS irate FROM q", _RT)
+_rates = lambda c, a=START, b=END: m.rates(c, a, b, STEP, RANGE)
+_c("m08_rate", lambda c, a=START, b=END: _rates(c, a, b).select("series", "t", "n", *_r9("rate")), "SELECT series, t, n, round(rate, 9) AS rate FROM q", _RT)
+_c("m09_increase", lambda c, a=START, b=END: _rates(c, a, b).select("series", "t", "increase"), "SELECT series, t, inc AS increase FROM q", _RT)
+_c("m10_irate", lambda c, a=START, b=END: _rates(c, a, b).select("series", "t", *_r9("irate")), "SELECT series, t, round(CASE WHEN n > 1 THEN (v1 - p1v) / ((t1 - p1t) / 1e6) END, 9) AS irate FROM q", _RT)
 _c("m11_rate_instant", lambda c: m.rates(c, END, END, STEP, RANGE).select("series", *_r9("rate")), f"SELECT series, round(rate, 9) AS rate FROM q WHERE t = {END}", _RT)
 _c("m12_vector_aggregate", lambda c: m.across(m.instant(c, END).withColumn("kind", F.substring_index("series", ",", 1)), "sum", by=("kind",), at=()), f"SELECT 'event_type=' || event_type AS kind, sum(v) AS value FROM (SELECT event_type, shard, arg_max(value, ts_us) AS v FROM counters WHERE ts_us <= {END} GROUP BY 1, 2) GROUP BY 1")
-_c("m13_matrix_aggregate", lambda c: m.across(_rates(c), "max", "increase"), "SELECT t, max(inc) AS value FROM q GROUP BY 1", _RT)
-_c("m13_without", lambda c: m.across(_rates(c).withColumn("event_type", F.substring_index("series", ",", 1)).withColumn("shard", F.substring_index("series", ",", -1)), "sum", "increase", without=("shard",), labels=("event_type", "shard")), "SELECT split_part(series, ',', 1) AS event_type, t, sum(inc) AS value FROM q GROUP BY 1, 2", _RT)
+_c("m13_matrix_aggregate", lambda c, a=START, b=END: m.across(_rates(c, a, b), "max", "increase"), "SELECT t, max(inc) AS value FROM q GROUP BY 1", _RT)
+_c("m13_without", lambda c, a=START, b=END: m.across(_rates(c, a, b).withColumn("event_type", F.substring_index("series", ",", 1)).withColumn("shard", F.substring_index("series", ",", -1)), "sum", "increase", without=("shard",), labels=("event_type", "shard")), "SELECT split_part(series, ',', 1) AS event_type, t, sum(inc) AS value FROM q GROUP BY 1, 2", _RT)
 _c("m14_topk", lambda c: m.top(m.instant(c, END).select("series", "value"), 7), f"SELECT {_SERIES} AS series, arg_max(value, ts_us) AS value FROM counters WHERE ts_us <= {END} GROUP BY 1 ORDER BY value DESC, series LIMIT 7")
-_c("m15_topk_range", lambda c: m.top_series(_rates(c).select("series", "t", F.col("increase").alias("value")), 5), "SELECT series, t, inc AS value FROM q WHERE series IN (SELECT series FROM q GROUP BY 1 ORDER BY max(inc) DESC, series LIMIT 5)", _RT)
+_c("m15_topk_range", lambda c, a=START, b=END: m.top_series(_rates(c, a, b).select("series", "t", F.col("increase").alias("value")), 5), "SELECT series, t, inc AS value FROM q WHERE series IN (SELECT series FROM q GROUP BY 1 ORDER BY max(inc) DESC, series LIMIT 5)", _RT)
 _UN = "u AS (SELECT event_type, ts_us, unnest(range(0, 7)) AS pos, unnest([5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 'inf'::DOUBLE]) AS le, unnest(bucket_counts) AS n, value, cnt FROM hist)"
 _QT = "hs AS (SELECT {k}, pos, le, sum(n) AS n FROM {u} WHERE pos < 6 GROUP BY {k}, pos, le), hm AS (SELECT {k}, sum(value) AS total, sum(cnt) AS points FROM {h} GROUP BY {k}), hc AS (SELECT *, sum(n) OVER (PARTITION BY {k} ORDER BY pos) AS upto, coalesce(lag(le) OVER (PARTITION BY {k} ORDER BY pos), 0) AS low FROM hs JOIN hm USING ({k})), hh AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY pos) AS i FROM hc WHERE upto >= 0.9::DOUBLE * points AND n > 0)"
 _SEL = "SELECT {k}, round(CASE WHEN points = 0 THEN 0 WHEN i IS NULL THEN total / points ELSE low + (le - low) * (0.9::DOUBLE * points - (upto - n)) / n END, 9) AS value FROM hm LEFT JOIN (SELECT {k}, i, low, le, upto, n FROM hh WHERE i = 1) USING ({k})"
 _h("m16_quantile", lambda x: h.quantile(x, 0.9, "event_type").withColumn("value", F.round("value", 9)), _SEL.format(k="event_type"), _UN, _QT.format(k="event_type", u="u", h="hist"))
 _HS = f"st AS (SELECT unnest(range({START}, {END} + 1, {STEP})) AS t), us AS (SELECT u.*, t FROM u JOIN st ON ts_us BETWEEN t - {RANGE} AND t), hst AS (SELECT hist.*, t FROM hist JOIN st ON ts_us BETWEEN t - {RANGE} AND t)"
-_h("m17_quantile_range", lambda x: h.quantile_over_time(x, 0.9, START, END, STEP, RANGE, "event_type").withColumn("value", F.round("value", 9)), _SEL.format(k="event_type, t"), _UN, _HS, _QT.format(k="event_type, t", u="us", h="hst"))
-_h("m18_heatmap", lambda x: h.heatmap(x, START, END, STEP, RANGE, "event_type").withColumn("value", F.round("value", 9)), f"SELECT event_type, t, le, round(sum(sum(n)) OVER (PARTITION BY event_type, t ORDER BY pos) / {RANGE / 1e6}, 9) AS value FROM us GROUP BY event_type, t, le, pos", _UN, _HS)
+_h("m17_quantile_range", lambda x, a=START, b=END: h.quantile_over_time(x, 0.9, a, b, STEP, RANGE, "event_type").withColumn("value", F.round("value", 9)), _SEL.format(k="event_type, t"), _UN, _HS, _QT.format(k="event_type, t", u="us", h="hst"))
+_h("m18_heatmap", lambda x, a=START, b=END: h.heatmap(x, a, b, STEP, RANGE, "event_type").withColumn("value", F.round("value", 9)), f"SELECT event_type, t, le, round(sum(sum(n)) OVER (PARTITION BY event_type, t ORDER BY pos) / {RANGE / 1e6}, 9) AS value FROM us GROUP BY event_type, t, le, pos", _UN, _HS)
 _h("m19_snapshots", lambda x: h.snapshots(x, "count", START, END, STEP, "event_type"), "SELECT event_type, t, sum(cnt)::DOUBLE AS value FROM hist JOIN st ON ts_us <= t GROUP BY 1, 2", f"st AS (SELECT unnest(range({START}, {END} + 1, {STEP})) AS t)")
 _h("m20_expand", lambda x: h.expand(x, "event_type"), "SELECT event_type, ts_us, le, sum(n) OVER (PARTITION BY event_type, ts_us ORDER BY pos)::BIGINT AS value FROM u", _UN)
 _h("m21_merge", lambda x: h.merge(x, "event_type").select("event_type", F.array_join(F.transform("bucket_counts", lambda c: c.cast("string")), ",").alias("counts"), F.size("explicit_bounds").alias("n_bounds")), "SELECT event_type, string_agg(n::VARCHAR, ',' ORDER BY pos) AS counts, 6 AS n_bounds FROM (SELECT event_type, pos, sum(n)::BIGINT AS n FROM u GROUP BY 1, 2) GROUP BY 1", _UN)
@@ -190,10 +202,10 @@ _g("m25_label_values", lambda g: m.label_values(g, "event_type", "app.value"), "
 _c("m26_series", lambda c: m.series_list(c.where(F.col("labels")["event_type"] == "click"), c.where(F.col("labels")["shard"] == "2")), f"SELECT DISTINCT 'app.events' AS name, {_SERIES} AS series FROM counters WHERE event_type = 'click' OR shard = '2'")
 _c("m27_metadata", m.metadata, "SELECT DISTINCT 'app.events' AS name, 'counter' AS type, 'none' AS unit FROM counters")
 _s("m28_exemplars", tr.newest_trace_per_service, "SELECT service, arg_max(trace_id, (start_us, trace_id)) AS trace_id, max(start_us) AS start_us FROM spans GROUP BY 1")
-_g("m29_downsample", lambda g: m.downsample(g, START, END, STEP, "mean", ("event_type",), "0").withColumn("value", F.round("value", 9)), f"SELECT e.event_type, s.t, round(coalesce(v, 0), 9) AS value FROM (SELECT DISTINCT event_type FROM gauges WHERE {_IN}) e CROSS JOIN (SELECT unnest(range({START}, {END}, {STEP})) AS t) s LEFT JOIN (SELECT event_type, {_B}, avg(value) AS v FROM gauges WHERE {_IN} GROUP BY 1, 2) x ON x.event_type = e.event_type AND x.t = s.t")
-_c("m31_arithmetic", lambda c: m.arithmetic(_rates(c).select("series", "t", F.col("increase").alias("value")), _rates(c).select("series", "t", F.col("n").cast("double").alias("value")), "/", ("series", "t")).withColumn("value", F.round("value", 9)), "SELECT series, t, round(inc / n, 9) AS value FROM q", _RT)
-_c("m32_delta", lambda c: _rates(c).select("series", "t", "delta", "idelta", F.round("deriv", 7).alias("deriv")), "SELECT series, t, CASE WHEN n > 1 THEN v1 - v0 END AS delta, CASE WHEN n > 1 THEN v1 - p1v END AS idelta, CASE WHEN n > 1 THEN round(slope, 7) END AS deriv FROM q", _RT)
-_c("m33_over_time", lambda c: _rates(m.offset(c, 0)).select("series", "t", *_r9("avg_over_time"), "min_over_time", "max_over_time", "sum_over_time", "count_over_time", "last_over_time"), "SELECT series, t, round(av, 9) AS avg_over_time, mi AS min_over_time, ma AS max_over_time, su AS sum_over_time, n::DOUBLE AS count_over_time, v1 AS last_over_time FROM q", _RT)
+_g("m29_downsample", lambda g, a=START, b=END: m.downsample(g, a, b, STEP, "mean", ("event_type",), "0").withColumn("value", F.round("value", 9)), f"SELECT e.event_type, s.t, round(coalesce(v, 0), 9) AS value FROM (SELECT DISTINCT event_type FROM gauges WHERE {_IN}) e CROSS JOIN (SELECT unnest(range({START}, {END}, {STEP})) AS t) s LEFT JOIN (SELECT event_type, {_B}, avg(value) AS v FROM gauges WHERE {_IN} GROUP BY 1, 2) x ON x.event_type = e.event_type AND x.t = s.t")
+_c("m31_arithmetic", lambda c, a=START, b=END: m.arithmetic(_rates(c, a, b).select("series", "t", F.col("increase").alias("value")), _rates(c, a, b).select("series", "t", F.col("n").cast("double").alias("value")), "/", ("series", "t")).withColumn("value", F.round("value", 9)), "SELECT series, t, round(inc / n, 9) AS value FROM q", _RT)
+_c("m32_delta", lambda c, a=START, b=END: _rates(c, a, b).select("series", "t", "delta", "idelta", F.round("deriv", 7).alias("deriv")), "SELECT series, t, CASE WHEN n > 1 THEN v1 - v0 END AS delta, CASE WHEN n > 1 THEN v1 - p1v END AS idelta, CASE WHEN n > 1 THEN round(slope, 7) END AS deriv FROM q", _RT)
+_c("m33_over_time", lambda c, a=START, b=END: _rates(m.offset(c, 0), a, b).select("series", "t", *_r9("avg_over_time"), "min_over_time", "max_over_time", "sum_over_time", "count_over_time", "last_over_time"), "SELECT series, t, round(av, 9) AS avg_over_time, mi AS min_over_time, ma AS max_over_time, su AS sum_over_time, n::DOUBLE AS count_over_time, v1 AS last_over_time FROM q", _RT)
 _c("m33_unless", lambda c: m.set_operation(m.instant(c, END).select("series", "value"), m.instant(m.offset(c, DAY), END).where("value > 1").select("series", "value"), "unless", ("series",)), f"SELECT {_SERIES} AS series, arg_max(value, ts_us) AS value FROM counters WHERE ts_us <= {END} GROUP BY 1 HAVING series NOT IN (SELECT {_SERIES} AS series FROM counters WHERE ts_us <= {END - DAY} GROUP BY 1 HAVING arg_max(value, ts_us) > 1)")
 _s("m35_span_metric_series", lambda s: ge.red_metrics(s, TSTEP).groupBy("service", "t").agg(F.sum("calls").alias("calls"), (F.sum("calls") / (TSTEP / 1e6)).alias("rate")), f"SELECT service, start_us // {TSTEP} * {TSTEP} AS t, count(*) AS calls, count(*) / {TSTEP / 1e6} AS rate FROM spans GROUP BY 1, 2")
 
@@ -215,11 +227,11 @@ _l("l01_search", lambda x: lg.search(x, F.col("severity") == "ERROR", 40, 3).sel
 _l("l02_any_search", lambda x: lg.any_search(x.where(f.line_filter("|=", "click")), x.where(F.col("service") == "svc-1"), limit=60).select("ts_us", "body"), "SELECT DISTINCT ts_us, body FROM logs WHERE event_type = 'click' OR service = 'svc-1' ORDER BY ts_us DESC, body LIMIT 60")
 _l("l03_context", lambda x: lg.context(x, 500, 6, 4).select("log_id", "ts_us"), "SELECT log_id, ts_us FROM (SELECT *, row_number() OVER (ORDER BY ts_us, log_id) AS i FROM logs WHERE service = (SELECT service FROM logs WHERE log_id = 500)) WHERE i BETWEEN (SELECT i - 6 FROM (SELECT log_id, row_number() OVER (ORDER BY ts_us, log_id) AS i FROM logs WHERE service = (SELECT service FROM logs WHERE log_id = 500)) WHERE log_id = 500) AND (SELECT i + 4 FROM (SELECT log_id, row_number() OVER (ORDER BY ts_us, log_id) AS i FROM logs WHERE service = (SELECT service FROM logs WHERE log_id = 500)) WHERE log_id = 500)")
 _l("l04_statistics", lambda x: lg.statistics(x, DAY), f"SELECT 'total' AS facet, '' AS key, count(*) AS n FROM logs UNION ALL SELECT 'severity', severity, count(*) FROM logs GROUP BY 2 UNION ALL SELECT 'service', service, count(*) FROM logs GROUP BY 2 UNION ALL SELECT 'time', (ts_us // {DAY} * {DAY})::VARCHAR, count(*) FROM logs GROUP BY 2")
-_l("l05_count_over_time", lambda x: lg.count_over_time(x, START, END, STEP, "service", top=4), f"SELECT service, {_B}, count(*) AS n FROM logs WHERE {_IN} AND service IN (SELECT service FROM logs WHERE {_IN} GROUP BY 1 ORDER BY count(*) DESC, service LIMIT 4) GROUP BY 1, 2")
-_l("l06_rates", lambda x: lg.rates(x, START, END, STEP, "severity"), f"SELECT severity, {_B}, count(*) AS n, count(*) / {STEP / 1e6} AS rate, sum(strlen(body))::BIGINT AS n_bytes, sum(strlen(body)) / {STEP / 1e6} AS bytes_rate FROM logs WHERE {_IN} GROUP BY 1, 2")
-_l("l07_outer_aggregate", lambda x: m.across(lg.count_over_time(x, START, END, STEP, "service", "severity"), "max", "n", by=("severity",)).withColumn("value", F.col("value").cast("long")), f"SELECT severity, t, max(n) AS value FROM (SELECT severity, service, {_B}, count(*) AS n FROM logs WHERE {_IN} GROUP BY 1, 2, 3) GROUP BY 1, 2")
+_l("l05_count_over_time", lambda x, a=START, b=END: lg.count_over_time(x, a, b, STEP, "service", top=4), f"SELECT service, {_B}, count(*) AS n FROM logs WHERE {_IN} AND service IN (SELECT service FROM logs WHERE {_IN} GROUP BY 1 ORDER BY count(*) DESC, service LIMIT 4) GROUP BY 1, 2")
+_l("l06_rates", lambda x, a=START, b=END: lg.rates(x, a, b, STEP, "severity"), f"SELECT severity, {_B}, count(*) AS n, count(*) / {STEP / 1e6} AS rate, sum(strlen(body))::BIGINT AS n_bytes, sum(strlen(body)) / {STEP / 1e6} AS bytes_rate FROM logs WHERE {_IN} GROUP BY 1, 2")
+_l("l07_outer_aggregate", lambda x, a=START, b=END: m.across(lg.count_over_time(x, a, b, STEP, "service", "severity"), "max", "n", by=("severity",)).withColumn("value", F.col("value").cast("long")), f"SELECT severity, t, max(n) AS value FROM (SELECT severity, service, {_B}, count(*) AS n FROM logs WHERE {_IN} GROUP BY 1, 2, 3) GROUP BY 1, 2")
 _l("l08_instant", lambda x: lg.instant_count(x, END, HOUR, "severity"), f"SELECT severity, count(*) AS n FROM logs WHERE ts_us > {END - HOUR} AND ts_us <= {END} GROUP BY 1")
-_l("l09_merge_results", lambda x: lg.merge_results(lg.count_over_time(x.where(F.col("severity") == "ERROR"), START, END, STEP, "service"), lg.count_over_time(x.where(F.col("severity") == "WARN"), START, END, STEP, "service"), by=("service",)), f"SELECT service, {_B}, count(*) AS n FROM logs WHERE {_IN} AND severity IN ('ERROR', 'WARN') GROUP BY 1, 2")
+_l("l09_merge_results", lambda x, a=START, b=END: lg.merge_results(lg.count_over_time(x.where(F.col("severity") == "ERROR"), a, b, STEP, "service"), lg.count_over_time(x.where(F.col("severity") == "WARN"), a, b, STEP, "service"), by=("service",)), f"SELECT service, {_B}, count(*) AS n FROM logs WHERE {_IN} AND severity IN ('ERROR', 'WARN') GROUP BY 1, 2")
 _l("l10_volume", lambda x: lg.volume(x, "service", 5), "SELECT service, count(*) AS n FROM logs GROUP BY 1 ORDER BY n DESC, service LIMIT 5")
 _l("l11_label_values", lambda x: lg.label_values(x, "severity"), "SELECT DISTINCT severity AS value FROM logs")
 _l("l12_json_fields", lambda x: x.select("log_id", lg.json_fields(F.col("json_body"))["k"].alias("k")), "SELECT log_id, json_extract_string(props, '$.k') AS k FROM logs")
@@ -275,6 +287,45 @@ _p("x05_usage", lambda spark, p: rt.usage(p, 4_000_000), _USE)
 _p("x06_daily", lambda spark, p: rt.daily(p, 0, START // DAY + 30), "SELECT day, coalesce(sum(n_rows) FILTER (signal = 'trace'), 0)::BIGINT * 100 AS trace_bytes, coalesce(sum(n_rows) FILTER (signal = 'metric'), 0)::BIGINT * 100 AS metric_bytes, coalesce(sum(n_rows) FILTER (signal = 'log'), 0)::BIGINT * 100 AS log_bytes FROM pt GROUP BY 1")
 
 
+# the same over whole tables: from the step of the least time to the step after the greatest one
+_SOURCES = {
+    "s": (fx.spans, "spans", fx.SPANS_SQL), "g": (fx.gauges, "gauges", fx.GAUGES_SQL), "c": (lambda spark, d: m.with_series(fx.counters(spark, d)), "counters", fx.COUNTERS_SQL),
+    "h": (lambda spark, d: fx.histograms(spark, d).withColumn("event_type", F.col("labels")["event_type"]), "hist", fx.HISTOGRAMS_SQL), "l": (fx.logs, "logs", fx.LOGS_SQL),
+}
+
+
+def whole_range(rows: DataFrame, at: str, step: int) -> tuple[int, int]:
+    """Start and end of the steps that cover a table; the start of the epoch for an empty one."""
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    return ((lo or 0) // step * step, (hi or 0) // step * step + step)
+
+
+def _whole(name: str, source: str, build, sql: str) -> None:
+    """``sql`` names its start and end as {lo} and {hi}."""
+    read, table, table_sql = _SOURCES[source]
+    at, step = ("start_us", TSTEP) if source == "s" else ("ts_us", STEP)
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = read(spark, d)
+        return build(rows, *whole_range(rows, at, step))
+
+    bounds = f"{table_sql}, bounds AS (SELECT coalesce(min({at}), 0) // {step} * {step} AS lo, coalesce(max({at}), 0) // {step} * {step} + {step} AS hi FROM {table})"
+    _QUERIES[f"{name}_whole"] = run
+    _SQL[f"{name}_whole"] = sql.replace(table_sql, bounds).replace("{lo}", "(SELECT lo FROM bounds)").replace("{hi}", "(SELECT hi FROM bounds)")
+
+
+for _name, (_source, _build) in _RANGED.items():
+    _ends = (T0, T1) if _source == "s" else (START, START + DAY) if _name == "m06_raw" else (START, END)
+    _whole(_name, _source, _build, _SQL[_name].replace(str(_ends[0]), "{lo}").replace(str(_ends[1]), "{hi}"))
+
+_K = ["event_type", "shard"]
+_FW = f"WITH {fx.GAUGES_SQL}, p AS (SELECT event_type, shard, (ts_us - {{lo}}) // {HOUR} * {HOUR} + {{lo}} AS t, max(value) AS v FROM gauges GROUP BY ALL), gr AS (SELECT event_type, shard, unnest(range({{lo}}, {{hi}}, {HOUR})) AS t FROM (SELECT DISTINCT event_type, shard FROM p)), fl AS (SELECT gr.*, v, CASE WHEN v IS NOT NULL THEN gr.t END AS held FROM gr LEFT JOIN p USING (event_type, shard, t)) "
+_hours = lambda g, a, b, how: m.fill(m.range_aggregate(g, a, b, HOUR, "max", by=("event_type", "shard")).withColumnRenamed("max", "value"), _K, a, b, HOUR, how)
+_whole("m04_fill_zero", "g", lambda g, a, b: _hours(g, a, b, "0"), _FW + "SELECT event_type, shard, t, coalesce(v, 0) AS value FROM fl")
+_whole("m04_fill_previous", "g", lambda g, a, b: _hours(g, a, b, "previous"), _FW + "SELECT event_type, shard, t, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type, shard ORDER BY t) AS value FROM fl")
+_whole("m04_fill_linear", "g", lambda g, a, b: _hours(g, a, b, "linear").withColumn("value", F.round("value", 9)), _FW + "SELECT event_type, shard, t, round(coalesce(v, v0 + (v1 - v0) * (t - t0) / (t1 - t0)), 9) AS value FROM (SELECT *, last_value(v IGNORE NULLS) OVER o AS v0, last_value(held IGNORE NULLS) OVER o AS t0, first_value(v IGNORE NULLS) OVER n AS v1, first_value(held IGNORE NULLS) OVER n AS t1 FROM fl WINDOW o AS (PARTITION BY event_type, shard ORDER BY t), n AS (PARTITION BY event_type, shard ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
