@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracefold.llm import decontaminate
+from tracefold.llm import decontaminate, pii
 
 
 def _grams(w):
@@ -46,3 +47,18 @@ def test_decontamination_equals_a_search_over_all_lengths(spark):
     for (d, i), m in got.items():
         assert m["similarity"] == pytest.approx(want[d, i])
         assert _jaccard(_grams(items[i]), _grams(texts[d][m["first_word"] : m["first_word"] + m["n_words"]])) == pytest.approx(m["similarity"])
+
+
+# 7
+
+
+def test_terms_far_from_their_entity_disclose(spark):
+    far = " plain words of filling" * 8
+    data = [(i, f"Zorblax{far} mail zed@corp.org or call +1 555 123 4567 please") for i in range(6)]
+    data += [(10 + i, f"mail and call please{far} number {i}") for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(df.withColumn("body", F.col("text")), text="body").collect()}
+    for i in range(6):
+        terms = {data[i][1][s["start"] : s["end"]] for s in got[i] if s["kind"] == "term"}
+        assert terms == {"Zorblax", "zed", "corp", "org"}  # the address gives the number away
+    assert not any(got[10 + i] for i in range(60))

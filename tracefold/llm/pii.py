@@ -2,8 +2,8 @@
 
 Patterns find the protected entities (mail and IP addresses, card and phone numbers). How strongly a term reveals an
 entity is the pointwise mutual information of the two over the corpus, against the entity's own information
-content. A term met near an entity in at least ``min_joint`` documents, whose share reaches ``disclosure``, is generalised wherever it stands in a
-document with that entity. Everything is a DataFrame expression; no Python runs on executors.
+content. Both are counted over whole documents. A term that stands in at least ``min_joint`` documents of an entity, outside the entity's
+own value, and whose share reaches ``disclosure``, is generalised wherever it stands in a document with that entity. Everything is a DataFrame expression; no Python runs on executors.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?+[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-NEAR_CHARS = 60
 SPAN = "array<struct<kind: string, start: int, end: int>>"
 
 
@@ -88,6 +87,18 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda w: F.char_length(w) >= 3))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a blank for every span."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        piece = F.when(s["start"] > a["at"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).otherwise("")
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece, F.lit(" ")).alias("out"))
+
+    return F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+
+
 def term_pattern(terms: Column) -> Column:
     return F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(terms), "|"), F.lit(r")(?!\p{L})"))
 
@@ -95,12 +106,17 @@ def term_pattern(terms: Column) -> Column:
 def disclosing_terms(found: DataFrame, texts: DataFrame, disclosure: float, min_joint: int) -> DataFrame:
     """(entity, term) whose mutual information reaches ``disclosure`` of the entity's information.
 
-    ``found`` has (entities, near): distinct entities of each row and, per entity, the terms near it; ``texts`` has the text of every row.
+    ``found`` has (entities, words, own): distinct entities of each row, its terms outside their values, and the terms
+    of each value by entity; ``texts`` has the text of every row.
     """
     n_docs = float(max(1, found.count()))
-    pairs = found.select(F.explode("near").alias("x")).select("x.entity", "x.term")
+    held = found.where(F.size("entities") > 0)
+    of_entity = settle(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+    # a pair is in no more documents than its entity
+    rows = held.select("words", "own", F.explode("entities").alias("entity")).join(of_entity.where(F.col("n_entity") >= min_joint), "entity")
+    others = F.flatten(F.transform(F.filter("own", lambda o: o["entity"] != F.col("entity")), lambda o: o["terms"]))
+    pairs = rows.select("entity", F.explode(F.array_union("words", others)).alias("term"))
     joint = settle(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= min_joint))
-    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # counted per task before the shuffle, so each task sends a word once
     of_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     x = joint.join(of_entity, "entity").join(of_term, "term")
@@ -119,12 +135,11 @@ def find_personal_data(docs: DataFrame, text: str = "text", disclosure: float =
     body = F.coalesce(F.col(text), F.lit(""))
     rows = kept.withColumn("__t", F.xxhash64(body)).withColumn("__found", base_spans(body))
     found = F.col("__found")
-    around = lambda s: F.concat_ws(" ", F.substring(body, F.greatest(s["start"] - NEAR_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR_CHARS))), F.substring(body, s["end"] + 1, F.lit(NEAR_CHARS)))
-    near = F.array_distinct(F.flatten(F.transform(found, lambda s: F.transform(_terms(around(s)), lambda w: F.struct(_entity(s).alias("entity"), w.alias("term"))))))
-    rows = rows.withColumn("__near", F.when(F.size(found) > 0, near)).withColumn("__entities", F.array_distinct(F.transform(found, _entity)))
+    own = F.transform(found, lambda s: F.struct(_entity(s).alias("entity"), _terms(s["value"]).alias("terms")))
+    rows = rows.withColumn("__words", F.when(F.size(found) > 0, _terms(_outside(body, found)))).withColumn("__own", F.when(F.size(found) > 0, own)).withColumn("__entities", F.array_distinct(F.transform(found, _entity)))
     rest = [c for c in kept.columns if c != text]
-    light = settle_table(rows.select(*rest, "__t", F.transform(found, lambda s: F.struct(s["kind"], s["start"], s["end"])).cast(SPAN).alias("base"), F.col("__near").alias("__near"), "__entities"))
-    told = disclosing_terms(light.select(F.col("__entities").alias("entities"), F.col("__near").alias("near")), docs.select(body.alias("text")), disclosure, min_joint)
+    light = settle_table(rows.select(*rest, "__t", F.transform(found, lambda s: F.struct(s["kind"], s["start"], s["end"])).cast(SPAN).alias("base"), "__words", "__own", "__entities"))
+    told = disclosing_terms(light.select(F.col("__entities").alias("entities"), F.col("__words").alias("words"), F.col("__own").alias("own")), docs.select(body.alias("text")), disclosure, min_joint)
     by_entity = told.groupBy("entity").agg(F.collect_set("term").alias("terms"))
     by_text = (
         light.where(F.size("__entities") > 0).select("__t", F.explode("__entities").alias("entity")).distinct().join(by_entity, "entity")
@@ -133,7 +148,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", disclosure: float =
     texts = kept.select(F.xxhash64(body).alias("__t"), body.alias("__body")).join(by_text, "__t").dropDuplicates(["__t"])
     more = texts.select("__t", F.transform(located(F.col("__body"), term_pattern(F.col("terms")), "term", lambda v: F.lit(True)), lambda s: F.struct(s["kind"], s["start"], s["end"])).cast(SPAN).alias("__more"))
     out = light.join(more, "__t", "left").withColumn("spans", F.concat("base", F.coalesce("__more", F.array().cast(SPAN))))
-    return out.drop("__t", "__near", "__entities", "__more")
+    return out.drop("__t", "__words", "__own", "__entities", "__more")
 
 
 def sanitise(text: Column, spans: Column) -> Column:
