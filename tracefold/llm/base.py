@@ -10,21 +10,53 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than these.
 SPACES = " \t\n\x0b\f\r"
+#: Bits of the table that ``only`` broadcasts: 2 ** 22, 65,536 words of 64 bits.
+ID_BITS = 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, which outlives any executor."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without the setting."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracefold-"))
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="tracefold-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, kind: str = "shards") -> str:
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, which outlives any executor."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
+def settle_table(df: DataFrame) -> DataFrame:
+    """Like ``settle`` for wide or long intermediate tables: a compressed Parquet table in the shared checkpoint folder."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` whose ``key`` may be among those of ``ids``: a map-side filter by a bit table of fixed size, before any shuffle."""
+    bit = F.shiftrightunsigned(F.xxhash64(key), 64 - ID_BITS)
+    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({key}), {64 - ID_BITS}) & 63 as int))")
+    bits = settle(ids.groupBy(word.alias("__word")).agg(F.bit_or(mask).alias("__bits")))  # at most 2 ** (ID_BITS - 6) rows of two numbers
+    return rows.withColumn("__word", word).join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(mask) != 0).drop("__word", "__bits")
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -43,14 +75,3 @@ def word_count(text: Column) -> Column:
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
-
-
-def settle_table(df: DataFrame) -> DataFrame:
-    """Like ``settle`` for wide or long intermediate tables: a compressed Parquet table in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracefold-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,9 +9,10 @@
 3. Similar documents are partitioned into groups: every document is compared with the leading document of each
    token it holds, the one with the fewest tokens of its own, and what is linked becomes a group.
 4. The matrix holds, per token, the groups whose union has it. A document's overlap with a group's union bounds its
-   overlap with every member; a group is opened only if the bound reaches what a link needs. Its
+   overlap with every member; a group is opened only if the bound reaches what a link needs. An opened group first
+   answers with one member; groups that link become one, and the matrix is made again of what is left. At last all
    members that share one of the tokens that a link needs first are compared exactly, if their counts of tokens per bucket allow a link.
-5. Links of both rounds give the components.
+5. The links of all rounds give the components.
 
 No step pairs up all members of a group: within a group nothing is left to find, because its members are connected.
 """
@@ -25,20 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle, settle_table
+from .base import only, settle, settle_table
 from .components import connected_components
-from .wordhash import mix, shingle_rows
+from .wordhash import mix, shingle_pairs, shingle_rows
 
 #: Bits of the table of frequent tokens: 2 ** 22, half a MB. It decides the order of tokens, never the result.
 HOT_BITS = 22
-#: Bits of the table of ids whose texts are compared: 2 ** 22, 65,536 words.
-ID_BITS = 22
 #: A token seen this often in one task's rows is reported, and counts as frequent if reports add up to HOT_COUNT.
 HOT_IN_TASK = 3
 HOT_COUNT = 12
 DEPTH = 12
 #: The end of a head that is the whole set.
 LAST = (1 << 63) - 1
+#: Rounds in which an opened group answers with one member. They save comparisons, the last step compares all that is left.
+MERGE_ROUNDS = 4
 #: Rows of one batch of profiles.
 PROFILE_ROWS = 1000
 #: Texts compared with one document in one group.
@@ -89,7 +90,7 @@ def profiles(docs: DataFrame, text: str, key: str, width: int, pct: int) -> Data
         hot = table.value
         for batch in (b.slice(at, PROFILE_ROWS) for b in batches for at in range(0, b.num_rows, PROFILE_ROWS)):
             n, s1, s2, head, stop, sketches = [], [], [], [], [], []
-            for tokens in shingle_rows(batch.column(1), width):
+            for tokens, others in shingle_pairs(batch.column(1), width):
                 bit = tokens >> np.uint64(64 - HOT_BITS)
                 late = (hot[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
                 size = len(tokens)
@@ -101,7 +102,7 @@ def profiles(docs: DataFrame, text: str, key: str, width: int, pct: int) -> Data
                 n.append(size)
                 sketches.append(sketch(tokens))
                 s1.append(int(mix(tokens).sum(dtype=np.uint64).view(np.int64)) if size else 0)
-                s2.append(int(np.bitwise_xor.reduce(mix(tokens * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)) if size else 0)
+                s2.append(int(mix(others).sum(dtype=np.uint64).view(np.int64)) if size else 0)
             yield pa.record_batch({"id": batch.column(0), "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "head": pa.array(head, pa.list_(pa.int64())), "stop": pa.array(stop, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -139,17 +140,8 @@ def promising(pairs: DataFrame, p: DataFrame, pct: int) -> DataFrame:
     return settle_table(both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(bounded, "a long, b long").distinct())
 
 
-def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` whose id may be among ``ids``: a map-side filter by a bit table of fixed size, before any shuffle."""
-    bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - ID_BITS)
-    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(id), {64 - ID_BITS}) & 63 as int))")
-    words = ids.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
-    table = settle(words)  # at most 2 ** (ID_BITS - 6) rows of two numbers
-    return rows.withColumn("word", word).join(F.broadcast(table), "word").where(F.col("bits").bitwiseAND(mask) != 0).drop("word", "bits")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, width: int, pct: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose sets reach the threshold, compared exactly."""
+    """The pairs (a, b) of document ids whose sets reach the threshold, compared exactly, by hashes of another seed than those that proposed them."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = only(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), ids).join(ids, "id", "left_semi")
     # a document of many pairs is compared in several groups, so a group has about GROUP texts, and its own text moves once per group
@@ -164,7 +156,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, width: int,
         group, sets = None, []
         for batch in batches:
             keep = []
-            sides = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_rows(batch.column(3), width))
+            sides = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), shingle_rows(batch.column(3), width, seed=1))
             for a, part, b, found in sides:
                 if group != (a, part):
                     group, sets = (a, part), []
@@ -214,40 +206,65 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     links = settle(verified(promising(star, p, pct), docs, text, key, width, pct))
     groups = connected_components(links.unionByName(by_id), "a", "b")
 
+    # groups opened for a document first answer with one member each: near copies that fell into several groups become one
+    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for _ in range(MERGE_ROUNDS):
+        placed = with_groups(held, groups, pct)
+        pairs = settle_table(one_member_pairs(placed, pct).join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        found = settle(verified(promising(pairs, p, pct), docs, text, key, width, pct))
+        tested = tested.unionByName(pairs)
+        if found.isEmpty():
+            break
+        links = settle(links.unionByName(found))
+        groups = connected_components(links.unionByName(by_id), "a", "b")
+    else:
+        placed = with_groups(held, groups, pct)
+    # then all members of the groups that are still opened are compared
+    pairs = member_pairs(placed, opened_groups(placed, pct).select("rep", "g"), pct).join(tested, ["a", "b"], "left_anti")
+    more = verified(promising(pairs, p, pct), docs, text, key, width, pct)
+    links = settle(links.unionByName(more))
+    final = connected_components(links.unionByName(by_id), "a", "b")
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    named = classes.join(final, classes["rep"] == final["node"], "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left")
+    # ids are nodes: rows that share an id also share a component
+    named = named.select("n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = p.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def with_groups(held: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
+    """Head tokens (token, rep, n, stop, reach, grp, pos, tokens, docs) of documents that may have a link in another group."""
     placed = held.drop("reach").join(groups, held["rep"] == groups["node"], "left").select("token", "pos", "rep", "n", "stop", F.coalesce("component", "rep").alias("grp"))
-    # from here on only tokens that several groups hold matter, and only documents that can reach a document of another group with them
+    # only tokens that several groups hold matter, and only documents that can reach a document of another group with them
     placed = settle_table(reachable(shared_by_groups(placed), pct))
     placed = settle_table(reachable(shared_by_groups(placed.drop("reach")), pct))
     # small groups ask large ones, so that a large group's members are not each held against every small group
     sizes = placed.groupBy("grp").agg(F.countDistinct("rep").alias("docs"))
-    placed = settle_table(merge_alike(placed).join(sizes, "grp"))
+    return settle_table(merge_alike(placed).join(sizes, "grp"))
+
+
+def opened_groups(placed: DataFrame, pct: int) -> DataFrame:
+    """(rep, g, lead): the groups opened for a document, and the first member of the most tokens that both hold."""
     # the matrix: token -> groups whose union holds it, with the sizes, reaches and least place met
-    met = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("stop").alias("stop_min"), F.max("stop").alias("stop_max"), F.max("reach").alias("g_reach"), F.max(F.col("n") - F.col("pos")).alias("g_rest")]
+    met = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("stop").alias("stop_min"), F.max("stop").alias("stop_max"), F.max("reach").alias("g_reach"), F.max(F.col("n") - F.col("pos")).alias("g_rest"), F.min("rep").alias("lead")]
     matrix = placed.groupBy("token", F.col("grp").alias("g"), F.col("docs").alias("g_docs")).agg(*met)
     enough = F.least(F.lit(DEPTH), need_column(F.col("n"), pct))
-    opened = (
+    hits = (
         placed.join(matrix, "token")
         .where(F.struct("docs", "grp") < F.struct("g_docs", "g"))
         .where((100 * F.col("n_max") >= pct * F.col("n")) & (100 * F.col("n") >= pct * F.col("n_min")) & can_meet("n", "stop", "reach", "n_min", "stop_min", "stop_max", "g_reach", pct))
         .where(early("n", "pos", "n_min", "g_rest", DEPTH, pct))
-        .groupBy("rep", "n", "g")
-        .agg(F.sum("tokens").alias("overlap"))
-        .where(F.col("overlap") >= enough)
-        .select("rep", "g")
-    )
-    pairs = (
-        member_pairs(placed, opened, pct)
-        .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = verified(promising(pairs, p, pct), docs, text, key, width, pct)
-    links = settle(links.unionByName(more))
-    final = connected_components(links.unionByName(by_id), "a", "b")
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    named = classes.join(final, classes["rep"] == final["node"], "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left")
-    # ids are nodes: rows that share an id also share a component
-    named = named.select("n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = p.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    by_lead = hits.groupBy("rep", "n", "g", "lead").agg(F.sum("tokens").alias("tokens"))
+    opened = by_lead.groupBy("rep", "n", "g").agg(F.sum("tokens").alias("overlap"), F.max(F.struct("tokens", "lead")).alias("most"))
+    return opened.where(F.col("overlap") >= enough).select("rep", "g", F.col("most.lead").alias("lead"))
+
+
+def one_member_pairs(placed: DataFrame, pct: int) -> DataFrame:
+    """(a, b): a document and one member of each group opened for it."""
+    return opened_groups(placed, pct).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
 
 def merge_alike(placed: DataFrame) -> DataFrame:

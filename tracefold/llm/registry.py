@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard, language_id, mixing, pii, quality_model, quality_rules, suffix_dedup, tokens
-from .base import id_remainder, sha256_hex, table
+from .base import id_remainder, sha256_hex, shared_folder, table
 from .sql import OP2, OP6, OP10
 
 END_ID = 2
@@ -20,17 +20,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder, which all executors share."""
-    import tempfile
-    import uuid
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracefold-"))
-    return f"{context.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
-
-
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("rest", id_remainder(F.col("doc_id"), 4))
     prototypes = language_id.train_prototypes(docs.where("rest <> 2"))

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import settle, settle_table
-from .wordhash import _BASE, _INVERSE, mix, slices, utf8
+from .wordhash import mix, slices, utf8
 
 GRAM = 48
 BLOCK = 256
 #: Items put in one collection, when several anchors share it.
 COLLECTION = 2048
+_BASE = 0x9E3779B97F4A7C17 | 3
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 _bytes = np.random.default_rng(20240401).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _pow: dict[str, np.ndarray] = {}
