@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -239,6 +240,30 @@ def test_components_of_made_up_near_copies(spark):
     assert got == brute.components(data)
 
 
+def test_words_of_like_polynomials_are_not_linked(spark):
+    """A Thue-Morse word and its complement have the same value under every polynomial mod 2 ** 64."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    df = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_components_of_families_and_a_common_passage(spark):
+    """Large groups of near copies whose members are not all alike, and many short texts with one passage."""
+    rng = np.random.default_rng(8)
+    data, base = [], [f"w{i}" for i in range(400)]
+    for family in range(3):
+        start = [f"f{family}x{i}" for i in range(120)]
+        for _ in range(40):
+            w = list(start)
+            for _ in range(int(rng.integers(0, 5))):
+                w[int(rng.integers(0, len(w)))] = str(rng.choice(base))
+            data.append((len(data), " ".join(w)))
+    passage = " ".join(f"p{i}" for i in range(24))
+    data += [(len(data) + i, f"{passage} " + " ".join(rng.choice(base, int(rng.integers(3, 14))))) for i in range(80)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute.components(data)
+
+
 def test_components_odd_rows(odd, none):
     got = jaccard.jaccard_components(odd).collect()
     assert len(got) == len(ODD_ROWS)
@@ -268,14 +293,26 @@ def test_personal_data_hard_texts(spark, odd, none):
     for r in df.select("text", pii.base_spans(F.coalesce("text", F.lit(""))).alias("s")).collect():
         assert [(s["kind"], s["start"], s["end"]) for s in r["s"]] == brute.personal(r["text"])
     assert pii.find_personal_data(odd).count() == len(ODD_ROWS)
+    clash = pii.find_personal_data(odd.withColumn("base", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("__row", F.lit(3)))
+    assert clash.columns == [*odd.columns, "__row", "base", "spans"] and clash.count() == len(ODD_ROWS)
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_personal_data_of_a_text_full_of_it(spark):
+    """The work grows with the matches of a text, not with their square."""
+    many = " ".join(f"+1 555 {i:07d} a{i}@b.c 10.0.{i % 300}.1 {i}" for i in range(20_000))
+    df = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    started = time.perf_counter()
+    (row,) = df.select(pii.base_spans(F.col("text")).alias("s")).collect()
+    assert time.perf_counter() - started < 60  # seconds; about 4 are needed, squared work takes many minutes
+    assert [(s["kind"], s["start"], s["end"]) for s in row["s"]] == brute.personal(many)
+
+
 def test_terms_that_disclose(spark):
     data = [(i, f"contact zorblax at zed@corp.org about item{chr(97 + i)} please") for i in range(6)]
     data += [(10 + i, f"please write about contact number {i} plain words") for i in range(40)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = pii.find_personal_data(df.withColumn("body", F.col("text")), text="text").join(df, "doc_id").select("doc_id", pii.joined(F.col("spans")).alias("s"), pii.sanitise(F.col("text"), F.col("spans")).alias("clean")).collect()
+    got = pii.find_personal_data(df.withColumn("body", F.col("text")), text="text").select("doc_id", pii.joined(F.col("spans")).alias("s"), pii.sanitise(F.col("text"), F.col("spans")).alias("clean")).collect()
     by = {r["doc_id"]: r for r in got}
     assert by[0]["s"] == "email:19:31,term:8:15" and by[0]["clean"] == "contact [TERM] at [EMAIL] about itema please"
     assert by[10]["s"] == ""
@@ -354,6 +391,14 @@ def test_pieces_encode_as_the_whole(text):
     assert e(text).tolist() == e.whole(text).tolist()
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", "<|endoftext| >", "  <|endoftext|>  a"])
+def test_added_tokens_encode_as_in_the_library(text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(registry.tokenizer_path())
+    assert tokens.encoder(registry.tokenizer_path())(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(0, 70_000), max_size=1500), st.data())
 @settings(max_examples=60, deadline=None)
 def test_wavelet_matrix(ids, data):

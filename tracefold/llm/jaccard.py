@@ -9,9 +9,9 @@
 3. Similar documents are partitioned into groups: every document is compared with the leading document of each
    token it holds, the one with the fewest tokens of its own, and what is linked becomes a group.
 4. The matrix holds, per token, the groups whose union has it. A document's overlap with a group's union bounds its
-   overlap with every member; a group is opened only if the bound reaches what a link needs. An opened group first
-   answers with one member; groups that link become one, and the matrix is made again of what is left. At last all
-   members that share one of the tokens that a link needs first are compared exactly, if their counts of tokens per bucket allow a link.
+   overlap with every member; a group is opened only if the bound reaches what a link needs. Its members that
+   share one of the tokens that a link needs first are compared exactly, if their counts of tokens per bucket allow a link.
+   Before that, each document asks one leading document of another group for a few rounds, and groups that link become one.
 5. The links of all rounds give the components.
 
 No step pairs up all members of a group: within a group nothing is left to find, because its members are connected.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import only, settle, settle_table
@@ -38,8 +39,8 @@ HOT_COUNT = 12
 DEPTH = 12
 #: The end of a head that is the whole set.
 LAST = (1 << 63) - 1
-#: Rounds in which an opened group answers with one member. They save comparisons, the last step compares all that is left.
-MERGE_ROUNDS = 4
+#: Rounds in which documents ask one leading document of another group. They save comparisons; the last step compares all that is left.
+MERGE_ROUNDS = 1
 #: Rows of one batch of profiles.
 PROFILE_ROWS = 1000
 #: Texts compared with one document in one group.
@@ -206,11 +207,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     links = settle(verified(promising(star, p, pct), docs, text, key, width, pct))
     groups = connected_components(links.unionByName(by_id), "a", "b")
 
-    # groups opened for a document first answer with one member each: near copies that fell into several groups become one
+    # near copies that fell into several groups become one first: each document asks the leading document of another group
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for _ in range(MERGE_ROUNDS):
         placed = with_groups(held, groups, pct)
-        pairs = settle_table(one_member_pairs(placed, pct).join(tested, ["a", "b"], "left_anti"))
+        pairs = settle_table(leading_pairs(placed, tested, pct))
         if pairs.isEmpty():
             break
         found = settle(verified(promising(pairs, p, pct), docs, text, key, width, pct))
@@ -222,7 +223,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     else:
         placed = with_groups(held, groups, pct)
     # then all members of the groups that are still opened are compared
-    pairs = member_pairs(placed, opened_groups(placed, pct).select("rep", "g"), pct).join(tested, ["a", "b"], "left_anti")
+    pairs = member_pairs(placed, opened_groups(placed, pct), pct).join(tested, ["a", "b"], "left_anti")
     more = verified(promising(pairs, p, pct), docs, text, key, width, pct)
     links = settle(links.unionByName(more))
     final = connected_components(links.unionByName(by_id), "a", "b")
@@ -245,26 +246,43 @@ def with_groups(held: DataFrame, groups: DataFrame, pct: int) -> DataFrame:
     return settle_table(merge_alike(placed).join(sizes, "grp"))
 
 
+def leading_pairs(placed: DataFrame, tested: DataFrame, pct: int) -> DataFrame:
+    """(a, b), at most one per document: the document and, of the leading documents of its tokens that are in another
+    group, the one of the most tokens that was not compared with it. A token has a leading document and one of another group."""
+    own = F.floor(1000 * (F.col("n") - F.col("reach")) / F.col("n")).alias("own")
+    lead = F.min(F.struct(own, "rep", "n", "stop", "reach", "grp"))
+    first = placed.groupBy("token").agg(lead.alias("first"))
+    asked = placed.join(first, "token")
+    second = asked.where("grp <> first.grp").groupBy("token").agg(lead.alias("second"))
+    asked = asked.join(second, "token").withColumn("lead", F.when(F.col("grp") == F.col("first.grp"), F.col("second")).otherwise(F.col("first")))
+    fits = (100 * F.least("lead.n", "n") >= pct * F.greatest("lead.n", "n")) & can_meet("n", "stop", "reach", "lead.n", "lead.stop", "lead.stop", "lead.reach", pct)
+    counts = asked.where(fits).select("rep", F.col("lead.rep").alias("lead"), "tokens").groupBy("rep", "lead").agg(F.sum("tokens").alias("tokens"))
+    counts = counts.withColumn("a", F.least("rep", "lead")).withColumn("b", F.greatest("rep", "lead")).join(tested, ["a", "b"], "left_anti")
+    best = counts.groupBy("rep").agg(F.max(F.struct("tokens", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
 def opened_groups(placed: DataFrame, pct: int) -> DataFrame:
-    """(rep, g, lead): the groups opened for a document, and the first member of the most tokens that both hold."""
+    """(rep, token, g): the groups opened for a document, with the tokens asked for that it shares with their unions."""
     # the matrix: token -> groups whose union holds it, with the sizes, reaches and least place met
-    met = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("stop").alias("stop_min"), F.max("stop").alias("stop_max"), F.max("reach").alias("g_reach"), F.max(F.col("n") - F.col("pos")).alias("g_rest"), F.min("rep").alias("lead")]
+    met = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("stop").alias("stop_min"), F.max("stop").alias("stop_max"), F.max("reach").alias("g_reach"), F.max(F.col("n") - F.col("pos")).alias("g_rest")]
     matrix = placed.groupBy("token", F.col("grp").alias("g"), F.col("docs").alias("g_docs")).agg(*met)
+    # a document and a group that a link needs share ``enough`` tokens, so those of most holders need not be asked for
     enough = F.least(F.lit(DEPTH), need_column(F.col("n"), pct))
+    commonest = W.partitionBy("rep").orderBy(F.col("holders").desc(), "token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    asked = placed.withColumn("upto", F.sum("tokens").over(commonest))
+    asked = asked.withColumn("unasked", F.coalesce(F.max(F.when(F.col("upto") < enough, F.col("upto"))).over(W.partitionBy("rep")), F.lit(0))).where(F.col("upto") >= enough)
     hits = (
-        placed.join(matrix, "token")
+        asked.join(matrix, "token")
         .where(F.struct("docs", "grp") < F.struct("g_docs", "g"))
         .where((100 * F.col("n_max") >= pct * F.col("n")) & (100 * F.col("n") >= pct * F.col("n_min")) & can_meet("n", "stop", "reach", "n_min", "stop_min", "stop_max", "g_reach", pct))
         .where(early("n", "pos", "n_min", "g_rest", DEPTH, pct))
+        .select("rep", "n", "stop", "reach", "pos", "token", "tokens", "g", "unasked")
     )
-    by_lead = hits.groupBy("rep", "n", "g", "lead").agg(F.sum("tokens").alias("tokens"))
-    opened = by_lead.groupBy("rep", "n", "g").agg(F.sum("tokens").alias("overlap"), F.max(F.struct("tokens", "lead")).alias("most"))
-    return opened.where(F.col("overlap") >= enough).select("rep", "g", F.col("most.lead").alias("lead"))
-
-
-def one_member_pairs(placed: DataFrame, pct: int) -> DataFrame:
-    """(a, b): a document and one member of each group opened for it."""
-    return opened_groups(placed, pct).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    hits = settle_table(hits)
+    opened = hits.groupBy("rep", "n", "g", "unasked").agg(F.sum("tokens").alias("overlap"))
+    opened = opened.where(F.col("overlap") + F.col("unasked") >= enough).select("rep", "g")
+    return hits.join(opened, ["rep", "g"], "left_semi")
 
 
 def merge_alike(placed: DataFrame) -> DataFrame:
@@ -275,17 +293,18 @@ def merge_alike(placed: DataFrame) -> DataFrame:
     """
     holders = placed.groupBy("token").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     merged = placed.join(holders, "token").groupBy("x", "c", "lo", "hi", "rep", "n", "stop", "reach", "grp").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("tokens"))
-    return merged.withColumn("token", F.xxhash64("x", "c", "lo", "hi")).drop("x", "c", "lo", "hi")
+    return merged.withColumn("token", F.xxhash64("x", "c", "lo", "hi")).withColumnRenamed("c", "holders").drop("x", "lo", "hi")
 
 
 def member_pairs(placed: DataFrame, opened: DataFrame, pct: int) -> DataFrame:
-    """(a, b): documents and members of the groups opened for them that share one of the tokens of which a link of their sizes has at least one."""
+    """(a, b): documents and members of the groups opened for them that share one of the tokens asked for of which a link of their sizes has at least one:
+    of the first ``unasked`` + 1 tokens that a link shares, at least one is asked for."""
     n, m = F.col("n"), F.col("m")
-    query = placed.join(opened, "rep").select("token", "pos", F.col("rep").alias("a"), "n", "stop", "reach", "g")
+    query = opened.select("token", "pos", F.col("rep").alias("a"), "n", "stop", "reach", "unasked", "g")
     member = placed.select("token", (n - F.col("pos")).alias("m_rest"), F.col("rep").alias("b"), n.alias("m"), F.col("stop").alias("m_stop"), F.col("reach").alias("m_reach"), F.col("grp").alias("g"))
     return (
         query.join(member, ["token", "g"])
-        .where((100 * F.least(n, m) >= pct * F.greatest(n, m)) & can_meet("n", "stop", "reach", "m", "m_stop", "m_stop", "m_reach", pct) & early("n", "pos", "m", "m_rest", 1, pct))
+        .where((100 * F.least(n, m) >= pct * F.greatest(n, m)) & can_meet("n", "stop", "reach", "m", "m_stop", "m_stop", "m_reach", pct) & early("n", "pos", "m", "m_rest", F.col("unasked") + 1, pct))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
@@ -323,7 +342,7 @@ def can_meet(n: str, stop: str, reach: str, m: str, stop_least: str, stop_most:
     return (100 + pct) * most >= pct * (n + m)
 
 
-def early(n: str, pos: str, m: str, m_rest: str, depth: int, pct: int):
+def early(n: str, pos: str, m: str, m_rest: str, depth, pct: int):
     """Whether a shared token is among the first places of both sets that hold ``depth`` of a link's shared tokens: what
     follows it in either set, itself included, and ``depth`` - 1 before it reach the overlap that sizes ``n`` and ``m`` need."""
     needed = F.floor(((F.col(n) + F.col(m)) * pct + 99 + pct) / (100 + pct))

@@ -145,7 +145,7 @@ class Encoder:
     """Ids of texts. Pieces that begin at a single space are encoded once and remembered.
 
     The tokenizer's splitting never crosses a space that follows a non-space, so pieces can be encoded apart;
-    texts with two spaces in a row are encoded whole. New pieces are encoded joined together and cut apart again by the
+    texts with two spaces in a row, and texts with an added token such as an end mark, are encoded whole. New pieces are encoded joined together and cut apart again by the
     number of bytes each id stands for. The first ``LIMIT`` pieces stay; later ones are forgotten after their text.
     """
 
@@ -156,7 +156,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that contain an added token go to the library whole, which sets it apart
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # in a byte-level vocabulary every character stands for one byte
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
@@ -200,7 +201,7 @@ class Encoder:
         self.used, self.count = end, self.count + len(cuts)
 
     def __call__(self, text: str) -> np.ndarray:
-        if not text or "  " in text:
+        if not text or "  " in text or any(a in text for a in self.added):
             return self.whole(text) if text else np.zeros(0, np.uint32)
         keys = text.split(" ")
         keys[0] = " " + keys[0]
