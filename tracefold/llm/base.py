@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 #: Bits of the table that ``only`` broadcasts: 2 ** 22, 65,536 words of 64 bits.
 ID_BITS = 22
+#: Rows of one Arrow batch of texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,13 @@ def shared_folder(spark: SparkSession, kind: str = "shards") -> str:
     return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: texts are long, and JVM and Python hold a batch several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, which outlives any executor."""
     shared_root(df.sparkSession)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bounded_batches
 from .tokens import encoder
 
 _ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
@@ -116,6 +117,7 @@ def format_chats(rows: DataFrame, tokenizer: str, loss_role: str = "assistant")
         if ready:
             yield encoded(ready)
 
+    bounded_batches(rows.sparkSession)
     x = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id")
     x = x.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return x.mapInArrow(chats, "conv_id long, n_turns long, formatted string, ids array<int>, loss array<boolean>, text_spans array<bigint>")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import bounded_batches
 from .wordhash import _mixers, mix, slices, utf8, word_hashes
 
 RADIUS = 11
@@ -233,6 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     by one, so repeated rows repeat; a column named ``matches`` is replaced. Items are read in blocks of
     ``ITEMS_PER_SCAN``, one scan of the documents each, so what is sent to executors is bounded.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     blocks = max(1, -(-items.count() // ITEMS_PER_SCAN))
     kept = docs.drop(*[c for c in ("matches", "__text") if c != text])

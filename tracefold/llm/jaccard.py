@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import only, settle, settle_table
+from .base import bounded_batches, only, settle, settle_table
 from .components import connected_components
 from .wordhash import mix, shingle_pairs, shingle_rows
 
@@ -179,6 +179,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     classes found linked with this one while the groups were built and opened. A text without words has no set, is linked with nothing and is its own component.
     Rows that share an id are one node; a row without id gets its set's size and the component of its equals, if any has an id. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     p = profiles(docs, text, key, width, pct)
     classes = p.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     member = p.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct()

@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .base import bounded_batches
 
 DIMENSIONS = 1024
 _BREAK = 32
@@ -103,6 +106,7 @@ def train_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", di
             # whole numbers, so that the order of summing does not matter
             yield pa.record_batch({"lang": [name] * dims, "place": np.arange(dims, dtype=np.int32), "total": np.rint(total * 1e6).astype(np.int64)})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
     sums = rows.mapInArrow(bundle, "lang string, place int, total long").groupBy("lang", "place").agg(F.sum("total").alias("total"))
     out: dict[str, np.ndarray] = {}
@@ -117,6 +121,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     Null texts, texts without a letter and an empty set of prototypes give ``und`` and 0. Equal cosines go to the
     first language by name. Repeated rows are rows; columns named like an output are replaced.
     """
+    bounded_batches(docs.sparkSession)
     names = list(prototypes)
     matrix = np.stack([prototypes[k] for k in names], axis=1) if names else np.zeros((dims, 0), np.float32)
 
@@ -135,8 +140,6 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                 names=[*rest, "lang_pred", "score"],
             )
 
-    from pyspark.sql import types as T
-
     kept = docs.drop(*[c for c in ("lang_pred", "score", "__text") if c != text])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return kept.withColumn("__text", F.col(text)).mapInArrow(predict, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import settle, settle_table
+from .base import bounded_batches, settle, settle_table
 from .wordhash import mix, slices, utf8, word_hashes
 
 DIMS = 64
@@ -167,6 +167,7 @@ def sample_labels(labels: DataFrame, label: str = "quality", key: str = "doc_id"
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = MAX_ROWS) -> QualityModel:
     """Fits on at most ``max_rows`` rows that have a label. Without any, every score will be 0.5."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"), F.xxhash64(F.col(key), F.lit(1)).alias("rank"))
     rows = rows.orderBy("rank", F.xxhash64("text"), "label").limit(max_rows).repartition(F.col("rank"))
     rows = settle_table(rows)  # read twice below
@@ -203,6 +204,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
     Null and empty texts are scored from zero features. Repeated rows are rows; columns named like an output are
     replaced.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.drop(*[c for c in ("score", "predicted", "__text") if c != text])
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIMS floats: 8 MB

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle, settle_table
+from .base import bounded_batches, settle, settle_table
 from .wordhash import mix, slices, utf8
 
 GRAM = 48
@@ -247,6 +247,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     bytes of UTF-8; null texts are empty; repeated rows repeat each other and so go entirely if they are long enough. Columns named
     like an output are replaced.
     """
+    bounded_batches(docs.sparkSession)
     outputs = ["kept", "spans", "n_bytes", "n_removed", "n_spans"]
     kept = docs.drop(*[c for c in (*outputs, "marks", "t") if c != text])
     joined = kept.withColumn("t", F.xxhash64(text)).join(repeated_spans(docs, text, length), "t", "left").withColumn("__text", F.col(text)).drop("t")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .base import bounded_batches
+
 BLOCK = 512
 SHARD_TOKENS = 1 << 20
 _MAGIC = b"WMX1"
@@ -276,6 +278,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, tex
             yield emit()
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     rows = rows.repartitionByRange(n, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"))
