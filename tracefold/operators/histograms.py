@@ -22,23 +22,29 @@ def expand(points: DataFrame, *keys: str, le: float | None = None) -> DataFrame:
     return x if le is None else x.where(F.col("le") == le)
 
 
+def _summed(points: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, le, n): counts summed by place; the longest bounds hold for all, of equally long ones the largest."""
+    bounds = points.groupBy(*keys).agg(F.max(F.struct(F.size("explicit_bounds").alias("k"), "explicit_bounds")).alias("b"))
+    counts = points.select(*keys, F.posexplode("bucket_counts").alias("pos", "n")).groupBy(*keys, "pos").agg(F.sum("n").alias("n"))
+    return counts.join(bounds, list(keys)).select(*keys, "pos", F.coalesce(F.get("b.explicit_bounds", F.col("pos")), F.lit(float("inf"))).alias("le"), "n")
+
+
 def merge(points: DataFrame, *keys: str) -> DataFrame:
     """Element-wise sum of bucket counts; the longest bounds hold."""
-    summed = bucket_rows(points, *keys).groupBy(*keys, "pos").agg(F.max("le").alias("le"), F.sum("n").alias("n"))
     rows = F.array_sort(F.collect_list(F.struct("pos", "le", "n")))
-    return summed.groupBy(*keys).agg(rows.alias("b")).select(*keys, F.col("b.n").alias("bucket_counts"), F.filter("b.le", lambda x: x != float("inf")).alias("explicit_bounds"))
+    return _summed(points, *keys).groupBy(*keys).agg(rows.alias("b")).select(*keys, F.col("b.n").alias("bucket_counts"), F.filter("b.le", lambda x: x != float("inf")).alias("explicit_bounds"))
 
 
 def quantile(points: DataFrame, q: float, *keys: str) -> DataFrame:
-    """Linear within the bucket that holds the rank; the mean above the last bound; 0 without counts. Points are deltas."""
-    summed = bucket_rows(points, *keys).where(F.col("le") != float("inf")).groupBy(*keys, "pos", "le").agg(F.sum("n").alias("n"))
+    """Linear within the bucket that holds the rank, its lower bound if that is empty; the mean above the last bound; 0 without counts. Points are deltas."""
+    summed = _summed(points, *keys).where(F.col("le") != float("inf"))
     means = points.groupBy(*keys).agg(F.sum("value").alias("total"), F.sum("count").alias("points"))
     w = W.partitionBy(*keys).orderBy("pos")
     x = summed.withColumn("upto", F.sum("n").over(w)).withColumn("low", F.coalesce(F.lag("le").over(w), F.lit(0.0))).join(means, list(keys))
     x = x.withColumn("rank", F.col("points") * q)
-    hit = x.where((F.col("upto") >= F.col("rank")) & (F.col("n") > 0)).groupBy(*keys).agg(F.min(F.struct("pos", "le", "low", "n", "upto", "rank")).alias("h"))
+    hit = x.where(F.col("upto") >= F.col("rank")).groupBy(*keys).agg(F.min(F.struct("pos", "le", "low", "n", "upto", "rank")).alias("h"))
     h = F.col("h")
-    inside = h["low"] + (h["le"] - h["low"]) * (h["rank"] - (h["upto"] - h["n"])) / h["n"]
+    inside = F.when(h["n"] == 0, h["low"]).otherwise(h["low"] + (h["le"] - h["low"]) * (h["rank"] - (h["upto"] - h["n"])) / h["n"])
     out = means.join(hit, list(keys), "left")
     return out.select(*keys, F.when(F.col("points") == 0, 0.0).when(h.isNotNull(), inside).otherwise(F.col("total") / F.col("points")).alias("value"))
 

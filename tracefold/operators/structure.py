@@ -6,27 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROUNDS = 20
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once: checkpointed where the cluster names a shared folder, else kept by the executors."""
+    context = df.sparkSession.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if context.getCheckpointDir() is None and shared:
+        context.setCheckpointDir(shared)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
 
-def closure(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(trace_id, ancestor, descendant, distance) by doubling distances; ``rounds`` ends it on cycles.
 
-    Only a count of new pairs reaches the driver. Rounds are checkpointed where a checkpoint folder is set.
+def closure(spans: DataFrame, below: DataFrame | None = None) -> DataFrame:
+    """(trace_id, ancestor, descendant, distance), for the spans ``below`` only if these are given.
+
+    Each round doubles the distance covered: pairs are led on by a table of each span's ancestor that far up. Every
+    pair is kept once, at its least distance, and no span is its own ancestor, so loops of parents end as trees do: when a round finds nothing new.
     """
-    ids = spans.select("trace_id", F.col("span_id").alias("ancestor"))
-    out = spans.where("parent_span_id <> ''").select("trace_id", F.col("parent_span_id").alias("ancestor"), F.col("span_id").alias("descendant"), F.lit(1).alias("distance")).join(ids, ["trace_id", "ancestor"], "left_semi")
-    reach = 1
-    for _ in range(rounds):
-        upper = out.where(F.col("distance") == reach)
-        lower = out.select("trace_id", F.col("ancestor").alias("middle"), F.col("descendant").alias("below"), F.col("distance").alias("more"))
-        new = upper.join(lower, (upper["trace_id"] == lower["trace_id"]) & (upper["descendant"] == lower["middle"])).select(upper["trace_id"], upper["ancestor"], F.col("below").alias("descendant"), (F.col("distance") + F.col("more")).alias("distance"))
-        if spans.sparkSession.sparkContext.getCheckpointDir():
-            new = new.checkpoint()
+    named = spans.where("parent_span_id <> '' and parent_span_id <> span_id").select("trace_id", "span_id", "parent_span_id")
+    up = _settled(named.join(spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct(), ["trace_id", "parent_span_id"], "left_semi"))
+    jump = up.select("trace_id", F.col("span_id").alias("ancestor"), F.col("parent_span_id").alias("further"))
+    out = up if below is None else up.join(below.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"], "left_semi")
+    out = out.select("trace_id", F.col("parent_span_id").alias("ancestor"), F.col("span_id").alias("descendant"), F.lit(1).alias("distance"))
+    step = 1
+    while True:
+        led = out.join(jump, ["trace_id", "ancestor"]).where("further <> descendant")
+        new = led.groupBy("trace_id", F.col("further").alias("ancestor"), "descendant").agg((F.min("distance") + step).alias("distance"))
+        new = _settled(new.join(out, ["trace_id", "ancestor", "descendant"], "left_anti"))
         if new.isEmpty():
-            break
-        out, reach = out.unionByName(new), reach * 2
-    return out
+            return out
+        out = out.unionByName(new)
+        on = jump.select("trace_id", F.col("ancestor").alias("further"), F.col("further").alias("beyond"))
+        jump = _settled(jump.join(on, ["trace_id", "further"]).select("trace_id", "ancestor", F.col("beyond").alias("further")))
+        step *= 2
 
 
 def _ids(df: DataFrame, name: str) -> DataFrame:

@@ -126,7 +126,7 @@ _s("t07_operations", lambda s: tr.operations(s, "supplier-3"), "SELECT DISTINCT
 _s("t08_service_dependencies", tr.dependencies, "SELECT p.service AS parent, c.service AS child, count(*) AS calls FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.service <> c.service GROUP BY 1, 2")
 _s("t09_co_occurrence", tr.co_occurrence, "SELECT a.service AS service_a, b.service AS service_b, count(*) AS n_traces FROM (SELECT DISTINCT trace_id, service FROM spans) a JOIN (SELECT DISTINCT trace_id, service FROM spans) b ON a.trace_id = b.trace_id AND a.service < b.service GROUP BY 1, 2")
 _UP = "up AS (SELECT trace_id, parent_span_id AS a, span_id AS b, 1 AS d FROM spans WHERE parent_span_id <> '' UNION ALL SELECT up.trace_id, s.parent_span_id, up.b, up.d + 1 FROM up JOIN spans s ON s.trace_id = up.trace_id AND s.span_id = up.a WHERE s.parent_span_id <> '')"
-_s("t10_descendants", lambda s: st.descendants(st.closure(s), s.where(_server() & _error()), s.where(F.col("kind") == "Producer")), "SELECT up.trace_id, a, b FROM up JOIN spans x ON x.trace_id = up.trace_id AND x.span_id = a JOIN spans y ON y.trace_id = up.trace_id AND y.span_id = b WHERE x.kind = 'Server' AND x.status_code = 'Error' AND y.kind = 'Producer'", _UP, recursive=True)
+_s("t10_descendants", lambda s: st.descendants(st.closure(s, s.where(F.col("kind") == "Producer")), s.where(_server() & _error()), s.where(F.col("kind") == "Producer")), "SELECT up.trace_id, a, b FROM up JOIN spans x ON x.trace_id = up.trace_id AND x.span_id = a JOIN spans y ON y.trace_id = up.trace_id AND y.span_id = b WHERE x.kind = 'Server' AND x.status_code = 'Error' AND y.kind = 'Producer'", _UP, recursive=True)
 _s("t11_children", lambda s: st.children(s.where(_client()), s.where(_server() & _error())), "SELECT c.trace_id, p.span_id AS a, c.span_id AS b FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.kind = 'Client' AND c.kind = 'Server' AND c.status_code = 'Error'")
 _s("t12_siblings", lambda s: st.siblings(s.where(F.col("name") == "SELECT part"), s.where(F.col("kind") == "Producer")), "SELECT x.trace_id, x.span_id AS a, y.span_id AS b FROM spans x JOIN spans y ON x.trace_id = y.trace_id AND x.parent_span_id = y.parent_span_id AND x.span_id <> y.span_id WHERE x.name = 'SELECT part' AND y.kind = 'Producer'")
 _s("t13_not_child", lambda s: st.not_related(st.children(s.where(_server() & _error()), s.where(F.col("kind") == "Producer")), s.where(_server() & _error()), s.where(F.col("kind") == "Producer")), "SELECT x.trace_id, x.span_id AS a, y.span_id AS b FROM spans x JOIN spans y ON x.trace_id = y.trace_id AND y.parent_span_id <> x.span_id WHERE x.kind = 'Server' AND x.status_code = 'Error' AND y.kind = 'Producer'")
@@ -248,15 +248,14 @@ _add("l20_logs_of_traces", lambda spark, d: lg.of_spans(fx.logs(spark, d), fx.sp
 _counts = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 _BK = " || ',' || ".join(f"count(CASE WHEN dur_us / 1000 > {lo} AND dur_us / 1000 <= {hi} THEN 1 END)" for lo, hi in zip(["'-inf'::DOUBLE", *ge.LATENCY_BOUNDS_MS], ge.LATENCY_BOUNDS_MS))
 _s("w01_red_metrics", lambda s: ge.red_metrics(s, DAY).withColumn("bucket_counts", _counts("bucket_counts")), f"SELECT app_id, service, name, kind, status_code, start_us // {DAY} * {DAY} AS t, count(*) AS calls, sum(dur_us)::BIGINT AS latency_us, {_BK} AS bucket_counts FROM spans GROUP BY ALL")
-_EDGE = "ed AS (SELECT *, CASE WHEN db_system IS NOT NULL THEN 'database' WHEN msg_system IS NOT NULL THEN 'messaging_system' ELSE '' END AS connection, coalesce(db_name, CASE WHEN msg_system IS NOT NULL THEN 'kafka/orders' END, 'unknown') AS other FROM spans)"
-_edges = lambda s: ge.edges(s, ge.database_peer(), ge.messaging_peer(), F.lit(None).cast("string"))
-_s("w02_service_graph", lambda s: ge.service_graph(_edges(s), DAY), f"SELECT CASE WHEN kind = 'Server' THEN other ELSE service END AS client, CASE WHEN kind = 'Server' THEN service ELSE other END AS server, connection, start_us // {DAY} * {DAY} AS t, count(*) AS requests, count_if(status_code = 'Error')::BIGINT AS failed, sum(CASE WHEN kind <> 'Server' THEN dur_us ELSE 0 END)::BIGINT AS client_us, sum(CASE WHEN kind = 'Server' THEN dur_us ELSE 0 END)::BIGINT AS server_us, sum(coalesce(msg_size, 0))::BIGINT AS message_bytes FROM ed GROUP BY ALL", _EDGE)
+_PEERS = "pe AS MATERIALIZED (SELECT x.*, CASE WHEN x.db_system IS NOT NULL THEN x.db_name WHEN x.msg_system IS NOT NULL THEN 'kafka/orders' WHEN x.kind = 'Client' THEN s.service ELSE c.service END AS peer, CASE WHEN x.db_system IS NOT NULL THEN 'db_attribute' WHEN x.msg_system IS NOT NULL THEN 'messaging_attribute' WHEN coalesce(s.service, c.service) IS NOT NULL THEN 'paired' WHEN x.kind = 'Client' OR (x.kind = 'Server' AND x.parent_span_id <> '') THEN 'expired' END AS peer_source FROM spans x LEFT JOIN (SELECT trace_id, parent_span_id, service, start_us FROM spans WHERE kind = 'Server') s ON x.kind = 'Client' AND x.db_system IS NULL AND s.trace_id = x.trace_id AND s.parent_span_id = x.span_id AND abs(s.start_us - x.start_us) <= 10000000 LEFT JOIN (SELECT trace_id, span_id, service, start_us FROM spans WHERE kind = 'Client' AND db_system IS NULL) c ON x.kind = 'Server' AND c.trace_id = x.trace_id AND c.span_id = x.parent_span_id AND abs(c.start_us - x.start_us) <= 10000000)"
+_s("w02_service_graph", lambda s: ge.service_graph(ge.edges(ge.pair_peers(s), F.col("peer")), DAY), f"SELECT app_id, CASE WHEN kind = 'Server' THEN peer ELSE service END AS client, CASE WHEN kind = 'Server' THEN service ELSE peer END AS server, CASE WHEN msg_system IS NOT NULL THEN 'messaging_system' WHEN db_system IS NOT NULL THEN 'database' ELSE 'unset' END AS connection, start_us // {DAY} * {DAY} AS t, count_if(kind <> 'Client')::BIGINT AS requests, count_if(kind <> 'Client' AND status_code = 'Error')::BIGINT AS failed, sum(CASE WHEN kind = 'Client' THEN dur_us ELSE 0 END)::BIGINT AS client_us, sum(CASE WHEN kind = 'Server' THEN dur_us ELSE 0 END)::BIGINT AS server_us, sum(CASE WHEN kind = 'Producer' THEN dur_us ELSE 0 END)::BIGINT AS message_us, sum(CASE WHEN kind <> 'Client' THEN coalesce(msg_size, 0) ELSE 0 END)::BIGINT AS message_bytes FROM pe WHERE peer IS NOT NULL GROUP BY ALL", _PEERS)
 _CALLS = f"cl AS (SELECT service, kind, start_us // {TSTEP} * {TSTEP} AS t, count(*) AS calls FROM spans GROUP BY ALL)"
 _calls = lambda s: ge.red_metrics(s, TSTEP).groupBy("service", "kind", "t").agg(F.sum("calls").alias("calls"))
 _s("w04_cumulative", lambda s: ge.cumulative(_calls(s), ["service", "kind"], "calls"), "SELECT service, kind, t, sum(calls) OVER (PARTITION BY service, kind ORDER BY t)::BIGINT AS calls FROM cl", _CALLS)
 _s("w05_evict_stale", lambda s: ge.evict_stale(ge.red_metrics(s, DAY).select("app_id", "service", "name", "t", "calls"), ["app_id", "service", "name"], T1, 5, DAY).groupBy("app_id", "service", "name").agg(F.sum("calls").alias("calls")), f"SELECT app_id, service, name, count(*) AS calls FROM spans GROUP BY 1, 2, 3 HAVING max(start_us // {DAY} * {DAY}) >= {T1 - 5 * DAY}")
 _s("w06_limit_series", lambda s: ge.limit_series(_calls(s), ["service", "kind"], 9), "SELECT cl.* FROM cl JOIN (SELECT service, kind, min(t) AS f FROM cl GROUP BY 1, 2 ORDER BY f, service, kind LIMIT 9) USING (service, kind)", _CALLS)
-_s("w07_pair_peers", ge.pair_peers, "SELECT c.trace_id, c.span_id, c.service, c.kind, coalesce(c.db_name, CASE WHEN c.msg_system IS NOT NULL THEN 'kafka/orders' END, s.service) AS peer, CASE WHEN c.db_name IS NOT NULL OR c.msg_system IS NOT NULL THEN 'attributes' WHEN s.service IS NOT NULL THEN 'paired' ELSE 'expired' END AS peer_source FROM spans c LEFT JOIN spans s ON s.trace_id = c.trace_id AND s.parent_span_id = c.span_id AND s.kind = 'Server' WHERE c.kind IN ('Client', 'Producer')")
+_s("w07_pair_peers", lambda s: ge.pair_peers(s).select("trace_id", "span_id", "service", "kind", "peer", "peer_source"), "SELECT trace_id, span_id, service, kind, peer, peer_source FROM pe", _PEERS)
 _s("w08_database_peer", lambda s: s.where(ge.database_peer().isNotNull()).groupBy(ge.database_peer().alias("peer")).agg(F.count(F.lit(1)).alias("n")), "SELECT db_name AS peer, count(*) AS n FROM spans WHERE db_system IS NOT NULL GROUP BY 1")
 _s("w09_messaging_peer", lambda s: s.where(ge.messaging_peer().isNotNull()).groupBy(ge.messaging_peer().alias("peer")).agg(F.count(F.lit(1)).alias("n")), "SELECT 'kafka/orders' AS peer, count(*) AS n FROM spans WHERE msg_system IS NOT NULL GROUP BY 1")
 _add("w10_enrich_by_token", lambda spark, d: ge.enrich_by_token(fx.logs(spark, d).select("log_id", F.concat(F.lit("tok"), F.col("attributes")["user_id"].cast("long") % 7).alias("token")), fx.read(spark, d, "nation").where("n_nationkey < 5").select(F.concat(F.lit("tok"), "n_nationkey").alias("token"), F.col("n_name").alias("app"))), "SELECT log_id, n_name AS app FROM logs JOIN nation ON n_nationkey = user_id % 7 WHERE n_nationkey < 5", fx.LOGS_SQL)

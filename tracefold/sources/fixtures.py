@@ -113,7 +113,7 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPANS_SQL = """
 li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS ln FROM lineitem),
 j AS (SELECT *, epoch_us(o_orderdate) AS t0, o_orderkey || '_' || ln AS k, 'supplier-' || (l_suppkey % 10) AS svc, CASE WHEN l_returnflag = 'R' THEN 'Error' ELSE 'Ok' END AS st, 'app-' || (o_custkey % 5) AS app FROM li JOIN orders ON l_orderkey = o_orderkey),
-spans AS (
+spans AS MATERIALIZED (
  SELECT 't' || o_orderkey AS trace_id, 'o' || o_orderkey AS span_id, '' AS parent_span_id, 'POST /' || o_orderpriority AS name, 'Server' AS kind, 'gateway' AS service, epoch_us(o_orderdate) AS start_us, floor(o_totalprice)::BIGINT AS dur_us,
   CASE WHEN o_orderstatus = 'P' THEN 'Error' ELSE 'Ok' END AS status_code, 'app-' || (o_custkey % 5) AS app_id, 'POST' AS http_method, NULL AS db_system, NULL AS db_name, NULL AS msg_system, NULL::BIGINT AS msg_size FROM orders
  UNION ALL SELECT 't' || o_orderkey, 'c' || k, 'o' || o_orderkey, 'CALL supplier', 'Client', 'gateway', t0 + ln * 1000, floor(l_extendedprice / 10)::BIGINT, st, app, 'GET', NULL, NULL, NULL, NULL FROM j

@@ -34,23 +34,32 @@ def red_metrics_stream(spans: DataFrame, step: str = "15 seconds", late: str = "
     return g.select("app_id", "service", "name", "kind", "status_code", F.unix_micros("w.start").alias("t"), "calls", "latency_us", "bucket_counts")
 
 
-def edges(spans: DataFrame, database: Column, messaging: Column, peer: Column) -> DataFrame:
-    """Service-graph edges of a span: client and server by kind, connection type by what it talks to."""
-    kind = F.col("kind")
-    connection = F.when(database.isNotNull(), "database").when(messaging.isNotNull() | kind.isin("Producer", "Consumer"), "messaging_system").otherwise("")
-    other = F.coalesce(database, messaging, peer, F.lit("unknown"))
-    x = spans.where(kind.isin("Client", "Producer", "Server", "Consumer")).withColumn("connection", connection).withColumn("other", other)
+def edges(spans: DataFrame, peer: Column) -> DataFrame:
+    """Service-graph edges of spans that have a ``peer``: client and server by kind, and what connects them."""
+    kind, a = F.col("kind"), F.col("attributes")
+    filled = lambda c: F.nullif(c, F.lit(""))
+    database = F.coalesce(*[filled(a[k]) for k in ("db.system", "db.name", "db.redis.database_index")], filled(F.col("resource")["db.system"]))
+    connection = F.when(filled(a["messaging.system"]).isNotNull(), "messaging_system").when(database.isNotNull(), "database").otherwise(F.coalesce(filled(a["rpc.system"]), F.lit("unset")))
+    x = spans.withColumn("other", filled(peer)).where(kind.isin("Client", "Producer", "Server", "Consumer") & F.col("other").isNotNull() & (F.col("service") != ""))
     outgoing = kind.isin("Client", "Producer")
-    return x.withColumn("client", F.when(outgoing, F.col("service")).otherwise(F.col("other"))).withColumn("server", F.when(outgoing, F.col("other")).otherwise(F.col("service"))).drop("other")
+    x = x.withColumn("connection", connection).withColumn("client", F.when(outgoing, F.col("service")).otherwise(F.col("other")))
+    return x.withColumn("server", F.when(outgoing, F.col("other")).otherwise(F.col("service"))).drop("other")
 
 
 def service_graph(edge_rows: DataFrame, step_us: int = FLUSH_US) -> DataFrame:
-    """Requests, failures, client and server time and message bytes per edge and window."""
-    kind = F.col("kind")
-    size = F.col("attributes")["messaging.message_body_size"].try_cast("bigint")
-    return edge_rows.groupBy("client", "server", "connection", _window(step_us)).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status_code") == "Error").alias("failed"), F.sum(F.when(kind.isin("Client", "Producer"), F.col("dur_us")).otherwise(0)).alias("client_us"),
-        F.sum(F.when(kind.isin("Server", "Consumer"), F.col("dur_us")).otherwise(0)).alias("server_us"), F.sum(F.coalesce(size, F.lit(0))).alias("message_bytes"),
+    """Requests, failures, times and message bytes per app, edge and window.
+
+    A call is seen from both ends: the server's end counts the request, the client's gives its time only. Producers count, because the
+    way to the broker and the way from it are edges of their own; times of messaging spans are kept apart.
+    """
+    kind, us = F.col("kind"), F.col("dur_us")
+    counts = kind.isin("Server", "Consumer", "Producer")
+    message = (kind == "Producer") | (counts & (F.col("connection") == "messaging_system"))
+    size = F.coalesce(*[F.col("attributes")[k] for k in ("messaging.message.body.size", "messaging.message_body_size")]).try_cast("bigint")
+    total = lambda when, value: F.sum(F.when(when, value).otherwise(0))
+    return edge_rows.groupBy("app_id", "client", "server", "connection", _window(step_us)).agg(
+        F.count_if(counts).alias("requests"), F.count_if(counts & (F.col("status_code") == "Error")).alias("failed"), total(kind == "Client", us).alias("client_us"),
+        total(counts & ~message, us).alias("server_us"), total(message, us).alias("message_us"), total(counts, F.coalesce(size, F.lit(0))).alias("message_bytes"),
     )
 
 
@@ -80,33 +89,42 @@ def database_peer() -> Column:
 
 
 def messaging_peer() -> Column:
-    a = F.col("attributes")
-    address = F.concat_ws(":", a["server.address"], a["server.port"])
-    parts = F.array(a["messaging.system"], F.nullif(address, F.lit("")), a["messaging.destination_name"])
-    return F.when(a["messaging.system"].isNotNull(), F.array_join(parts, "/"))
+    """[system/][address[:port]/]destination; null without a destination."""
+    first = lambda *keys: F.coalesce(*[F.nullif(F.col("attributes")[k], F.lit("")) for k in keys])
+    destination = first("messaging.destination.name", "messaging.destination", "messaging.destination_name")
+    address, port = first("server.address", "net.peer.name", "network.peer.address"), first("server.port")
+    address = F.when(port.try_cast("int") > 0, F.concat(address, F.lit(":"), port)).otherwise(address)
+    return F.when(destination.isNotNull(), F.concat_ws("/", first("messaging.system"), address, destination))
 
 
 def pair_peers(spans: DataFrame, within_us: int = 10_000_000) -> DataFrame:
-    """Client spans with the service of the server span they called, and where that came from.
+    """``spans`` with ``peer`` and ``peer_source``; every span stays.
 
-    A server span belongs to the client whose id is its parent, in the same trace and within the time; of several the
-    latest counts. Clients without one keep their database or messaging peer, or are ``expired``.
+    Database clients and messaging spans take their peer from their attributes. Another client is paired with the first server span
+    that names it as parent, in the same trace and within the time, and that server with it; each is ``expired`` without
+    the other. Root servers, root consumers and internal spans have neither.
     """
-    client = spans.where(F.col("kind").isin("Client", "Producer")).withColumn("own", F.coalesce(database_peer(), messaging_peer()))
-    server = spans.where(F.col("kind").isin("Server", "Consumer") & (F.col("parent_span_id") != "")).select("trace_id", F.col("parent_span_id").alias("span_id"), F.col("service").alias("callee"), F.col("start_us").alias("at"))
-    newest = server.groupBy("trace_id", "span_id").agg(F.max_by("callee", F.struct("at", "callee")).alias("callee"), F.max("at").alias("at"))
-    x = client.join(newest, ["trace_id", "span_id"], "left")
-    near = F.abs(F.col("at") - F.col("start_us")) <= within_us
-    peer = F.coalesce("own", F.when(near, F.col("callee")))
-    source = F.when(F.col("own").isNotNull(), "attributes").when(near, "paired").otherwise("expired")
-    return x.select("trace_id", "span_id", "service", "kind", peer.alias("peer"), source.alias("peer_source"))
+    kind, child = F.col("kind"), F.coalesce(F.col("parent_span_id"), F.lit("")) != ""
+    client = spans.where((kind == "Client") & database_peer().isNull()).select("trace_id", "span_id", F.col("service").alias("caller"), F.col("start_us").alias("sent"))
+    server = spans.where((kind == "Server") & child).select("trace_id", F.col("parent_span_id").alias("span_id"), F.struct(F.col("start_us").alias("at"), F.col("span_id").alias("id"), F.col("service").alias("callee")).alias("first"))
+    near = client.join(server, ["trace_id", "span_id"]).where(F.abs(F.col("first.at") - F.col("sent")) <= within_us)
+    pairs = near.groupBy("trace_id", "span_id", "caller").agg(F.min("first").alias("first"))
+    # both ends of a pair, with what each gets from the other
+    ends = pairs.select("trace_id", F.explode(F.array(F.struct("span_id", F.col("first.callee").alias("paired")), F.struct(F.col("first.id").alias("span_id"), F.col("caller").alias("paired")))).alias("e")).select("trace_id", "e.*")
+    x = spans.join(ends, ["trace_id", "span_id"], "left")
+    database, messaging = database_peer(), messaging_peer()
+    by_message = (kind == "Producer") | ((kind == "Consumer") & child)
+    waits = ((kind == "Client") & database.isNull()) | ((kind == "Server") & child)
+    peer = F.when(kind == "Client", F.coalesce(database, F.col("paired"))).when(by_message, messaging).when(waits, F.col("paired"))
+    source = F.when((kind == "Client") & database.isNotNull(), "db_attribute").when(by_message & messaging.isNotNull(), "messaging_attribute").when(waits & F.col("paired").isNotNull(), "paired").when(waits, "expired")
+    return x.withColumn("peer", peer).withColumn("peer_source", source).drop("paired")
 
 
 def pair_peers_stream(spans: DataFrame, late: str = "30 seconds", within: str = "10 seconds") -> DataFrame:
-    """The streaming form: a full outer join of two watermarked streams on ids and time."""
+    """The streaming form for clients and servers that wait for each other: a full outer join of two watermarked streams on ids and time."""
     x = spans.withColumn("ts", F.timestamp_micros("start_us"))
-    client = x.where(F.col("kind").isin("Client", "Producer")).select(F.col("trace_id").alias("c_trace"), F.col("span_id").alias("c_span"), F.col("service").alias("client"), F.col("ts").alias("c_ts")).withWatermark("c_ts", late)
-    server = x.where(F.col("kind").isin("Server", "Consumer")).select(F.col("trace_id").alias("s_trace"), F.col("parent_span_id").alias("s_parent"), F.col("service").alias("server"), F.col("ts").alias("s_ts")).withWatermark("s_ts", late)
+    client = x.where((F.col("kind") == "Client") & database_peer().isNull()).select(F.col("trace_id").alias("c_trace"), F.col("span_id").alias("c_span"), F.col("service").alias("client"), F.col("ts").alias("c_ts")).withWatermark("c_ts", late)
+    server = x.where((F.col("kind") == "Server") & (F.col("parent_span_id") != "")).select(F.col("trace_id").alias("s_trace"), F.col("parent_span_id").alias("s_parent"), F.col("service").alias("server"), F.col("ts").alias("s_ts")).withWatermark("s_ts", late)
     on = F.expr(f"c_trace = s_trace and c_span = s_parent and s_ts between c_ts - interval {within} and c_ts + interval {within}")
     both = client.join(server, on, "full_outer")
     source = F.when(F.col("s_trace").isNull() | F.col("c_trace").isNull(), "expired").otherwise("paired")
