@@ -115,6 +115,9 @@ def test_mixing_odd_rows(odd, none):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == len(ODD_ROWS) and all(r["taken"] == r["copies"] * r["size"] for r in got) and "score" in got[0]
     assert sum(r["taken"] for r in got if r["source"] is None) <= 2 * 3
+    clash = mixing.mix_sources(odd.withColumn("size", F.lit("x")).withColumn("copies", F.lit("y")).withColumn("tie", F.lit("z")).withColumn("print", F.lit("p")))
+    assert sorted(clash.columns) == sorted([*odd.columns, "tie", "print", "size", "source_size", "target", "copies", "taken"]) and {r["tie"] for r in clash.collect()} == {"z"}
+    assert {r["copies"] for r in mixing.mix_sources(odd.where("doc_id = 7").unionByName(odd.where("doc_id = 7"))).collect()} <= {1, 2}
     assert mixing.mix_sources(none).count() == 0 and mixing.mix_sources(none, columns=False).count() == 0
 
 
@@ -208,6 +211,8 @@ def test_quality_odd_rows(odd, none):
     got = quality_model.score(odd, model).collect()
     assert len(got) == len(ODD_ROWS) and all(0 <= r["score"] <= 1 for r in got)
     assert quality_model.score(none, model).count() == 0
+    few = quality_model.fit(labelled, max_rows=2)
+    assert len(few.mean) == len(model.mean)
     blank = quality_model.fit(none.withColumn("quality", F.lit(1)))
     assert {r["score"] for r in quality_model.score(odd, blank).collect()} == {0.5}
 
@@ -367,6 +372,8 @@ def test_repeats_odd_rows(odd, none):
     assert all(r["n_removed"] == r["n_bytes"] and r["n_spans"] == 1 for r in got if r["doc_id"] in (6, 7))
     assert all(r["n_removed"] == 0 for r in got if r["doc_id"] not in (6, 7))
     assert suffix_dedup.remove_repeats(none).count() == 0
+    clash = suffix_dedup.remove_repeats(odd.select("doc_id", F.col("text").alias("t"), F.lit("m").alias("marks"), F.lit("k").alias("kept")), text="t").collect()
+    assert {(r["doc_id"], r["t"], r["marks"], r["n_removed"]) for r in clash} == {(r["doc_id"], r["text"], "m", r["n_removed"]) for r in got}
 
 
 # 9

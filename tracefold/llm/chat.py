@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,11 +130,13 @@ def chat_digests(chats: DataFrame) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens")}
-            for r in batch.to_pylist():
+            rows = batch.select(["conv_id", "formatted", "text_spans"]).to_pylist()
+            n_ids, loss_at = pc.list_value_length(batch.column("ids")).to_pylist(), batch.column("loss")
+            for i, r in enumerate(rows):
                 turns = parse(r["formatted"])
                 loss = "".join(unescape(r["formatted"][a:b]) for a, b in zip(r["text_spans"][::2], r["text_spans"][1::2]))
                 digest = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
-                for k, v in zip(out, (r["conv_id"], len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(r["formatted"]), len(r["ids"]), sum(r["loss"]))):
+                for k, v in zip(out, (r["conv_id"], len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(r["formatted"]), n_ids[i], pc.sum(loss_at[i].values).as_py() or 0)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import bounded_batches
+from .base import bounded_batches, settle_table
 from .wordhash import _mixers, mix, slices, utf8, word_hashes
 
 RADIUS = 11
@@ -231,8 +231,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """``docs`` with ``matches``: the benchmark items a document contains, each with its best window.
 
     Null and empty texts match nothing; items without words are left out; equal items all match. Rows are judged one
-    by one, so repeated rows repeat; a column named ``matches`` is replaced. Items are read in blocks of
-    ``ITEMS_PER_SCAN``, one scan of the documents each, so what is sent to executors is bounded.
+    by one, so repeated rows repeat; an empty table of either kind gives no matches; a column named ``matches`` is replaced. Texts are read in
+    slices, a single longer text whole, with about 100 bytes of memory per byte. Items are read in blocks of ``ITEMS_PER_SCAN``, one scan of the
+    documents each, whose result is written before the next, so what executors hold of the items is bounded.
     """
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
@@ -243,6 +244,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         shared = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in part])
         out = _scan(out, shared, text, width, threshold, radius)
+        if block + 1 < blocks:  # one block in memory at a time
+            out = settle_table(out)
     return out
 
 

@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a small calibrated network.
 
-Each word (a run of letters or digits, or a run of one symbol) and each word shape owns a sparse random +-1 index
-vector. A word's vector is its index vector plus the index vectors met around it in the training texts. A document
-is the mean of its words' vectors beside a few pooled statistics. A two-layer network in numpy gives the logit, and one
+Words are dealt into BUCKETS buckets, each with a sparse random +-1 index vector. A bucket's vector is its index vector plus the
+index vectors met around its words in the sampled texts. A document is the mean of its words' vectors beside shares of byte
+classes and counts of lines, repeated words and length. A two-layer network in numpy gives the logit, and one
 temperature fitted on texts kept apart turns it into a probability.
 
 The fit uses at most ``max_rows`` labelled rows, those with the smallest hash of the id; scoring covers all rows.
@@ -166,11 +166,15 @@ def sample_labels(labels: DataFrame, label: str = "quality", key: str = "doc_id"
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = MAX_ROWS) -> QualityModel:
-    """Fits on at most ``max_rows`` rows that have a label. Without any, every score will be 0.5."""
+    """Fits on at most ``max_rows`` rows that have a label, those of the smallest id hashes. Rows alike in id, text and label count once;
+    null texts are empty. Without any row, every score will be 0.5."""
     bounded_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"), F.xxhash64(F.col(key), F.lit(1)).alias("rank"))
-    rows = rows.orderBy("rank", F.xxhash64("text"), "label").limit(max_rows).repartition(F.col("rank"))
-    rows = settle_table(rows)  # read twice below
+    rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"), F.xxhash64(F.col(key), F.lit(1)).alias("rank"), F.xxhash64(text).alias("print"))
+    rows = settle_table(rows.dropDuplicates(["rank", "print", "label"]))  # read several times below
+    if rows.count() > max_rows:  # only numbers are sorted
+        order = F.struct("rank", "print", "label")
+        last = rows.select(order.alias("o")).orderBy("o").limit(max_rows).agg(F.max("o").alias("o")).first()["o"]
+        rows = rows.where(order <= F.struct(*[F.lit(v) for v in last]))
     vectors = word_vectors(rows.select("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +205,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
 def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``.
 
-    Null and empty texts are scored from zero features. Repeated rows are rows; columns named like an output are
+    Null and empty texts are scored from zero features; a text is pooled whole, however long. Repeated rows are rows; an empty table gives none; columns named like an output are
     replaced.
     """
     bounded_batches(docs.sparkSession)

@@ -244,13 +244,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     """``docs`` with kept (bytes left), spans (removed start, end pairs), n_bytes, n_removed and n_spans.
 
     A byte goes if a ``length``-byte string that covers it also starts elsewhere in any text, the same one included. Texts are
-    bytes of UTF-8; null texts are empty; repeated rows repeat each other and so go entirely if they are long enough. Columns named
-    like an output are replaced.
+    bytes of UTF-8; null texts are empty; repeated rows repeat each other and so go entirely if they are long enough. An empty table gives no rows. A text is
+    worked on whole, with about 60 bytes of memory per byte of it. Columns named like an output are replaced.
     """
     bounded_batches(docs.sparkSession)
     outputs = ["kept", "spans", "n_bytes", "n_removed", "n_spans"]
-    kept = docs.drop(*[c for c in (*outputs, "marks", "t") if c != text])
-    joined = kept.withColumn("t", F.xxhash64(text)).join(repeated_spans(docs, text, length), "t", "left").withColumn("__text", F.col(text)).drop("t")
+    kept = docs.drop(*[c for c in outputs if c != text])
+    spans = repeated_spans(docs, text, length).select(F.col("t").alias("__t"), F.col("marks").alias("__marks"))
+    joined = kept.withColumn("__t", F.xxhash64(text)).withColumn("__text", F.col(text)).join(spans, "__t", "left").drop("__t")
     from pyspark.sql import types as T
 
     schema = T.StructType(
@@ -261,7 +262,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         for batch in batches:
             raw, bounds = utf8(batch.column(batch.schema.get_field_index("__text")))
             got: dict[str, list] = {c: [] for c in outputs}
-            for i, marks in enumerate(batch.column(batch.schema.get_field_index("marks")).to_pylist()):
+            for i, marks in enumerate(batch.column(batch.schema.get_field_index("__marks")).to_pylist()):
                 b = raw[bounds[i] : bounds[i + 1]]
                 steps = np.zeros(len(b) + 1, np.int32)
                 for m in marks or ():
