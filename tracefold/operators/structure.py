@@ -22,10 +22,15 @@ def closure(spans: DataFrame, below: DataFrame | None = None) -> DataFrame:
     Each round doubles the distance covered: pairs are led on by a table of each span's ancestor that far up. Every
     pair is kept once, at its least distance, and no span is its own ancestor, so loops of parents end as trees do: when a round finds nothing new.
     """
-    named = spans.where("parent_span_id <> '' and parent_span_id <> span_id").select("trace_id", "span_id", "parent_span_id")
-    up = _settled(named.join(spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct(), ["trace_id", "parent_span_id"], "left_semi"))
+    ids = spans.select("trace_id", "span_id", "parent_span_id")
+    if below is not None:  # traces without any of these are left out
+        below = _settled(below.select("trace_id", "span_id").distinct())
+        ids = ids.join(below.select("trace_id").distinct(), "trace_id", "left_semi")
+    ids = _settled(ids)
+    named = ids.where("parent_span_id <> '' and parent_span_id <> span_id")
+    up = _settled(named.join(ids.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct(), ["trace_id", "parent_span_id"], "left_semi"))
     jump = up.select("trace_id", F.col("span_id").alias("ancestor"), F.col("parent_span_id").alias("further"))
-    out = up if below is None else up.join(below.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"], "left_semi")
+    out = up if below is None else up.join(below, ["trace_id", "span_id"], "left_semi")
     out = out.select("trace_id", F.col("parent_span_id").alias("ancestor"), F.col("span_id").alias("descendant"), F.lit(1).alias("distance"))
     step = 1
     while True:
