@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tracefold.llm import chat, decontaminate, jaccard, language_id, mixing, pii, quality_model, quality_rules, registry, suffix_dedup, tokens
+from tracefold.llm import chat, collection_bwt, decontaminate, jaccard, language_id, mixing, pii, quality_model, quality_rules, registry, suffix_dedup, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -355,15 +355,36 @@ def test_repeats_of_shared_passages(spark, monkeypatch, block):
         assert got[d]["kept"] == bytes(b for b, g in zip(t.encode(), gone) if not g), d
 
 
-@given(st.lists(st.lists(st.tuples(st.text(alphabet="ab", max_size=9), st.text(alphabet="ab", max_size=9)), min_size=1, max_size=7), min_size=1, max_size=4))
+@given(st.lists(st.text(alphabet="abc", max_size=14), max_size=8))
 @settings(max_examples=300, deadline=None)
-def test_columns_find_repeated_windows(groups):
-    """Items are left + 'x' + right around an anchor 'x'; windows of 4 that start at equal places are compared."""
-    items = [(g, a, b) for g, group in enumerate(groups) for a, b in group]
-    got = suffix_dedup.repeated_windows([f"{a}x{b}".encode() for _, a, b in items], [len(a) for _, a, _ in items], [g for g, _, _ in items], 4)
-    windows = [[(g, i - len(a), f"{a}x{b}"[i : i + 4]) for i in range(len(a) + len(b) + 1 - 3)] for g, a, b in items]
+def test_collection_transform_equals_sorted_suffixes(texts):
+    """Transform and prefixes equal those of all suffixes sorted, ends of strings distinct and first; windows of 4 equal a count."""
+    items = [x.encode() for x in texts]
+    bwt, lcp = collection_bwt.build(items)
+    rows = sorted(((*(b + len(items) for b in x[k:]), i), i, k) for i, x in enumerate(items) for k in range(len(x) + 1))
+    assert bwt.tolist() == [items[i][k - 1] + 1 if k else 0 for _, i, k in rows]
+    common = [next(n for n in range(99) if above[0][n] != here[0][n]) for above, here in zip(rows, rows[1:])]
+    assert lcp.tolist()[1:] == common
+    windows = [[x[i : i + 4] for i in range(len(x) - 3)] for x in items]
     seen = [w for x in windows for w in x]
-    assert [m.tolist() for m in got] == [[seen.count(w) > 1 for w in x] for x in windows]
+    assert [m.tolist() for m in suffix_dedup.repeated_windows(items, 4)] == [[seen.count(w) > 1 for w in x] for x in windows]
+
+
+def test_collections_outlive_their_task(spark):
+    """Repeated windows are read back from the table of transforms, whatever the number of collections."""
+    rng = np.random.default_rng(3)
+    rows = [(part, part, c, 0, bytes(rng.integers(97, 99, 12).astype(np.uint8))) for part in range(40) for c in range(30)]
+    df = spark.createDataFrame(rows, "part long, h long, c long, skip int, bytes binary")
+    tables = suffix_dedup.transforms(df)
+    got = {(r["h"], r["c"]): r["runs"] for r in suffix_dedup.repeats_of(tables, 8).collect()}
+    assert sum(len(r["items"]) for r in tables.collect()) == len(rows)
+    for part in range(40):
+        mine = [(c, x) for p, _, c, _, x in rows if p == part]
+        seen = [x[i : i + 8] for _, x in mine for i in range(5)]
+        for c, x in mine:
+            must = {i for i in range(5) if seen.count(x[i : i + 8]) > 1}
+            runs = got.get((part, c), [])
+            assert must <= {i for a, z in zip(runs[::2], runs[1::2]) for i in range(a, z)}
 
 
 def test_repeats_odd_rows(odd, none):

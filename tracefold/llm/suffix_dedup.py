@@ -2,10 +2,11 @@
 
 Every ``length``-byte window of a text belongs to the smallest hash of its ``GRAM``-byte pieces, its anchor; equal windows have
 equal anchors at equal places. Windows with a common anchor form one item, so items cover every window once and equal windows meet under the anchor's
-hash. Equal items are counted as one. Items that share an anchor but differ are aligned at it and put in blocks, and each block's collection
-Burrows-Wheeler order with its common prefixes is built column by column: each round inserts one symbol per item.
-Windows whose common prefix with a neighbour reaches ``length`` are repeated. As equal windows stand in the same column, only
-the current column's rows are kept (the positional form of the transform), in memory instead of in files.
+hash. Equal items are counted before any bytes move, and one of them stands for all. Items that share an anchor but differ are put in
+collections, and each collection's Burrows-Wheeler transform with its common prefixes is built column by column: each round inserts one
+symbol per item (``collection_bwt``). A finished collection is one row of a table in the shared folder: its items, the transform and the
+prefixes, each one sequential run of bytes. From that table alone come the repeated windows: rows whose common prefix with a
+neighbour reaches ``length``.
 
 A block is bounded: an anchor with more than ``BLOCK`` different items is split by halves of the windows' places under the
 hash of the bytes that those windows have in common, until each part fits or is a single window.
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import collection_bwt
 from .base import bounded_batches, settle, settle_table
 from .wordhash import mix, slices, utf8
 
 GRAM = 48
 BLOCK = 256
-#: Items put in one collection, when several anchors share it.
-COLLECTION = 2048
+#: A collection takes whole anchors until it has this many items; it is below COLLECTION + BLOCK items of less than two windows each.
+COLLECTION = 512
 _BASE = 0x9E3779B97F4A7C17 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -88,49 +90,9 @@ def item_print(piece: np.ndarray, place: int) -> int:
     return int(mix(total + np.array([len(piece)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([place], np.uint64)).view(np.int64)[0])
 
 
-def repeated_windows(items: list[bytes], places: list[int], groups: list, length: int) -> list[np.ndarray]:
-    """For each item, which of its ``length``-byte windows also start in another item of its group.
-
-    Items of a group are aligned at their anchors and stand together. Each round adds the column to the left: ``order`` is the
-    collection's suffix order (one row per item, as its Burrows-Wheeler transform has them), kept by a stable sort on the
-    new symbols, and ``lcp`` the common prefix of each row with the row above, one more than the least of the rows passed over.
-    """
-    m = len(items)
-    left = max(places)
-    columns = left + max(len(x) - p for x, p in zip(items, places))
-    text = np.zeros((m, columns), np.uint8)  # 0: no symbol here
-    shift = [left - p for p in places]
-    for j, (x, at) in enumerate(zip(items, shift)):
-        text[j, at : at + len(x)] = np.frombuffer(x, np.uint8) + np.uint8(1)
-    text = np.ascontiguousarray(text.T)
-    group = np.cumsum([0] + [a != b for a, b in zip(groups, groups[1:])]).astype(np.int64) << 8
-    order, lcp = np.arange(m), np.zeros(m, np.int32)
-    marks = np.zeros((columns, m), bool)
-    for column in range(columns - 1, -1, -1):
-        key = group[order] | text[column][order]
-        if m > 1 and (key[1:] < key[:-1]).any():
-            to = np.argsort(key, kind="stable")
-            key = key[to]
-            same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] & 255 > 0))
-            before, here = to[same], to[same + 1]
-            least = lcp[here]
-            if len(far := np.flatnonzero(here > before + 1)):
-                by = far[np.argsort(-before[far], kind="stable")]
-                flat = np.empty(2 * len(by), np.int64)
-                flat[::2], flat[1::2] = before[by] + 1, here[by] + 1
-                least[by] = np.minimum.reduceat(np.append(lcp, 0), flat)[::2]
-            lcp = np.zeros(m, np.int32)
-            lcp[same + 1] = least + 1
-            order = order[to]
-        else:
-            same = np.zeros(m, bool)
-            same[1:] = (key[1:] == key[:-1]) & (key[1:] & 255 > 0)
-            lcp = np.where(same, lcp + 1, 0).astype(np.int32)
-        hit = lcp >= length
-        if hit.any():
-            hit[:-1] |= hit[1:]
-            marks[column, order[hit]] = True
-    return [marks[at : at + max(0, len(x) - length + 1), j] for j, (x, at) in enumerate(zip(items, shift))]
+def repeated_windows(items: list[bytes], length: int) -> list[np.ndarray]:
+    """For each item, which of its ``length``-byte windows also start elsewhere in the collection."""
+    return collection_bwt.repeated(*collection_bwt.build(items), [len(x) for x in items], length)
 
 
 def _runs(mask: np.ndarray) -> list[int]:
@@ -141,6 +103,7 @@ def _runs(mask: np.ndarray) -> list[int]:
 def _resolve(parts: DataFrame, length: int, step: int) -> DataFrame:
     """(h, c, runs): repeated windows of the items in ``parts`` (part, h, c, place, skip, bytes)."""
     settled: list[DataFrame] = []
+    open_items: list[DataFrame] = []
     low, high = 0, length - GRAM
     nodes = parts.withColumn("o1", F.lit(low)).withColumn("o2", F.lit(high))
     for _ in range(20):
@@ -153,7 +116,7 @@ def _resolve(parts: DataFrame, length: int, step: int) -> DataFrame:
         repeated = alike.where("copies > 1").select("h", "c", F.array(F.col("skip"), F.col("skip") + F.length("bytes") - length + 1).alias("runs"))
         settled.append(repeated)
         one = alike.where(F.col("first") == F.struct("h", "c", "skip")).where("kinds > 1")
-        settled.append(_collections(one.where(F.col("kinds") <= BLOCK), length))
+        open_items.append(one.where(F.col("kinds") <= BLOCK).select("part", "h", "c", "skip", "bytes"))
         wide = one.where(F.col("kinds") > BLOCK).drop("print", "copies", "first", "kinds")
         if wide.isEmpty():
             break
@@ -169,32 +132,57 @@ def _resolve(parts: DataFrame, length: int, step: int) -> DataFrame:
             F.expr(f"substring(bytes, s_lo + 1, s_hi - s_lo + {length})").alias("bytes"), "o1", "o2",
         )
         nodes = settle(nodes)
-    out = settled[0]
-    for x in settled[1:]:
+    collections = settle_table(transforms(_union(open_items)))
+    return _union([*settled, repeats_of(collections, length)])
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
         out = out.unionByName(x)
     return out
 
 
-def _collections(rows: DataFrame, length: int) -> DataFrame:
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+COLLECTIONS = "items array<struct<h:bigint,c:bigint,skip:int,size:int>>, bwt binary, lcp binary, width int"
+
+
+def transforms(rows: DataFrame) -> DataFrame:
+    """(items, bwt, lcp, width): collections of whole parts, each with its transform and its common prefixes of ``width`` bytes."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        schema = pa.schema([("items", pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("skip", pa.int32()), ("size", pa.int32())]))), ("bwt", pa.binary()), ("lcp", pa.binary()), ("width", pa.int32())])
 
-        def result(items: list[tuple]) -> pa.RecordBatch:
-            masks = repeated_windows([x[5] for x in items], [x[4] for x in items], [x[0] for x in items], length)
-            got = [(h, c, [x + skip for x in _runs(mask)]) for (_, h, c, skip, _, _), mask in zip(items, masks) if mask.any()]
-            return pa.RecordBatch.from_pydict({k: [g[i] for g in got] for i, k in enumerate(("h", "c", "runs"))}, schema=pa.schema([("h", pa.int64()), ("c", pa.int64()), ("runs", pa.list_(pa.int32()))]))
+        def collection() -> pa.RecordBatch:
+            bwt, lcp = collection_bwt.build([x[4] for x in held])
+            items = [{"h": h, "c": c, "skip": skip, "size": len(x)} for _, h, c, skip, x in held]
+            return pa.RecordBatch.from_pylist([{"items": items, "bwt": bwt.tobytes(), "lcp": lcp.tobytes(), "width": lcp.itemsize}], schema=schema)
 
         for batch in batches:
-            for item in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for item in zip(*(column.to_pylist() for column in batch.columns)):
                 if len(held) >= COLLECTION and held[-1][0] != item[0]:
-                    yield result(held)
+                    yield collection()
                     held = []
                 held.append(item)
         if held:
-            yield result(held)
+            yield collection()
+
+    return rows.select("part", "h", "c", "skip", "bytes").repartition("part").sortWithinPartitions("part").mapInArrow(write, COLLECTIONS)
+
+
+def repeats_of(collections: DataFrame, length: int) -> DataFrame:
+    """(h, c, runs): starts of the repeated windows of each item, read from the transforms and prefixes of ``collections``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("runs", pa.list_(pa.int32()))])
+        for batch in batches:
+            for row in batch.to_pylist():
+                bwt, lcp = np.frombuffer(row["bwt"], np.uint8), np.frombuffer(row["lcp"], f"u{row['width']}")
+                masks = collection_bwt.repeated(bwt, lcp, [x["size"] for x in row["items"]], length)
+                got = [{"h": x["h"], "c": x["c"], "runs": [at + x["skip"] for at in _runs(mask)]} for x, mask in zip(row["items"], masks) if mask.any()]
+                yield pa.RecordBatch.from_pylist(got, schema=schema)
 
-    x = rows.select("part", "h", "c", "skip", "place", "bytes").repartition("part").sortWithinPartitions("part")
-    return x.mapInArrow(build, "h long, c long, runs array<int>")
+    return collections.mapInArrow(read, "h long, c long, runs array<int>")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
