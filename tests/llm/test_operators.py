@@ -375,7 +375,7 @@ def test_collections_outlive_their_task(spark):
     rng = np.random.default_rng(3)
     rows = [(part, part, c, 0, bytes(rng.integers(97, 99, 12).astype(np.uint8))) for part in range(40) for c in range(30)]
     df = spark.createDataFrame(rows, "part long, h long, c long, skip int, bytes binary")
-    tables = suffix_dedup.transforms(df)
+    tables = suffix_dedup.transforms(df, 8)
     got = {(r["h"], r["c"]): r["runs"] for r in suffix_dedup.repeats_of(tables, 8).collect()}
     assert sum(len(r["items"]) for r in tables.collect()) == len(rows)
     for part in range(40):

@@ -51,10 +51,10 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settle_table(df: DataFrame) -> DataFrame:
+def settle_table(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Like ``settle`` for wide or long intermediate tables: a compressed Parquet table in the shared checkpoint folder."""
     path = shared_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

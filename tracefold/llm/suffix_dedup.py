@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import collection_bwt
-from .base import bounded_batches, settle, settle_table
+from .base import bounded_batches, settle_table
 from .wordhash import mix, slices, utf8
 
 GRAM = 48
 BLOCK = 256
 #: A collection takes whole anchors until it has this many items; it is below COLLECTION + BLOCK items of less than two windows each.
-COLLECTION = 512
+COLLECTION = 128
 _BASE = 0x9E3779B97F4A7C17 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -112,7 +112,7 @@ def _resolve(parts: DataFrame, length: int, step: int) -> DataFrame:
         kinds = alike.groupBy("part", "print").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("h", "c", "skip")).alias("first"))
         counts = kinds.groupBy("part").agg(F.count(F.lit(1)).alias("kinds"))
         alike = alike.join(kinds, ["part", "print"]).join(counts, "part")
-        alike = settle(alike)
+        alike = settle_table(alike, "zstd")  # near-equal items stand together
         repeated = alike.where("copies > 1").select("h", "c", F.array(F.col("skip"), F.col("skip") + F.length("bytes") - length + 1).alias("runs"))
         settled.append(repeated)
         one = alike.where(F.col("first") == F.struct("h", "c", "skip")).where("kinds > 1")
@@ -131,8 +131,8 @@ def _resolve(parts: DataFrame, length: int, step: int) -> DataFrame:
             F.xxhash64("part", "o1", "o2", core).alias("part"), "h", "c", (F.col("place") - F.col("s_lo")).alias("place"), (F.col("skip") + F.col("s_lo")).alias("skip"),
             F.expr(f"substring(bytes, s_lo + 1, s_hi - s_lo + {length})").alias("bytes"), "o1", "o2",
         )
-        nodes = settle(nodes)
-    collections = settle_table(transforms(_union(open_items)))
+        nodes = settle_table(nodes, "zstd")
+    collections = settle_table(transforms(_union(open_items), length), "zstd")
     return _union([*settled, repeats_of(collections, length)])
 
 
@@ -146,8 +146,10 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 COLLECTIONS = "items array<struct<h:bigint,c:bigint,skip:int,size:int>>, bwt binary, lcp binary, width int"
 
 
-def transforms(rows: DataFrame) -> DataFrame:
-    """(items, bwt, lcp, width): collections of whole parts, each with its transform and its common prefixes of ``width`` bytes."""
+def transforms(rows: DataFrame, length: int) -> DataFrame:
+    """(items, bwt, lcp, width): collections of whole parts, each with its transform and its common prefixes, written as numbers of
+    ``width`` bytes up to ``length``: what is longer is repeated all the same."""
+    width = 1 if length < 256 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -156,7 +158,7 @@ def transforms(rows: DataFrame) -> DataFrame:
         def collection() -> pa.RecordBatch:
             bwt, lcp = collection_bwt.build([x[4] for x in held])
             items = [{"h": h, "c": c, "skip": skip, "size": len(x)} for _, h, c, skip, x in held]
-            return pa.RecordBatch.from_pylist([{"items": items, "bwt": bwt.tobytes(), "lcp": lcp.tobytes(), "width": lcp.itemsize}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"items": items, "bwt": bwt.tobytes(), "lcp": np.minimum(lcp, length).astype(f"u{width}").tobytes(), "width": width}], schema=schema)
 
         for batch in batches:
             for item in zip(*(column.to_pylist() for column in batch.columns)):
@@ -167,7 +169,9 @@ def transforms(rows: DataFrame) -> DataFrame:
         if held:
             yield collection()
 
-    return rows.select("part", "h", "c", "skip", "bytes").repartition("part").sortWithinPartitions("part").mapInArrow(write, COLLECTIONS)
+    # few bytes but long work: a stated number of tasks, which is not lowered by size
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("part", "h", "c", "skip", "bytes").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(write, COLLECTIONS)
 
 
 def repeats_of(collections: DataFrame, length: int) -> DataFrame:
@@ -176,10 +180,11 @@ def repeats_of(collections: DataFrame, length: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("runs", pa.list_(pa.int32()))])
         for batch in batches:
-            for row in batch.to_pylist():
-                bwt, lcp = np.frombuffer(row["bwt"], np.uint8), np.frombuffer(row["lcp"], f"u{row['width']}")
-                masks = collection_bwt.repeated(bwt, lcp, [x["size"] for x in row["items"]], length)
-                got = [{"h": x["h"], "c": x["c"], "runs": [at + x["skip"] for at in _runs(mask)]} for x, mask in zip(row["items"], masks) if mask.any()]
+            for items, bwt, lcp, width in zip(*(batch.column(k) for k in ("items", "bwt", "lcp", "width"))):
+                items = items.as_py()
+                lcp = np.frombuffer(lcp.as_buffer(), f"u{width.as_py()}")
+                masks = collection_bwt.repeated(np.frombuffer(bwt.as_buffer(), np.uint8), lcp, [x["size"] for x in items], length)
+                got = [{"h": x["h"], "c": x["c"], "runs": [at + x["skip"] for at in _runs(mask)]} for x, mask in zip(items, masks) if mask.any()]
                 yield pa.RecordBatch.from_pylist(got, schema=schema)
 
     return collections.mapInArrow(read, "h long, c long, runs array<int>")
@@ -201,7 +206,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     again = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     shared = settle_table(every.join(again, "h"))
     kinds = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "lo", "size", "place")).alias("at"))
-    kinds = settle(kinds)
+    kinds = settle_table(kinds)
     several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
     wanted = kinds.join(several, "h").select("h", "c", "at.*")
 
