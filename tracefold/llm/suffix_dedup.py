@@ -28,7 +28,7 @@ from .wordhash import mix, slices, utf8
 GRAM = 48
 BLOCK = 256
 #: A collection takes whole anchors until it has this many items; it is below COLLECTION + BLOCK items of less than two windows each.
-COLLECTION = 512
+COLLECTION = 128
 _BASE = 0x9E3779B97F4A7C17 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
