@@ -33,32 +33,39 @@ def build(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for row, x in zip(text, items):
         row[: len(x)] = np.frombuffer(x, np.uint8)[::-1] + np.uint8(1)
     text = np.ascontiguousarray(text.T)  # text[k]: symbol k from the right, 0 before the first
-    bwt, lcp = text[0].copy(), np.zeros(m, np.uint16 if columns < 1 << 16 else np.uint32)
+    rowed = text[0].astype(np.uint32) << np.uint32(24)  # symbol and, below it, common prefix of each row (strings end before 16 MB)
     at = np.arange(m)  # the row of each string's last suffix
+    place = int(sizes.sum() + m).bit_length()
+    key = np.uint32 if place <= 24 else np.uint64  # a symbol above a row: sorted, the rows of a symbol stand together in order
+    rows = np.arange(int(sizes.sum()) + m, dtype=key)
     for column in range(1, columns + 1):
         live = np.flatnonzero(sizes >= column)
-        live = live[np.lexsort((at[live], text[column - 1][live]))]
-        order = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]
-        asked = np.zeros(len(bwt), bool)
-        asked[at[live]] = True
-        new = np.flatnonzero(asked[order])  # places of the new suffixes among those that are not empty
-        changed = np.zeros(len(order) + 1, bool)
-        changed[new] = changed[new + 1] = True
-        changed = np.flatnonzero(changed[:-1])
-        changed = changed[changed > 0]
-        above, here = order[changed - 1], order[changed]
-        same = bwt[above] == bwt[here]
-        prefix = np.zeros(len(changed), lcp.dtype)
-        prefix[same] = _least(lcp, above[same], here[same]) + 1
+        asked = (text[column - 1][live].astype(key) << key(place)) | at[live].astype(key)
+        by = np.argsort(asked)
+        live, asked = live[by], asked[by]
+        order = (rowed >> np.uint32(24)).astype(key)
+        order <<= key(place)
+        order |= rows[: len(rowed)]
+        order.sort()
+        order = order[np.searchsorted(order, key(1 << place)) :]  # without those where a string begins
+        new = np.searchsorted(order, asked)  # places of the new suffixes among those that are not empty
+        changed = np.concatenate([new, new + 1])
+        changed.sort()
+        changed = changed[(changed > 0) & (changed < len(order))]
+        changed = changed[np.append(True, changed[1:] != changed[:-1])] if len(changed) else changed
+        above, here = ((order[x] & key((1 << place) - 1)).astype(np.int64) for x in (changed - 1, changed))
+        same = order[changed - 1] >> key(place) == order[changed] >> key(place)
+        prefix = np.zeros(len(changed), np.uint32)
+        prefix[same] = _least(rowed & np.uint32(0xFFFFFF), above[same], here[same]) + np.uint32(1)
         at[live] = m + new
         old = np.ones(m + len(order), bool)
         old[m + new] = False
-        before, common = np.empty(len(old), bwt.dtype), np.zeros(len(old), lcp.dtype)
-        before[old], common[old] = bwt, lcp
-        before[m + new] = text[column][live]
-        common[m + changed] = prefix
-        bwt, lcp = before, common
-    return bwt, lcp
+        both = np.zeros(len(old), np.uint32)
+        both[old] = rowed
+        both[m + new] = text[column][live].astype(np.uint32) << np.uint32(24)
+        both[m + changed] = (both[m + changed] & ~np.uint32(0xFFFFFF)) | prefix
+        rowed = both
+    return (rowed >> np.uint32(24)).astype(np.uint8), (rowed & np.uint32(0xFFFFFF)).astype(np.uint16 if columns < 1 << 16 else np.uint32)
 
 
 def repeated(bwt: np.ndarray, lcp: np.ndarray, sizes: list[int], length: int) -> list[np.ndarray]:
