@@ -26,3 +26,34 @@ def test_rollup_sink_can_be_rerun(spark, tmp_path):
     for _ in range(2):
         sinks.write_rollup(rows, str(tmp_path / "rollup"))
     assert spark.read.parquet(str(tmp_path / "rollup")).count() == 50
+
+
+def test_relational_table_round_trip(spark, tmp_path):
+    rows = fixtures.logs(spark, SF).where("log_id < 300").select("log_id", "ts_us", "severity", "attributes")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    sinks.write_table(rows, url, "logs", 2, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    got = sinks.read_table(spark, url, "logs", "log_id", 0, 300, 3, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 3
+    want = rows.withColumn("attributes", F.to_json("attributes"))
+    key = ["log_id", "ts_us", "severity", "attributes"]
+    assert sorted(map(tuple, got.toDF(*[c.lower() for c in got.columns]).select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+
+
+def test_signal_folders_prune_by_day(spark, tmp_path):
+    rows = fixtures.gauges(spark, SF).select("app_id", "ts_us", "value")
+    sinks.write_signal(rows, str(tmp_path / "g"), "ts_us")
+    day = spark.read.parquet(str(tmp_path / "g")).where("app_id = 'app-1' and day = date'2024-01-05'")
+    assert {f.split("/day=")[1].split("/")[0] for f in day.inputFiles()} >= {"2024-01-05"}
+    assert "PartitionFilters: [isnotnull(app_id" in day._jdf.queryExecution().toString()
+    assert day.count() == rows.where("app_id = 'app-1' and to_date(timestamp_micros(ts_us)) = date'2024-01-05'").count() > 0
+
+
+def test_stream_pairing_gives_the_batch_pairs(spark, tmp_path):
+    spans = fixtures.spans(spark, SF).where("trace_id in ('t1', 't2', 't3', 't4', 't5')")
+    late = spans.where("kind = 'Client' and attributes['db.system'] is null").limit(1).selectExpr("* except (start_us, trace_id)", "4000000000000000L as start_us", "'late' as trace_id").select(*spans.columns)
+    spans.unionByName(late).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = generators.pair_peers_stream(sinks.read_stream(spark, str(tmp_path / "in"), spans.schema))
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).where("peer_source = 'paired'")
+    want = generators.pair_peers(spans).where("kind = 'Client' and peer_source = 'paired'")
+    assert sorted(tuple(r) for r in got.select("trace_id", "c_span", "peer").collect()) == sorted(tuple(r) for r in want.select("trace_id", "span_id", "peer").collect())

@@ -26,10 +26,18 @@ def metric_labels(labels: Column) -> Column:
     return F.transform_values(F.transform_keys(labels, lambda k, v: F.translate(k, ".", "_")), lambda k, v: v.cast("string"))
 
 
+#: Characters of an app id that storage names cannot hold; those of the first group become a dash, the others go.
+APP_ID_DASHED, APP_ID_DROPPED = " /\\*?|#,", "\"<>"
+
+
+def sanitize_app_id(app: Column) -> Column:
+    return F.translate(app, APP_ID_DASHED + APP_ID_DROPPED, "-" * len(APP_ID_DASHED))
+
+
 def app_id(attributes: Column) -> Column:
-    """app_id, else app.id; characters other than letters, digits, _ and - become _."""
-    raw = F.coalesce(F.nullif(F.get(F.filter(F.array(attributes["app_id"], attributes["app.id"]), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0)), F.lit("")), F.lit("default"))
-    return F.regexp_replace(raw, "[^A-Za-z0-9_-]", "_")
+    """app_id, else app.id, else empty; sanitised."""
+    filled = [F.nullif(attributes[k], F.lit("")) for k in ("app_id", "app.id")]
+    return sanitize_app_id(F.coalesce(*filled, F.lit("")))
 
 
 def series_key(labels: Column) -> Column:

@@ -189,3 +189,16 @@ def set_operation(left: DataFrame, right: DataFrame, op: str, on: tuple[str, ...
 
 def offset(samples: DataFrame, by_us: int) -> DataFrame:
     return samples.withColumn("ts_us", F.col("ts_us") + by_us)
+
+
+def span_metric_series(red: DataFrame, step: int, function: str, q: float = 0.0, by: tuple[str, ...] = ("service",)) -> DataFrame:
+    """(by, t, value) from RED points (t, calls, latency_us) instead of spans: rates and counts add calls; a quantile over time
+    is the highest of p50, p90, p95 and p99 not above ``q`` of the points' latency, below p50 and for histograms the mean, in seconds."""
+    x = red.withColumn("t", time_bucket(F.col("t"), step))
+    if function in ("quantile_over_time", "histogram_over_time"):
+        held = next((p for p in (0.99, 0.95, 0.9, 0.5) if q >= p), None) if function == "quantile_over_time" else None
+        ms = F.col("latency_us") / 1000
+        value = (F.percentile(ms, held) if held else F.avg(ms)) / 1000
+    else:
+        value = F.sum("calls").cast("double")
+    return x.groupBy(*by, "t").agg(value.alias("value"))

@@ -25,14 +25,29 @@ def rollup_counter(samples: DataFrame) -> DataFrame:
     return _bucketed(samples).groupBy("name", "series", "t").agg(F.max_by("value", "ts_us").alias("value"), F.min_by("value", "ts_us").alias("first"), F.max_by("value", "ts_us").alias("last"), F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"))
 
 
-def rollup_histogram(points: DataFrame, step: int = TIER, cumulative: bool = False) -> DataFrame:
-    """Deltas add up per bucket; cumulative counts give last minus first, not below zero."""
+def rollup_histogram(points: DataFrame, step: int = TIER) -> DataFrame:
+    """Delta histograms per series and step: bucket_counts, explicit_bounds, value and count.
+
+    Deltas add up. Cumulative points, also those of no stated temporality, give their last minus their first one, buckets not
+    below zero; a step with any of them takes these alone.
+    """
+    keys = ["name", "series", "t"]
     x = points.withColumn("series", series_key(F.col("labels"))).withColumn("t", time_bucket(F.col("ts_us"), step))
-    if cumulative:
-        g = x.groupBy("name", "series", "t").agg(F.min_by("bucket_counts", "ts_us").alias("a"), F.max_by("bucket_counts", "ts_us").alias("b"))
-        return g.select("name", "series", "t", F.zip_with("b", "a", lambda p, q: F.greatest(p - q, F.lit(0))).alias("bucket_counts"))
-    n = x.select("name", "series", "t", F.posexplode("bucket_counts").alias("pos", "n")).groupBy("name", "series", "t", "pos").agg(F.sum("n").alias("n"))
-    return n.groupBy("name", "series", "t").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("b")).select("name", "series", "t", F.col("b.n").alias("bucket_counts"))
+    delta = F.coalesce("temporality", F.lit("")) == "delta"
+    point = F.struct("ts_us", "count", "value", "bucket_counts")
+    bounded = F.when(F.size("explicit_bounds") > 0, F.struct("ts_us", "explicit_bounds"))
+    g = x.groupBy(*keys).agg(
+        F.min(F.when(~delta, point)).alias("a"), F.max(F.when(~delta, point)).alias("b"), F.min(bounded).alias("bounds"),
+        F.sum(F.when(delta, F.col("value"))).alias("value"), F.sum(F.when(delta, F.col("count"))).alias("count"),
+    )
+    n = x.where(delta).select(*keys, F.posexplode("bucket_counts").alias("pos", "n")).groupBy(*keys, "pos").agg(F.sum("n").alias("n"))
+    sums = n.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("s"))
+    a, b, grown = F.col("a"), F.col("b"), F.col("b").isNotNull()
+    less = F.transform(b["bucket_counts"], lambda c, i: F.greatest(c - F.coalesce(F.get(a["bucket_counts"], i), F.lit(0)), F.lit(0)))
+    return g.join(sums, keys, "left").select(
+        *keys, F.when(grown, less).otherwise(F.col("s.n")).alias("bucket_counts"), F.col("bounds.explicit_bounds").alias("explicit_bounds"),
+        F.when(grown, b["value"] - a["value"]).otherwise(F.col("value")).alias("value"), F.when(grown, b["count"] - a["count"]).otherwise(F.col("count")).alias("count"),
+    )
 
 
 def ready_hours(samples: DataFrame, progress: DataFrame, now_us: int, ready_us: int = 2 * HOUR) -> DataFrame:

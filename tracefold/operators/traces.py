@@ -153,3 +153,10 @@ def graph_nodes(spans: DataFrame) -> DataFrame:
 def newest_trace_per_service(spans: DataFrame) -> DataFrame:
     """Exemplars: the newest trace of each service."""
     return spans.groupBy("service").agg(F.max_by("trace_id", F.struct("start_us", "trace_id")).alias("trace_id"), F.max("start_us").alias("start_us"))
+
+
+def exemplars(series: DataFrame, spans: DataFrame, metric: str, label: str = "service") -> DataFrame:
+    """The newest trace of each service that the series of a metric made from spans names; none for other metrics."""
+    named = series.select(F.col(label).alias("service")).where("service <> ''").distinct()
+    newest = newest_trace_per_service(spans.where(F.lit(metric.startswith("traces_"))))
+    return newest.join(named, "service", "left_semi").select(F.lit(metric).alias("metric"), F.col("service").alias(label), "trace_id", "start_us")

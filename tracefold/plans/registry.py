@@ -18,6 +18,7 @@ from ..operators import structure as st
 from ..operators import traces as tr
 from ..sources import fixtures as fx
 from ..streaming import generators as ge
+from . import ingest, series
 
 HOUR, DAY = fx.HOUR, fx.DAY
 #: Window of the metric and log queries: five days of January 2024, every six hours, looking back twelve.
@@ -88,7 +89,6 @@ def _client():
 _s("s04_sanitize_attributes", lambda s: s.select("span_id", F.explode(sanitize_attributes(F.create_map(F.lit("a.b.c.d"), F.col("name"), F.lit("plain"), F.col("kind")))).alias("k", "v")),
    "SELECT span_id, 'a.b_c_d' AS k, name AS v FROM spans UNION ALL SELECT span_id, 'plain', kind FROM spans")
 _g("s04_metric_labels", lambda g: g.select("ts_us", F.explode(metric_labels(F.create_map(F.lit("x.y.z"), F.floor("value").cast("long")))).alias("k", "v")), "SELECT ts_us, 'x_y_z' AS k, floor(value)::BIGINT::VARCHAR AS v FROM gauges")
-_s("s05_app_ids", lambda s: s.groupBy(F.regexp_replace(F.concat("app_id", F.lit("/x")), "[^A-Za-z0-9_-]", "_").alias("app")).agg(F.count(F.lit(1)).alias("n")), "SELECT app_id || '_x' AS app, count(*) AS n FROM spans GROUP BY 1")
 _g("s10_tiered_scan", lambda g: ru.tiered(g.select("ts_us", "value"), ru.rollup_gauge(g).select(F.col("t").alias("ts_us"), "value"), START + DAY).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("v")),
    f"SELECT '5m' AS tier, count(*) AS n, round(sum(v), 3) AS v FROM (SELECT avg(value) AS v, ts_us // 300000000 * 300000000 AS t FROM gauges GROUP BY event_type, shard, t) WHERE t < {START + DAY} UNION ALL SELECT 'raw', count(*), round(sum(value), 3) FROM gauges WHERE ts_us >= {START + DAY}")
 
@@ -326,8 +326,8 @@ _whole("m04_fill_linear", "g", lambda g, a, b: _hours(g, a, b, "linear").withCol
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | ingest.QUERIES | series.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | ingest.SQL | series.SQL

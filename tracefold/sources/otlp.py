@@ -19,24 +19,28 @@ def _records(df: DataFrame, scopes: str, records: str) -> DataFrame:
     return x.select("resource", F.col("scope.scope.name").alias("scope_name"), F.explode(F.col("scope")[records]).alias("r"))
 
 
+def _id(value: Column) -> Column:
+    """A zero id is none."""
+    return F.when(value.isNull() | F.rlike(value, F.lit("^0*$")), "").otherwise(value)
+
+
 def flatten_traces(df: DataFrame) -> DataFrame:
     """Spans from rows (resource, scope_spans)."""
     x = _records(df, "scope_spans", "spans")
-    parent = F.col("r.parent_span_id")
     return x.select(
-        F.col("r.trace_id").alias("trace_id"), F.col("r.span_id").alias("span_id"), F.when(parent.isNull() | F.rlike(parent, F.lit("^0+$")), "").otherwise(parent).alias("parent_span_id"), F.col("r.name").alias("name"),
+        F.col("r.trace_id").alias("trace_id"), F.col("r.span_id").alias("span_id"), _id(F.col("r.parent_span_id")).alias("parent_span_id"), F.col("r.name").alias("name"),
         span_kind(F.col("r.kind")).alias("kind"), span_status(F.col("r.status")).alias("status_code"), F.col("r.start_us").alias("start_us"), F.col("r.end_us").alias("end_us"), F.greatest(F.col("r.end_us") - F.col("r.start_us"), F.lit(0)).alias("dur_us"),
         F.coalesce(F.nullif(F.col("resource")["service.name"], F.lit("")), F.lit("unknown")).alias("service"), app_id(F.col("resource")).alias("app_id"), sanitize_attributes(_map(F.col("r.attributes"))).alias("attributes"), sanitize_attributes(F.col("resource")).alias("resource"), "scope_name",
     )
 
 
 def flatten_metrics(df: DataFrame) -> DataFrame:
-    """Points from rows (resource, scope_metrics). Monotonic sums are counters, other sums gauges."""
+    """Points from rows (resource, scope_metrics). Monotonic sums are counters, other sums gauges; histograms and summaries give their sum."""
     x = _records(df, "scope_metrics", "metrics")
     kind = F.when(F.col("r.kind") == "sum", F.when(F.col("r.monotonic"), "counter").otherwise("gauge")).otherwise(F.col("r.kind"))
-    p = x.select("resource", F.col("r.name").alias("name"), F.col("r.unit").alias("unit"), kind.alias("type"), F.when(kind.isin("counter", "histogram"), F.col("r.temporality")).alias("temporality"), F.explode("r.points").alias("p"))
+    p = x.select("resource", F.col("r.name").alias("name"), F.col("r.unit").alias("unit"), kind.alias("type"), F.when(kind.isin("counter", "histogram"), F.coalesce("r.temporality", F.lit(""))).alias("temporality"), F.explode("r.points").alias("p"))
     return p.select(
-        F.col("p.ts_us").alias("ts_us"), "name", "type", F.when(F.col("type") == "histogram", F.col("p.sum")).otherwise(F.col("p.value")).alias("value"), metric_labels(_map(F.col("p.attributes"))).alias("labels"),
+        F.col("p.ts_us").alias("ts_us"), "name", "type", F.coalesce(F.when(F.col("type").isin("histogram", "summary"), F.col("p.sum")).otherwise(F.col("p.value")), F.lit(0.0)).alias("value"), metric_labels(_map(F.col("p.attributes"))).alias("labels"),
         F.coalesce(F.nullif(F.col("resource")["service.name"], F.lit("")), F.lit("unknown")).alias("service"), app_id(F.col("resource")).alias("app_id"), "unit", F.col("p.bucket_counts").alias("bucket_counts"), F.col("p.explicit_bounds").alias("explicit_bounds"), F.col("p.count").alias("count"), "temporality",
     )
 
@@ -45,6 +49,6 @@ def flatten_logs(df: DataFrame) -> DataFrame:
     """Log records from rows (resource, scope_logs)."""
     x = _records(df, "scope_logs", "records")
     return x.select(
-        F.col("r.ts_us").alias("ts_us"), F.col("r.severity_number").alias("severity_number"), F.col("r.severity").alias("severity"), F.col("r.body").alias("body"), F.col("r.trace_id").alias("trace_id"), F.col("r.span_id").alias("span_id"),
+        F.col("r.ts_us").alias("ts_us"), F.col("r.severity_number").alias("severity_number"), F.col("r.severity").alias("severity"), F.col("r.body").alias("body"), _id(F.col("r.trace_id")).alias("trace_id"), _id(F.col("r.span_id")).alias("span_id"),
         F.coalesce(F.nullif(F.col("resource")["service.name"], F.lit("")), F.lit("unknown")).alias("service"), app_id(F.col("resource")).alias("app_id"), sanitize_attributes(_map(F.col("r.attributes"))).alias("attributes"),
     )
