@@ -45,17 +45,23 @@ def series_key(labels: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_keys(labels)), lambda k: F.concat(k, F.lit("="), labels[k])), ",")
 
 
+def _spelled(value: Column, prefix: str, names: tuple[str, ...], other: str) -> Column:
+    bare = F.upper(F.trim(value))
+    cases = [(n, [n.upper(), prefix + n.upper(), str(i)]) for i, n in enumerate(names, 1)]
+    out = F.when(bare.isin(cases[0][1]), cases[0][0])
+    for name, spellings in cases[1:]:
+        out = out.when(bare.isin(spellings), name)
+    return out.otherwise(other)
+
+
 def span_kind(value: Column) -> Column:
-    """Internal, Server, Client, Producer or Consumer from any common spelling."""
-    bare = F.lower(F.regexp_replace(value, "^(?i)SPAN_KIND_", ""))
-    named = F.element_at(F.array(*[F.lit(x) for x in ("internal", "server", "client", "producer", "consumer")]), F.coalesce(bare.try_cast("int"), F.lit(1)))
-    return F.initcap(F.when(bare.try_cast("int").between(1, 5), named).otherwise(bare))
+    """Internal, Server, Client, Producer or Consumer from any common spelling, else Unspecified."""
+    return _spelled(value, "SPAN_KIND_", ("Internal", "Server", "Client", "Producer", "Consumer"), "Unspecified")
 
 
 def span_status(value: Column) -> Column:
-    """Ok, Error or Unset from any common spelling."""
-    bare = F.lower(F.regexp_replace(value, "^(?i)STATUS_CODE_", ""))
-    return F.initcap(F.when(bare == "0", "unset").when(bare == "1", "ok").when(bare == "2", "error").otherwise(bare))
+    """Ok or Error from any common spelling, else Unset."""
+    return _spelled(value, "STATUS_CODE_", ("Ok", "Error"), "Unset")
 
 
 def time_bucket(ts_us: Column, step_us: int, origin_us: int = 0) -> Column:

@@ -36,8 +36,21 @@ def match(value: Column, op: str, wanted: str) -> Column:
     return F.rlike(value, F.lit(f"^(?:{wanted})$"))
 
 
+#: Labels whose wanted values may be spelled in several ways.
+_SPELLED = {"span_kind": span_kind, "status_code": span_status}
+
+
 def label_matchers(labels: Column, *matchers: tuple[str, str, str]) -> Column:
-    return reduce(lambda a, b: a & b, (match(labels[label_name(k)], op, v) for k, op, v in matchers), F.lit(True))
+    """All of the matchers; names and plain kinds and states may be in any spelling."""
+
+    def one(key: str, op: str, wanted: str) -> Column:
+        name = label_name(key)
+        if name in _SPELLED and op in ("=", "!="):
+            same = F.coalesce(labels[name] == _SPELLED[name](F.lit(wanted)), F.lit(False))
+            return same if op == "=" else ~same
+        return match(labels[name], op, wanted)
+
+    return reduce(lambda a, b: a & b, (one(*m) for m in matchers), F.lit(True))
 
 
 def metric_names(name: Column, *selectors: tuple[str, str]) -> Column:

@@ -23,9 +23,11 @@ def clamp_step(start: int, end: int, step: int, most: int = MAX_POINTS) -> int:
     return -(-(end - start) // most // 1_000_000) * 1_000_000 or 1_000_000
 
 
-def instant(samples: DataFrame, at: int) -> DataFrame:
-    """Newest sample of every series up to ``at``."""
+def instant(samples: DataFrame, at: int, lookback: int | None = None) -> DataFrame:
+    """Newest sample of every series up to ``at``; with ``lookback`` (``LOOKBACK`` is usual) older ones are neither taken nor read."""
     x = with_series(samples).where(F.col("ts_us") <= at)
+    if lookback is not None:
+        x = x.where(F.col("ts_us") > at - lookback)
     return x.groupBy("name", "series").agg(F.max("ts_us").alias("ts_us"), F.max_by("value", "ts_us").alias("value"))
 
 
@@ -82,13 +84,25 @@ def steps_of(samples: DataFrame, start: int, end: int, step: int, window: int) -
     return x.withColumn("t", F.explode(F.transform(F.sequence("lo", "hi"), lambda k: k * step + start))).drop("lo", "hi")
 
 
-def rates(samples: DataFrame, start: int, end: int, step: int, window: int, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+def _with_neighbours(samples: DataFrame, first: int, last: int, keys: tuple[str, ...], reach: int | None) -> DataFrame:
+    """Samples in [first, last] and of every series the newest one before and the oldest one after."""
+    x = samples.select(*keys, "ts_us", "value")
+    if reach is not None:
+        x = x.where(F.col("ts_us").between(first - reach, last + reach))
+    sample = F.struct("ts_us", "value")
+    before = x.where(F.col("ts_us") < first).groupBy(*keys).agg(F.max(sample).alias("s"))
+    after = x.where(F.col("ts_us") > last).groupBy(*keys).agg(F.min(sample).alias("s"))
+    return x.where(F.col("ts_us").between(first, last)).unionByName(before.unionByName(after).select(*keys, "s.ts_us", "s.value"))
+
+
+def rates(samples: DataFrame, start: int, end: int, step: int, window: int, keys: tuple[str, ...] = ("series",), reach: int | None = None) -> DataFrame:
     """(keys, t, n, increase, rate, irate, delta, idelta, deriv, and *_over_time values) per series and step.
 
     Windows are closed; counters may reset; a single sample borrows its neighbour, the previous one first. A rate is raised to the whole window where samples span less of it.
+    Only the range's samples are sorted by series; a neighbour outside it is looked for as far as ``reach``, or in the whole history.
     """
     w = W.partitionBy(*keys).orderBy("ts_us")
-    x = samples.select(*keys, "ts_us", "value", F.lag("ts_us").over(w).alias("pt"), F.lag("value").over(w).alias("pv"), F.lead("ts_us").over(w).alias("nt"), F.lead("value").over(w).alias("nv"))
+    x = _with_neighbours(samples, start - window, end, keys, reach).select(*keys, "ts_us", "value", F.lag("ts_us").over(w).alias("pt"), F.lag("value").over(w).alias("pv"), F.lead("ts_us").over(w).alias("nt"), F.lead("value").over(w).alias("nv"))
     x = x.withColumn("reset", F.when(F.col("value") < F.col("pv"), F.col("pv")).otherwise(0.0))
     x = steps_of(x, start, end, step, window)
     sample = F.struct("ts_us", "value", "reset", "pt", "pv", "nt", "nv")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import filters as f
 from ..operators import histograms as h
 from ..operators import metrics as m
 from ..operators import rollup as ru
@@ -66,6 +67,9 @@ for _name, _op in (("add", "+"), ("subtract", "-"), ("multiply", "*")):
     _add(f"m31_{_name}", _arithmetic(_op), f"SELECT series, n.value {_op} t.value AS value FROM now_ n JOIN then_ t USING (series)", fx.COUNTERS_SQL, _NOW, _THEN)
 
 
+_add("m01_instant_lookback", lambda spark, d: m.instant(fx.counters(spark, d), FIRST + 10 * DAY, 6 * fx.HOUR).select("series", "value", "ts_us"), f"SELECT {_SERIES}, arg_max(value, ts_us) AS value, max(ts_us) AS ts_us FROM counters WHERE ts_us <= {FIRST + 10 * DAY} AND ts_us > {FIRST + 10 * DAY - 6 * fx.HOUR} GROUP BY 1", fx.COUNTERS_SQL)
+
+
 # histograms
 def _points(spark: SparkSession, d: str) -> DataFrame:
     return fx.histograms(spark, d).withColumn("event_type", F.col("labels")["event_type"])
@@ -135,3 +139,8 @@ _add(
     "m28_exemplar_series", lambda spark, d: tr.exemplars(_red(spark, d).where("status_code = 'Error'"), fx.spans(spark, d), "traces_spanmetrics_calls_total"),
     "SELECT 'traces_spanmetrics_calls_total' AS metric, service, arg_max(trace_id, (start_us, trace_id)) AS trace_id, max(start_us) AS start_us FROM spans WHERE service IN (SELECT service FROM red WHERE status_code = 'Error') GROUP BY 2", fx.SPANS_SQL, _RED,
 )
+_add(
+    "f02_spelled_values",
+    lambda spark, d: _red(spark, d).withColumn("labels", F.create_map(F.lit("span_kind"), "kind", F.lit("status_code"), "status_code")).where(f.label_matchers(F.col("labels"), ("span.kind", "=", "SPAN_KIND_SERVER"), ("statusCode", "!=", "2"))).groupBy("service", "kind", "status_code").agg(F.sum("calls").alias("calls")),
+    "SELECT service, kind, status_code, count(*) AS calls FROM spans WHERE kind = 'Server' AND status_code <> 'Error' GROUP BY 1, 2, 3", fx.SPANS_SQL,
+)
