@@ -216,7 +216,8 @@ _c("r02_rollup_counter", ru.rollup_counter, f"SELECT 'app.events' AS name, {_SER
 _h("r03_rollup_histogram", lambda x: ru.rollup_histogram(x, DAY).select("series", "t", F.array_join(F.transform("bucket_counts", lambda c: c.cast("string")), ",").alias("counts")), f"SELECT 'event_type=' || event_type AS series, t, string_agg(n::VARCHAR, ',' ORDER BY pos) AS counts FROM (SELECT event_type, ts_us // {DAY} * {DAY} AS t, pos, sum(n)::BIGINT AS n FROM u GROUP BY 1, 2, 3) GROUP BY 1, 2", _UN)
 _g("r04_ready_hours", lambda g: ru.ready_hours(g, g.where(F.col("ts_us") < START).select("app_id", time_bucket(F.col("ts_us"), HOUR).alias("hour")).distinct(), END), f"SELECT DISTINCT app_id, ts_us // {HOUR} * {HOUR} AS hour FROM gauges WHERE ts_us // {HOUR} * {HOUR} + {3 * HOUR} <= {END} AND ts_us >= {START}")
 _g("r04_watermark", lambda g: ru.watermark(g.select("app_id", time_bucket(F.col("ts_us"), HOUR).alias("hour"))), f"SELECT app_id, max(hour) AS watermark FROM (SELECT app_id, hour, hour - (row_number() OVER (PARTITION BY app_id ORDER BY hour) - 1) * {HOUR} AS run, min(hour) OVER (PARTITION BY app_id) AS fst FROM (SELECT DISTINCT app_id, ts_us // {HOUR} * {HOUR} AS hour FROM gauges)) WHERE run = fst GROUP BY 1")
-_g("r05_merged_tiers", lambda g: ru.tiered(g.select("ts_us", "value"), g.select("ts_us", "value"), START).groupBy("tier").agg(F.count(F.lit(1)).alias("n")), f"SELECT CASE WHEN ts_us < {START} THEN '5m' ELSE 'raw' END AS tier, count(*) AS n FROM gauges GROUP BY 1")
+_g("r05_merged_tiers", lambda g: ru.tiered(m.with_series(g).select("series", "ts_us", "value"), ru.rollup_gauge(g).select("series", F.col("t").alias("ts_us"), "value"), START).groupBy("series", "tier").agg(F.count(F.lit(1)).alias("n"), F.max("ts_us").alias("last"), F.round(F.sum("value"), 3).alias("v")),
+   f"SELECT {_SERIES} AS series, '5m' AS tier, count(*) AS n, max(t) AS last, round(sum(v), 3) AS v FROM (SELECT event_type, shard, ts_us // 300000000 * 300000000 AS t, avg(value) AS v FROM gauges GROUP BY ALL) WHERE t < {START} GROUP BY 1 UNION ALL SELECT {_SERIES}, 'raw', count(*), max(ts_us), round(sum(value), 3) FROM gauges WHERE ts_us >= {START} GROUP BY 1")
 _flat = lambda c: c.select("app_id", "name", "type", "unit", F.array_join("label_keys", ",").alias("label_keys"), F.array_join("services", ",").alias("services"), "last_seen", "n")
 _CAT = "SELECT app_id, 'app.value' AS name, 'gauge' AS type, '' AS unit, 'event_type,shard' AS label_keys, string_agg(DISTINCT service, ',' ORDER BY service) AS services, max(ts_us) AS last_seen, count(*) AS n FROM gauges GROUP BY 1"
 _g("r06_catalog_upsert", lambda g: _flat(ru.upsert_catalog(ru.catalog(g.where(F.col("ts_us") < START)), ru.catalog(g.where(F.col("ts_us") >= START)))), _CAT)

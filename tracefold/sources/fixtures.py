@@ -6,6 +6,8 @@ samples that start again at midnight, hourly delta histograms, and log records.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of the derived tables of an input folder, where ``store`` has written them.
+_STORED: dict[str, str] = {}
+
+
+def _derived(build):
+    """Reads a table that is stored, else derives it."""
+
+    @wraps(build)
+    def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(f"{_STORED[sf_dir]}/{build.__name__}") if sf_dir in _STORED else build(spark, sf_dir)
+
+    return table
+
+
+def store(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes the derived tables once; later reads of ``sf_dir`` take them from ``folder``."""
+    for build in (spans, gauges, counters, histograms, logs):
+        build(spark, sf_dir).write.parquet(f"{folder}/{build.__name__}")
+    _STORED[sf_dir] = folder
+
+
 def _micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+@_derived
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over lines joined with their orders; each line explodes into its spans."""
     lines = read(spark, sf_dir, "lineitem").selectExpr(
@@ -58,6 +82,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_derived
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.select(
@@ -66,6 +91,7 @@ def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_derived
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").withColumn("ts_us", _micros("ts"))
     e = e.withColumn("shard", F.col("user_id") % 10).withColumn("value", F.expr(f"cast(row_number() over (partition by event_type, shard, floor(ts_us / {DAY}) order by ts_us) as double)"))
@@ -75,6 +101,7 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_derived
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delta points per event type and hour."""
     e = read(spark, sf_dir, "events").withColumn("hour", F.floor(_micros("ts") / HOUR) * HOUR)
@@ -87,6 +114,7 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_derived
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     severity = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
