@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language_id, mixing, pii, quality_model, quality_rules, suffix_dedup, tokens
-from .base import id_remainder, sha256_hex, shared_folder, table
+from . import bpe, chat, decontaminate, hard_negatives, jaccard, language_id, mixing, periodic_runs, pii, quality_model, quality_rules, suffix_dedup, tokens
+from .base import id_remainder, sha256_hex, shared_folder, table, word_array
 from .sql import OP2, OP6, OP10
 
 END_ID = 2
@@ -86,8 +86,58 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def multi_ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = bpe.read_ranks(multi_ranks_path())
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(listed).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    whole = "vec_id is not null and label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    rows = rows.where(whole).select(
+        F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long").alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"), (F.col("vec_id") % 100 == 0).alias("is_anchor"),
+    )
+    return hard_negatives.mine(rows)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = F.when(n > 0, g % n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    text = F.when((h % 10 == 0) & F.col("text").rlike(r"[^ \t-\r]"), F.transform(F.array(word_array(F.col("text"))), planted)[0]).otherwise(F.col("text"))
+    found = periodic_runs.collapse_runs(docs.select("doc_id", text.alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        sha256_hex(lines).alias("runs_sha256"), sha256_hex(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_quality_model, op6_jaccard_join, op7_personal_data, op8_suffix_dedup, op9_token_shards, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_quality_model, op6_jaccard_join, op7_personal_data, op8_suffix_dedup, op9_token_shards, op10_quality_rules, op11_byte_bpe, op12_hard_negatives, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -163,6 +163,9 @@ class Encoder:
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # in a byte-level vocabulary every character stands for one byte
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
+        self._reset()
+
+    def _reset(self) -> None:
         self.known = _Pieces()
         self.count = 0
         self.flat = np.zeros(1 << 16, np.uint32)
