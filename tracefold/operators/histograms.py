@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import steps_of
+from .panes import Grid, slide
 
 
 def bucket_rows(points: DataFrame, *keys: str) -> DataFrame:
@@ -37,10 +37,14 @@ def merge(points: DataFrame, *keys: str) -> DataFrame:
 
 def quantile(points: DataFrame, q: float, *keys: str) -> DataFrame:
     """Linear within the bucket that holds the rank, its lower bound if that is empty; the mean above the last bound; 0 without counts. Points are deltas."""
-    summed = _summed(points, *keys).where(F.col("le") != float("inf"))
     means = points.groupBy(*keys).agg(F.sum("value").alias("total"), F.sum("count").alias("points"))
+    return _quantile(_summed(points, *keys), means, q, *keys)
+
+
+def _quantile(summed: DataFrame, means: DataFrame, q: float, *keys: str) -> DataFrame:
+    """From bucket counts (keys, pos, le, n) and the points' sums (keys, total, points)."""
     w = W.partitionBy(*keys).orderBy("pos")
-    x = summed.withColumn("upto", F.sum("n").over(w)).withColumn("low", F.coalesce(F.lag("le").over(w), F.lit(0.0))).join(means, list(keys))
+    x = summed.where(F.col("le") != float("inf")).withColumn("upto", F.sum("n").over(w)).withColumn("low", F.coalesce(F.lag("le").over(w), F.lit(0.0))).join(means, list(keys))
     x = x.withColumn("rank", F.col("points") * q)
     hit = x.where(F.col("upto") >= F.col("rank")).groupBy(*keys).agg(F.min(F.struct("pos", "le", "low", "n", "upto", "rank")).alias("h"))
     h = F.col("h")
@@ -50,13 +54,19 @@ def quantile(points: DataFrame, q: float, *keys: str) -> DataFrame:
 
 
 def quantile_over_time(points: DataFrame, q: float, start: int, end: int, step: int, window: int, *keys: str) -> DataFrame:
-    """The same over a sliding window per step."""
-    return quantile(steps_of(points, start, end, step, window), q, *keys, "t")
+    """The same over a sliding window per step: bucket sums of panes are merged, no point is copied."""
+    grid = Grid(start, end, step, window)
+    x = points.withColumn("b", F.struct(F.size("explicit_bounds").alias("k"), "explicit_bounds"))
+    whole = slide(x, list(keys), grid, total=("sum", "value"), points=("sum", "count"), b=("max", "b"))
+    whole = whole.withColumn("b", F.col("b.explicit_bounds"))
+    counts = slide(x.select(*keys, "ts_us", F.posexplode("bucket_counts").alias("pos", "n")), [*keys, "pos"], grid, n=("sum", "n"))
+    summed = counts.join(whole.select(*keys, "t", "b"), [*keys, "t"]).select(*keys, "t", "pos", F.coalesce(F.get("b", F.col("pos")), F.lit(float("inf"))).alias("le"), "n")
+    return _quantile(summed, whole.select(*keys, "t", "total", "points"), q, *keys, "t")
 
 
 def heatmap(points: DataFrame, start: int, end: int, step: int, window: int, *keys: str) -> DataFrame:
-    """Cumulative rate per bound and step."""
-    x = bucket_rows(steps_of(points, start, end, step, window), *keys, "t").groupBy(*keys, "t", "pos", "le").agg(F.sum("n").alias("n"))
+    """Cumulative rate per bound and step, from bucket sums of panes."""
+    x = slide(bucket_rows(points, *keys, "ts_us"), [*keys, "pos", "le"], Grid(start, end, step, window), n=("sum", "n"))
     w = W.partitionBy(*keys, "t").orderBy("pos")
     return x.select(*keys, "t", "le", (F.sum("n").over(w) / (window / 1e6)).alias("value"))
 

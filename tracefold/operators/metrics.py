@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.model import series_key, time_bucket
+from .panes import Grid, windows
 
-MAX_POINTS = 11_000
 LOOKBACK = 300_000_000
 
 
@@ -16,13 +16,6 @@ def with_series(samples: DataFrame) -> DataFrame:
     return samples.withColumn("series", series_key(F.col("labels")))
 
 
-def clamp_step(start: int, end: int, step: int, most: int = MAX_POINTS) -> int:
-    """The step, or the smallest whole multiple of a second that keeps the grid within ``most`` points."""
-    if (end - start) // step < most:
-        return step
-    return -(-(end - start) // most // 1_000_000) * 1_000_000 or 1_000_000
-
-
 def instant(samples: DataFrame, at: int, lookback: int | None = None) -> DataFrame:
     """Newest sample of every series up to ``at``; with ``lookback`` (``LOOKBACK`` is usual) older ones are neither taken nor read."""
     x = with_series(samples).where(F.col("ts_us") <= at)
@@ -75,15 +68,6 @@ def density(samples: DataFrame, step: int) -> DataFrame:
     return samples.groupBy(time_bucket(F.col("ts_us"), step).alias("t")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def steps_of(samples: DataFrame, start: int, end: int, step: int, window: int) -> DataFrame:
-    """Every sample once for each step t with t - window <= ts <= t."""
-    last = (end - start) // step
-    lo = F.greatest(F.ceil((F.col("ts_us") - start) / step), F.lit(0))
-    hi = F.least(F.floor((F.col("ts_us") + window - start) / step), F.lit(last))
-    x = samples.where(F.col("ts_us").between(start - window, end)).withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
-    return x.withColumn("t", F.explode(F.transform(F.sequence("lo", "hi"), lambda k: k * step + start))).drop("lo", "hi")
-
-
 def _with_neighbours(samples: DataFrame, first: int, last: int, keys: tuple[str, ...], reach: int | None) -> DataFrame:
     """Samples in [first, last] and of every series the newest one before and the oldest one after."""
     x = samples.select(*keys, "ts_us", "value")
@@ -99,31 +83,36 @@ def rates(samples: DataFrame, start: int, end: int, step: int, window: int, keys
     """(keys, t, n, increase, rate, irate, delta, idelta, deriv, and *_over_time values) per series and step.
 
     Windows are closed; counters may reset; a single sample borrows its neighbour, the previous one first. A rate is raised to the whole window where samples span less of it.
-    Only the range's samples are sorted by series; a neighbour outside it is looked for as far as ``reach``, or in the whole history.
+    Samples are sorted within panes of the grid only (see ``panes``); a neighbour outside the range is looked for as far as ``reach``, or in the whole history.
     """
-    w = W.partitionBy(*keys).orderBy("ts_us")
-    x = _with_neighbours(samples, start - window, end, keys, reach).select(*keys, "ts_us", "value", F.lag("ts_us").over(w).alias("pt"), F.lag("value").over(w).alias("pv"), F.lead("ts_us").over(w).alias("nt"), F.lead("value").over(w).alias("nv"))
-    x = x.withColumn("reset", F.when(F.col("value") < F.col("pv"), F.col("pv")).otherwise(0.0))
-    x = steps_of(x, start, end, step, window)
-    sample = F.struct("ts_us", "value", "reset", "pt", "pv", "nt", "nv")
-    seconds = (F.col("ts_us") - F.lit(start)) / 1e6
-    g = x.groupBy(*keys, "t").agg(
-        F.count(F.lit(1)).alias("n"), F.min(sample).alias("a"), F.max(sample).alias("b"), F.sum("reset").alias("resets"), F.regr_slope(F.col("value"), seconds).alias("deriv"),
-        *(AGGREGATES[f]("value", "ts_us").alias(f"{f}_over_time") for f in ("avg", "min", "max", "sum", "count", "last")),
-    )
-    a, b = F.col("a"), F.col("b")
-    many = F.greatest(b["value"] - a["value"] + F.col("resets") - a["reset"], F.lit(0.0))
-    before = a["value"] - a["pv"] + F.when(a["value"] < a["pv"], a["pv"]).otherwise(0.0)
-    after = a["nv"] - a["value"] + F.when(a["nv"] < a["value"], a["value"]).otherwise(0.0)
-    increase = F.when(F.col("n") > 1, many).when(a["pt"].isNotNull(), before).when(a["nt"].isNotNull(), after)
-    span = F.when(F.col("n") > 1, b["ts_us"] - a["ts_us"]).when(a["pt"].isNotNull(), a["ts_us"] - a["pt"]).otherwise(a["nt"] - a["ts_us"]) / 1e6
-    g = g.withColumn("increase", increase).withColumn("span", span)
-    last_two = (b["value"] - b["pv"]) / ((b["ts_us"] - b["pt"]) / 1e6)
-    two = F.col("n") > 1
-    return g.select(
+    grid, keys = Grid(start, end, step, window), list(keys)
+    ts = F.col("ts_us")
+    x = _with_neighbours(samples.where("value is not null"), grid.first, grid.last, tuple(keys), reach)
+    x = x.withColumn("pane", F.when(ts < grid.first, -1).when(ts > grid.last, 2**62).otherwise(grid.pane(ts)))
+    near = W.partitionBy(*keys, "pane").orderBy("ts_us", "value")
+    x = x.select("*", F.lag("ts_us").over(near).alias("pt"), F.lag("value").over(near).alias("pv"), ((ts - (start + end) // 2) / 1e6).alias("s"))
+    v, s = F.col("value"), F.col("s")
+    sums = {"n": F.count(F.lit(1)), "total": F.sum(v), "resets": F.sum(F.when(v < F.col("pv"), F.col("pv")).otherwise(0.0)), "sx": F.sum(s), "sxx": F.sum(s * s), "sxy": F.sum(s * v)}
+    x = x.groupBy(*keys, "pane").agg(*(c.alias(k) for k, c in sums.items()), F.min("value").alias("least"), F.max("value").alias("most"), F.min(F.struct("ts_us", "value")).alias("a"), F.max(F.struct("ts_us", "value", "pt", "pv")).alias("b"))
+    order = W.partitionBy(*keys).orderBy("pane")
+    x = x.withColumn("p", F.lag("b").over(order)).withColumn("f", F.lead("a").over(order)).where(F.col("pane").between(0, 2**61))
+    a, b, p, f = (F.col(c) for c in "abpf")
+    # a reset between panes counts in the later one; the window's first pane has none
+    x = x.withColumn("between", F.when(a["value"] < p["value"], p["value"]).otherwise(0.0)).withColumn("resets", F.col("resets") + F.col("between"))
+    x = x.withColumn("second", F.when(b["pt"].isNotNull(), F.struct(b["pt"].alias("ts_us"), b["pv"].alias("value"))).otherwise(F.struct(p["ts_us"].alias("ts_us"), p["value"].alias("value"))))
+    x = windows(x, keys, grid, dict.fromkeys(sums, "sum") | {"least": "min", "most": "max"}, first=("a", "p", "f", "between"), last=("b", "second"))
+    n, two, second = F.col("n"), F.col("n") > 1, F.col("second")
+    one = F.when(p.isNotNull(), a["value"] - p["value"] + F.when(a["value"] < p["value"], p["value"]).otherwise(0.0)).when(f.isNotNull(), f["value"] - a["value"] + F.when(f["value"] < a["value"], a["value"]).otherwise(0.0))
+    increase = F.when(two, b["value"] - a["value"] + F.col("resets") - F.col("between")).otherwise(one)
+    span = F.when(two, b["ts_us"] - a["ts_us"]).when(p.isNotNull(), a["ts_us"] - p["ts_us"]).otherwise(f["ts_us"] - a["ts_us"]) / 1e6
+    x = x.withColumn("increase", F.when(increase.isNotNull(), F.greatest(increase, F.lit(0.0)))).withColumn("span", span)
+    spread = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    apart = (b["ts_us"] - second["ts_us"]) / 1e6
+    return x.select(
         *keys, "t", "n", "increase", F.when(F.col("span") > 0, F.col("increase") / F.col("span") * F.greatest(F.lit(window / 1e6) / F.col("span"), F.lit(1.0))).alias("rate"),
-        F.when(two, last_two).alias("irate"), F.when(two, b["value"] - a["value"]).alias("delta"), F.when(two, b["value"] - b["pv"]).alias("idelta"), F.when(two, F.col("deriv")).alias("deriv"),
-        *(f"{f}_over_time" for f in ("avg", "min", "max", "sum", "count", "last")),
+        F.when(two & (apart > 0), (b["value"] - second["value"]) / apart).alias("irate"), F.when(two, b["value"] - a["value"]).alias("delta"), F.when(two, b["value"] - second["value"]).alias("idelta"),
+        F.when(two & (spread > 0), (n * F.col("sxy") - F.col("sx") * F.col("total")) / spread).alias("deriv"), (F.col("total") / n).alias("avg_over_time"), F.col("least").alias("min_over_time"), F.col("most").alias("max_over_time"),
+        F.col("total").alias("sum_over_time"), n.cast("double").alias("count_over_time"), b["value"].alias("last_over_time"),
     )
 
 

@@ -1,19 +1,14 @@
-"""Structural operators over the parent pointers of spans."""
+"""Structural operators over the parent pointers of spans.
+
+What is below what is read from the numbers of ``tree``: no table of all ancestors is built. Which spans match, without the pairs, is found by counting.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` worked out once: checkpointed where the cluster names a shared folder, else kept by the executors."""
-    context = df.sparkSession.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if context.getCheckpointDir() is None and shared:
-        context.setCheckpointDir(shared)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+from .tree import number_spans, settled
 
 
 def closure(spans: DataFrame, below: DataFrame | None = None) -> DataFrame:
@@ -24,11 +19,11 @@ def closure(spans: DataFrame, below: DataFrame | None = None) -> DataFrame:
     """
     ids = spans.select("trace_id", "span_id", "parent_span_id")
     if below is not None:  # traces without any of these are left out
-        below = _settled(below.select("trace_id", "span_id").distinct())
+        below = settled(below.select("trace_id", "span_id").distinct())
         ids = ids.join(below.select("trace_id").distinct(), "trace_id", "left_semi")
-    ids = _settled(ids)
+    ids = settled(ids)
     named = ids.where("parent_span_id <> '' and parent_span_id <> span_id")
-    up = _settled(named.join(ids.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct(), ["trace_id", "parent_span_id"], "left_semi"))
+    up = settled(named.join(ids.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct(), ["trace_id", "parent_span_id"], "left_semi"))
     jump = up.select("trace_id", F.col("span_id").alias("ancestor"), F.col("parent_span_id").alias("further"))
     out = up if below is None else up.join(below, ["trace_id", "span_id"], "left_semi")
     out = out.select("trace_id", F.col("parent_span_id").alias("ancestor"), F.col("span_id").alias("descendant"), F.lit(1).alias("distance"))
@@ -36,12 +31,12 @@ def closure(spans: DataFrame, below: DataFrame | None = None) -> DataFrame:
     while True:
         led = out.join(jump, ["trace_id", "ancestor"]).where("further <> descendant")
         new = led.groupBy("trace_id", F.col("further").alias("ancestor"), "descendant").agg((F.min("distance") + step).alias("distance"))
-        new = _settled(new.join(out, ["trace_id", "ancestor", "descendant"], "left_anti"))
+        new = settled(new.join(out, ["trace_id", "ancestor", "descendant"], "left_anti"))
         if new.isEmpty():
             return out
         out = out.unionByName(new)
         on = jump.select("trace_id", F.col("ancestor").alias("further"), F.col("further").alias("beyond"))
-        jump = _settled(jump.join(on, ["trace_id", "further"]).select("trace_id", "ancestor", F.col("beyond").alias("further")))
+        jump = settled(jump.join(on, ["trace_id", "further"]).select("trace_id", "ancestor", F.col("beyond").alias("further")))
         step *= 2
 
 
@@ -49,10 +44,78 @@ def _ids(df: DataFrame, name: str) -> DataFrame:
     return df.select("trace_id", F.col("span_id").alias(name)).distinct()
 
 
-def descendants(tree: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(trace_id, a, b): spans of b below spans of a."""
-    pairs = tree.select("trace_id", F.col("ancestor").alias("a"), F.col("descendant").alias("b"))
-    return pairs.join(_ids(a, "a"), ["trace_id", "a"], "left_semi").join(_ids(b, "b"), ["trace_id", "b"], "left_semi").select("trace_id", "a", "b")
+def _power(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
+
+
+def _blocks(lo: Column, hi: Column) -> Column:
+    """The numbers from lo up to hi (excluded) as blocks of 2 ** level numbers: at most two of each level."""
+    def at(level):
+        power = _power(level)
+        first, end = F.floor((lo + power - 1) / power), F.floor(hi / power)
+        block = lambda x, on: F.when((first < end) & on, F.struct(level.alias("level"), x.alias("block")))
+        return F.array(block(first, first % 2 == 1), block(end - 1, end % 2 == 1))
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(hi)).cast("int"))
+    return F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())
+
+
+def descendants(spans: DataFrame, a: str, b: str, large: int | None = None) -> DataFrame:
+    """(trace_id, a, b): spans for which condition ``b`` holds below spans for which ``a`` holds.
+
+    A span of ``a`` asks for an interval of numbers, cut into blocks of powers of two; a span of ``b`` is in one block of each size. So they meet by equal
+    blocks, each pair once and no other. Spans in loops of parents are paired by following the loops.
+    """
+    x = number_spans(spans, a, *([] if large is None else [large]))
+    is_b = spans.where(b).select("trace_id", "span_id").distinct()
+    x = settled(x.where("marked or above > 0 or looped"))
+    over = x.where("marked and not looped and rgt - lft > 1").select("trace_id", F.col("span_id").alias("a"), F.explode(_blocks(F.col("lft") + 1, F.col("rgt"))).alias("at"))
+    below = x.where("above > 0 and not looped").join(is_b, ["trace_id", "span_id"], "left_semi")
+    levels = F.sequence(F.lit(0), F.floor(F.log2("lft")).cast("int"))
+    below = below.select("trace_id", F.col("span_id").alias("b"), "lft", F.explode(levels).alias("level")).select("trace_id", "b", F.struct("level", F.floor(F.col("lft") / _power(F.col("level"))).alias("block")).alias("at"))
+    pairs = over.join(below, ["trace_id", "at"]).select("trace_id", "a", "b")
+    looped = x.where("looped")
+    if looped.isEmpty():
+        return pairs
+    ring = spans.join(looped.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi")
+    round_ = closure(ring).select("trace_id", F.col("ancestor").alias("a"), F.col("descendant").alias("b"))
+    return pairs.unionByName(round_.join(_ids(spans.where(a), "a"), ["trace_id", "a"], "left_semi").join(is_b.withColumnRenamed("span_id", "b"), ["trace_id", "b"], "left_semi").select("trace_id", "a", "b"))
+
+
+def descendant_spans(spans: DataFrame, a: str, b: str, large: int | None = None) -> DataFrame:
+    """(trace_id, span_id) of spans of ``b`` that have an ancestor of ``a``, by the number of such ancestors."""
+    x = number_spans(spans, a, *([] if large is None else [large]))
+    return x.where("above > 0").select("trace_id", "span_id").join(_ids(spans.where(b), "span_id"), ["trace_id", "span_id"], "left_semi")
+
+
+def not_descendant_spans(spans: DataFrame, a: str, b: str, large: int | None = None) -> DataFrame:
+    """(trace_id, span_id) of spans of ``b`` in whose trace another span of ``a`` is not their ancestor: the trace has more of ``a`` than are above them."""
+    x = number_spans(spans, a, *([] if large is None else [large]))
+    marks = spans.where(a).groupBy("trace_id").agg(F.countDistinct("span_id").alias("marks"))
+    y = x.join(marks, "trace_id").where(F.col("marks") - F.col("above") - F.col("marked").cast("int") > 0)
+    return y.select("trace_id", "span_id").join(_ids(spans.where(b), "span_id"), ["trace_id", "span_id"], "left_semi")
+
+
+def not_child_spans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(trace_id, span_id) of spans of ``b`` in whose trace another span of ``a`` is not their parent, by counts."""
+    marks = a.groupBy("trace_id").agg(F.countDistinct("span_id").alias("marks"))
+    mine = a.select("trace_id", F.col("span_id").alias("id")).distinct()
+    x = b.select("trace_id", "span_id", "parent_span_id").join(marks, "trace_id")
+    near = x.select("trace_id", "span_id", F.explode(F.array_distinct(F.array("parent_span_id", "span_id"))).alias("id")).distinct().join(mine, ["trace_id", "id"], "left_semi")
+    near = near.groupBy("trace_id", "span_id").agg(F.count(F.lit(1)).alias("near"))
+    return x.join(near, ["trace_id", "span_id"], "left").where(F.col("marks") > F.coalesce("near", F.lit(0))).select("trace_id", "span_id").distinct()
+
+
+def sibling_spans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(trace_id, span_id) of spans of ``b`` with a sibling of ``a``: their parent has one, not counting themselves."""
+    family = ["trace_id", "parent_span_id"]
+    some = a.groupBy(*family).agg(F.min("span_id").alias("one"), F.max("span_id").alias("other"))
+    return b.select(*family, "span_id").join(some, family).where("one <> span_id or other <> span_id").select("trace_id", "span_id").distinct()
+
+
+def child_spans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(trace_id, span_id) of spans of ``b`` whose parent is in ``a``."""
+    return b.select("trace_id", "span_id", F.col("parent_span_id").alias("a")).join(_ids(a, "a"), ["trace_id", "a"], "left_semi").select("trace_id", "span_id").distinct()
 
 
 def children(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -66,50 +129,28 @@ def siblings(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["trace_id", "parent_span_id"]).where("a <> b").select("trace_id", "a", "b").distinct()
 
 
-def without(pairs: DataFrame, b: DataFrame) -> DataFrame:
-    """not-child and not-descendant: (trace_id, b) of spans that no pair has on its right side."""
-    return _ids(b, "b").join(pairs.select("trace_id", "b"), ["trace_id", "b"], "left_anti")
-
-
 def not_related(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(trace_id, a, b) of one trace that are not in ``pairs``."""
     return _ids(a, "a").join(_ids(b, "b"), "trace_id").where("a <> b").join(pairs, ["trace_id", "a", "b"], "left_anti")
 
 
-def any_structure(*pairs: DataFrame) -> DataFrame:
-    """Matched spans of several structural filters, joined by OR."""
+def any_structure(*matched: DataFrame) -> DataFrame:
+    """Matched spans of several structural filters, joined by OR: (trace_id, span_id) of each, not pairs."""
     out = None
-    for p in pairs:
-        x = p.select("trace_id", F.col("b").alias("span_id"))
+    for m in matched:
+        x = m.select("trace_id", "span_id")
         out = x if out is None else out.unionByName(x)
     return out.distinct()
 
 
-def depths(spans: DataFrame, tree: DataFrame) -> DataFrame:
-    """(trace_id, span_id, depth, size of the subtree)."""
-    up = tree.groupBy("trace_id", F.col("descendant").alias("span_id")).agg(F.max("distance").alias("depth"))
-    down = tree.groupBy("trace_id", F.col("ancestor").alias("span_id")).agg(F.count(F.lit(1)).alias("below"))
-    x = spans.select("trace_id", "span_id").join(up, ["trace_id", "span_id"], "left").join(down, ["trace_id", "span_id"], "left")
-    return x.select("trace_id", "span_id", F.coalesce("depth", F.lit(0)).alias("depth"), (F.coalesce("below", F.lit(0)) + 1).alias("size"))
+def nested_sets(spans: DataFrame) -> DataFrame:
+    """left, right and parent numbers; children in order of start, orphans are roots."""
+    return number_spans(spans).select("trace_id", "span_id", "lft", "rgt", "parent")
 
 
-def nested_sets(spans: DataFrame, tree: DataFrame) -> DataFrame:
-    """left, right and parent numbers; children in order of start, orphans are roots."""
-    start = spans.select("trace_id", F.col("span_id").alias("ancestor"), "start_us")
-    with_self = tree.unionByName(spans.select("trace_id", F.col("span_id").alias("ancestor"), F.col("span_id").alias("descendant"), F.lit(0).alias("distance")))
-    path = with_self.join(start, ["trace_id", "ancestor"]).groupBy("trace_id", F.col("descendant").alias("span_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "start_us", "ancestor"))).alias("p"))
-    path = path.withColumn("p", F.transform("p", lambda x: F.struct(x["start_us"].alias("s"), x["ancestor"].alias("a"))))
-    x = path.join(depths(spans, tree), ["trace_id", "span_id"])
-    n = F.row_number().over(W.partitionBy("trace_id").orderBy("p"))
-    x = x.withColumn("lft", 2 * n - 1 - F.col("depth")).withColumn("rgt", F.col("lft") + 2 * F.col("size") - 1)
-    parent = x.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("lft").alias("up"))
-    return x.join(spans.select("trace_id", "span_id", "parent_span_id"), ["trace_id", "span_id"]).join(parent, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", "lft", "rgt", F.coalesce("up", F.lit(-1)).alias("parent"))
-
-
-def tree_rows(spans: DataFrame, tree: DataFrame) -> DataFrame:
+def tree_rows(spans: DataFrame) -> DataFrame:
     """Depth, and offset and width in percent of the trace."""
-    whole = W.partitionBy("trace_id")
-    lo, hi = F.min("start_us").over(whole), F.max("end_us").over(whole)
-    length = F.greatest(hi - lo, F.lit(1))
-    x = spans.select("trace_id", "span_id", ((F.col("start_us") - lo) * 100 / length).alias("offset_pct"), (F.col("dur_us") * 100 / length).alias("width_pct"))
-    return x.join(depths(spans, tree).select("trace_id", "span_id", "depth"), ["trace_id", "span_id"])
+    ends = spans.groupBy("trace_id").agg(F.min("start_us").alias("lo"), F.max("end_us").alias("hi"))
+    length = F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
+    x = spans.select("trace_id", "span_id", "start_us", "dur_us").join(number_spans(spans).select("trace_id", "span_id", "depth"), ["trace_id", "span_id"]).join(ends, "trace_id")
+    return x.select("trace_id", "span_id", ((F.col("start_us") - F.col("lo")) * 100 / length).alias("offset_pct"), (F.col("dur_us") * 100 / length).alias("width_pct"), "depth")

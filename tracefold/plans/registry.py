@@ -125,15 +125,21 @@ _s("t06_services", tr.services, "SELECT service, count(*) AS n_spans FROM spans
 _s("t07_operations", lambda s: tr.operations(s, "supplier-3"), "SELECT DISTINCT name, kind FROM spans WHERE service = 'supplier-3'")
 _s("t08_service_dependencies", tr.dependencies, "SELECT p.service AS parent, c.service AS child, count(*) AS calls FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.service <> c.service GROUP BY 1, 2")
 _s("t09_co_occurrence", tr.co_occurrence, "SELECT a.service AS service_a, b.service AS service_b, count(*) AS n_traces FROM (SELECT DISTINCT trace_id, service FROM spans) a JOIN (SELECT DISTINCT trace_id, service FROM spans) b ON a.trace_id = b.trace_id AND a.service < b.service GROUP BY 1, 2")
+_FAILED, _SENT = "kind = 'Server' and status_code = 'Error'", "kind = 'Producer'"
 _UP = "up AS (SELECT trace_id, parent_span_id AS a, span_id AS b, 1 AS d FROM spans WHERE parent_span_id <> '' UNION ALL SELECT up.trace_id, s.parent_span_id, up.b, up.d + 1 FROM up JOIN spans s ON s.trace_id = up.trace_id AND s.span_id = up.a WHERE s.parent_span_id <> '')"
-_s("t10_descendants", lambda s: st.descendants(st.closure(s, s.where(F.col("kind") == "Producer")), s.where(_server() & _error()), s.where(F.col("kind") == "Producer")), "SELECT up.trace_id, a, b FROM up JOIN spans x ON x.trace_id = up.trace_id AND x.span_id = a JOIN spans y ON y.trace_id = up.trace_id AND y.span_id = b WHERE x.kind = 'Server' AND x.status_code = 'Error' AND y.kind = 'Producer'", _UP, recursive=True)
+_s("t10_descendants", lambda s: st.descendants(s, _FAILED, _SENT), "SELECT up.trace_id, a, b FROM up JOIN spans x ON x.trace_id = up.trace_id AND x.span_id = a JOIN spans y ON y.trace_id = up.trace_id AND y.span_id = b WHERE x.kind = 'Server' AND x.status_code = 'Error' AND y.kind = 'Producer'", _UP, recursive=True)
 _s("t11_children", lambda s: st.children(s.where(_client()), s.where(_server() & _error())), "SELECT c.trace_id, p.span_id AS a, c.span_id AS b FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE p.kind = 'Client' AND c.kind = 'Server' AND c.status_code = 'Error'")
 _s("t12_siblings", lambda s: st.siblings(s.where(F.col("name") == "SELECT part"), s.where(F.col("kind") == "Producer")), "SELECT x.trace_id, x.span_id AS a, y.span_id AS b FROM spans x JOIN spans y ON x.trace_id = y.trace_id AND x.parent_span_id = y.parent_span_id AND x.span_id <> y.span_id WHERE x.name = 'SELECT part' AND y.kind = 'Producer'")
 _s("t13_not_child", lambda s: st.not_related(st.children(s.where(_server() & _error()), s.where(F.col("kind") == "Producer")), s.where(_server() & _error()), s.where(F.col("kind") == "Producer")), "SELECT x.trace_id, x.span_id AS a, y.span_id AS b FROM spans x JOIN spans y ON x.trace_id = y.trace_id AND y.parent_span_id <> x.span_id WHERE x.kind = 'Server' AND x.status_code = 'Error' AND y.kind = 'Producer'")
-_s("t14_any_structure", lambda s: st.any_structure(st.children(s.where(_server()), s.where(F.col("kind") == "Producer")), st.siblings(s.where(F.col("kind") == "Producer"), s.where(F.col("name") == "SELECT part"))), "SELECT trace_id, span_id FROM spans y WHERE kind = 'Producer' UNION SELECT y.trace_id, y.span_id FROM spans y JOIN spans x ON x.trace_id = y.trace_id AND x.parent_span_id = y.parent_span_id WHERE y.name = 'SELECT part' AND x.kind = 'Producer'")
+_s("t14_any_structure", lambda s: st.any_structure(st.child_spans(s.where(_server()), s.where(F.col("kind") == "Producer")), st.sibling_spans(s.where(F.col("kind") == "Producer"), s.where(F.col("name") == "SELECT part"))), "SELECT trace_id, span_id FROM spans y WHERE kind = 'Producer' UNION SELECT y.trace_id, y.span_id FROM spans y JOIN spans x ON x.trace_id = y.trace_id AND x.parent_span_id = y.parent_span_id WHERE y.name = 'SELECT part' AND x.kind = 'Producer'")
+_A = "x.kind = 'Server' AND x.status_code = 'Error'"
+_s("t10_descendant_spans", lambda s: st.descendant_spans(s, _FAILED, _SENT), f"SELECT DISTINCT up.trace_id, b AS span_id FROM up JOIN spans x ON x.trace_id = up.trace_id AND x.span_id = a JOIN spans y ON y.trace_id = up.trace_id AND y.span_id = b WHERE {_A} AND y.kind = 'Producer'", _UP, recursive=True)
+_s("t12_sibling_spans", lambda s: st.sibling_spans(s.where(_client()), s.where(_client() & _error())), "SELECT trace_id, span_id FROM spans y WHERE kind = 'Client' AND status_code = 'Error' AND EXISTS (SELECT 1 FROM spans x WHERE x.trace_id = y.trace_id AND x.parent_span_id = y.parent_span_id AND x.span_id <> y.span_id AND x.kind = 'Client')")
+_s("t13_not_child_spans", lambda s: st.not_child_spans(s.where(_FAILED), s.where(_SENT)), f"SELECT trace_id, span_id FROM spans y WHERE kind = 'Producer' AND EXISTS (SELECT 1 FROM spans x WHERE x.trace_id = y.trace_id AND x.span_id <> y.span_id AND x.span_id <> y.parent_span_id AND {_A})")
+_s("t13_not_descendant", lambda s: st.not_descendant_spans(s, _FAILED, "kind = 'Client'"), f"SELECT y.trace_id, y.span_id FROM spans y JOIN (SELECT trace_id, count(*) AS marks FROM spans x WHERE {_A} GROUP BY 1) m ON m.trace_id = y.trace_id LEFT JOIN (SELECT up.trace_id, b, count(*) AS above FROM up JOIN spans x ON x.trace_id = up.trace_id AND x.span_id = a WHERE {_A} GROUP BY 1, 2) u ON u.trace_id = y.trace_id AND u.b = y.span_id WHERE y.kind = 'Client' AND m.marks > coalesce(above, 0)", _UP, recursive=True)
 _PATH = "pa AS (SELECT trace_id, span_id, parent_span_id, [(start_us, span_id)] AS p, 0 AS d FROM spans WHERE parent_span_id = '' UNION ALL SELECT s.trace_id, s.span_id, s.parent_span_id, list_append(pa.p, (s.start_us, s.span_id)), pa.d + 1 FROM pa JOIN spans s ON s.trace_id = pa.trace_id AND s.parent_span_id = pa.span_id)"
 _NEST = "ns AS (SELECT trace_id, span_id, parent_span_id, 2 * row_number() OVER (PARTITION BY trace_id ORDER BY p) - 1 - d AS lft, d, (SELECT count(*) FROM up WHERE up.trace_id = pa.trace_id AND up.a = pa.span_id) + 1 AS s FROM pa)"
-_s("t15_nested_sets", lambda s: st.nested_sets(s, st.closure(s)), "SELECT n.trace_id, n.span_id, n.lft, n.lft + 2 * n.s - 1 AS rgt, coalesce(q.lft, -1) AS parent FROM ns n LEFT JOIN ns q ON q.trace_id = n.trace_id AND q.span_id = n.parent_span_id", _UP, _PATH, _NEST, recursive=True)
+_s("t15_nested_sets", lambda s: st.nested_sets(s), "SELECT n.trace_id, n.span_id, n.lft, n.lft + 2 * n.s - 1 AS rgt, coalesce(q.lft, -1) AS parent FROM ns n LEFT JOIN ns q ON q.trace_id = n.trace_id AND q.span_id = n.parent_span_id", _UP, _PATH, _NEST, recursive=True)
 _s("t16_select", lambda s: tr.select_fields(s.where(F.col("kind") == "Client"), db=f.attribute("span.db.name"), svc=f.attribute("resource.service.name"), ev=f.attribute("event.db.name"), dur=F.col("dur_us")), "SELECT trace_id, span_id, db_name AS db, service AS svc, db_name AS ev, dur_us AS dur FROM spans WHERE kind = 'Client'")
 _s("t17_count_by", lambda s: tr.count_by(s, _client(), F.col("service")), "SELECT trace_id, service, count(*) AS n FROM spans WHERE kind = 'Client' GROUP BY 1, 2")
 _TG = f"g AS (SELECT unnest(range({T0}, {T1}, {TSTEP})) AS t)"
@@ -150,7 +156,7 @@ _PAIR = "SELECT service, name, row_number() OVER (PARTITION BY service, name ORD
 _one = lambda s, i: s.where(F.col("trace_id") == i)
 _s("t26_trace_diff", lambda s: tr.compare(_one(s, "t3"), _one(s, "t9")).withColumn("nth", F.col("nth").cast("long")), f"SELECT service, name, nth, a.dur_us AS dur_a, b.dur_us AS dur_b, CASE WHEN b.dur_us IS NULL THEN 'removed' WHEN a.dur_us IS NULL THEN 'added' ELSE 'matched' END AS state, b.dur_us - a.dur_us AS delta_us FROM ({_PAIR} 't3') a FULL JOIN ({_PAIR} 't9') b USING (service, name, nth)")
 _s("t27_service_diff", lambda s: tr.compare_services(_one(s, "t3"), _one(s, "t9")), "SELECT service, n_a, dur_a, n_b, dur_b, CASE WHEN n_b IS NULL THEN 'only_a' WHEN n_a IS NULL THEN 'only_b' ELSE 'both' END AS state FROM (SELECT service, count(*) AS n_a, sum(dur_us)::BIGINT AS dur_a FROM spans WHERE trace_id = 't3' GROUP BY 1) FULL JOIN (SELECT service, count(*) AS n_b, sum(dur_us)::BIGINT AS dur_b FROM spans WHERE trace_id = 't9' GROUP BY 1) USING (service)")
-_s("t28_tree_rows", lambda s: st.tree_rows(s, st.closure(s)), "SELECT s.trace_id, s.span_id, (start_us - lo) * 100 / greatest(hi - lo, 1) AS offset_pct, dur_us * 100 / greatest(hi - lo, 1) AS width_pct, coalesce(u.d, 0)::INT AS depth FROM spans s JOIN (SELECT trace_id, min(start_us) AS lo, max(start_us + dur_us) AS hi FROM spans GROUP BY 1) USING (trace_id) LEFT JOIN (SELECT trace_id, b, max(d) AS d FROM up GROUP BY 1, 2) u ON u.trace_id = s.trace_id AND u.b = s.span_id", _UP, recursive=True)
+_s("t28_tree_rows", lambda s: st.tree_rows(s), "SELECT s.trace_id, s.span_id, (start_us - lo) * 100 / greatest(hi - lo, 1) AS offset_pct, dur_us * 100 / greatest(hi - lo, 1) AS width_pct, coalesce(u.d, 0)::INT AS depth FROM spans s JOIN (SELECT trace_id, min(start_us) AS lo, max(start_us + dur_us) AS hi FROM spans GROUP BY 1) USING (trace_id) LEFT JOIN (SELECT trace_id, b, max(d) AS d FROM up GROUP BY 1, 2) u ON u.trace_id = s.trace_id AND u.b = s.span_id", _UP, recursive=True)
 _s("t29_list_items", tr.list_items, "SELECT trace_id, sum(n)::BIGINT AS n_spans, count(*) AS n_services, bool_or(bad) AS has_error, string_agg(service, ',' ORDER BY n DESC, service) AS services FROM (SELECT trace_id, service, count(*) AS n, bool_or(status_code = 'Error') AS bad FROM spans GROUP BY 1, 2) GROUP BY 1")
 _s("t30_graph_nodes", tr.graph_nodes, "SELECT trace_id, service, count(*) AS n, count_if(status_code = 'Error')::BIGINT AS errors FROM spans GROUP BY 1, 2")
 
