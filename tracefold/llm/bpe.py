@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .base import bounded_batches, settle_table
 from .tokens import Encoder
 
-WORDS, WORD_BYTES = 1 << 18, 64
+WORDS, WORD_BYTES = 1 << 19, 64
 #: Distinct words that a task counts before it hands them on; words up to this length are merged by looking through all pairs.
 HELD_WORDS, SHORT = 200_000, 100
 _BUCKETS = 1 << 16
@@ -99,17 +99,17 @@ def _merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[word]]
     if len(word) > SHORT:
         return _merged_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    found = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    rank = ranks.get
+    starts = list(range(len(word) + 1))
+    found = [rank(word[i : i + 2], _NONE) for i in starts[:-2]]
     while found and (least := min(found)) < _NONE:
         i = found.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del found[i]
+        del found[i], starts[i + 1]
         if i:
-            found[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+            found[i - 1] = rank(word[starts[i - 1] : starts[i + 1]], _NONE)
         if i < len(found):
-            found[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
-    return [ranks[p] for p in parts]
+            found[i] = rank(word[starts[i] : starts[i + 2]], _NONE)
+    return [ranks[word[i:j]] for i, j in zip(starts, starts[1:])]
 
 
 def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -158,43 +158,52 @@ class RankEncoder(Encoder):
         return np.array(self._ids(text), np.uint32)
 
     def _learn(self, keys: list[str]) -> None:
-        lists = [self._ids(k[1:] if k[:1] == " " else " " + k) for k in keys]
+        lists = []
+        for k in keys:
+            part = k[1:] if k[:1] == " " else " " + k
+            ids = self.words.get(part)
+            if ids is None:
+                ids = _merged(part.encode(), self.ranks) if k.isascii() and k.isalpha() else self._ids(part)
+            lists.append(ids)
         self._add(np.array([i for ids in lists for i in ids], np.uint32), np.cumsum([len(ids) for ids in lists]))
 
 
-def _spaced(text: str) -> list[str]:
-    """Parts of a text that the pattern splits apart: single spaces begin a part; a text with two in a row is one part."""
-    if "  " in text:
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *(" " + r for r in rest)]
-
-
 def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """(word, n): the documents that contain each word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
         known: dict[str, list[str]] = {}
-        held: Counter[str] = Counter()
+        # words of letters are counted without the space before them
+        held, plain = Counter[str](), Counter[str]()
 
         def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            words = [*held, *(" " + w for w in plain)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([*held.values(), *plain.values()], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for t in batch.column(0):
-                words: set[str] = set()
-                for part in set(_spaced(t.as_py() or "")):
+                body = t.as_py() or ""
+                # the pattern splits a text at each single space, before it; a text with two in a row is taken whole
+                first, *rest = [body] if "  " in body else body.split(" ")
+                words, letters = set(split(first)), set()
+                for part in set(rest):
+                    if part.isascii() and part.isalpha():
+                        letters.add(part)
+                        continue
                     found = known.get(part)
                     if found is None:
-                        found = split(part)
+                        found = split(" " + part)
                         if len(known) < HELD_WORDS and len(part) <= WORD_BYTES:
                             known[part] = found
                     words.update(found)
-                held.update(words)
-            if len(held) > HELD_WORDS:
+                spaced = {w for w in words if w[:1] == " " and w[1:] in letters}
+                held.update(words - spaced)
+                plain.update(letters)
+            if len(held) + len(plain) > HELD_WORDS:
                 yield table()
                 held.clear()
+                plain.clear()
         yield table()
 
     bounded_batches(docs.sparkSession)
