@@ -1,8 +1,6 @@
 """Cases that the derived tables do not have: loops of parents, late servers, both ends of a call, unequal bounds."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from tracefold.operators import histograms, structure
 from tracefold.streaming import generators
 
@@ -44,7 +42,7 @@ def peers(spark):
         _span("r", "near", "Consumer", "work", 100, messaging__system="kafka"),
         _span("i", "near", "Internal", "back", 100),
     ]
-    return generators.pair_peers(spark.createDataFrame(rows, SPAN)).cache()
+    return generators.pair_peers(generators.edge_columns(spark.createDataFrame(rows, SPAN))).cache()
 
 
 def test_peers(peers):
@@ -55,7 +53,7 @@ def test_peers(peers):
 
 
 def test_both_ends_of_a_call_are_one_request(peers):
-    got = {(r["client"], r["server"], r["connection"]): (r["requests"], r["failed"], r["client_us"], r["server_us"], r["message_us"], r["message_bytes"]) for r in generators.service_graph(generators.edges(peers, F.col("peer")), 10**12).collect()}
+    got = {(r["client"], r["server"], r["connection"]): (r["requests"], r["failed"], r["client_us"], r["server_us"], r["message_us"], r["message_bytes"]) for r in generators.service_graph(generators.edges(peers), 10**12).collect()}
     assert got == {
         ("front", "back", "unset"): (1, 1, 10, 10, 0, 0),
         ("back", "orders", "database"): (0, 0, 10, 0, 0, 0),

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .panes import Grid, slide
+from .running import running
+
+#: Steps of a chunk of running values.
+STEPS = 512
 
 
 def bucket_rows(points: DataFrame, *keys: str) -> DataFrame:
@@ -72,11 +76,15 @@ def heatmap(points: DataFrame, start: int, end: int, step: int, window: int, *ke
 
 
 def snapshots(points: DataFrame, column: str, start: int, end: int, step: int, *keys: str, delta: bool = True) -> DataFrame:
-    """Cumulative ``column`` as of each step: the running sum of deltas, else the newest value."""
-    series = points.select(*keys).distinct()
-    grid = series.withColumn("ts_us", F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step)))).withColumn("grid", F.lit(1))
-    rows = points.select(*keys, "ts_us", F.col(column).cast("double").alias("v"), F.lit(0).alias("grid"))
-    w = W.partitionBy(*keys).orderBy("ts_us", "grid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    x = rows.unionByName(grid, allowMissingColumns=True)
-    x = x.withColumn("value", F.sum("v").over(w) if delta else F.last("v", ignorenulls=True).over(w))
-    return x.where("grid = 1 and value is not null").select(*keys, F.col("ts_us").alias("t"), "value")
+    """Cumulative ``column`` as of each step: the running sum of deltas, else the newest value.
+
+    Points are brought to one row per series and step first; values then run over steps in two levels.
+    """
+    ts, v = F.col("ts_us"), F.col(column).cast("double")
+    nth = F.greatest(F.ceil((ts - start) / step), F.lit(0))
+    value = F.sum(v) if delta else F.max_by(v, F.when(v.isNotNull(), ts))
+    held = points.where(ts <= end).groupBy(*keys, nth.alias("k")).agg(value.alias("value"))
+    grid = held.select(*keys).distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((end - start) // step).cast("long"))))
+    x = held.unionByName(grid, allowMissingColumns=True).groupBy(*keys, "k").agg(F.max("value").alias("value")).where(F.col("k") <= (end - start) // step)
+    x = running(x, list(keys), "k", STEPS, sums=("value",)) if delta else running(x, list(keys), "k", STEPS, lasts=("value",))
+    return x.where("value is not null").select(*keys, (F.col("k") * step + start).alias("t"), "value")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.model import series_key, time_bucket
 from .panes import Grid, windows
+from .running import running
 
 LOOKBACK = 300_000_000
+#: Steps of a chunk of filled values.
+FILL_STEPS = 512
 
 
 def with_series(samples: DataFrame) -> DataFrame:
@@ -48,14 +51,14 @@ def fill(points: DataFrame, keys: list[str], start: int, end: int, step: int, ho
     x = grid.join(points.select(*keys, "t", value), [*keys, "t"], "left")
     if how == "0":
         return x.withColumn(value, F.coalesce(value, F.lit(0.0)))
-    back = W.partitionBy(*keys).orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = W.partitionBy(*keys).orderBy("t").rowsBetween(W.currentRow, W.unboundedFollowing)
+    chunk = FILL_STEPS * step
     if how == "previous":
-        return x.withColumn(value, F.last(value, ignorenulls=True).over(back))
+        return running(x, keys, "t", chunk, lasts=(value,))
     if how == "linear" and (end - start) // step >= 3:
         at = F.when(F.col(value).isNotNull(), F.col("t"))
-        x = x.withColumn("v0", F.last(value, ignorenulls=True).over(back)).withColumn("t0", F.last(at, ignorenulls=True).over(back)).withColumn("v1", F.first(value, ignorenulls=True).over(ahead)).withColumn("t1", F.first(at, ignorenulls=True).over(ahead))
-        line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+        x = x.withColumn("v0", F.col(value)).withColumn("t0", at).withColumn("v1", F.col(value)).withColumn("t1", at)
+        x = running(x, keys, "t", chunk, lasts=("v0", "t0"), nexts=("v1", "t1"))
+        line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0))
         return x.withColumn(value, F.coalesce(F.col(value), line)).drop("v0", "t0", "v1", "t1")
     return x
 

@@ -140,13 +140,13 @@ _s("t13_not_descendant", lambda s: st.not_descendant_spans(s, _FAILED, "kind = '
 _PATH = "pa AS (SELECT trace_id, span_id, parent_span_id, [(start_us, span_id)] AS p, 0 AS d FROM spans WHERE parent_span_id = '' UNION ALL SELECT s.trace_id, s.span_id, s.parent_span_id, list_append(pa.p, (s.start_us, s.span_id)), pa.d + 1 FROM pa JOIN spans s ON s.trace_id = pa.trace_id AND s.parent_span_id = pa.span_id)"
 _NEST = "ns AS (SELECT trace_id, span_id, parent_span_id, 2 * row_number() OVER (PARTITION BY trace_id ORDER BY p) - 1 - d AS lft, d, (SELECT count(*) FROM up WHERE up.trace_id = pa.trace_id AND up.a = pa.span_id) + 1 AS s FROM pa)"
 _s("t15_nested_sets", lambda s: st.nested_sets(s), "SELECT n.trace_id, n.span_id, n.lft, n.lft + 2 * n.s - 1 AS rgt, coalesce(q.lft, -1) AS parent FROM ns n LEFT JOIN ns q ON q.trace_id = n.trace_id AND q.span_id = n.parent_span_id", _UP, _PATH, _NEST, recursive=True)
-_s("t16_select", lambda s: tr.select_fields(s.where(F.col("kind") == "Client"), db=f.attribute("span.db.name"), svc=f.attribute("resource.service.name"), ev=f.attribute("event.db.name"), dur=F.col("dur_us")), "SELECT trace_id, span_id, db_name AS db, service AS svc, db_name AS ev, dur_us AS dur FROM spans WHERE kind = 'Client'")
+_s("t16_select", lambda s: tr.select_fields(s.where(F.col("kind") == "Client"), db=f.attribute("span.db.name"), svc=f.attribute("resource.service.name"), ev=f.attribute("event.db.name"), dur=F.col("dur_us")), "SELECT trace_id, span_id, db_name AS db, service AS svc, CASE WHEN db_system IS NOT NULL THEN db_name END AS ev, dur_us AS dur FROM spans WHERE kind = 'Client'")
 _s("t17_count_by", lambda s: tr.count_by(s, _client(), F.col("service")), "SELECT trace_id, service, count(*) AS n FROM spans WHERE kind = 'Client' GROUP BY 1, 2")
 _TG = f"g AS (SELECT unnest(range({T0}, {T1}, {TSTEP})) AS t)"
 _s("t18_rate", lambda s, a=T0, b=T1: tr.rate_over_time(s, _error(), a, b, TSTEP, "service"), f"SELECT l.service, g.t, count(x.span_id) / {TSTEP / 1e6} AS value FROM g CROSS JOIN (SELECT DISTINCT service FROM spans WHERE status_code = 'Error' AND start_us >= {T0} AND start_us < {T1}) l LEFT JOIN spans x ON x.service = l.service AND x.status_code = 'Error' AND x.start_us >= g.t AND x.start_us < g.t + {TSTEP} GROUP BY 1, 2", _TG)
 _s("t19_quantiles", lambda s, a=T0, b=T1: tr.quantiles_over_time(s, _server(), a, b, TSTEP).select("t", "p", F.round("value", 9).alias("value")), f"SELECT t, p, round(v / 1e6, 9) AS value FROM (SELECT (start_us - {T0}) // {TSTEP} * {TSTEP} + {T0} AS t, unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS p, unnest(quantile_cont(dur_us, [0.5, 0.95, 0.99])) AS v FROM spans WHERE kind = 'Server' AND start_us >= {T0} AND start_us < {T1} GROUP BY 1)")
 _s("t20_histogram", lambda s, a=T0, b=T1: tr.histogram_over_time(s, _server(), a, b, TSTEP), f"SELECT (start_us - {T0}) // {TSTEP} * {TSTEP} + {T0} AS t, pow(2, ceil(log2(dur_us))) / 1e6 AS bucket, count(*) AS n FROM spans WHERE kind = 'Server' AND dur_us > 0 AND start_us >= {T0} AND start_us < {T1} GROUP BY 1, 2")
-_s("t21_tag_keys", tr.tag_keys, "SELECT DISTINCT 'span' AS scope, unnest(list_filter([CASE WHEN http_method IS NOT NULL THEN 'http.method' END, CASE WHEN db_system IS NOT NULL THEN 'db.system' END, CASE WHEN db_name IS NOT NULL THEN 'db.name' END, CASE WHEN msg_system IS NOT NULL THEN 'messaging.system' END, CASE WHEN msg_system IS NOT NULL THEN 'messaging.destination_name' END, CASE WHEN msg_size IS NOT NULL THEN 'messaging.message_body_size' END], lambda x: x IS NOT NULL)) AS tag FROM spans UNION SELECT 'resource', unnest(['service.name', 'app_id']) UNION SELECT 'event', 'db.name'")
+_s("t21_tag_keys", tr.tag_keys, "SELECT DISTINCT 'span' AS scope, unnest(list_filter([CASE WHEN http_method IS NOT NULL THEN 'http.method' END, CASE WHEN db_system IS NOT NULL THEN 'db.system' END, CASE WHEN db_name IS NOT NULL THEN 'db.name' END, CASE WHEN msg_system IS NOT NULL THEN 'messaging.system' END, CASE WHEN msg_size IS NOT NULL THEN 'messaging.destination.name' END, CASE WHEN msg_size IS NOT NULL THEN 'messaging.message.body.size' END], lambda x: x IS NOT NULL)) AS tag FROM spans UNION SELECT 'resource', unnest(['service.name', 'app_id']) UNION SELECT 'event', 'db.name'")
 _s("t22_tag_values", lambda s: tr.tag_values(s, f.attribute(".db.name"), F.col("service") == "supplier-2"), "SELECT DISTINCT db_name AS value FROM spans WHERE service = 'supplier-2' AND db_name IS NOT NULL")
 _s("t23_roots", tr.roots, "SELECT DISTINCT name, service FROM spans WHERE parent_span_id = ''")
 _STATS = "count(*) AS n, sum(dur_us)::BIGINT AS total_us, avg(dur_us) AS avg_us, min(dur_us) AS min_us, max(dur_us) AS max_us, count_if(status_code = 'Error')::BIGINT AS errors, count_if(status_code = 'Error') / count(*) AS error_rate"
@@ -253,18 +253,32 @@ _add("l20_logs_of_traces", lambda spark, d: lg.of_spans(fx.logs(spark, d), fx.sp
 
 # streaming generators, batch form
 _counts = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-_BK = " || ',' || ".join(f"count(CASE WHEN dur_us / 1000 > {lo} AND dur_us / 1000 <= {hi} THEN 1 END)" for lo, hi in zip(["'-inf'::DOUBLE", *ge.LATENCY_BOUNDS_MS], ge.LATENCY_BOUNDS_MS))
+_BK = " || ',' || ".join(f"count(CASE WHEN dur_us / 1000 > {lo} AND dur_us / 1000 <= {hi} THEN 1 END)" for lo, hi in zip(["'-inf'::DOUBLE", *ge.RED_LATENCY_BOUNDS_MS], ge.RED_LATENCY_BOUNDS_MS))
 _s("w01_red_metrics", lambda s: ge.red_metrics(s, DAY).withColumn("bucket_counts", _counts("bucket_counts")), f"SELECT app_id, service, name, kind, status_code, start_us // {DAY} * {DAY} AS t, count(*) AS calls, sum(dur_us)::BIGINT AS latency_us, {_BK} AS bucket_counts FROM spans GROUP BY ALL")
-_PEERS = "pe AS MATERIALIZED (SELECT x.*, CASE WHEN x.db_system IS NOT NULL THEN x.db_name WHEN x.msg_system IS NOT NULL THEN 'kafka/orders' WHEN x.kind = 'Client' THEN s.service ELSE c.service END AS peer, CASE WHEN x.db_system IS NOT NULL THEN 'db_attribute' WHEN x.msg_system IS NOT NULL THEN 'messaging_attribute' WHEN coalesce(s.service, c.service) IS NOT NULL THEN 'paired' WHEN x.kind = 'Client' OR (x.kind = 'Server' AND x.parent_span_id <> '') THEN 'expired' END AS peer_source FROM spans x LEFT JOIN (SELECT trace_id, parent_span_id, service, start_us FROM spans WHERE kind = 'Server') s ON x.kind = 'Client' AND x.db_system IS NULL AND s.trace_id = x.trace_id AND s.parent_span_id = x.span_id AND abs(s.start_us - x.start_us) <= 10000000 LEFT JOIN (SELECT trace_id, span_id, service, start_us FROM spans WHERE kind = 'Client' AND db_system IS NULL) c ON x.kind = 'Server' AND c.trace_id = x.trace_id AND c.span_id = x.parent_span_id AND abs(c.start_us - x.start_us) <= 10000000)"
-_s("w02_service_graph", lambda s: ge.service_graph(ge.edges(ge.pair_peers(s), F.col("peer")), DAY), f"SELECT app_id, CASE WHEN kind = 'Server' THEN peer ELSE service END AS client, CASE WHEN kind = 'Server' THEN service ELSE peer END AS server, CASE WHEN msg_system IS NOT NULL THEN 'messaging_system' WHEN db_system IS NOT NULL THEN 'database' ELSE 'unset' END AS connection, start_us // {DAY} * {DAY} AS t, count_if(kind <> 'Client')::BIGINT AS requests, count_if(kind <> 'Client' AND status_code = 'Error')::BIGINT AS failed, sum(CASE WHEN kind = 'Client' THEN dur_us ELSE 0 END)::BIGINT AS client_us, sum(CASE WHEN kind = 'Server' THEN dur_us ELSE 0 END)::BIGINT AS server_us, sum(CASE WHEN kind = 'Producer' THEN dur_us ELSE 0 END)::BIGINT AS message_us, sum(CASE WHEN kind <> 'Client' THEN coalesce(msg_size, 0) ELSE 0 END)::BIGINT AS message_bytes FROM pe WHERE peer IS NOT NULL GROUP BY ALL", _PEERS)
+_PEERS = """pe AS MATERIALIZED (SELECT x.*, CASE WHEN x.db_system IS NOT NULL THEN x.db_name WHEN x.kind = 'Producer' THEN 'kafka/orders' WHEN x.kind = 'Client' AND x.msg_system IS NULL THEN s.service WHEN x.kind = 'Server' THEN c.service END AS peer,
+ CASE WHEN x.db_system IS NOT NULL THEN 'db_attribute' WHEN x.kind = 'Producer' THEN 'messaging_attribute' WHEN c.service IS NOT NULL THEN 'paired' WHEN s.service IS NOT NULL THEN CASE WHEN x.msg_system IS NULL THEN 'paired' END WHEN x.kind = 'Client' OR (x.kind = 'Server' AND x.parent_span_id <> '') THEN 'expired' END AS peer_source
+ FROM spans x LEFT JOIN (SELECT trace_id, parent_span_id, service, start_us FROM spans WHERE kind = 'Server') s ON x.kind = 'Client' AND x.db_system IS NULL AND s.trace_id = x.trace_id AND s.parent_span_id = x.span_id AND abs(s.start_us - x.start_us) < 10000000
+ LEFT JOIN (SELECT trace_id, span_id, service, start_us FROM spans WHERE kind = 'Client' AND db_system IS NULL) c ON x.kind = 'Server' AND c.trace_id = x.trace_id AND c.span_id = x.parent_span_id AND abs(c.start_us - x.start_us) < 10000000)"""
+
+
+def _buckets_sql(value: str, when: str, bounds: tuple[float, ...]) -> str:
+    return " || ',' || ".join(f"count(CASE WHEN {when} AND {value} > {lo} AND {value} <= {hi} THEN 1 END)" for lo, hi in zip(["'-inf'::DOUBLE", *bounds], bounds))
+
+
+_SECONDS = {"client": "kind = 'Client'", "server": "kind = 'Server' AND msg_system IS NULL", "message": "(kind = 'Producer' OR (kind <> 'Client' AND msg_system IS NOT NULL))"}
+_HISTOGRAMS = ", ".join([f"sum(CASE WHEN {w} THEN dur_us ELSE 0 END)::BIGINT AS {k}_us, count(CASE WHEN {w} THEN 1 END) AS {k}_n, {_buckets_sql('dur_us / 1e6', w, ge.GRAPH_LATENCY_BOUNDS)} AS {k}_buckets" for k, w in _SECONDS.items()])
+_KEPT = ["app_id", "client", "server", "connection", "t", "requests", "failed", *(f"{k}_{x}" for k in _SECONDS for x in ("us", "n")), "message_bytes", "size_n"]
+_s("w02_service_graph", lambda s: ge.service_graph(ge.edges(ge.pair_peers(ge.edge_columns(s))), DAY).select(*_KEPT, *(_counts(f"{k}_buckets").alias(f"{k}_buckets") for k in (*_SECONDS, "size"))),
+   f"SELECT app_id, CASE WHEN kind = 'Server' THEN peer ELSE service END AS client, CASE WHEN kind = 'Server' THEN service ELSE peer END AS server, CASE WHEN msg_system IS NOT NULL THEN 'messaging_system' WHEN db_system IS NOT NULL OR db_name IS NOT NULL THEN 'database' ELSE 'unset' END AS connection, start_us // {DAY} * {DAY} AS t, count_if(kind <> 'Client')::BIGINT AS requests, count_if(kind <> 'Client' AND status_code = 'Error')::BIGINT AS failed, {_HISTOGRAMS}, sum(CASE WHEN kind <> 'Client' THEN coalesce(msg_size, 0) ELSE 0 END)::BIGINT AS message_bytes, count(CASE WHEN kind <> 'Client' THEN msg_size END) AS size_n, {_buckets_sql('msg_size', "kind <> 'Client'", ge.GRAPH_SIZE_BOUNDS)} AS size_buckets FROM pe WHERE peer IS NOT NULL GROUP BY ALL", _PEERS)
 _CALLS = f"cl AS (SELECT service, kind, start_us // {TSTEP} * {TSTEP} AS t, count(*) AS calls FROM spans GROUP BY ALL)"
 _calls = lambda s: ge.red_metrics(s, TSTEP).groupBy("service", "kind", "t").agg(F.sum("calls").alias("calls"))
 _s("w04_cumulative", lambda s: ge.cumulative(_calls(s), ["service", "kind"], "calls"), "SELECT service, kind, t, sum(calls) OVER (PARTITION BY service, kind ORDER BY t)::BIGINT AS calls FROM cl", _CALLS)
+_s("w04_cumulative_idle", lambda s: ge.cumulative(_calls(s), ["service", "kind"], "calls", cycles=1, step_us=TSTEP), "SELECT service, kind, t, sum(calls) OVER (PARTITION BY service, kind, life ORDER BY t)::BIGINT AS calls FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY service, kind ORDER BY t) AS life FROM (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY service, kind ORDER BY t), 0) > " + str(TSTEP) + " AS gap FROM cl))", _CALLS)
 _s("w05_evict_stale", lambda s: ge.evict_stale(ge.red_metrics(s, DAY).select("app_id", "service", "name", "t", "calls"), ["app_id", "service", "name"], T1, 5, DAY).groupBy("app_id", "service", "name").agg(F.sum("calls").alias("calls")), f"SELECT app_id, service, name, count(*) AS calls FROM spans GROUP BY 1, 2, 3 HAVING max(start_us // {DAY} * {DAY}) >= {T1 - 5 * DAY}")
 _s("w06_limit_series", lambda s: ge.limit_series(_calls(s), ["service", "kind"], 9), "SELECT cl.* FROM cl JOIN (SELECT service, kind, min(t) AS f FROM cl GROUP BY 1, 2 ORDER BY f, service, kind LIMIT 9) USING (service, kind)", _CALLS)
 _s("w07_pair_peers", lambda s: ge.pair_peers(s).select("trace_id", "span_id", "service", "kind", "peer", "peer_source"), "SELECT trace_id, span_id, service, kind, peer, peer_source FROM pe", _PEERS)
 _s("w08_database_peer", lambda s: s.where(ge.database_peer().isNotNull()).groupBy(ge.database_peer().alias("peer")).agg(F.count(F.lit(1)).alias("n")), "SELECT db_name AS peer, count(*) AS n FROM spans WHERE db_system IS NOT NULL GROUP BY 1")
-_s("w09_messaging_peer", lambda s: s.where(ge.messaging_peer().isNotNull()).groupBy(ge.messaging_peer().alias("peer")).agg(F.count(F.lit(1)).alias("n")), "SELECT 'kafka/orders' AS peer, count(*) AS n FROM spans WHERE msg_system IS NOT NULL GROUP BY 1")
+_s("w09_messaging_peer", lambda s: s.where(ge.messaging_peer().isNotNull()).groupBy(ge.messaging_peer().alias("peer")).agg(F.count(F.lit(1)).alias("n")), "SELECT 'kafka/orders' AS peer, count(*) AS n FROM spans WHERE kind = 'Producer' GROUP BY 1")
 _add("w10_enrich_by_token", lambda spark, d: ge.enrich_by_token(fx.logs(spark, d).select("log_id", F.concat(F.lit("tok"), F.col("attributes")["user_id"].cast("long") % 7).alias("token")), fx.read(spark, d, "nation").where("n_nationkey < 5").select(F.concat(F.lit("tok"), "n_nationkey").alias("token"), F.col("n_name").alias("app"))), "SELECT log_id, n_name AS app FROM logs JOIN nation ON n_nationkey = user_id % 7 WHERE n_nationkey < 5", fx.LOGS_SQL)
 
 # retention and usage

@@ -1,6 +1,7 @@
 """Telemetry derived from the order and event tables, in Spark and as SQL text for checks.
 
-Every order is a trace; its lines are client, server, database and producer spans. Events are gauge samples, counter
+Every order is a trace; its lines are client, server, database and producer spans. Clients of third lines carry a database's name but
+no system, those of fifth lines a messaging system; servers of seventh lines start 10 s after their client. Events are gauge samples, counter
 samples that start again at midnight, hourly delta histograms, and log records.
 """
 
@@ -67,13 +68,13 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = "if(l_returnflag = 'R', 'Error', 'Ok')"
     key = "concat(ok, '_', ln)"
     service = "concat('supplier-', l_suppkey % 10)"
-    client = span(f"concat('c', {key})", "concat('o', ok)", "'CALL supplier'", "Client", "'gateway'", "t0 + ln * 1000", "floor(l_extendedprice / 10)", failed, "'GET'")
-    server = span(f"concat('s', {key})", f"concat('c', {key})", "concat('GET /part/', l_linenumber)", "Server", service, "t0 + ln * 1000 + 200", "floor(l_extendedprice / 20)", failed, "'GET'")
+    client = span(f"concat('c', {key})", "concat('o', ok)", "'CALL supplier'", "Client", "'gateway'", "t0 + ln * 1000", "floor(l_extendedprice / 10)", failed, "'GET'", db=(void, "if(l_linenumber = 3, 'cache', null)"), msg=("if(l_linenumber = 5, 'rabbit', null)", void, void))
+    server = span(f"concat('s', {key})", f"concat('c', {key})", "concat('GET /part/', l_linenumber)", "Server", service, "t0 + ln * 1000 + 200 + if(l_linenumber = 7, 10000000, 0)", "floor(l_extendedprice / 20)", failed, "'GET'")
     db = span(f"concat('d', {key})", f"concat('s', {key})", "'SELECT part'", "Client", service, "t0 + ln * 1000 + 300", "floor(l_quantity * 100)", "'Ok'", db=("'mysql'", "concat('shard', l_partkey % 4)"))
     sent = span(f"concat('m', {key})", f"concat('s', {key})", "'send orders'", "Producer", service, "t0 + ln * 1000 + 400", "floor(l_quantity * 10)", "'Ok'", msg=("'kafka'", "'orders'", "cast(floor(l_quantity) * 64 as string)"))
     below = lines.join(orders, lines["l_orderkey"] == orders["ok"]).selectExpr(f"explode(concat(array({client}, {server}), if(l_linestatus = 'F', array({db}), array()), if(l_returnflag = 'A', array({sent}), array()))) as s").select("s.*")
     flat = orders.selectExpr(f"{root} as s").select("s.*").unionByName(below)
-    names = {"http.method": "http_method", "db.system": "db_system", "db.name": "db_name", "messaging.system": "msg_system", "messaging.destination_name": "msg_dest", "messaging.message_body_size": "msg_size"}
+    names = {"http.method": "http_method", "db.system": "db_system", "db.name": "db_name", "messaging.system": "msg_system", "messaging.destination.name": "msg_dest", "messaging.message.body.size": "msg_size"}
     attributes = F.map_filter(F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c))]), lambda k, v: v.isNotNull())
     return flat.select(
         "trace_id", "span_id", "parent_span_id", "name", "kind", "status_code", F.lit("").alias("status_message"), "start_us", (F.col("start_us") + F.col("dur_us")).alias("end_us"), "dur_us", "service", "app_id",
@@ -144,8 +145,8 @@ j AS (SELECT *, epoch_us(o_orderdate) AS t0, o_orderkey || '_' || ln AS k, 'supp
 spans AS MATERIALIZED (
  SELECT 't' || o_orderkey AS trace_id, 'o' || o_orderkey AS span_id, '' AS parent_span_id, 'POST /' || o_orderpriority AS name, 'Server' AS kind, 'gateway' AS service, epoch_us(o_orderdate) AS start_us, floor(o_totalprice)::BIGINT AS dur_us,
   CASE WHEN o_orderstatus = 'P' THEN 'Error' ELSE 'Ok' END AS status_code, 'app-' || (o_custkey % 5) AS app_id, 'POST' AS http_method, NULL AS db_system, NULL AS db_name, NULL AS msg_system, NULL::BIGINT AS msg_size FROM orders
- UNION ALL SELECT 't' || o_orderkey, 'c' || k, 'o' || o_orderkey, 'CALL supplier', 'Client', 'gateway', t0 + ln * 1000, floor(l_extendedprice / 10)::BIGINT, st, app, 'GET', NULL, NULL, NULL, NULL FROM j
- UNION ALL SELECT 't' || o_orderkey, 's' || k, 'c' || k, 'GET /part/' || l_linenumber, 'Server', svc, t0 + ln * 1000 + 200, floor(l_extendedprice / 20)::BIGINT, st, app, 'GET', NULL, NULL, NULL, NULL FROM j
+ UNION ALL SELECT 't' || o_orderkey, 'c' || k, 'o' || o_orderkey, 'CALL supplier', 'Client', 'gateway', t0 + ln * 1000, floor(l_extendedprice / 10)::BIGINT, st, app, 'GET', NULL, CASE WHEN l_linenumber = 3 THEN 'cache' END, CASE WHEN l_linenumber = 5 THEN 'rabbit' END, NULL FROM j
+ UNION ALL SELECT 't' || o_orderkey, 's' || k, 'c' || k, 'GET /part/' || l_linenumber, 'Server', svc, t0 + ln * 1000 + 200 + CASE WHEN l_linenumber = 7 THEN 10000000 ELSE 0 END, floor(l_extendedprice / 20)::BIGINT, st, app, 'GET', NULL, NULL, NULL, NULL FROM j
  UNION ALL SELECT 't' || o_orderkey, 'd' || k, 's' || k, 'SELECT part', 'Client', svc, t0 + ln * 1000 + 300, floor(l_quantity * 100)::BIGINT, 'Ok', app, NULL, 'mysql', 'shard' || (l_partkey % 4), NULL, NULL FROM j WHERE l_linestatus = 'F'
  UNION ALL SELECT 't' || o_orderkey, 'm' || k, 's' || k, 'send orders', 'Producer', svc, t0 + ln * 1000 + 400, floor(l_quantity * 10)::BIGINT, 'Ok', app, NULL, NULL, NULL, 'kafka', floor(l_quantity)::BIGINT * 64 FROM j WHERE l_returnflag = 'A')
 """

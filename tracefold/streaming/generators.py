@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LATENCY_BOUNDS_MS = (2.0, 4.0, 6.0, 8.0, 10.0, 50.0, 100.0, 200.0, 400.0, 800.0, 1000.0, 1400.0, 2000.0, 5000.0, 10000.0, 15000.0)
+from ..operators.running import running
+
+#: Upper bounds of the default histograms, span latency in ms, service-graph latency in seconds, message size in bytes.
+RED_LATENCY_BOUNDS_MS = (2.0, 4.0, 6.0, 8.0, 10.0, 15.0, 20.0, 30.0, 40.0, 50.0, 75.0, 100.0, 150.0, 200.0, 300.0, 400.0, 500.0, 750.0, 1000.0, 1500.0, 2000.0, 3000.0, 4000.0, 5000.0, 7500.0, 10000.0)
+GRAPH_LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+GRAPH_SIZE_BOUNDS = (128.0, 256.0, 512.0, 1024.0, 2048.0, 4096.0, 8192.0, 16384.0, 32768.0, 65536.0, 131072.0)
+#: Dimensions of span metrics besides service, name, kind and status.
+RED_DIMENSIONS = ("http.method", "http.status_code", "http.route", "rpc.method", "rpc.service", "peer.service")
 FLUSH_US = 15_000_000
+#: Running totals are added up within days first.
+CHUNK_US = 86_400_000_000
 
 
 def _window(step_us: int) -> Column:
@@ -20,53 +29,104 @@ def _bucket_counts(value: Column, bounds: tuple[float, ...]) -> Column:
     return F.array(*[F.count(F.when((value > lo) & (value <= hi), 1)) for lo, hi in zip(edges, bounds)])
 
 
-def red_metrics(spans: DataFrame, step_us: int = FLUSH_US, bounds: tuple[float, ...] = LATENCY_BOUNDS_MS, dimensions: tuple[str, ...] = ()) -> DataFrame:
+def _dimensions(dimensions: tuple[str, ...]) -> list[Column]:
+    """A span's attribute, else its resource's; empty ones count as missing."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return [F.coalesce(filled(F.col("attributes")[d]), filled(F.col("resource")[d])).alias(d.replace(".", "_")) for d in dimensions]
+
+
+def _red_values(bounds: tuple[float, ...]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("calls"), F.sum("dur_us").alias("latency_us"), _bucket_counts(F.col("dur_us") / 1000, bounds).alias("bucket_counts")]
+
+
+def red_metrics(spans: DataFrame, step_us: int = FLUSH_US, bounds: tuple[float, ...] = RED_LATENCY_BOUNDS_MS, dimensions: tuple[str, ...] = ()) -> DataFrame:
     """Calls and latency histogram per app, service, name, kind, status and extra attributes, in windows (deltas)."""
-    extra = [F.coalesce(F.col("attributes")[d], F.col("resource")[d]).alias(d.replace(".", "_")) for d in dimensions]
-    ms = F.col("dur_us") / 1000
-    return spans.groupBy("app_id", "service", "name", "kind", "status_code", *extra, _window(step_us)).agg(F.count(F.lit(1)).alias("calls"), F.sum("dur_us").alias("latency_us"), _bucket_counts(ms, bounds).alias("bucket_counts"))
+    return spans.groupBy("app_id", "service", "name", "kind", "status_code", *_dimensions(dimensions), _window(step_us)).agg(*_red_values(bounds))
 
 
-def red_metrics_stream(spans: DataFrame, step: str = "15 seconds", late: str = "1 minute") -> DataFrame:
-    """The streaming form: event-time windows that close once the watermark has passed them."""
+def red_metrics_stream(spans: DataFrame, step: str = "15 seconds", late: str = "1 minute", bounds: tuple[float, ...] = RED_LATENCY_BOUNDS_MS, dimensions: tuple[str, ...] = ()) -> DataFrame:
+    """The streaming form: event-time windows that close once the watermark has passed them; ``ts`` is the window's end."""
     x = spans.withColumn("ts", F.timestamp_micros("start_us")).withWatermark("ts", late)
-    g = x.groupBy(F.window("ts", step).alias("w"), "app_id", "service", "name", "kind", "status_code").agg(F.count(F.lit(1)).alias("calls"), F.sum("dur_us").alias("latency_us"), _bucket_counts(F.col("dur_us") / 1000, LATENCY_BOUNDS_MS).alias("bucket_counts"))
-    return g.select("app_id", "service", "name", "kind", "status_code", F.unix_micros("w.start").alias("t"), "calls", "latency_us", "bucket_counts")
+    extra = [d.replace(".", "_") for d in dimensions]
+    g = x.groupBy(F.window("ts", step).alias("w"), "app_id", "service", "name", "kind", "status_code", *_dimensions(dimensions)).agg(*_red_values(bounds))
+    return g.select("app_id", "service", "name", "kind", "status_code", *extra, F.unix_micros("w.start").alias("t"), "calls", "latency_us", "bucket_counts", F.window_time("w").alias("ts"))
 
 
-def edges(spans: DataFrame, peer: Column) -> DataFrame:
-    """Service-graph edges of spans that have a ``peer``: client and server by kind, and what connects them."""
-    kind, a = F.col("kind"), F.col("attributes")
+def edge_columns(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``connection`` and ``message_size``, so that attribute maps need not move when peers are found."""
+    a, resource = F.col("attributes"), F.col("resource")
     filled = lambda c: F.nullif(c, F.lit(""))
-    database = F.coalesce(*[filled(a[k]) for k in ("db.system", "db.name", "db.redis.database_index")], filled(F.col("resource")["db.system"]))
+    database = F.coalesce(*[filled(a[k]) for k in ("db.system", "db.name", "db.redis.database_index")], filled(resource["db.system"]))
     connection = F.when(filled(a["messaging.system"]).isNotNull(), "messaging_system").when(database.isNotNull(), "database").otherwise(F.coalesce(filled(a["rpc.system"]), F.lit("unset")))
-    x = spans.withColumn("other", filled(peer)).where(kind.isin("Client", "Producer", "Server", "Consumer") & F.col("other").isNotNull() & (F.col("service") != ""))
-    outgoing = kind.isin("Client", "Producer")
-    x = x.withColumn("connection", connection).withColumn("client", F.when(outgoing, F.col("service")).otherwise(F.col("other")))
-    return x.withColumn("server", F.when(outgoing, F.col("other")).otherwise(F.col("service"))).drop("other")
+    return spans.withColumn("connection", connection).withColumn("message_size", a["messaging.message.body.size"].try_cast("bigint"))
 
 
-def service_graph(edge_rows: DataFrame, step_us: int = FLUSH_US) -> DataFrame:
-    """Requests, failures, times and message bytes per app, edge and window.
+def edges(paired: DataFrame, peer: Column | None = None) -> DataFrame:
+    """Service-graph edges of spans with ``edge_columns`` that have a peer: client and server by kind."""
+    kind = F.col("kind")
+    other = F.nullif(F.col("peer") if peer is None else peer, F.lit(""))
+    x = paired.withColumn("other", other).where(kind.isin("Client", "Producer", "Server", "Consumer") & F.col("other").isNotNull() & (F.col("service") != ""))
+    outgoing = kind.isin("Client", "Producer")
+    return x.withColumn("client", F.when(outgoing, F.col("service")).otherwise(F.col("other"))).withColumn("server", F.when(outgoing, F.col("other")).otherwise(F.col("service"))).drop("other")
 
-    A call is seen from both ends: the server's end counts the request, the client's gives its time only. Producers count, because the
-    way to the broker and the way from it are edges of their own; times of messaging spans are kept apart.
-    """
-    kind, us = F.col("kind"), F.col("dur_us")
+
+def _graph_values(latency: tuple[float, ...], sizes: tuple[float, ...]) -> list[Column]:
+    """A call is seen from both ends: the server's end counts the request, the client's gives its time only. Producers count, because the
+    way to the broker and the way from it are edges of their own; times of messaging spans are kept apart."""
+    kind, us, size = F.col("kind"), F.col("dur_us"), F.col("message_size")
     counts = kind.isin("Server", "Consumer", "Producer")
     message = (kind == "Producer") | (counts & (F.col("connection") == "messaging_system"))
-    size = F.coalesce(*[F.col("attributes")[k] for k in ("messaging.message.body.size", "messaging.message_body_size")]).try_cast("bigint")
-    total = lambda when, value: F.sum(F.when(when, value).otherwise(0))
-    return edge_rows.groupBy("app_id", "client", "server", "connection", _window(step_us)).agg(
-        F.count_if(counts).alias("requests"), F.count_if(counts & (F.col("status_code") == "Error")).alias("failed"), total(kind == "Client", us).alias("client_us"),
-        total(counts & ~message, us).alias("server_us"), total(message, us).alias("message_us"), total(counts, F.coalesce(size, F.lit(0))).alias("message_bytes"),
-    )
+    out = [F.count_if(counts).alias("requests"), F.count_if(counts & (F.col("status_code") == "Error")).alias("failed")]
+    for name, when in (("client", kind == "Client"), ("server", counts & ~message), ("message", message)):
+        value = F.when(when, us)
+        out += [F.coalesce(F.sum(value), F.lit(0)).alias(f"{name}_us"), F.count(value).alias(f"{name}_n"), _bucket_counts(value / 1e6, latency).alias(f"{name}_buckets")]
+    size = F.when(counts, size)
+    return [*out, F.coalesce(F.sum(size), F.lit(0)).alias("message_bytes"), F.count(size).alias("size_n"), _bucket_counts(size.cast("double"), sizes).alias("size_buckets")]
 
 
-def cumulative(deltas: DataFrame, keys: list[str], *values: str) -> DataFrame:
-    """Running totals of windowed deltas."""
-    w = W.partitionBy(*keys).orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return deltas.select(*keys, "t", *(F.sum(v).over(w).alias(v) for v in values))
+def service_graph(edge_rows: DataFrame, step_us: int = FLUSH_US, latency: tuple[float, ...] = GRAPH_LATENCY_BOUNDS, sizes: tuple[float, ...] = GRAPH_SIZE_BOUNDS) -> DataFrame:
+    """Requests, failures and the histograms (sum, count, buckets) of client, server and message seconds and of message sizes, per app, edge and window."""
+    return edge_rows.groupBy("app_id", "client", "server", "connection", _window(step_us)).agg(*_graph_values(latency, sizes))
+
+
+def service_graph_stream(spans: DataFrame, step: str = "15 seconds", late: str = "1 minute", within: str = "10 seconds") -> DataFrame:
+    """The streaming form: clients and servers meet in stream joins bounded in time, whose rows are counted in windows that close by the watermark.
+
+    Either end of a call keeps its own time, so each is joined with the other's names on its own; spans with a peer of their own need no join. Every
+    client is taken to have one server and every server one client, as in the spans of one call.
+    """
+    x = edge_columns(spans).withColumn("ts", F.timestamp_micros("start_us")).withWatermark("ts", late)
+    columns = ["ts", "app_id", "kind", "service", "status_code", "dur_us", "connection", "message_size"]
+    own = x.where(~_waits()).withColumn("peer", F.coalesce(*_own_peer()[:1])).select(*columns, "peer")
+    client = x.where(_waits() & (F.col("kind") == "Client"))
+    server = x.where(_waits() & (F.col("kind") == "Server"))
+    near = f"o_trace = trace_id and o_span = id and o_ts between ts - interval {within} and ts + interval {within} and abs(unix_micros(o_ts) - unix_micros(ts)) < unix_micros(timestamp_seconds(0) + interval {within})"
+    names = lambda df, span: df.select(F.col("trace_id").alias("o_trace"), F.col(span).alias("o_span"), F.col("ts").alias("o_ts"), F.col("service").alias("peer"))
+    as_client = client.where(F.col("attributes")["messaging.system"].isNull()).withColumn("id", F.col("span_id")).join(names(server, "parent_span_id"), F.expr(near)).select(*columns, "peer")
+    as_server = server.withColumn("id", F.col("parent_span_id")).join(names(client, "span_id"), F.expr(near)).select(*columns, "peer")
+    rows = edges(own.unionByName(as_client).unionByName(as_server))
+    g = rows.groupBy(F.window("ts", step).alias("w"), "app_id", "client", "server", "connection").agg(*_graph_values(GRAPH_LATENCY_BOUNDS, GRAPH_SIZE_BOUNDS))
+    return g.withColumn("t", F.unix_micros("w.start")).drop("w")
+
+
+def cumulative(deltas: DataFrame, keys: list[str], *values: str, cycles: int | None = None, step_us: int = FLUSH_US, chunk_us: int = CHUNK_US) -> DataFrame:
+    """Running totals of windowed deltas; with ``cycles``, a series without data for more windows than that starts again from nothing.
+
+    Totals run within days of a series and then over its days, so no task orders a whole series.
+    """
+    x = deltas.select(*keys, "t", *values)
+    if cycles is not None:
+        # the first row of each day needs the last one of an earlier day
+        w = W.partitionBy(*keys, F.floor(F.col("t") / chunk_us)).orderBy("t")
+        ends = x.groupBy(*keys, F.floor(F.col("t") / chunk_us).alias("__day")).agg(F.min("t").alias("__first"), F.max("t").alias("__last"))
+        ends = ends.withColumn("__previous", F.lag("__last").over(W.partitionBy(*keys).orderBy("__day"))).select(*(F.col(k).alias(f"__{k}") for k in keys), "__first", "__previous")
+        on = F.col("t") == F.col("__first")
+        for k in keys:
+            on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+        x = x.join(ends, on, "left").withColumn("__since", F.coalesce("__previous", F.lag("t").over(w))).withColumn("__life", F.when(F.col("t") - F.col("__since") <= cycles * step_us, 0).otherwise(1).cast("long")).select(*keys, "t", *values, "__life")
+        x = running(x, keys, "t", chunk_us, sums=("__life",))
+        return running(x, [*keys, "__life"], "t", chunk_us, sums=values).select(*keys, "t", *values)
+    return running(x, keys, "t", chunk_us, sums=values)
 
 
 def evict_stale(deltas: DataFrame, keys: list[str], now_us: int, cycles: int = 5, step_us: int = FLUSH_US) -> DataFrame:
@@ -82,53 +142,66 @@ def limit_series(deltas: DataFrame, keys: list[str], most: int = 2000) -> DataFr
 
 
 def database_peer() -> Column:
+    """The peer of a database span, which has db.system or db.type: the first filled key in order of priority."""
     keys = ("db.name", "db.instance", "db.system", "db.type", "server.address")
     named = F.coalesce(*[F.nullif(F.col("attributes")[k], F.lit("")) for k in keys])
-    is_db = F.coalesce(*[F.col("attributes")[k] for k in keys[:4]]).isNotNull()
+    is_db = F.col("attributes")["db.system"].isNotNull() | F.col("attributes")["db.type"].isNotNull()
     return F.when(is_db, F.coalesce(named, F.lit("unknown")))
 
 
 def messaging_peer() -> Column:
     """[system/][address[:port]/]destination; null without a destination."""
     first = lambda *keys: F.coalesce(*[F.nullif(F.col("attributes")[k], F.lit("")) for k in keys])
-    destination = first("messaging.destination.name", "messaging.destination", "messaging.destination_name")
+    destination = first("messaging.destination.name", "messaging.destination")
     address, port = first("server.address", "net.peer.name", "network.peer.address"), first("server.port")
     address = F.when(port.try_cast("int") > 0, F.concat(address, F.lit(":"), port)).otherwise(address)
     return F.when(destination.isNotNull(), F.concat_ws("/", first("messaging.system"), address, destination))
 
 
+def _child() -> Column:
+    return F.coalesce(F.col("parent_span_id"), F.lit("")) != ""
+
+
+def _waits() -> Column:
+    """Spans that wait for their other end: clients other than of databases, servers with a parent."""
+    kind = F.col("kind")
+    return F.coalesce(((kind == "Client") & database_peer().isNull()) | ((kind == "Server") & _child()), F.lit(False))
+
+
+def _own_peer() -> tuple[Column, Column]:
+    """Peer and its source of spans that do not wait."""
+    kind = F.col("kind")
+    message = F.when((kind == "Producer") | ((kind == "Consumer") & _child()), messaging_peer())
+    database = F.when(kind == "Client", database_peer())
+    return F.coalesce(database, message), F.when(database.isNotNull(), "db_attribute").when(message.isNotNull(), "messaging_attribute")
+
+
 def pair_peers(spans: DataFrame, within_us: int = 10_000_000) -> DataFrame:
     """``spans`` with ``peer`` and ``peer_source``; every span stays.
 
-    Database clients and messaging spans take their peer from their attributes. Another client is paired with the first server span
-    that names it as parent, in the same trace and within the time, and that server with it; each is ``expired`` without
-    the other. Root servers, root consumers and internal spans have neither.
+    Database clients and messaging spans take their peer from their attributes. Another client waits for the server that names it as parent, in the same
+    trace and within the time, and that server for it; what waits for nothing is ``expired``. A paired client of a messaging system gets no peer.
+    Where several spans wait under one id, in order of start: a span of the other kind pairs with the one that waits, one of the same kind takes its
+    place. So spans pair with the next one, from the first of each row of spans that could, two by two. Root servers and consumers and internal spans pass.
+
+    Only waiting spans are shuffled, once, by trace and id, with the columns that are used later.
     """
-    kind, child = F.col("kind"), F.coalesce(F.col("parent_span_id"), F.lit("")) != ""
-    client = spans.where((kind == "Client") & database_peer().isNull()).select("trace_id", "span_id", F.col("service").alias("caller"), F.col("start_us").alias("sent"))
-    server = spans.where((kind == "Server") & child).select("trace_id", F.col("parent_span_id").alias("span_id"), F.struct(F.col("start_us").alias("at"), F.col("span_id").alias("id"), F.col("service").alias("callee")).alias("first"))
-    near = client.join(server, ["trace_id", "span_id"]).where(F.abs(F.col("first.at") - F.col("sent")) <= within_us)
-    pairs = near.groupBy("trace_id", "span_id", "caller").agg(F.min("first").alias("first"))
-    # both ends of a pair, with what each gets from the other
-    ends = pairs.select("trace_id", F.explode(F.array(F.struct("span_id", F.col("first.callee").alias("paired")), F.struct(F.col("first.id").alias("span_id"), F.col("caller").alias("paired")))).alias("e")).select("trace_id", "e.*")
-    x = spans.join(ends, ["trace_id", "span_id"], "left")
-    database, messaging = database_peer(), messaging_peer()
-    by_message = (kind == "Producer") | ((kind == "Consumer") & child)
-    waits = ((kind == "Client") & database.isNull()) | ((kind == "Server") & child)
-    peer = F.when(kind == "Client", F.coalesce(database, F.col("paired"))).when(by_message, messaging).when(waits, F.col("paired"))
-    source = F.when((kind == "Client") & database.isNotNull(), "db_attribute").when(by_message & messaging.isNotNull(), "messaging_attribute").when(waits & F.col("paired").isNotNull(), "paired").when(waits, "expired")
-    return x.withColumn("peer", peer).withColumn("peer_source", source).drop("paired")
-
-
-def pair_peers_stream(spans: DataFrame, late: str = "30 seconds", within: str = "10 seconds") -> DataFrame:
-    """The streaming form for clients and servers that wait for each other: a full outer join of two watermarked streams on ids and time."""
-    x = spans.withColumn("ts", F.timestamp_micros("start_us"))
-    client = x.where((F.col("kind") == "Client") & database_peer().isNull()).select(F.col("trace_id").alias("c_trace"), F.col("span_id").alias("c_span"), F.col("service").alias("client"), F.col("ts").alias("c_ts")).withWatermark("c_ts", late)
-    server = x.where((F.col("kind") == "Server") & (F.col("parent_span_id") != "")).select(F.col("trace_id").alias("s_trace"), F.col("parent_span_id").alias("s_parent"), F.col("service").alias("server"), F.col("ts").alias("s_ts")).withWatermark("s_ts", late)
-    on = F.expr(f"c_trace = s_trace and c_span = s_parent and s_ts between c_ts - interval {within} and c_ts + interval {within}")
-    both = client.join(server, on, "full_outer")
-    source = F.when(F.col("s_trace").isNull() | F.col("c_trace").isNull(), "expired").otherwise("paired")
-    return both.select(F.coalesce("c_trace", "s_trace").alias("trace_id"), "c_span", "client", F.col("server").alias("peer"), source.alias("peer_source"))
+    by = W.partitionBy("trace_id", "__id").orderBy("start_us", "span_id")
+    mine = [*spans.columns, "peer", "peer_source"]
+    kind = F.col("kind")
+    peer, source = _own_peer()
+    passing = spans.where(~_waits()).withColumn("__peer", peer).withColumn("peer_source", source).withColumn("peer", F.col("__peer")).select(*mine)
+    x = spans.where(_waits()).withColumn("__id", F.when(kind == "Client", F.col("span_id")).otherwise(F.col("parent_span_id")))
+    x = x.withColumn("__message", (kind == "Client") & F.col("attributes")["messaging.system"].isNotNull())
+    fits = (F.lag("kind").over(by) != kind) & (F.col("start_us") - F.lag("start_us").over(by) < within_us)
+    x = x.withColumn("__fits", F.coalesce(fits, F.lit(False)))
+    x = x.withColumn("__row", F.sum(F.when(F.col("__fits"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    at = W.partitionBy("trace_id", "__id", "__row").orderBy("start_us", "span_id")
+    second = F.row_number().over(at) % 2 == 0
+    x = x.withColumn("__other", F.when(second, F.lag("service").over(at)).otherwise(F.lead("service").over(at))).withColumn("__met", F.when(second, True).otherwise(F.lead(F.lit(True)).over(at)))
+    met = F.col("__met").isNotNull()
+    x = x.withColumn("peer", F.when(met & ~F.col("__message"), F.col("__other"))).withColumn("peer_source", F.when(~met, "expired").when(~F.col("__message"), "paired"))
+    return passing.unionByName(x.select(*mine))
 
 
 def enrich_by_token(rows: DataFrame, tokens: DataFrame, token: str = "token", broadcast_bytes: int = 64 << 20) -> DataFrame:
