@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -168,6 +169,17 @@ class RankEncoder(Encoder):
         self._add(np.array([i for ids in lists for i in ids], np.uint32), np.cumsum([len(ids) for ids in lists]))
 
 
+_coders: dict[str, RankEncoder] = {}
+
+
+def _coder(name: str, ranks: dict[bytes, int], pattern: str, folded: pa.Table) -> RankEncoder:
+    """One coder per worker process and dictionary, which later tasks find with what it has learned."""
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = RankEncoder(ranks, pattern, dict(zip(folded.column("word").to_pylist(), folded.column("ids").to_pylist())))
+    return _coders[name]
+
+
 def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """(word, n): the documents that contain each word."""
 
@@ -237,13 +249,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     texts are encoded, however long, also those that are one word. Columns stay as they are, but for one named ``ids``, which is replaced.
     """
     folded = dictionary(docs, ranks, pattern, text, words).toArrow()  # at most ``words`` rows
+    name = uuid.uuid4().hex
     kept = [c for c in docs.columns if c != "ids"]
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("body"))
     schema = T.StructType(list(inner.schema.fields[:-1])).add("ids", T.ArrayType(T.IntegerType()))
     names = [f"c{i}" for i in range(len(kept))] + ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = RankEncoder(ranks, pattern, dict(zip(folded.column("word").to_pylist(), folded.column("ids").to_pylist())))
+        coder = _coder(name, ranks, pattern, folded)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
