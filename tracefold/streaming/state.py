@@ -40,7 +40,7 @@ class PeerStore(StatefulProcessor):
 
     def _store(self, waiting: dict[tuple[str, str], list[Any]]) -> None:
         self.state.update((json.dumps(list(waiting.values())),))
-        _due(self.handle, min((s[4] for s in waiting.values()), default=None) and min(s[4] for s in waiting.values()) + self.within_us)
+        _due(self.handle, min(s[4] for s in waiting.values()) + self.within_us if waiting else None)
 
     @staticmethod
     def _table(out: list[tuple[Any, ...]]) -> Iterator[pd.DataFrame]:
