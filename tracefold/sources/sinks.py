@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 
 def write_signal(df: DataFrame, path: str, ts: str, mode: str = "append") -> None:
-    """Files per app and UTC day. A salt spreads each app and day over several tasks."""
+    """Files per app and UTC day. Rows are dealt by app and day first; what is large is split over tasks and what is small put together."""
     x = df.withColumn("day", F.to_date(F.timestamp_micros(ts)))
-    x.repartition("app_id", "day", F.pmod(F.xxhash64(ts), F.lit(8))).write.mode(mode).partitionBy("app_id", "day").parquet(path)
+    x.hint("rebalance", "app_id", "day").write.mode(mode).partitionBy("app_id", "day").parquet(path)
 
 
 def write_rollup(df: DataFrame, path: str) -> None:
     """Replaces exactly the (tier, app_id, hour) partitions it has rows for, so that reruns leave the same table."""
-    x = df.withColumn("hour", F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd-HH"))
+    x = df.withColumn("hour", F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd-HH")).hint("rebalance", "tier", "app_id", "hour")
     x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier", "app_id", "hour").parquet(path)
 
 
