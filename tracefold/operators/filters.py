@@ -21,19 +21,21 @@ def time_range(df: DataFrame, ts: str, start_us: int, end_us: int, day: str | No
     return df.where(F.col(ts).between(start_us, end_us))
 
 
+_SPECIAL = r"[\\^$.*+?()\[\]{}]"
+
+
 def match(value: Column, op: str, wanted: str) -> Column:
     """=, !=, =~ and !~ (anchored). A missing value matches the negatives. Plain patterns become =, IN or a prefix."""
     if op in ("!=", "!~"):
         return ~F.coalesce(match(value, op.replace("!=", "=").replace("!~", "=~"), wanted), F.lit(False))
     if op == "=":
         return value == wanted
-    special = r"[\\^$.*+?()\[\]{}]"
-    if not re.search(special, wanted):
+    if not re.search(_SPECIAL, wanted):
         parts = wanted.split("|")
         return value.isin(*parts) if len(parts) > 1 else value == wanted
-    if wanted.endswith(".*") and not re.search(special + r"|\|", wanted[:-2]):
+    if wanted.endswith(".*") and not re.search(_SPECIAL + r"|\|", wanted[:-2]):
         return value.startswith(wanted[:-2])
-    return F.rlike(value, F.lit(f"^(?:{wanted})$"))
+    return F.rlike(value, F.lit(rf"\A(?:{wanted})\z"))
 
 
 #: Labels whose wanted values may be spelled in several ways.
@@ -41,13 +43,16 @@ _SPELLED = {"span_kind": span_kind, "status_code": span_status}
 
 
 def label_matchers(labels: Column, *matchers: tuple[str, str, str]) -> Column:
-    """All of the matchers; names and plain kinds and states may be in any spelling."""
+    """All of the matchers; names, and kinds and states that are named or listed, may be in any spelling."""
 
     def one(key: str, op: str, wanted: str) -> Column:
         name = label_name(key)
         if name in _SPELLED and op in ("=", "!="):
             same = F.coalesce(labels[name] == _SPELLED[name](F.lit(wanted)), F.lit(False))
             return same if op == "=" else ~same
+        if name in _SPELLED and not re.search(_SPECIAL, wanted):  # a pattern that only lists values
+            same = F.coalesce(labels[name].isin(*(_SPELLED[name](F.lit(w)) for w in wanted.split("|"))), F.lit(False))
+            return same if op == "=~" else ~same
         return match(labels[name], op, wanted)
 
     return reduce(lambda a, b: a & b, (one(*m) for m in matchers), F.lit(True))

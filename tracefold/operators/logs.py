@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.model import time_bucket
+from .filters import time_range
 
 _LOGFMT = r'([^\s=]+)=("(?:[^"\\]|\\.)*"|\S*)'
 
@@ -28,14 +29,28 @@ def any_search(*results: DataFrame, limit: int = 100) -> DataFrame:
     return out.dropDuplicates(["ts_us", "body"]).orderBy(F.desc("ts_us"), "body").limit(limit)
 
 
-def context(logs: DataFrame, log_id: int, before: int, after: int) -> DataFrame:
-    """Records of the same service around one."""
-    one = F.broadcast(logs.where(F.col("log_id") == log_id).select("service", F.col("ts_us").alias("at"), F.col("log_id").alias("id")))
-    x = logs.join(one, "service")
-    place = F.struct("ts_us", "log_id") < F.struct("at", "id")
-    earlier = x.where(place).orderBy(F.desc("ts_us"), F.desc("log_id")).limit(before)
-    later = x.where(~place).orderBy("ts_us", "log_id").limit(after + 1)
-    return earlier.unionByName(later).drop("at", "id")
+#: Time around a record in which its neighbours are looked for first; it doubles up to the last value.
+REACH, FARTHEST = 3_600_000_000, 200 * 366 * 86_400_000_000
+
+
+def context(logs: DataFrame, log_id: int, before: int, after: int, day: str | None = None, reach_us: int = REACH) -> DataFrame:
+    """Records of the same service around one.
+
+    A time range around the record is doubled until it has enough records on either side, so only days near it are read where ``day`` names a
+    partition column (days since 1970). An unknown record has no context.
+    """
+    one = logs.where(F.col("log_id") == log_id).select("service", "ts_us").first()
+    if one is None:
+        return logs.limit(0)
+    service, at = one
+    place = F.struct("ts_us", "log_id") < F.struct(F.lit(at).cast("long").alias("ts_us"), F.lit(log_id).cast("long").alias("log_id"))
+    while True:
+        near = time_range(logs.where(F.col("service") == service), "ts_us", at - reach_us, at + reach_us, day)
+        earlier, later = near.agg(F.count_if(place), F.count_if(~place)).first()
+        if (earlier >= before and later > after) or reach_us > FARTHEST:
+            break
+        reach_us *= 2
+    return near.where(place).orderBy(F.desc("ts_us"), F.desc("log_id")).limit(before).unionByName(near.where(~place).orderBy("ts_us", "log_id").limit(after + 1))
 
 
 def statistics(logs: DataFrame, step: int) -> DataFrame:

@@ -19,12 +19,12 @@ def with_series(samples: DataFrame) -> DataFrame:
     return samples.withColumn("series", series_key(F.col("labels")))
 
 
-def instant(samples: DataFrame, at: int, lookback: int | None = None) -> DataFrame:
-    """Newest sample of every series up to ``at``; with ``lookback`` (``LOOKBACK`` is usual) older ones are neither taken nor read."""
-    x = with_series(samples).where(F.col("ts_us") <= at)
+def instant(samples: DataFrame, at: int, lookback: int | None = LOOKBACK) -> DataFrame:
+    """Newest sample of every series up to ``at``, not older than ``lookback``; None takes the whole history."""
+    x = samples.where(F.col("ts_us") <= at)
     if lookback is not None:
         x = x.where(F.col("ts_us") > at - lookback)
-    return x.groupBy("name", "series").agg(F.max("ts_us").alias("ts_us"), F.max_by("value", "ts_us").alias("value"))
+    return with_series(x).groupBy("name", "series").agg(F.max("ts_us").alias("ts_us"), F.max_by("value", "ts_us").alias("value"))
 
 
 AGGREGATES = {
@@ -186,6 +186,12 @@ def arithmetic(left: DataFrame, right: DataFrame, op: str, on: tuple[str, ...])
     return x.select(*on, result.alias("value"))
 
 
+def arithmetic_of(points: DataFrame, left: str, right: str, op: str) -> DataFrame:
+    """``points`` with ``value`` from two of its columns: what one query plan holds already needs no match."""
+    a, b = F.col(left), F.col(right)
+    return points.withColumn("value", {"+": a + b, "-": a - b, "*": a * b, "/": F.when(b != 0, a / b)}[op])
+
+
 def set_operation(left: DataFrame, right: DataFrame, op: str, on: tuple[str, ...]) -> DataFrame:
     """and, or, unless."""
     if op == "or":

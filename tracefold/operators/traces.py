@@ -15,9 +15,9 @@ def _root_order() -> Column:
 
 
 def search(spans: DataFrame, condition: Column, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Newest traces with a matching span, with the number of all matching traces."""
+    """Newest traces with a matching span, with the number of all matching traces; page and number come from one shuffle of one scan."""
     found = spans.where(condition).groupBy("trace_id").agg(F.max("start_us").alias("last_us"))
-    total = found.agg(F.count(F.lit(1)).alias("total"))
+    total = found.agg(F.count("last_us").alias("total"))
     return found.orderBy(F.desc("last_us"), "trace_id").offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.model import app_id
+from ..operators import rollup as ru
 from ..sources import fixtures as fx
-from ..sources import nested, otlp, sinks
+from ..sources import nested, otlp, rollup_job, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -145,3 +146,33 @@ def rollup_sink(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_rollup(rolled, out)
     sinks.write_rollup(rolled.where(F.col("app_id") != "app-0"), out)
     return spark.read.parquet(out).select("tier", "app_id", "ts_us", "n", "value")
+
+
+_BOUNDS = f"bounds AS (SELECT min(ts_us) // {6 * fx.HOUR} * {6 * fx.HOUR} AS lo FROM gauges)"
+
+
+@_query("s10_mixed_range", f"SELECT event_type, lo + (ts_us - lo) // {6 * fx.HOUR} * {6 * fx.HOUR} AS t, round(avg(value), 9) AS avg, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max, count(*)::DOUBLE AS count FROM gauges, bounds GROUP BY 1, 2", fx.GAUGES_SQL, _BOUNDS)
+def mixed_range(spark: SparkSession, d: str) -> DataFrame:
+    """All steps of the table, with the split an hour into the step in its middle: the rows are those of raw samples."""
+    raw, step = fx.gauges(spark, d), 6 * fx.HOUR
+    lo, hi = raw.agg(F.min("ts_us"), F.max("ts_us")).first()
+    lo = (lo or 0) // step * step
+    split = ru.split_point(lo + ((hi or 0) - lo) // 2 // step * step + fx.HOUR + ru.READY + ru.TICK)
+    x = ru.mixed_range(raw, ru.rollup_gauge(raw, labels=True), lo, (hi or 0) + 1, step, split, "avg", "sum", "min", "max", "count", by=("event_type",))
+    return x.select("event_type", "t", F.round("avg", 9).alias("avg"), F.round("sum", 6).alias("sum"), "min", "max", "count")
+
+
+@_query("r04_rollup_job", f"SELECT app_id, ts_us // {fx.HOUR} * {fx.HOUR} AS hour, count(DISTINCT (event_type, shard, ts_us // 300000000)) AS n_rows, count(*) AS n, min(value) AS min, max(value) AS max FROM gauges WHERE ts_us // {fx.HOUR} * {fx.HOUR} + {3 * fx.HOUR} <= (SELECT max(ts_us) FROM gauges) GROUP BY 1, 2", fx.GAUGES_SQL)
+def incremental_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """The tier after a run half-way through the table and one at its end, which adds the hours since."""
+    out = _folder(spark, "job")
+    points = fx.gauges(spark, d)
+    none = {"temporality": "string", "count": "long", "bucket_counts": "array<long>", "explicit_bounds": "array<double>"}
+    sinks.write_signal(points.select("app_id", "ts_us", "name", "type", "value", "labels", *(F.lit(None).cast(t).alias(c) for c, t in none.items())), f"{out}/points", "ts_us")
+    lo, hi = points.agg(F.min("ts_us"), F.max("ts_us")).first()
+    for now in ((lo + hi) // 2, hi) if hi is not None else ():
+        rollup_job.run(spark, f"{out}/points", f"{out}/tier", f"{out}/done", now)
+    if hi is None:
+        return spark.createDataFrame([], "app_id string, hour long, n_rows long, n long, min double, max double")
+    tier = spark.read.parquet(f"{out}/tier")
+    return tier.groupBy(F.col("app_id").cast("string").alias("app_id"), (F.floor(F.col("ts_us") / fx.HOUR) * fx.HOUR).alias("hour")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("count").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"))

@@ -28,7 +28,7 @@ T0, T1, TSTEP = 820_454_400_000_000, 820_454_400_000_000 + 12 * 30 * DAY, 30 * D
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-#: Queries over a range: source and ``build(rows, start, end)``, registered over whole tables below as well.
+#: Queries over a range: source and ``build(rows, start, end)``; below they get the range of their whole table.
 _RANGED: dict[str, tuple[str, Callable[..., DataFrame]]] = {}
 
 
@@ -161,7 +161,7 @@ _s("t29_list_items", tr.list_items, "SELECT trace_id, sum(n)::BIGINT AS n_spans,
 _s("t30_graph_nodes", tr.graph_nodes, "SELECT trace_id, service, count(*) AS n, count_if(status_code = 'Error')::BIGINT AS errors FROM spans GROUP BY 1, 2")
 
 # metrics
-_c("m01_instant", lambda c: m.instant(c, END), f"SELECT 'app.events' AS name, {_SERIES} AS series, max(ts_us) AS ts_us, arg_max(value, ts_us) AS value FROM counters WHERE ts_us <= {END} GROUP BY 2")
+_c("m01_instant", lambda c: m.instant(c, END, None), f"SELECT 'app.events' AS name, {_SERIES} AS series, max(ts_us) AS ts_us, arg_max(value, ts_us) AS value FROM counters WHERE ts_us <= {END} GROUP BY 2")
 _B = f"(ts_us - {START}) // {STEP} * {STEP} + {START} AS t"
 _IN = f"ts_us >= {START} AND ts_us < {END}"
 _r9 = lambda *cs: [F.round(c, 9).alias(c) for c in cs]
@@ -186,10 +186,10 @@ _c("m08_rate", lambda c, a=START, b=END: _rates(c, a, b).select("series", "t", "
 _c("m09_increase", lambda c, a=START, b=END: _rates(c, a, b).select("series", "t", "increase"), "SELECT series, t, inc AS increase FROM q", _RT)
 _c("m10_irate", lambda c, a=START, b=END: _rates(c, a, b).select("series", "t", *_r9("irate")), "SELECT series, t, round(CASE WHEN n > 1 THEN (v1 - p1v) / ((t1 - p1t) / 1e6) END, 9) AS irate FROM q", _RT)
 _c("m11_rate_instant", lambda c: m.rates(c, END, END, STEP, RANGE).select("series", *_r9("rate")), f"SELECT series, round(rate, 9) AS rate FROM q WHERE t = {END}", _RT)
-_c("m12_vector_aggregate", lambda c: m.across(m.instant(c, END).withColumn("kind", F.substring_index("series", ",", 1)), "sum", by=("kind",), at=()), f"SELECT 'event_type=' || event_type AS kind, sum(v) AS value FROM (SELECT event_type, shard, arg_max(value, ts_us) AS v FROM counters WHERE ts_us <= {END} GROUP BY 1, 2) GROUP BY 1")
+_c("m12_vector_aggregate", lambda c: m.across(m.instant(c, END, None).withColumn("kind", F.substring_index("series", ",", 1)), "sum", by=("kind",), at=()), f"SELECT 'event_type=' || event_type AS kind, sum(v) AS value FROM (SELECT event_type, shard, arg_max(value, ts_us) AS v FROM counters WHERE ts_us <= {END} GROUP BY 1, 2) GROUP BY 1")
 _c("m13_matrix_aggregate", lambda c, a=START, b=END: m.across(_rates(c, a, b), "max", "increase"), "SELECT t, max(inc) AS value FROM q GROUP BY 1", _RT)
 _c("m13_without", lambda c, a=START, b=END: m.across(_rates(c, a, b).withColumn("event_type", F.substring_index("series", ",", 1)).withColumn("shard", F.substring_index("series", ",", -1)), "sum", "increase", without=("shard",), labels=("event_type", "shard")), "SELECT split_part(series, ',', 1) AS event_type, t, sum(inc) AS value FROM q GROUP BY 1, 2", _RT)
-_c("m14_topk", lambda c: m.top(m.instant(c, END).select("series", "value"), 7), f"SELECT {_SERIES} AS series, arg_max(value, ts_us) AS value FROM counters WHERE ts_us <= {END} GROUP BY 1 ORDER BY value DESC, series LIMIT 7")
+_c("m14_topk", lambda c: m.top(m.instant(c, END, None).select("series", "value"), 7), f"SELECT {_SERIES} AS series, arg_max(value, ts_us) AS value FROM counters WHERE ts_us <= {END} GROUP BY 1 ORDER BY value DESC, series LIMIT 7")
 _c("m15_topk_range", lambda c, a=START, b=END: m.top_series(_rates(c, a, b).select("series", "t", F.col("increase").alias("value")), 5), "SELECT series, t, inc AS value FROM q WHERE series IN (SELECT series FROM q GROUP BY 1 ORDER BY max(inc) DESC, series LIMIT 5)", _RT)
 _UN = "u AS (SELECT event_type, ts_us, unnest(range(0, 7)) AS pos, unnest([5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 'inf'::DOUBLE]) AS le, unnest(bucket_counts) AS n, value, cnt FROM hist)"
 _QT = "hs AS (SELECT {k}, pos, le, sum(n) AS n FROM {u} WHERE pos < 6 GROUP BY {k}, pos, le), hm AS (SELECT {k}, sum(value) AS total, sum(cnt) AS points FROM {h} GROUP BY {k}), hc AS (SELECT *, sum(n) OVER (PARTITION BY {k} ORDER BY pos) AS upto, coalesce(lag(le) OVER (PARTITION BY {k} ORDER BY pos), 0) AS low FROM hs JOIN hm USING ({k})), hh AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY pos) AS i FROM hc WHERE upto >= 0.9::DOUBLE * points AND n > 0)"
@@ -209,10 +209,10 @@ _c("m26_series", lambda c: m.series_list(c.where(F.col("labels")["event_type"] =
 _c("m27_metadata", m.metadata, "SELECT DISTINCT 'app.events' AS name, 'counter' AS type, 'none' AS unit FROM counters")
 _s("m28_exemplars", tr.newest_trace_per_service, "SELECT service, arg_max(trace_id, (start_us, trace_id)) AS trace_id, max(start_us) AS start_us FROM spans GROUP BY 1")
 _g("m29_downsample", lambda g, a=START, b=END: m.downsample(g, a, b, STEP, "mean", ("event_type",), "0").withColumn("value", F.round("value", 9)), f"SELECT e.event_type, s.t, round(coalesce(v, 0), 9) AS value FROM (SELECT DISTINCT event_type FROM gauges WHERE {_IN}) e CROSS JOIN (SELECT unnest(range({START}, {END}, {STEP})) AS t) s LEFT JOIN (SELECT event_type, {_B}, avg(value) AS v FROM gauges WHERE {_IN} GROUP BY 1, 2) x ON x.event_type = e.event_type AND x.t = s.t")
-_c("m31_arithmetic", lambda c, a=START, b=END: m.arithmetic(_rates(c, a, b).select("series", "t", F.col("increase").alias("value")), _rates(c, a, b).select("series", "t", F.col("n").cast("double").alias("value")), "/", ("series", "t")).withColumn("value", F.round("value", 9)), "SELECT series, t, round(inc / n, 9) AS value FROM q", _RT)
+_c("m31_arithmetic", lambda c, a=START, b=END: m.arithmetic_of(_rates(c, a, b), "increase", "n", "/").select("series", "t", F.round("value", 9).alias("value")), "SELECT series, t, round(inc / n, 9) AS value FROM q", _RT)
 _c("m32_delta", lambda c, a=START, b=END: _rates(c, a, b).select("series", "t", "delta", "idelta", F.round("deriv", 7).alias("deriv")), "SELECT series, t, CASE WHEN n > 1 THEN v1 - v0 END AS delta, CASE WHEN n > 1 THEN v1 - p1v END AS idelta, CASE WHEN n > 1 THEN round(slope, 7) END AS deriv FROM q", _RT)
 _c("m33_over_time", lambda c, a=START, b=END: _rates(m.offset(c, 0), a, b).select("series", "t", *_r9("avg_over_time"), "min_over_time", "max_over_time", "sum_over_time", "count_over_time", "last_over_time"), "SELECT series, t, round(av, 9) AS avg_over_time, mi AS min_over_time, ma AS max_over_time, su AS sum_over_time, n::DOUBLE AS count_over_time, v1 AS last_over_time FROM q", _RT)
-_c("m33_unless", lambda c: m.set_operation(m.instant(c, END).select("series", "value"), m.instant(m.offset(c, DAY), END).where("value > 1").select("series", "value"), "unless", ("series",)), f"SELECT {_SERIES} AS series, arg_max(value, ts_us) AS value FROM counters WHERE ts_us <= {END} GROUP BY 1 HAVING series NOT IN (SELECT {_SERIES} AS series FROM counters WHERE ts_us <= {END - DAY} GROUP BY 1 HAVING arg_max(value, ts_us) > 1)")
+_c("m33_unless", lambda c: m.set_operation(m.instant(c, END, None).select("series", "value"), m.instant(m.offset(c, DAY), END, None).where("value > 1").select("series", "value"), "unless", ("series",)), f"SELECT {_SERIES} AS series, arg_max(value, ts_us) AS value FROM counters WHERE ts_us <= {END} GROUP BY 1 HAVING series NOT IN (SELECT {_SERIES} AS series FROM counters WHERE ts_us <= {END - DAY} GROUP BY 1 HAVING arg_max(value, ts_us) > 1)")
 _s("m35_span_metric_series", lambda s: ge.red_metrics(s, TSTEP).groupBy("service", "t").agg(F.sum("calls").alias("calls"), (F.sum("calls") / (TSTEP / 1e6)).alias("rate")), f"SELECT service, start_us // {TSTEP} * {TSTEP} AS t, count(*) AS calls, count(*) / {TSTEP / 1e6} AS rate FROM spans GROUP BY 1, 2")
 
 # rollup and catalogue
@@ -307,7 +307,7 @@ _p("x05_usage", lambda spark, p: rt.usage(p, 4_000_000), _USE)
 _p("x06_daily", lambda spark, p: rt.daily(p, 0, START // DAY + 30), "SELECT day, coalesce(sum(n_rows) FILTER (signal = 'trace'), 0)::BIGINT * 100 AS trace_bytes, coalesce(sum(n_rows) FILTER (signal = 'metric'), 0)::BIGINT * 100 AS metric_bytes, coalesce(sum(n_rows) FILTER (signal = 'log'), 0)::BIGINT * 100 AS log_bytes FROM pt GROUP BY 1")
 
 
-# the same over whole tables: from the step of the least time to the step after the greatest one
+# queries over a range take whole tables: from the step of the least time to the step after the greatest one
 _SOURCES = {
     "s": (fx.spans, "spans", fx.SPANS_SQL), "g": (fx.gauges, "gauges", fx.GAUGES_SQL), "c": (lambda spark, d: m.with_series(fx.counters(spark, d)), "counters", fx.COUNTERS_SQL),
     "h": (lambda spark, d: fx.histograms(spark, d).withColumn("event_type", F.col("labels")["event_type"]), "hist", fx.HISTOGRAMS_SQL), "l": (fx.logs, "logs", fx.LOGS_SQL),
@@ -330,8 +330,8 @@ def _whole(name: str, source: str, build, sql: str) -> None:
         return build(rows, *whole_range(rows, at, step))
 
     bounds = f"{table_sql}, bounds AS (SELECT coalesce(min({at}), 0) // {step} * {step} AS lo, coalesce(max({at}), 0) // {step} * {step} + {step} AS hi FROM {table})"
-    _QUERIES[f"{name}_whole"] = run
-    _SQL[f"{name}_whole"] = sql.replace(table_sql, bounds).replace("{lo}", "(SELECT lo FROM bounds)").replace("{hi}", "(SELECT hi FROM bounds)")
+    _QUERIES[name] = run
+    _SQL[name] = sql.replace(table_sql, bounds).replace("{lo}", "(SELECT lo FROM bounds)").replace("{hi}", "(SELECT hi FROM bounds)")
 
 
 for _name, (_source, _build) in _RANGED.items():

@@ -35,11 +35,11 @@ def _add(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str, *
 
 
 def _now(spark: SparkSession, d: str) -> DataFrame:
-    return m.instant(fx.counters(spark, d), LAST).select("series", "value")
+    return m.instant(fx.counters(spark, d), LAST, None).select("series", "value")
 
 
 def _then(spark: SparkSession, d: str) -> DataFrame:
-    return m.instant(m.offset(fx.counters(spark, d), 10 * DAY), LAST).select("series", "value")
+    return m.instant(m.offset(fx.counters(spark, d), 10 * DAY), LAST, None).select("series", "value")
 
 
 def _set(op: str):
