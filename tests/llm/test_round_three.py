@@ -264,3 +264,34 @@ def test_runs_of_fibonacci_words(first, second):
         first, second = second, second + first
     got = periodic_runs.runs_of(np.array(second), len(second))
     assert [(s, e - s, p) for s, e, p in got.tolist()] == runs(second)
+
+
+# earlier operators keep the caller's columns, whatever they are called
+
+
+INNER = ["__text", "found", "__marks", "__t", "__size", "__print", "__key", "__c0", "c0", "t", "h", "tie", "print"]
+
+
+@pytest.fixture(scope="module")
+def named(spark):
+    rows = [(i, f"the same words again and again in row {i % 3} " * 9, "en", "a", 0, *[f"{n}{i}" for n in INNER]) for i in range(8)] + [(9, None, None, None, 0, *INNER), (None, "", "de", "b", 1, *INNER)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, quality int, {', '.join(f'`{n}` string' for n in INNER)}").cache()
+
+
+@pytest.mark.parametrize("name", ["language", "mix", "benchmark", "quality", "repeats"])
+def test_columns_of_inner_names_stay(spark, named, name):
+    from tracefold.llm import decontaminate, language_id, mixing, quality_model, suffix_dedup
+
+    items = spark.createDataFrame([(1, "the same words again and again in row 1")], "item_id long, text string")
+    runs = {
+        "language": lambda d, **k: language_id.identify(d, language_id.train_prototypes(named), **k), "mix": lambda d, **k: mixing.mix_sources(d, **k), "benchmark": lambda d, **k: decontaminate.decontaminate(d, items, **k),
+        "quality": lambda d, **k: quality_model.score(d, quality_model.fit(named), **k), "repeats": lambda d, **k: suffix_dedup.remove_repeats(d, **k),
+    }
+    got = runs[name](named)
+    key = ["doc_id", *INNER]
+    assert sorted(map(str, got.select(*key).collect())) == sorted(map(str, named.select(*key).collect()))
+    plain = runs[name](named.select("doc_id", "text", "lang", "source", "quality"))
+    new = [c for c in plain.columns if c not in ("lang", "source", "quality", "text")]
+    assert sorted(map(str, got.select(*new).collect())) == sorted(map(str, plain.select(*new).collect()))
+    other = runs[name](named.drop("__text").withColumnRenamed("text", "__text"), text="__text")
+    assert sorted(map(str, other.select(*new).collect())) == sorted(map(str, plain.select(*new).collect())) and "__text" in other.columns

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +87,28 @@ def word_count(text: Column) -> Column:
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
+
+
+def sets_apart(*inner: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For an operator on ``docs`` that uses the column names ``inner`` itself: the caller's columns of these names are named otherwise while it works."""
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @wraps(operator)
+        def run(*args, **kwargs) -> DataFrame:
+            call = signature.bind(*args, **kwargs)
+            docs = call.arguments["docs"]
+            apart = {c: f"{c} of the caller" for c in docs.columns if c in inner}
+            if not apart:
+                return operator(*args, **kwargs)
+            call.apply_defaults()
+            for name, value in call.arguments.items():
+                if name in ("text", "key", "source", "lang") and value in apart:
+                    call.arguments[name] = apart[value]
+            call.arguments["docs"] = docs.withColumnsRenamed(apart)
+            return operator(*call.args, **call.kwargs).withColumnsRenamed({new: old for old, new in apart.items()})
+
+        return run
+
+    return around

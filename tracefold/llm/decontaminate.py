@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import bounded_batches, settle_table
+from .base import bounded_batches, sets_apart, settle_table
 from .wordhash import _mixers, mix, slices, utf8, word_hashes
 
 RADIUS = 11
@@ -227,6 +227,7 @@ class Benchmark:
         return [[{"item_id": self.ids[i], "similarity": s, "first_word": p - int(firsts[row]), "n_words": n} for i, (s, p, n) in sorted(b.items())] for row, b in enumerate(best)]
 
 
+@sets_apart("__text", "found")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """``docs`` with ``matches``: the benchmark items a document contains, each with its best window.
 

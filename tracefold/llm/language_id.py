@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import bounded_batches
+from .base import bounded_batches, sets_apart
 
 DIMENSIONS = 1024
 _BREAK = 32
@@ -115,6 +115,7 @@ def train_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", di
     return {k: (v / n).astype(np.float32) for k, v in sorted(out.items()) if (n := np.linalg.norm(v)) > 0}
 
 
+@sets_apart("__text")
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dims: int = DIMENSIONS) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (cosine, cut at 0).
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import settle, settle_table, word_count
+from .base import sets_apart, settle, settle_table, word_count
 
 #: Slices of the rank's range.
 SLICES = 1 << 16
@@ -170,6 +170,7 @@ def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return x.withColumn("taken", F.col("copies") * F.col("size")).drop(*used)
 
 
+@sets_apart("__size", "__print", "__key")
 def mix_sources(
     docs: DataFrame,
     text: str = "text",

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import bounded_batches, settle, settle_table
+from .base import bounded_batches, sets_apart, settle, settle_table
 from .wordhash import mix, slices, utf8, word_hashes
 
 DIMS = 64
@@ -202,6 +202,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     return model
 
 
+@sets_apart("__text")
 def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``.
 

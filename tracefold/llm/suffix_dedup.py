@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import collection_bwt
-from .base import bounded_batches, settle_table
+from .base import bounded_batches, sets_apart, settle_table
 from .wordhash import mix, slices, utf8
 
 GRAM = 48
@@ -233,6 +233,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     return marks.groupBy("t").agg(F.collect_list(F.struct("lo", "size", "whole", "runs")).alias("marks"))
 
 
+@sets_apart("__t", "__text", "__marks")
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200) -> DataFrame:
     """``docs`` with kept (bytes left), spans (removed start, end pairs), n_bytes, n_removed and n_spans.
 
