@@ -193,13 +193,14 @@ def pair_peers(spans: DataFrame, within_us: int = 10_000_000) -> DataFrame:
     passing = spans.where(~_waits()).withColumn("__peer", peer).withColumn("peer_source", source).withColumn("peer", F.col("__peer")).select(*mine)
     x = spans.where(_waits()).withColumn("__id", F.when(kind == "Client", F.col("span_id")).otherwise(F.col("parent_span_id")))
     x = x.withColumn("__message", (kind == "Client") & F.col("attributes")["messaging.system"].isNotNull())
+    upto = by.rowsBetween(W.unboundedPreceding, W.currentRow)
     fits = (F.lag("kind").over(by) != kind) & (F.col("start_us") - F.lag("start_us").over(by) < within_us)
-    x = x.withColumn("__fits", F.coalesce(fits, F.lit(False)))
-    x = x.withColumn("__row", F.sum(F.when(F.col("__fits"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    at = W.partitionBy("trace_id", "__id", "__row").orderBy("start_us", "span_id")
-    second = F.row_number().over(at) % 2 == 0
-    x = x.withColumn("__other", F.when(second, F.lag("service").over(at)).otherwise(F.lead("service").over(at))).withColumn("__met", F.when(second, True).otherwise(F.lead(F.lit(True)).over(at)))
-    met = F.col("__met").isNotNull()
+    # everything is seen in one order: where the row of spans began, and so whether a span is second in its pair
+    x = x.withColumn("__fits", F.coalesce(fits, F.lit(False))).withColumn("__n", F.row_number().over(by))
+    second = (F.col("__n") - F.max(F.when(~F.col("__fits"), F.col("__n"))).over(upto)) % 2 == 1
+    met = second | F.coalesce(F.lead("__fits").over(by), F.lit(False))
+    x = x.withColumn("__other", F.when(second, F.lag("service").over(by)).otherwise(F.lead("service").over(by))).withColumn("__met", met)
+    met = F.col("__met")
     x = x.withColumn("peer", F.when(met & ~F.col("__message"), F.col("__other"))).withColumn("peer_source", F.when(~met, "expired").when(~F.col("__message"), "paired"))
     return passing.unionByName(x.select(*mine))
 
