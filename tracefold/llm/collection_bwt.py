@@ -29,6 +29,8 @@ def build(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     m = len(items)
     sizes = np.array([len(x) for x in items], np.int64)
     columns = int(sizes.max(initial=0))
+    if columns >= 1 << 24:
+        raise ValueError("a string of a collection has to be shorter than 16 MB")
     text = np.zeros((m, columns + 1), np.uint8)
     for row, x in zip(text, items):
         row[: len(x)] = np.frombuffer(x, np.uint8)[::-1] + np.uint8(1)

@@ -11,8 +11,8 @@ from .base import settle
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
-    Each round hangs all neighbours of a node on its smallest one; rounds end when the edges no longer change. Only sums of
-    the edges reach the driver.
+    Each round hangs all neighbours of a node on its smallest one; rounds end when the edges no longer change, by their number
+    and the sum of a 64-bit hash of each. Only these sums reach the driver.
     """
     e = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     seen = _state(e)
@@ -33,4 +33,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
