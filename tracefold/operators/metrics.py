@@ -93,7 +93,7 @@ def rates(samples: DataFrame, start: int, end: int, step: int, window: int, keys
     x = _with_neighbours(samples.where("value is not null"), grid.first, grid.last, tuple(keys), reach)
     x = x.withColumn("pane", F.when(ts < grid.first, -1).when(ts > grid.last, 2**62).otherwise(grid.pane(ts)))
     near = W.partitionBy(*keys, "pane").orderBy("ts_us", "value")
-    x = x.select("*", F.lag("ts_us").over(near).alias("pt"), F.lag("value").over(near).alias("pv"), ((ts - (start + end) // 2) / 1e6).alias("s"))
+    x = x.select("*", F.lag("ts_us").over(near).alias("pt"), F.lag("value").over(near).alias("pv"), F.when(grid.inside(ts), (ts - grid.origin(F.floor(F.col("pane") / grid.length))) / 1e6).alias("s"))
     v, s = F.col("value"), F.col("s")
     sums = {"n": F.count(F.lit(1)), "total": F.sum(v), "resets": F.sum(F.when(v < F.col("pv"), F.col("pv")).otherwise(0.0)), "sx": F.sum(s), "sxx": F.sum(s * s), "sxy": F.sum(s * v)}
     x = x.groupBy(*keys, "pane").agg(*(c.alias(k) for k, c in sums.items()), F.min("value").alias("least"), F.max("value").alias("most"), F.min(F.struct("ts_us", "value")).alias("a"), F.max(F.struct("ts_us", "value", "pt", "pv")).alias("b"))
@@ -103,18 +103,25 @@ def rates(samples: DataFrame, start: int, end: int, step: int, window: int, keys
     # a reset between panes counts in the later one; the window's first pane has none
     x = x.withColumn("between", F.when(a["value"] < p["value"], p["value"]).otherwise(0.0)).withColumn("resets", F.col("resets") + F.col("between"))
     x = x.withColumn("second", F.when(b["pt"].isNotNull(), F.struct(b["pt"].alias("ts_us"), b["pv"].alias("value"))).otherwise(F.struct(p["ts_us"].alias("ts_us"), p["value"].alias("value"))))
-    x = windows(x, keys, grid, dict.fromkeys(sums, "sum") | {"least": "min", "most": "max"}, first=("a", "p", "f", "between"), last=("b", "second"))
+    x = windows(x, keys, grid, dict.fromkeys(sums, "sum") | {"least": "min", "most": "max"}, first=("a", "p", "f", "between"), last=("b", "second"), apart=("n", "total", "sx", "sxx", "sxy"))
     n, two, second = F.col("n"), F.col("n") > 1, F.col("second")
     one = F.when(p.isNotNull(), a["value"] - p["value"] + F.when(a["value"] < p["value"], p["value"]).otherwise(0.0)).when(f.isNotNull(), f["value"] - a["value"] + F.when(f["value"] < a["value"], a["value"]).otherwise(0.0))
     increase = F.when(two, b["value"] - a["value"] + F.col("resets") - F.col("between")).otherwise(one)
     span = F.when(two, b["ts_us"] - a["ts_us"]).when(p.isNotNull(), a["ts_us"] - p["ts_us"]).otherwise(f["ts_us"] - a["ts_us"]) / 1e6
     x = x.withColumn("increase", F.when(increase.isNotNull(), F.greatest(increase, F.lit(0.0)))).withColumn("span", span)
-    spread = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    # regression sums are about the start of their block, near the samples; those of the later block move to the earlier one's
+    late, d = (lambda c: F.col(f"{c}_late")), (grid.origin(F.col("home") + 1) - grid.origin(F.col("home"))) / 1e6
+    sx = F.col("sx_early") + late("sx") + late("n") * d
+    sxx = F.col("sxx_early") + late("sxx") + 2 * d * late("sx") + late("n") * d * d
+    sxy = F.col("sxy_early") + late("sxy") + d * late("total")
+    x = x.withColumn("spread", n * sxx - sx * sx).withColumn("common", n * sxy - sx * F.col("total"))
+    rise = (b["value"] - a["value"]) / ((b["ts_us"] - a["ts_us"]) / 1e6)
+    slope = F.when(n == 2, F.when(b["ts_us"] > a["ts_us"], rise)).when(two & (F.col("spread") > 0), F.col("common") / F.col("spread"))
     apart = (b["ts_us"] - second["ts_us"]) / 1e6
     return x.select(
         *keys, "t", "n", "increase", F.when(F.col("span") > 0, F.col("increase") / F.col("span") * F.greatest(F.lit(window / 1e6) / F.col("span"), F.lit(1.0))).alias("rate"),
         F.when(two & (apart > 0), (b["value"] - second["value"]) / apart).alias("irate"), F.when(two, b["value"] - a["value"]).alias("delta"), F.when(two, b["value"] - second["value"]).alias("idelta"),
-        F.when(two & (spread > 0), (n * F.col("sxy") - F.col("sx") * F.col("total")) / spread).alias("deriv"), (F.col("total") / n).alias("avg_over_time"), F.col("least").alias("min_over_time"), F.col("most").alias("max_over_time"),
+        slope.alias("deriv"), (F.col("total") / n).alias("avg_over_time"), F.col("least").alias("min_over_time"), F.col("most").alias("max_over_time"),
         F.col("total").alias("sum_over_time"), n.cast("double").alias("count_over_time"), b["value"].alias("last_over_time"),
     )
 

@@ -54,6 +54,10 @@ class Grid:
         inner = F.when(into == 0, 0).otherwise(1) if not rest else F.when(into == 0, 0).when(into < rest, 1).when(into == rest, 2).otherwise(3)
         return cell * self.per_step + inner
 
+    def origin(self, block: Column) -> Column:
+        """A time near the start of a block of panes."""
+        return F.floor(block * self.length / self.per_step) * self.step + self.first
+
     def inside(self, ts: Column) -> Column:
         return ts.between(self.first, self.last)
 
@@ -67,10 +71,11 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
     return (F.least if kind == "min" else F.greatest)(a, b)
 
 
-def windows(panes: DataFrame, keys: list[str], grid: Grid, kinds: dict[str, str], first: tuple[str, ...] = (), last: tuple[str, ...] = ()) -> DataFrame:
+def windows(panes: DataFrame, keys: list[str], grid: Grid, kinds: dict[str, str], first: tuple[str, ...] = (), last: tuple[str, ...] = (), apart: tuple[str, ...] = ()) -> DataFrame:
     """(keys, t, ...) of every window that holds a pane, from rows (keys, pane, ...).
 
-    ``kinds`` are merged columns (sum, min or max); ``first`` and ``last`` are columns of the first and last pane of the window.
+    ``kinds`` are merged columns (sum, min or max); ``first`` and ``last`` are columns of the first and last pane of the window. Of the sums ``apart`` the
+    shares of both blocks are given as well (``<name>_early`` and ``<name>_late``), with ``home``, the block in which the window begins.
     """
     length, per = grid.length, grid.per_step
     order = W.partitionBy(*keys).orderBy("pane")
@@ -86,10 +91,10 @@ def windows(panes: DataFrame, keys: list[str], grid: Grid, kinds: dict[str, str]
     each = lambda lo, hi: F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")))
     # a window's last pane is the one before which no later pane of it comes, its first pane likewise: each window is met once on either side
     ends = x.select(*keys, each(least_k, F.col("__to")).alias("__k"), F.col("__block").alias("__late"), *(f"__u_{c}" for c in kinds), *last)
-    starts = x.select(*(F.col(k).alias(f"__{k}") for k in keys), each(F.col("__from"), most_k).alias("__j"), F.col("__block").alias("__early"), *(f"__o_{c}" for c in kinds), *first)
+    starts = x.select(*(F.col(k).alias(f"__key_{k}") for k in keys), each(F.col("__from"), most_k).alias("__j"), F.col("__block").alias("__early"), *(f"__o_{c}" for c in kinds), *first)
     on = F.col("__k") == F.col("__j")
     for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+        on &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
     both = ends.join(starts, on)
     # the block in which the window begins
     home = F.floor(F.col("__k") * per / length)
@@ -98,7 +103,8 @@ def windows(panes: DataFrame, keys: list[str], grid: Grid, kinds: dict[str, str]
         u, o = F.col(f"__u_{c}"), F.col(f"__o_{c}")
         return F.when(F.col("__late") == home, o).when(F.col("__early") > home, u).otherwise(_merge(kind, o, u)).alias(c)
 
-    return both.select(*keys, (F.col("__k") * grid.step + grid.start).alias("t"), *(merged(c, k) for c, k in kinds.items()), *first, *last)
+    shares = [F.when(F.col("__early") == home, F.col(f"__o_{c}")).otherwise(0).alias(f"{c}_early") for c in apart] + [F.when(F.col("__late") > home, F.col(f"__u_{c}")).otherwise(0).alias(f"{c}_late") for c in apart]
+    return both.select(*keys, (F.col("__k") * grid.step + grid.start).alias("t"), *(merged(c, k) for c, k in kinds.items()), *first, *last, *shares, *([home.alias("home")] if apart else []))
 
 
 def slide(rows: DataFrame, keys: list[str], grid: Grid, **aggregates: tuple[str, str]) -> DataFrame:

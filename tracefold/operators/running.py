@@ -23,13 +23,13 @@ def running(rows: DataFrame, keys: list[str], at: str, size: int, sums: tuple[st
     chunks = W.partitionBy(*keys).orderBy("__chunk")
     before, after = chunks.rowsBetween(W.unboundedPreceding, -1), chunks.rowsBetween(1, W.unboundedFollowing)
     whole = whole.select(
-        *(F.col(k).alias(f"__{k}") for k in keys), F.col("__chunk").alias("__of"), *(F.sum(f"__s_{c}").over(before).alias(f"__s_{c}") for c in sums),
+        *(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__chunk").alias("__of"), *(F.sum(f"__s_{c}").over(before).alias(f"__s_{c}") for c in sums),
         *(F.last(f"__l_{c}", ignorenulls=True).over(before)["value"].alias(f"__l_{c}") for c in lasts), *(F.first(f"__n_{c}", ignorenulls=True).over(after)["value"].alias(f"__n_{c}") for c in nexts),
     )
     x = x.select("*", *(F.sum(c).over(upto).alias(f"__us_{c}") for c in sums), *(F.last(c, ignorenulls=True).over(upto).alias(f"__ul_{c}") for c in lasts), *(F.first(c, ignorenulls=True).over(onward).alias(f"__un_{c}") for c in nexts))
     on = F.col("__chunk") == F.col("__of")
     for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+        on &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
     x = x.join(whole, on)
     found = {c: F.coalesce(F.col(f"__us_{c}") + F.col(f"__s_{c}"), f"__us_{c}", f"__s_{c}") for c in sums} | {c: F.coalesce(f"__ul_{c}", f"__l_{c}") for c in lasts} | {c: F.coalesce(f"__un_{c}", f"__n_{c}") for c in nexts}
     return x.select(*(found.get(c, F.col(c)).alias(c) for c in rows.columns))

@@ -119,10 +119,10 @@ def cumulative(deltas: DataFrame, keys: list[str], *values: str, cycles: int | N
         # the first row of each day needs the last one of an earlier day
         w = W.partitionBy(*keys, F.floor(F.col("t") / chunk_us)).orderBy("t")
         ends = x.groupBy(*keys, F.floor(F.col("t") / chunk_us).alias("__day")).agg(F.min("t").alias("__first"), F.max("t").alias("__last"))
-        ends = ends.withColumn("__previous", F.lag("__last").over(W.partitionBy(*keys).orderBy("__day"))).select(*(F.col(k).alias(f"__{k}") for k in keys), "__first", "__previous")
+        ends = ends.withColumn("__previous", F.lag("__last").over(W.partitionBy(*keys).orderBy("__day"))).select(*(F.col(k).alias(f"__key_{k}") for k in keys), "__first", "__previous")
         on = F.col("t") == F.col("__first")
         for k in keys:
-            on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+            on &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
         x = x.join(ends, on, "left").withColumn("__since", F.coalesce("__previous", F.lag("t").over(w))).withColumn("__life", F.when(F.col("t") - F.col("__since") <= cycles * step_us, 0).otherwise(1).cast("long")).select(*keys, "t", *values, "__life")
         x = running(x, keys, "t", chunk_us, sums=("__life",))
         return running(x, [*keys, "__life"], "t", chunk_us, sums=values).select(*keys, "t", *values)
