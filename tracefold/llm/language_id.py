@@ -19,7 +19,7 @@ from .base import bounded_batches, sets_apart
 
 DIMENSIONS = 1024
 _BREAK = 32
-_GROUP_CHARS = 1 << 20
+_GROUP_CHARS = 1 << 18
 _letter_cache: dict[int, np.ndarray] = {}
 
 
