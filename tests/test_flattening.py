@@ -10,9 +10,10 @@ from tracefold.sources import otlp
 
 def test_sanitizing_many_keys(spark):
     keys = [f"a.{i}.{x}" for i in range(2000) for x in ("b", "c.d")] + ["z.1.2", "z.1_2"]
-    df = spark.createDataFrame([({k: k for k in keys},)], "m map<string,string>")
+    sanitized = lambda keys: spark.createDataFrame([({k: k for k in keys},)], "m map<string,string>").select(sanitize_attributes(F.col("m")).alias("m")).first().m
+    sanitized(keys[:2])  # the session's start is not timed
     start = time.time()
-    got = df.select(sanitize_attributes(F.col("m")).alias("m")).first().m
+    got = sanitized(keys)
     assert time.time() - start < 8  # 4,002 keys; before, all of them were sorted again for each
     assert len(got) == len(keys) - 1 and got["z.1_2"] == "z.1_2" and got["a.7_c_d"] == "a.7.c.d"
 
