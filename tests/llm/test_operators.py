@@ -387,6 +387,22 @@ def test_collections_outlive_their_task(spark):
             assert must <= {i for a, z in zip(runs[::2], runs[1::2]) for i in range(a, z)}
 
 
+@pytest.mark.parametrize("common", [150, 199, 200, 230])
+def test_only_items_that_may_repeat_enter_a_collection(spark, monkeypatch, common):
+    """Texts that share less than a window around an anchor, wherever it lies, need no transform; a window in common is found at every place."""
+    built = []
+    monkeypatch.setattr(suffix_dedup, "transforms", lambda rows, length, f=suffix_dedup.transforms: built.append(rows.count()) or f(rows, length))
+    rng = np.random.default_rng(common)
+    own = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    data = []
+    for i in range(60):
+        passage = own(common if i % 2 else 150)
+        data += [(2 * i + k, own(170) + "AB"[k] + passage + "AB"[k] + own(170)) for k in range(2)]
+    got = removed(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {d: got[d]["n_removed"] for d, _ in data} == {d: common if d // 2 % 2 and common >= 200 else 0 for d, _ in data}
+    assert (built[0] > 0) == (common > 150)
+
+
 def test_repeats_odd_rows(odd, none):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == len(ODD_ROWS)

@@ -2,8 +2,8 @@
 
 Every ``length``-byte window of a text belongs to the smallest hash of its ``GRAM``-byte pieces, its anchor; equal windows have
 equal anchors at equal places. Windows with a common anchor form one item, so items cover every window once and equal windows meet under the anchor's
-hash. Equal items are counted before any bytes move, and one of them stands for all. Items that share an anchor but differ are put in
-collections, and each collection's Burrows-Wheeler transform with its common prefixes is built column by column: each round inserts one
+hash. Equal items are counted before any bytes move, and one of them stands for all. Items that share an anchor but differ, and enough bytes around it
+for a window in common to be possible, are put in collections, and each collection's Burrows-Wheeler transform with its common prefixes is built column by column: each round inserts one
 symbol per item (``collection_bwt``). A finished collection is one row of a table in the shared folder: its items, the transform and the
 prefixes, each one sequential run of bytes. From that table alone come the repeated windows: rows whose common prefix with a
 neighbour reaches ``length``.
@@ -29,6 +29,8 @@ GRAM = 48
 BLOCK = 256
 #: A collection takes whole anchors until it has this many items; it is below COLLECTION + BLOCK items of less than two windows each.
 COLLECTION = 128
+#: An item enters its collection only if it shares one of this many stretches around the anchor with another item of its part.
+CORES = 8
 _BASE = 0x9E3779B97F4A7C17 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -116,7 +118,7 @@ def _resolve(parts: DataFrame, length: int, step: int) -> DataFrame:
         repeated = alike.where("copies > 1").select("h", "c", F.array(F.col("skip"), F.col("skip") + F.length("bytes") - length + 1).alias("runs"))
         settled.append(repeated)
         one = alike.where(F.col("first") == F.struct("h", "c", "skip")).where("kinds > 1")
-        open_items.append(one.where(F.col("kinds") <= BLOCK).select("part", "h", "c", "skip", "bytes"))
+        open_items.append(one.where(F.col("kinds") <= BLOCK).select("part", "h", "c", "skip", "place", "bytes"))
         wide = one.where(F.col("kinds") > BLOCK).drop("print", "copies", "first", "kinds")
         if wide.isEmpty():
             break
@@ -132,7 +134,7 @@ def _resolve(parts: DataFrame, length: int, step: int) -> DataFrame:
             F.expr(f"substring(bytes, s_lo + 1, s_hi - s_lo + {length})").alias("bytes"), "o1", "o2",
         )
         nodes = settle_table(nodes, "zstd")
-    collections = settle_table(transforms(_union(open_items), length), "zstd")
+    collections = settle_table(transforms(candidates(_union(open_items), length), length), "zstd")
     return _union([*settled, repeats_of(collections, length)])
 
 
@@ -143,6 +145,56 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def may_repeat(items: list[tuple[int, bytes]], length: int) -> list[bool]:
+    """Which items (place of the anchor, bytes) of one part may have a window in common with another: a window whose anchor is between a and z bytes
+    from its start holds the bytes from a before the anchor to ``length`` - z after it, so items without such a stretch in common share none of these windows."""
+    width = -(-(length - GRAM + 1) // CORES)
+    out = [False] * len(items)
+    for a in range(0, length - GRAM + 1, width):
+        z = min(a + width - 1, length - GRAM)
+        cores: dict[bytes, int] = {}
+        for i, (place, x) in enumerate(items):
+            lo, hi = place - z, place - a + length  # of all windows of this range together
+            if max(lo, 0) + length > min(hi, len(x)):
+                continue  # the item has none of them
+            first = cores.setdefault(x[place - a : place - z + length], i)
+            if first != i:
+                out[first] = out[i] = True
+    return out
+
+
+def by_part(rows: DataFrame) -> DataFrame:
+    """Whole parts together. Few bytes but long work: a stated number of tasks, which is not lowered by size."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "part").sortWithinPartitions("part")
+
+
+def candidates(rows: DataFrame, length: int) -> DataFrame:
+    """The items (part, h, c, skip, bytes) of ``rows`` that may share a window with another item of their part."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple] = []  # at most BLOCK items
+        schema = pa.schema([("part", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("skip", pa.int32()), ("bytes", pa.binary())])
+
+        def chosen() -> list[tuple]:
+            return [x[:5] for x, may in zip(part, may_repeat([(x[5], x[4]) for x in part], length)) if may]
+
+        def table(items: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in items], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            out = []
+            for item in zip(*(column.to_pylist() for column in batch.columns)):
+                if part and part[0][0] != item[0]:
+                    out += chosen()
+                    part = []
+                part.append(item)
+            yield table(out)
+        yield table(chosen())
+
+    return by_part(rows.select("part", "h", "c", "skip", "bytes", "place")).mapInArrow(choose, "part long, h long, c long, skip int, bytes binary")
+
+
 COLLECTIONS = "items array<struct<h:bigint,c:bigint,skip:int,size:int>>, bwt binary, lcp binary, width int"
 
 
@@ -169,9 +221,7 @@ def transforms(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield collection()
 
-    # few bytes but long work: a stated number of tasks, which is not lowered by size
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("part", "h", "c", "skip", "bytes").repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(write, COLLECTIONS)
+    return by_part(rows.select("part", "h", "c", "skip", "bytes")).mapInArrow(write, COLLECTIONS)
 
 
 def repeats_of(collections: DataFrame, length: int) -> DataFrame:
