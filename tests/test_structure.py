@@ -2,7 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracefold.operators import structure, tree
 
@@ -131,6 +133,27 @@ def test_repeated_spans_count_once_and_empty_tables_stay_empty(spark):
         assert tree.number_spans(df.limit(0), "a", large).count() == 0
 
 
+def test_a_task_holds_few_rows(spark):
+    """Rows come out soon after they went in, so what Python holds does not follow the size of a partition; longer traces stay whole."""
+    taken, most, ends = 0, 0, []
+
+    def batches():
+        nonlocal taken
+        for i in range(60):
+            traces = [f"t{(i * 2500 + k) // 10:06}" if i < 40 else "u" for k in range(2500)]
+            taken += 2500
+            yield pa.RecordBatch.from_pydict({"trace_id": traces, "span_id": [f"s{i}_{k}" for k in range(2500)], "parent_span_id": [""] * 2500, "mark": [False] * 2500})
+
+    given_back = 0
+    for out in tree._in_tasks(batches()):
+        if out["trace_id"][0].as_py() != "u":
+            most = max(most, taken - given_back)
+        given_back += out.num_rows
+        ends.append(max(out["rgt"].to_pylist()))
+    assert given_back == 150_000 and ends[-1] == 2 * 50_000
+    assert most <= 30_000
+
+
 @pytest.mark.parametrize("large", [200_000, 2])
 def test_tree_rows_move_with_the_ids(spark, large):
     """Repeated spans keep their rows; rows without an id count for the extent; no join follows the numbering of small traces."""
