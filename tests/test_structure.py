@@ -133,6 +133,21 @@ def test_repeated_spans_count_once_and_empty_tables_stay_empty(spark):
         assert tree.number_spans(df.limit(0), "a", large).count() == 0
 
 
+def test_conditions_move_with_the_ids(spark):
+    """Repeated spans count once with the conditions of any of their rows, in tasks and by joins; in tasks nothing is joined with the numbers."""
+    rows = [r for r in forest(5) if r[2] != r[1]]
+    rows += [(*r[:3], r[3] + 100, *r[4:6], not r[6], not r[7]) for r in rows[::3]] + [(None, "x", "", 1, 2, 1, True, True), ("t1", None, "", 1, 2, 1, True, True)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    marks = df.where("a").groupBy("trace_id").agg(F.countDistinct("span_id").alias("marks"))
+    flagged = df.where("b").select("trace_id", "span_id").distinct()
+    for found, when in ((structure.descendant_spans, "above > 0"), (structure.not_descendant_spans, "marks - above - cast(marked as int) > 0")):
+        want = tree.number_spans(df, "a").join(marks, "trace_id", "left").where(when).join(flagged, ["trace_id", "span_id"], "left_semi").select("trace_id", "span_id").collect()
+        for large in (tree.LARGE, 0, 12):
+            assert want and sorted(map(tuple, found(df, "a", "b", large).collect())) == sorted(map(tuple, want)), large
+        plan = found(df, "a", "b")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 1
+
+
 def test_a_task_holds_few_rows(spark):
     """Rows come out soon after they went in, so what Python holds does not follow the size of a partition; longer traces stay whole."""
     taken, most, ends = 0, 0, []
