@@ -269,6 +269,42 @@ def test_components_of_families_and_a_common_passage(spark):
     assert got == brute.components(data)
 
 
+def test_families_just_below_the_threshold_meet_in_the_matrix_only(spark, monkeypatch):
+    """Texts of about 0.7 in common stay groups of one document: no row of the join with members is made for them, and the pairs proposed are the same."""
+    rng = np.random.default_rng(11)
+    data = []
+    for family in range(6):
+        base = [f"f{family}w{int(k)}" for k in rng.integers(0, 10**6, 200)]
+        for k in range(8):
+            words = list(base)
+            for at in rng.choice(200, 3, replace=False):
+                words[at] = f"x{family}_{k}_{at}"
+            data.append((100 * family + k, " ".join(words)))
+    seen = []
+
+    def counted(placed, opened, pct, f=jaccard.member_pairs):
+        several = opened.where("g_docs > 1").select("token", "g", F.col("rep").alias("a")).join(placed.select("token", F.col("grp").alias("g"), F.col("rep").alias("b")), ["token", "g"])
+        every = opened.select("token", "g", F.col("rep").alias("a")).join(placed.select("token", F.col("grp").alias("g"), F.col("rep").alias("b")), ["token", "g"])
+        out = f(placed, opened, pct)
+        seen.append((several.count(), every.count(), out.count(), out.join(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti").count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "member_pairs", counted)
+    monkeypatch.setattr(jaccard, "MERGE_ROUNDS", 0)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in data}
+    want = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    several, every, pairs, strange = seen[0]
+    assert every > 0 and pairs > 0 and several < every and strange == 0
+
+
 def test_components_odd_rows(odd, none):
     got = jaccard.jaccard_components(odd).collect()
     assert len(got) == len(ODD_ROWS)

@@ -264,9 +264,10 @@ def leading_pairs(placed: DataFrame, tested: DataFrame, pct: int) -> DataFrame:
 
 
 def opened_groups(placed: DataFrame, pct: int) -> DataFrame:
-    """(rep, token, g): the groups opened for a document, with the tokens asked for that it shares with their unions."""
+    """(rep, token, g): the groups opened for a document, with the tokens asked for that it shares with their unions. Of a group of
+    one document (``g_docs``), the union is that document's: ``g_first``, with ``n_min`` tokens and ``g_rest`` of them from the shared one on."""
     # the matrix: token -> groups whose union holds it, with the sizes, reaches and least place met
-    met = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("stop").alias("stop_min"), F.max("stop").alias("stop_max"), F.max("reach").alias("g_reach"), F.max(F.col("n") - F.col("pos")).alias("g_rest")]
+    met = [F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("stop").alias("stop_min"), F.max("stop").alias("stop_max"), F.max("reach").alias("g_reach"), F.max(F.col("n") - F.col("pos")).alias("g_rest"), F.min("rep").alias("g_first")]
     matrix = placed.groupBy("token", F.col("grp").alias("g"), F.col("docs").alias("g_docs")).agg(*met)
     # a document and a group that a link needs share ``enough`` tokens, so those of most holders need not be asked for
     enough = F.least(F.lit(DEPTH), need_column(F.col("n"), pct))
@@ -278,7 +279,7 @@ def opened_groups(placed: DataFrame, pct: int) -> DataFrame:
         .where(F.struct("docs", "grp") < F.struct("g_docs", "g"))
         .where((100 * F.col("n_max") >= pct * F.col("n")) & (100 * F.col("n") >= pct * F.col("n_min")) & can_meet("n", "stop", "reach", "n_min", "stop_min", "stop_max", "g_reach", pct))
         .where(early("n", "pos", "n_min", "g_rest", DEPTH, pct))
-        .select("rep", "n", "stop", "reach", "pos", "token", "tokens", "g", "unasked")
+        .select("rep", "n", "stop", "reach", "pos", "token", "tokens", "g", "unasked", "g_docs", "g_first", "n_min", "g_rest")
     )
     hits = settle_table(hits)
     opened = hits.groupBy("rep", "n", "g", "unasked").agg(F.sum("tokens").alias("overlap"))
@@ -301,11 +302,15 @@ def member_pairs(placed: DataFrame, opened: DataFrame, pct: int) -> DataFrame:
     """(a, b): documents and members of the groups opened for them that share one of the tokens asked for of which a link of their sizes has at least one:
     of the first ``unasked`` + 1 tokens that a link shares, at least one is asked for."""
     n, m = F.col("n"), F.col("m")
-    query = opened.select("token", "pos", F.col("rep").alias("a"), "n", "stop", "reach", "unasked", "g")
-    member = placed.select("token", (n - F.col("pos")).alias("m_rest"), F.col("rep").alias("b"), n.alias("m"), F.col("stop").alias("m_stop"), F.col("reach").alias("m_reach"), F.col("grp").alias("g"))
+    # a group of one document needs no join with its members, so families of texts just too different for a link meet in the matrix only
+    alone = opened.where((F.col("g_docs") == 1) & early("n", "pos", "n_min", "g_rest", F.col("unasked") + 1, pct)).select(F.col("rep").alias("a"), F.col("g_first").alias("b")).distinct()
+    query = opened.where("g_docs > 1").select("token", "pos", F.col("rep").alias("a"), "n", "stop", "reach", "unasked", "g")
+    member = placed.where("docs > 1").select("token", (n - F.col("pos")).alias("m_rest"), F.col("rep").alias("b"), n.alias("m"), F.col("stop").alias("m_stop"), F.col("reach").alias("m_reach"), F.col("grp").alias("g"))
     return (
         query.join(member, ["token", "g"])
         .where((100 * F.least(n, m) >= pct * F.greatest(n, m)) & can_meet("n", "stop", "reach", "m", "m_stop", "m_stop", "m_reach", pct) & early("n", "pos", "m", "m_rest", F.col("unasked") + 1, pct))
+        .select("a", "b")
+        .unionByName(alone)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
