@@ -1,8 +1,11 @@
-"""Pieces are looked up once a slice."""
+"""Pieces are looked up once a slice; worker processes let go of other operators' tables."""
+
+import gc
+import weakref
 
 import pyarrow as pa
 
-from tracefold.llm import registry, tokens
+from tracefold.llm import language_id, registry, tokens
 
 ODD = ["", None, " ", "  ", "a b", " a b", "a ", "a  b", "\n a", "\tx y\n\nz <|endoftext|> q", "é ü", " \n x", "'s it's don't", "\x00 a\x00b", "x" * 5000 + " y", "日本 語", " a \nb c\n"]
 
@@ -29,3 +32,11 @@ def test_slices_of_odd_texts_equal_the_library(monkeypatch):
     for column in (pa.array(ODD), pa.array(ODD).slice(3, 9), pa.array(ODD, pa.string()).slice(0, 0)):
         for _ in range(2):
             assert [g.tolist() for g in e.rows(column)] == [e.whole(t or "").tolist() for t in column.to_pylist()]
+
+
+def test_a_worker_lets_go_of_what_another_operator_kept():
+    kept = weakref.ref(tokens.encoder(registry.tokenizer_path()))
+    assert tokens.encoder(registry.tokenizer_path()) is kept()
+    language_id.letter_vector(97)
+    gc.collect()
+    assert kept() is None

@@ -17,6 +17,15 @@ SPACES = " \t\n\x0b\f\r"
 ID_BITS = 22
 #: Rows of one Arrow batch of texts.
 BATCH_ROWS = 1000
+_kept: dict[str, dict] = {}
+
+
+def kept_by(operator: str) -> dict:
+    """What this worker process keeps between tasks of ``operator``. Processes serve one operator after another and stay; what an earlier one kept goes."""
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = {}
+    return _kept[operator]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

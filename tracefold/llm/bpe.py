@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import bounded_batches, settle_table
+from .base import bounded_batches, kept_by, settle_table
 from .tokens import Encoder
 
 WORDS, WORD_BYTES = 1 << 19, 64
@@ -169,15 +169,13 @@ class RankEncoder(Encoder):
         self._add(np.array([i for ids in lists for i in ids], np.uint32), np.cumsum([len(ids) for ids in lists]))
 
 
-_coders: dict[str, RankEncoder] = {}
-
-
 def _coder(name: str, ranks: dict[bytes, int], pattern: str, folded: pa.Table) -> RankEncoder:
     """One coder per worker process and dictionary, which later tasks find with what it has learned."""
-    if name not in _coders:
-        _coders.clear()
-        _coders[name] = RankEncoder(ranks, pattern, dict(zip(folded.column("word").to_pylist(), folded.column("ids").to_pylist())))
-    return _coders[name]
+    held = kept_by("bpe")
+    if name not in held:
+        held.clear()
+        held[name] = RankEncoder(ranks, pattern, dict(zip(folded.column("word").to_pylist(), folded.column("ids").to_pylist())))
+    return held[name]
 
 
 def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, only, settle, settle_table
+from .base import bounded_batches, kept_by, only, settle, settle_table
 from .components import connected_components
 from .wordhash import mix, shingle_pairs, shingle_rows
 
@@ -56,6 +56,7 @@ def hot_table(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """Bits of the tokens met often, over all documents, packed 64 to a word."""
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("jaccard")
         held: list[np.ndarray] = []
         size = 0
 
@@ -88,6 +89,7 @@ def profiles(docs: DataFrame, text: str, key: str, width: int, pct: int) -> Data
     table = docs.sparkSession.sparkContext.broadcast(hot_table(docs, text, width))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("jaccard")
         hot = table.value
         for batch in (b.slice(at, PROFILE_ROWS) for b in batches for at in range(0, b.num_rows, PROFILE_ROWS)):
             n, s1, s2, head, stop, sketches = [], [], [], [], [], []

@@ -15,22 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import bounded_batches, sets_apart
+from .base import bounded_batches, kept_by, sets_apart
 
 DIMENSIONS = 1024
 _BREAK = 32
 _GROUP_CHARS = 1 << 18
-_letter_cache: dict[int, np.ndarray] = {}
 
 
 def letter_vector(code: int, dims: int = DIMENSIONS) -> np.ndarray:
     """The random +-1 vector of a code point; the same on every machine."""
+    cache = kept_by("language_id")
     key = code * 100_003 + dims
-    if key not in _letter_cache:
-        if len(_letter_cache) > 20_000:
-            _letter_cache.clear()
-        _letter_cache[key] = (np.random.default_rng([7, code]).integers(0, 2, dims) * 2 - 1).astype(np.int8)
-    return _letter_cache[key]
+    if key not in cache:
+        if len(cache) > 20_000:
+            cache.clear()
+        cache[key] = (np.random.default_rng([7, code]).integers(0, 2, dims) * 2 - 1).astype(np.int8)
+    return cache[key]
 
 
 def _letters(text: str) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import bounded_batches
+from .base import bounded_batches, kept_by
 from .wordhash import slices, utf8
 
 BLOCK = 512
@@ -266,14 +266,12 @@ class Encoder:
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder per worker process and file, until another operator's task comes."""
+    held = kept_by("tokens")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, text: str = "text", key: str = "doc_id", partitions: int | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
