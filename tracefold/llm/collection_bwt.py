@@ -37,24 +37,28 @@ def build(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = np.ascontiguousarray(text.T)  # text[k]: symbol k from the right, 0 before the first
     rowed = text[0].astype(np.uint32) << np.uint32(24)  # symbol and, below it, common prefix of each row (strings end before 16 MB)
     at = np.arange(m)  # the row of each string's last suffix
-    place = int(sizes.sum() + m).bit_length()
-    key = np.uint32 if place <= 24 else np.uint64  # a symbol above a row: sorted, the rows of a symbol stand together in order
+    place = max(24, int(sizes.sum() + m).bit_length())
+    key = np.uint32 if place == 24 else np.uint64  # a symbol above a row: sorted, the rows of a symbol stand together in order
     rows = np.arange(int(sizes.sum()) + m, dtype=key)
+    room = np.empty(len(rows), key)
     for column in range(1, columns + 1):
         live = np.flatnonzero(sizes >= column)
         asked = (text[column - 1][live].astype(key) << key(place)) | at[live].astype(key)
         by = np.argsort(asked)
         live, asked = live[by], asked[by]
-        order = (rowed >> np.uint32(24)).astype(key)
-        order <<= key(place)
+        order = room[: len(rowed)]
+        np.bitwise_and(rowed, np.uint32(0xFF000000), out=order)
+        if place > 24:
+            order <<= key(place - 24)
         order |= rows[: len(rowed)]
         order.sort()
-        order = order[np.searchsorted(order, key(1 << place)) :]  # without those where a string begins
+        order = order[m - len(live) :]  # without those where a string begins
         new = np.searchsorted(order, asked)  # places of the new suffixes among those that are not empty
-        changed = np.concatenate([new, new + 1])
-        changed.sort()
-        changed = changed[(changed > 0) & (changed < len(order))]
-        changed = changed[np.append(True, changed[1:] != changed[:-1])] if len(changed) else changed
+        changed = np.repeat(new, 2)
+        changed[1::2] += 1
+        fits = (changed > 0) & (changed < len(order))
+        fits[1:] &= changed[1:] != changed[:-1]
+        changed = changed[fits]
         above, here = ((order[x] & key((1 << place) - 1)).astype(np.int64) for x in (changed - 1, changed))
         same = order[changed - 1] >> key(place) == order[changed] >> key(place)
         prefix = np.zeros(len(changed), np.uint32)

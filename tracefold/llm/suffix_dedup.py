@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ GRAM = 48
 BLOCK = 256
 #: A collection takes whole anchors until it has this many items; it is below COLLECTION + BLOCK items of less than two windows each.
 COLLECTION = 128
-#: An item enters its collection only if it shares one of this many stretches around the anchor with another item of its part.
+#: An item enters its collection only if it shares one of this many stretches around the anchor with another item of its part, and with the windows between such stretches only.
 CORES = 8
 _BASE = 0x9E3779B97F4A7C17 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -145,21 +146,25 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def may_repeat(items: list[tuple[int, bytes]], length: int) -> list[bool]:
-    """Which items (place of the anchor, bytes) of one part may have a window in common with another: a window whose anchor is between a and z bytes
-    from its start holds the bytes from a before the anchor to ``length`` - z after it, so items without such a stretch in common share none of these windows."""
+def may_repeat(items: list[tuple[int, bytes]], length: int) -> list[tuple[int, int] | None]:
+    """For each item (place of the anchor, bytes) of one part, the stretch (start, end) of it that may have a window in common with another, or None. A window whose
+    anchor is between a and z bytes from its start holds the bytes from a before the anchor to ``length`` - z after it, so items without such a stretch in common share none
+    of these windows. The windows of the ranges between the first and the last that are shared stay."""
     width = -(-(length - GRAM + 1) // CORES)
-    out = [False] * len(items)
-    for a in range(0, length - GRAM + 1, width):
+    out: list[tuple[int, int] | None] = [None] * len(items)
+    for a in range(0, length - GRAM + 1, width):  # from the last windows of an item to its first
         z = min(a + width - 1, length - GRAM)
         cores: dict[bytes, int] = {}
         for i, (place, x) in enumerate(items):
             lo, hi = place - z, place - a + length  # of all windows of this range together
-            if max(lo, 0) + length > min(hi, len(x)):
+            lo, hi = max(lo, 0), min(hi, len(x))
+            if lo + length > hi:
                 continue  # the item has none of them
             first = cores.setdefault(x[place - a : place - z + length], i)
             if first != i:
-                out[first] = out[i] = True
+                for j in (first, i):
+                    at, y = items[j]
+                    out[j] = max(at - z, 0), out[j][1] if out[j] else min(at - a + length, len(y))
     return out
 
 
@@ -170,14 +175,15 @@ def by_part(rows: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, length: int) -> DataFrame:
-    """The items (part, h, c, skip, bytes) of ``rows`` that may share a window with another item of their part."""
+    """The stretches (part, h, c, skip, bytes) of the items of ``rows`` that may share a window with another item of their part."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []  # at most BLOCK items
         schema = pa.schema([("part", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("skip", pa.int32()), ("bytes", pa.binary())])
 
         def chosen() -> list[tuple]:
-            return [x[:5] for x, may in zip(part, may_repeat([(x[5], x[4]) for x in part], length)) if may]
+            may = may_repeat([(x[5], x[4]) for x in part], length)
+            return [(*x[:3], x[3] + to[0], x[4][to[0] : to[1]]) for x, to in zip(part, may) if to]
 
         def table(items: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in items], f.type) for i, f in enumerate(schema)], schema=schema)
@@ -283,6 +289,43 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     return marks.groupBy("t").agg(F.collect_list(F.struct("lo", "size", "whole", "runs")).alias("marks"))
 
 
+def without(raw: np.ndarray, bounds: np.ndarray, marks: pa.Array, length: int) -> list[pa.Array]:
+    """kept, spans, n_bytes, n_removed, n_spans of the rows ``bounds`` of ``raw``, all rows together."""
+    base, n = bounds[:-1] - bounds[0], np.diff(bounds)
+    b = raw[bounds[0] : bounds[-1]]
+    row = np.repeat(np.arange(len(n)), pc.fill_null(pc.list_value_length(marks), 0).to_numpy())
+    lo, size, whole, runs = marks.flatten().flatten()
+    lo, size, whole = lo.to_numpy(), size.to_numpy(), whole.to_numpy(zero_copy_only=False)
+    # window starts a..z-1 cover bytes a..z+length-2
+    pairs = runs.flatten().to_numpy()
+    of = np.repeat(np.arange(len(lo)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy() // 2)
+    some = ~whole[of]
+    of = np.concatenate([np.flatnonzero(whole), of[some]])
+    a = np.concatenate([np.zeros(whole.sum(), np.int64), pairs[::2][some]]) + lo[of]
+    z = np.concatenate([size[whole].astype(np.int64), pairs[1::2][some] + (length - 1)]) + lo[of]
+    fits = z <= n[row[of]]
+    at = base[row[of]][fits]
+    steps = np.zeros(len(b) + 1, np.int32)
+    np.add.at(steps, at + a[fits], 1)
+    np.add.at(steps, at + z[fits], -1)
+    gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
+    # a run ends with its row
+    edge = np.zeros(len(b) + 1, bool)
+    edge[base], edge[-1] = True, True
+    first, last = gone.copy(), gone.copy()
+    first[1:] &= ~gone[:-1] | edge[1:-1]
+    last[:-1] &= ~gone[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    cuts = np.searchsorted(starts, np.append(base, len(b)))
+    spans = np.empty(2 * len(starts), np.int32)
+    of = np.repeat(np.arange(len(n)), np.diff(cuts))
+    spans[::2], spans[1::2] = starts - base[of], ends - base[of]
+    n_removed = np.bincount(of, ends - starts, len(n)).astype(np.int64)
+    edges = np.append(0, np.cumsum(n - n_removed)).astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(b[~gone]))])
+    return [kept, pa.ListArray.from_arrays(pa.array((2 * cuts).astype(np.int32)), pa.array(spans)), pa.array(n.astype(np.int64)), pa.array(n_removed), pa.array(np.diff(cuts).astype(np.int64))]
+
+
 @sets_apart("__t", "__text", "__marks")
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200) -> DataFrame:
     """``docs`` with kept (bytes left), spans (removed start, end pairs), n_bytes, n_removed and n_spans.
@@ -305,22 +348,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = utf8(batch.column(batch.schema.get_field_index("__text")))
-            got: dict[str, list] = {c: [] for c in outputs}
-            for i, marks in enumerate(batch.column(batch.schema.get_field_index("__marks")).to_pylist()):
-                b = raw[bounds[i] : bounds[i + 1]]
-                steps = np.zeros(len(b) + 1, np.int32)
-                for m in marks or ():
-                    pairs = [0, m["size"] - length + 1] if m["whole"] else m["runs"] or []
-                    for a, z in zip(pairs[::2], pairs[1::2]):  # window starts a..z-1 cover bytes a..z+length-2
-                        if m["lo"] + z + length - 1 <= len(b):
-                            steps[m["lo"] + a] += 1
-                            steps[m["lo"] + z + length - 1] -= 1
-                gone = np.cumsum(steps[:-1]) > 0
-                runs = _runs(gone)
-                for c, v in zip(outputs, (b[~gone].tobytes(), runs, len(b), int(gone.sum()), len(runs) // 2)):
-                    got[c].append(v)
-            types = [pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept_fields), *(pa.array(got[c], t) for c, t in zip(outputs, types))], names=[*(f.name for f in kept_fields), *outputs])
+            marks = batch.column(batch.schema.get_field_index("__marks"))
+            done = [without(raw, bounds[lo : hi + 1], marks.slice(lo, hi - lo), length) for lo, hi in slices(bounds, 1 << 20)]
+            columns = [pa.concat_arrays(parts) for parts in zip(*done)] or [pa.array([], t) for t in (pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept_fields), *columns], names=[*(f.name for f in kept_fields), *outputs])
 
     kept_fields = kept.schema.fields
     return joined.mapInArrow(remove, schema)
