@@ -44,7 +44,7 @@ def _query(name: str, sql: str, *ctes: str):
     fx.SPANS_SQL,
 )
 def flat_traces(spark: SparkSession, d: str) -> DataFrame:
-    x = otlp.flatten_traces(nested.traces(fx.spans(spark, d)))
+    x = otlp.flatten_traces(nested.traces(fx.spans_by_order(spark, d), "ok"))
     a = F.col("attributes")
     return x.select("trace_id", "span_id", "parent_span_id", "name", "kind", "status_code", "start_us", "end_us", "dur_us", "service", "app_id", a["messaging.message_body_size"].alias("msg_size"), a["a.b_c"].alias("abc"), F.col("resource")["host"].alias("host"), "scope_name")
 

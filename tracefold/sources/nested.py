@@ -29,15 +29,16 @@ def _packed(rows: DataFrame, keys: list[str], signal: str, records: str, record:
     return packed.select(_resource().alias("resource"), F.array("scope").alias(f"scope_{signal}"))
 
 
-def traces(spans: DataFrame) -> DataFrame:
-    """(resource, scope_spans): a row per trace, service and app."""
+def traces(spans: DataFrame, *dealt_by: str) -> DataFrame:
+    """(resource, scope_spans): a row per trace, service and app. ``dealt_by``: columns of one value in a trace by which ``spans`` is dealt
+    already; then spans are packed where they are, and no shuffle holds them."""
     parent = F.when(F.col("parent_span_id") == "", NO_SPAN).otherwise(F.col("parent_span_id"))
     attributes = F.concat(F.map_entries("attributes"), _pairs(("a.b.c", F.col("kind"))))
     record = F.struct(
         "trace_id", "span_id", parent.alias("parent_span_id"), "name", F.concat(F.lit("SPAN_KIND_"), F.upper("kind")).alias("kind"),
         F.concat(F.lit("STATUS_CODE_"), F.upper("status_code")).alias("status"), "start_us", "end_us", attributes.alias("attributes"),
     )
-    return _packed(spans, ["trace_id"], "spans", "spans", record)
+    return _packed(spans, ["trace_id", *dealt_by], "spans", "spans", record)
 
 
 def metrics(points: DataFrame, kind: str, monotonic: bool = False, temporality: str | None = None) -> DataFrame:
