@@ -16,8 +16,9 @@ import heapq
 import json
 import uuid
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ _BUCKETS = 1 << 16
 #: Bits of a place in a word; its last value stands for no place. A rank that no pair has.
 _BITS = 15
 _ENDS, _NONE = (1 << _BITS) - 1, (1 << 32) - 1
+#: Bits of the number of ids of a word of the dictionary: at most WORD_BYTES.
+_COUNT_BITS = 7
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,33 +143,38 @@ def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class RankEncoder(Encoder):
-    """Ids of texts by a dictionary of folded words; other words are merged."""
+    """Ids of texts by a dictionary of folded words; other words are merged. ``folded``: (word, ids), kept as one array and each word's place in it."""
 
     LIMIT = 400_000
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, words: dict[str, list[int]]):
-        self.ranks, self.split, self.words, self.added = ranks, regex.compile(pattern).findall, words, []
+    def __init__(self, ranks: dict[bytes, int], pattern: str, folded: pa.Table):
+        self.ranks, self.split, self.added = ranks, regex.compile(pattern).findall, []
+        words, ids = (folded.column(c).combine_chunks() for c in ("word", "ids"))
+        bounds = ids.offsets.to_numpy().astype(np.int64)
+        self.words = dict(zip(words.to_numpy(zero_copy_only=False).tolist(), (bounds[:-1] - bounds[:1] << _COUNT_BITS | np.diff(bounds)).tolist()))
+        self.folded = array("I", ids.flatten().to_numpy().astype(np.uint32).tobytes())
         self._reset()
 
+    def _word(self, word: str) -> Sequence[int]:
+        place = self.words.get(word)
+        if place is None:
+            return _merged(word.encode(), self.ranks)
+        start = place >> _COUNT_BITS
+        return self.folded[start : start + (place & (1 << _COUNT_BITS) - 1)]
+
     def _ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for w in self.split(text):
-            ids = self.words.get(w)
-            out += _merged(w.encode(), self.ranks) if ids is None else ids
-        return out
+        return [i for w in self.split(text) for i in self._word(w)]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._ids(text), np.uint32)
 
     def _learn(self, keys: list[str]) -> None:
-        lists = []
+        flat, cuts = array("I"), []
         for k in keys:
             part = k[1:] if k[:1] == " " else " " + k
-            ids = self.words.get(part)
-            if ids is None:
-                ids = _merged(part.encode(), self.ranks) if k.isascii() and k.isalpha() else self._ids(part)
-            lists.append(ids)
-        self._add(np.array([i for ids in lists for i in ids], np.uint32), np.cumsum([len(ids) for ids in lists]))
+            flat.extend(self._word(part) if part in self.words or k.isascii() and k.isalpha() else self._ids(part))
+            cuts.append(len(flat))
+        self._add(np.array(flat, np.uint32), np.array(cuts, np.int64))
 
 
 def _coder(name: str, ranks: dict[bytes, int], pattern: str, folded: pa.Table) -> RankEncoder:
@@ -174,7 +182,7 @@ def _coder(name: str, ranks: dict[bytes, int], pattern: str, folded: pa.Table) -
     held = kept_by("bpe")
     if name not in held:
         held.clear()
-        held[name] = RankEncoder(ranks, pattern, dict(zip(folded.column("word").to_pylist(), folded.column("ids").to_pylist())))
+        held[name] = RankEncoder(ranks, pattern, folded)
     return held[name]
 
 
@@ -256,9 +264,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, ranks, pattern, folded)
         for batch in batches:
+            coded = coder.rows(batch.column(len(kept)))
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [coder(t.as_py() or "") for t in part.column(len(kept))]
+                part, ids = batch.slice(lo, 256), coded[lo : lo + 256]
                 ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], names=names)
